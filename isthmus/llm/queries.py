@@ -41,15 +41,72 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import deduplicated
+
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import scored
 
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches and a repeated delivery: all documents; revised counts where several lines lost the last one; toxic documents out."""
+    import uuid
+
+    from .common import scratch_root
+    from .rollup import TokenLedger, counted
+
+    docs = table(spark, sf_dir, "documents")
+    ledger = TokenLedger(spark, f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.commit("1-load", counted(docs).withColumn("op", F.lit("insert")))
+    cut = docs.where(F.locate("\n", "text") > 0).withColumn("text", F.regexp_replace("text", r"\n[^\n]*\z", ""))
+    revised = counted(cut).withColumn("op", F.lit("revise"))
+    ledger.commit("2-last-lines", revised)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = ledger.live().join(toxic, "doc_id", "left_semi")
+    ledger.commit("3-toxic", gone.withColumn("op", F.lit("delete")))
+    ledger.commit("2-last-lines", revised)
+    return ledger.totals()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_packing, op6_imatch, op7_simhash, op9_quality)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_packing, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
+
+
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), runs AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines
+), later AS (
+  SELECT doc_id, i, line, j IS NOT NULL AND row_number() OVER (PARTITION BY j IS NULL, line, next ORDER BY doc_id, i) > 1 AS starts FROM runs
+), judged AS (
+  SELECT *, starts OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM later
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS run FROM judged
+)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed, count_if(run)::BIGINT AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM edges GROUP BY doc_id
+"""
+
+OP10_SQL = r"""
+WITH kept AS (
+  SELECT source, lang, regexp_replace(text, '\n[^\n]*\z', '') AS text FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+), counted AS (
+  SELECT source, lang, 'spaced-1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'alnum-1', len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM kept
+)
+SELECT source, lang, version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": OP8_SQL, "op10_token_rollup": OP10_SQL}
