@@ -13,13 +13,14 @@ forests are merged into components by rounds of large and small stars.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mixed, prepared, texts_of, written
+from .common import LOWER, hashed, mixed, prepared, texts_of, written
 
 SEED, BUDGET = 42, 2
 #: Fingerprints in one subtrie, on average.
@@ -137,9 +138,12 @@ def labelled(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 FRONTIER, LEAVES = 200_000, 16
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into a, into b) of sorted distinct 64-bit values that differ in at most `budget` bits; bits: how many low bits the subtries span. same: a is b, and each pair comes once."""
-    whole = tuple(np.array([x]) for x in (0, len(a), 0, len(b), 0))
+def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool, bits: int = 64, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into a, into b) of sorted 64-bit values that differ in at most `budget` bits; bits: how many low bits the subtries span. same: a is b, and each pair comes once. roots: bounds of the subtries of a to be walked each with itself, instead of the whole."""
+    if roots is not None:
+        whole = (roots[:-1], roots[1:], roots[:-1], roots[1:], np.zeros(len(roots) - 1, dtype=np.int64))
+    else:
+        whole = tuple(np.array([x]) for x in (0, len(a), 0, len(b), 0))
     stack = [(bits - 1, whole)] if len(a) and len(b) else []
     while stack:
         bit, (a0, a1, b0, b1, used) = stack.pop()
@@ -237,6 +241,143 @@ def links(values: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> Da
     return spread.groupBy("lo", "hi").applyInArrow(unit, "u long, v long")
 
 
+#: 64-bit words of a long signature; seeds of their hashes are derived from the first.
+WORDS = 4
+#: Share of the pairs at exactly the wanted similarity that some trie brings together.
+RECALL = 0.97
+#: Values that share a subtrie of a permuted trie, on average.
+SHARED = 16
+
+
+def long_signatures(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
+    """doc_id, th (hash of the text), s0 .. s3 (a 256-bit SimHash) of every row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            s = signature_batch(texts_of(batch.column(2)), width, seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(s[:, i]).view(np.int64)) for i in range(WORDS))], names=["doc_id", "th", *(f"s{i}" for i in range(WORDS))])
+
+    prepared(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, s0 long, s1 long, s2 long, s3 long")
+
+
+def signature_batch(texts: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """A row of WORDS 64-bit words for each text."""
+    split = [t.translate(LOWER).split() for t in texts]
+    n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    flat = list(itertools.chain.from_iterable(split))
+    buf = np.frombuffer(b" ".join(flat) + b" " * 16, dtype=np.uint8)
+    lens = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+    ends = np.cumsum(lens + 1) - 1
+    # Hashes of shingles from hashes of their words: the words need hashing once only.
+    word = hashed(buf, ends - lens, ends, seed)
+    first = np.concatenate([[0], np.cumsum(n_words)])[:-1]
+    _, _, counts = shingle_spans(n_words, ends - lens, ends, width)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    last = (first + n_words)[doc]
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(width):
+        there = at + k < last
+        h[there] = mixed(h[there] * np.uint64(0x9E3779B97F4A7C15) + word[(at + k)[there]])
+    return np.stack([majority(mixed(h + np.uint64((i + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)), counts) for i in range(WORDS)], axis=1)
+
+
+def bit_share(similarity: float) -> float:
+    """Share of SimHash bits in which shingle sets of a Jaccard similarity differ, as expected."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """u, v: links between signatures (columns node, s0 .. s3) whose long signatures differ in no more bits than the similarity allows, two deviations added.
+
+    Each of several tries orders 64 of the 256 bits anew; subtries below the
+    first m bits are joined with themselves under a budget, and what they find is held against the
+    whole signatures. m follows the logarithm of n and the number of tries follows m, so that the
+    share of pairs met stays at `recall` at any size.
+    """
+    p = bit_share(similarity)
+    m = max(0, math.ceil(math.log2(max(n, 1) / SHARED)))
+    met = (1 - p) ** m
+    tries = 1 if met > recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(64 * WORDS)[:64] for _ in range(tries)]
+    allowed = lambda bits: math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+    budget, most = allowed(64 - m) if m < 64 else 0, allowed(64 * WORDS)
+    coarse = min(m, 6)
+
+    def spread(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            node = batch.column(0)
+            words = [batch.column(i + 1).to_numpy().view(np.uint64) for i in range(WORDS)]
+            for t, order in enumerate(orders):
+                c = np.zeros(len(node), dtype=np.int64)
+                for bit in order[:coarse].tolist():
+                    c = c << 1 | ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t << coarse) | c), *batch.columns], names=["unit", "node", "s0", "s1", "s2", "s3"])
+
+    def unit(key, table):
+        import pyarrow as pa
+
+        order = orders[key[0].as_py() >> coarse]
+        words = [np.ascontiguousarray(table.column(f"s{i}").to_numpy()).view(np.uint64) for i in range(WORDS)]
+        p = np.zeros(table.num_rows, dtype=np.uint64)
+        for bit in order.tolist():
+            p = p << np.uint64(1) | ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1))
+        by = np.argsort(p, kind="stable")
+        p, words, node = p[by], [w[by] for w in words], table.column("node").to_numpy()[by]
+        head = p >> np.uint64(64 - m) if m else np.zeros(len(p), np.uint64)
+        roots = np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1, [len(p)]])
+        label = np.arange(len(p))
+        for i, j in trie_links(p, p, budget, True, 64 - m, roots):
+            far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+            i, j = i[far <= most], j[far <= most]
+            if not len(i):
+                continue
+            u, back = np.unique(np.concatenate([label[i], label[j]]), return_inverse=True)
+            low = u[labelled(back[: len(i)], back[len(i) :], len(u))]
+            move = np.arange(len(p))
+            move[u] = low
+            label = move[label]
+        child = np.flatnonzero(label != np.arange(len(p)))
+        return pa.table({"u": node[child], "v": node[label[child]]})
+
+    signed = classes.select("node", *(f"s{i}" for i in range(WORDS)))
+    kinds = "unit long, node long, s0 long, s1 long, s2 long, s3 long"
+    return signed.mapInArrow(spread, kinds).groupBy("unit").applyInArrow(unit, "u long, v long").distinct()
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """doc_id, th (hash of the text), label (names the group), component_id of every row of docs: near duplicates by word shingles at a Jaccard similarity, as SimHash estimates it.
+
+    Nulls, blanks, repeated ids and empty tables fare as in near_duplicates(); all
+    texts without words are one group.
+    """
+    sig = written(long_signatures(docs, width, seed), "signatures")
+    words = [f"s{i}" for i in range(WORDS)]
+    classes = written(sig.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*words)), "classes")
+    label = components(permuted_links(classes, classes.count(), similarity, seed=seed))
+    of = classes.withColumnRenamed("node", "own").join(label, F.col("own") == F.col("node"), "left").select(*words, "least", F.coalesce("label", "own").alias("label"))
+    least = of.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = of.join(least, "label").select(*words, "label", "component_id")
+    return sig.join(of, words).select("doc_id", "th", "label", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of similar(): the one with the least doc_id (null last), then the least hash of its text."""
+    groups = written(similar(docs, width, similarity), "groups")
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.th").alias("keep_th"))
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (th == F.col("keep_th")), "left_semi")
+    again = groups.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """node, label (the least node reachable) of every node of edges(u, v), by alternating large and small stars until nothing moves."""
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)

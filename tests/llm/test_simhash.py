@@ -84,3 +84,32 @@ def test_empty_null_and_repeated(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], COLUMNS)).count() == 0
     rows = simhash.near_duplicates(docs_of(spark, ["a b c d", "a b c d", None, ""], ids=[3, 3, None, 9])).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, 9), (3, 3), (3, 3), (9, 9)]
+
+
+def jaccard_pairs(texts, width, low):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= low * max(1, len(sets[i] | sets[j]))]
+
+
+def test_similar_meets_near_copies_and_leaves_others(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        w = [word() for _ in range(r.randint(5, 400))]
+        texts.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            for _ in range(len(v) // 80):
+                v[r.randrange(len(v))] = word()
+            texts.append(" ".join(v))
+    texts += [None, "", "short one", "Short  one"]
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs_of(spark, texts)).collect()}
+    near, loose = jaccard_pairs(texts, 5, 0.83), set(jaccard_pairs(texts, 5, 0.5))
+    assert sum(got[i] == got[j] for i, j in near) >= 0.95 * len(near)
+    wrong = [(i, j) for i in got for j in got if i < j and got[i] == got[j] and (i, j) not in loose and i < 180]
+    assert not wrong
+    assert got[180] == got[181] == 180 and got[182] == got[183] == 182
