@@ -35,6 +35,13 @@ def op4_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwt_dedup import removed
+
+    found = removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import matched
 
@@ -82,7 +89,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_packing, op4_recompress, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
 
 
 OP8_SQL = """

@@ -138,9 +138,9 @@ def squeezed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", z binary")
 
 
-def several(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key belongs to several o, with the least of them."""
-    least = rows.groupBy(*keys).agg(F.min("o").alias("least"), F.max("o").alias("most")).where("least < most").drop("most")
+def several(rows: DataFrame, keys: list[str], of: str = "o") -> DataFrame:
+    """The rows whose key belongs to several values of a column, with the least of them."""
+    least = rows.groupBy(*keys).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").drop("most")
     return rows.join(least, keys)
 
 
