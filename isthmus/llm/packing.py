@@ -15,19 +15,21 @@ remain after the last round are packed by decreasing length.
 
 from __future__ import annotations
 
-import math
+import itertools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, texts_of, written
+from .common import LOWER, prepared, texts_of, written
 
 CAPACITY, END_ID, CUTS = 4096, 2, 3
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a task remembers, and those, the short ones, that a worker takes on to its next task; beyond either it starts anew.
+CACHE_WORDS, KEPT_WORDS = 600_000, 60_000
 #: Pieces that one task of a class numbers at most, on average.
 GROUP_PIECES = 500_000
 
@@ -38,28 +40,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+#: a-z and the small letters U+00DF to U+00FF in UTF-8.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """Byte-level vocabularies write bytes as characters: printable ones as themselves, the others, in order, from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordIds:
-    """Ids of texts by a tokenizer whose pre-tokens never contain ASCII white space: each distinct space-separated word is encoded once."""
+    """Ids of texts by a tokenizer that lower-cases and whose pre-tokens never hold ASCII white space: each distinct word, without what punctuation follows it, is encoded once."""
+
+    #: What a worker process has encoded, kept from task to task.
+    shared: dict[tuple, dict[bytes, bytes]] = {}
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model.tokenize
+        self.known = self.shared.setdefault((path,), {})
+
+    def _coded(self, word: bytes) -> bytes | None:
+        """Ids of a word not yet known, without the tokenizer's whole path: small Latin letters are one pre-token in normal form, and what punctuation follows an ASCII letter is another word. None if the word needs that path. Strings of special tokens do."""
+        if _LATIN.fullmatch(word):
+            text = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_CHARS)
+            return array("I", [t.id for t in self.model(text)]).tobytes()
+        stem = word.rstrip(_PUNCTUATION)
+        if len(stem) == len(word) or not stem or not 97 <= stem[-1] <= 122 or b"<|" in word:
+            return None
+        known, tail = self.known, word[len(stem) :]
+        for part in (stem, tail):
+            if part not in known:
+                got = self._coded(part)
+                known[part] = self._whole([part])[0] if got is None else got
+        return known[stem] + known[tail]
+
+    def trim(self) -> None:
+        """Forgets all but short words, the frequent ones."""
+        few = dict(itertools.islice(((w, c) for w, c in self.known.items() if len(w) < 7), KEPT_WORDS))
+        self.known.clear()
+        self.known.update(few)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in split for w in ws} - known.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = self.encode([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        return [b"".join(map(known.__getitem__, ws)) + self.end for ws in split]
+        split = [t.translate(LOWER).split() for t in texts]
+        known, coded_of = self.known, self._coded
+        if len(known) > CACHE_WORDS:
+            self.trim()
+        flat = list(itertools.chain.from_iterable(split))
+        coded, later = list(map(known.get, flat)), []
+        for i in [i for i, c in enumerate(coded) if c is None]:
+            w = flat[i]
+            c = known.get(w)
+            if c is None:
+                c = coded_of(w)
+                if c is None:
+                    later.append(i)
+                    continue
+                known[w] = c
+            coded[i] = c
+        if later:
+            new = list({flat[i] for i in later})
+            known.update(zip(new, self._whole(new), strict=True))
+            for i in later:
+                coded[i] = known[flat[i]]
+        out, at = [], 0
+        for ws in split:
+            out.append(b"".join(coded[at : at + len(ws)]) + self.end)
+            at += len(ws)
+        return out
 
 
 def pieces_of(n: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[tuple[int, int]]:
@@ -101,9 +165,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, c
                 for length, k in pieces_of(n, capacity, cuts):
                     rows.append((doc, start, length, zlib.crc32(coded[4 * start : 4 * (start + length)]), n, k, at))
                     start, at = start + length, at + 1
+            del texts
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "at"])
+        ids.trim()
 
     prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
