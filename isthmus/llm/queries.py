@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated_spans
 
@@ -89,7 +95,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
 
 
 OP8_SQL = """
