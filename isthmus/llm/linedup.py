@@ -120,7 +120,8 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     docs = docs.select(*keep)
     cut = written(later_copies(docs, min_lines), "copies").select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), F.col("starts").alias("cut_starts"))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (th == F.col("cut_th")), "left").select(*(docs[c] for c in keep), cut["cut_starts"])
+    # Texts are merged with the marks at every size, so that what is shuffled stays in proportion to the input.
+    both = docs.join(cut.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (th == F.col("cut_th")), "left").select(*(docs[c] for c in keep), cut["cut_starts"])
     at = keep.index("text")
     from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
