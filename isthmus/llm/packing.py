@@ -96,6 +96,24 @@ class WordIds:
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in coded]
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of lower-cased words."""
+        if len(self.known) > CACHE_WORDS:
+            self.trim()
+        known, coded_of = self.known, self._coded
+        coded = []
+        for w in words:
+            c = known.get(w)
+            if c is None:
+                c = coded_of(w)
+                if c is not None:
+                    known[w] = c
+            coded.append(c)
+        later = [i for i, c in enumerate(coded) if c is None]
+        for i, c in zip(later, self._whole([words[i] for i in later]), strict=True):
+            coded[i] = known[words[i]] = c
+        return coded
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         split = [t.translate(LOWER).split() for t in texts]
