@@ -135,7 +135,7 @@ def labelled(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Node pairs walked at once, and pairs of leaves compared without going further down.
-FRONTIER, LEAVES = 200_000, 16
+FRONTIER, LEAVES = 20_000, 16
 
 
 def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool, bits: int = 64, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
