@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import discrete
+
 
 def queries() -> dict:
-    return {}
+    return discrete.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return discrete.sql()
