@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import discrete
+from . import continuous, discrete
 
 
 def queries() -> dict:
-    return discrete.queries()
+    return discrete.queries() | continuous.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return discrete.sql()
+    return discrete.sql() | continuous.sql()
