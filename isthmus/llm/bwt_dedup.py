@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doubled, lanes, mixed, prepared, texts_of, written
+from .common import discard, doubled, lanes, prepared, texts_of, written
 from .imatch import chunks
 from .recompress import keyed, several, squeezed
 
@@ -292,16 +292,16 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
     pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int, piece binary"), "segments")
+    discard(names)
+    # Equal segments are first reduced to the earliest within each task, bytes and all.
     at = F.struct("o", "tag", "p")
-    firsts = written(pieces.select("d1", "d2", "o", "tag", "p").groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c")).select("d1", "d2", "f.*", "c"), "firsts")
-    equal = pieces.select("d1", "d2", "o", "tag", "p", "n").join(firsts.where("c > 1").select("d1", "d2", at.alias("f")), ["d1", "d2"]).where(at > F.col("f"))
-    equal = equal.select("o", "tag", "p", "n")
-    alone = pieces.join(firsts.drop("c"), ["d1", "d2", "o", "tag", "p"])
-    size = pieces.agg(F.sum(F.octet_length("piece").cast("long"))).first()[0] or 0
+    firsts = written(pieces.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c"), F.first("name").alias("name"), F.first("n").alias("n"), F.first("piece").alias("piece")).select("d1", "d2", "f", "c", "name", "n", "piece"), "firsts")
+    equal = pieces.select("d1", "d2", "o", "tag", "p", "n").join(firsts.where("c > 1").select("d1", "d2", "f"), ["d1", "d2"]).where(at > F.col("f"))
+    equal = written(equal.select("o", "tag", "p", "n"), "equal")
+    discard(pieces)
+    size = firsts.agg(F.sum(F.octet_length("piece").cast("long"))).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))
-    # Only gram hashes with several distinct segments, or a segment that holds its gram at several places, have anything left to find.
-    busy = alone.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1)).select("name")
-    alone = alone.join(busy, "name").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
+    alone = firsts.select("name", "f.*", "n", "piece").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
 
     def merge_group(key, table):
         import pyarrow as pa
@@ -309,7 +309,12 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         table = table.sort_by([(c, "ascending") for c in ("name", "o", "tag", "p")])
         same = np.ones(table.num_rows, dtype=bool)  # rows of equal id and text bring their segments twice
         same[1:] = ~np.logical_and.reduce([table.column(c).to_numpy()[1:] == table.column(c).to_numpy()[:-1] for c in ("name", "o", "tag", "p")])
+        # Gram hashes with one distinct segment that holds its gram at one place have nothing left to find.
         table = table.filter(pa.array(same))
+        u, back, k = np.unique(table.column("name").to_numpy(), return_inverse=True, return_counts=True)
+        most = np.zeros(len(u), dtype=np.int64)
+        np.maximum.at(most, back, table.column("n").to_numpy())
+        table = table.filter(pa.array(((k > 1) | (most > window - gram + 1))[back]))
         name, n = table.column("name").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         piece = table.column("piece").to_pylist()
         o, tag, p = (table.column(c).to_numpy().astype(np.int64) for c in ("o", "tag", "p"))
@@ -340,7 +345,9 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         return pa.table({"o": cols[0], "tag": cols[1], "p": pa.array(cols[2].astype(np.int32)), "n": pa.array(cols[3].astype(np.int32))})
 
     found = alone.select("g", "name", "o", "tag", "p", "n", "piece").groupBy("g").applyInArrow(merge_group, "o long, tag long, p int, n int")
-    marks = equal.unionByName(found).groupBy("o", "tag").agg(F.collect_list(F.struct("p", "n")).alias("runs")).join(copies, ["o", "tag"], "full")
+    runs = written(equal.unionByName(found).groupBy("o", "tag").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
+    discard(firsts, equal)
+    marks = runs.join(copies, ["o", "tag"], "full")
 
     def cut_out(batches: Iterator) -> Iterator:
         import pyarrow as pa

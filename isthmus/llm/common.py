@@ -6,6 +6,7 @@ than one batch of texts.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,7 +53,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage, so that a lost executor costs one table's tasks only."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing needs any more, and lets Spark drop the shuffle files of what has been computed: disk holds one phase at a time."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def texts_of(column) -> list[bytes]:

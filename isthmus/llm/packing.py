@@ -63,10 +63,15 @@ class WordIds:
     #: What a worker process has encoded, kept from task to task.
     shared: dict[tuple, dict[bytes, bytes]] = {}
 
-    def __init__(self, path: str, end_id: int | None):
+    #: The tokenizer a worker process has loaded.
+    loaded: dict[str, object] = {}
+
+    def __init__(self, path: str, end_id: int | None, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in self.loaded:
+            self.loaded[path] = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = self.loaded[path], limit
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.model = self.tokenizer.model.tokenize
         self.known = self.shared.setdefault((path,), {})
@@ -98,7 +103,7 @@ class WordIds:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of lower-cased words."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.limit:
             self.trim()
         known, coded_of = self.known, self._coded
         coded = []
@@ -118,7 +123,7 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         split = [t.translate(LOWER).split() for t in texts]
         known, coded_of = self.known, self._coded
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.limit:
             self.trim()
         flat = list(itertools.chain.from_iterable(split))
         coded, later = list(map(known.get, flat)), []

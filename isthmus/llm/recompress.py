@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, doubled, hashed, joined, mixed, prepared, texts_of, words_in, written
+from .common import SPACED, discard, doubled, hashed, joined, mixed, prepared, texts_of, words_in, written
 from .imatch import chunks
 
 WINDOW = 50
@@ -204,8 +204,10 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
     windows = written(left.mapInArrow(window_rows, "h long, h2 int, o long, at long"), "windows")
+    discard(names)
     found = several(windows, ["h", "h2"]).where("o > least").select("o", *own)
-    found = found.groupBy("o", "tag").agg(F.collect_set("i").alias("at"))
+    found = written(found.groupBy("o", "tag").agg(F.collect_set("i").alias("at")), "found")
+    discard(windows)
     marks = found.join(copies, ["o", "tag"], "full")
 
     def cut(batches: Iterator) -> Iterator:

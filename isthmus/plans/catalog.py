@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import continuous, discrete
+from . import continuous, discrete, online
 
 
 def queries() -> dict:
-    return discrete.queries() | continuous.queries()
+    return discrete.queries() | continuous.queries() | online.queries()
 
 
 def oracle_sql() -> dict[str, str]:
