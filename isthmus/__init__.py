@@ -1,0 +1 @@
+"""Separability of labelled point clouds, on Spark."""

@@ -16,7 +16,7 @@ from isthmus.operators import prototypes as proto
 from isthmus.operators import scoring, validation
 from isthmus.sources import tables
 
-M, RADIUS, COVER_K, COVER_FRACTION = 8, 1.1, 4, 0.9
+M, RADIUS, COVER_K, COVER_FRACTION = 8, 1.1, 4, 0.8731  # a fraction that falls between samples, so that no distance equals the radius
 EXCLUDED = ["0", "3"]
 
 
