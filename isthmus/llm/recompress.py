@@ -8,7 +8,7 @@ names once, after the last round. A symbol remembers which words its name and it
 depend on. A window that contains all of these contains the symbol wherever
 it occurs, so a window of which one such symbol occurs in no other document is new.
 
-The windows left are compared as a whole, by 96 bits of hash; what
+The windows left are compared as a whole, by 64 bits of hash; what
 long repeats share falls out of that, seams between different sources included. Names and windows are
 first reduced to the least document that has them, then joined back, so that a
 passage of very many documents can be split between tasks.
@@ -107,12 +107,9 @@ class Parsed:
         gone = np.bincount(lo[some], minlength=m + 1) - np.bincount(hi[some] + 1, minlength=m + 1)
         return np.flatnonzero(np.cumsum(gone[:m]) == 0)
 
-    def windows(self, i: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of hash of each window of document i."""
-        a, b = self.first[i], self.first[i + 1]
-        one = doubled(self.hash[a:b], window)
-        two = doubled(mixed(self.hash[a:b] + np.uint64(77)) ^ hashed(self.buf, self.starts[a:b], self.ends[a:b], 2), window)
-        return one.view(np.int64), (two >> np.uint64(32)).astype(np.int64).astype(np.int32)
+    def windows(self, i: int, window: int) -> np.ndarray:
+        """The hash of each window of document i."""
+        return doubled(self.hash[self.first[i] : self.first[i + 1]], window).view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -187,25 +184,24 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for a, b in chunks(texts):
                 p = Parsed(texts[a:b], rounds, window)
-                one, two, who, at = [], [], [], []
+                one, who, at = [], [], []
                 for i in range(b - a):
                     start = p.candidates(i, lists[a + i] or [], window)
                     if len(start):
-                        h, h2 = p.windows(i, window)
+                        h = p.windows(i, window)
                         _, once = np.unique(h[start], return_index=True)
                         start = start[once]
                         one.append(h[start])
-                        two.append(h2[start])
                         who.append(np.full(len(start), o[a + i]))
                         at.append(start << 32 | tag[a + i])
                 if one:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, who, at)], names=["h", "h2", "o", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, who, at)], names=["h", "o", "at"])
 
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    windows = written(left.mapInArrow(window_rows, "h long, h2 int, o long, at long"), "windows")
+    windows = written(left.mapInArrow(window_rows, "h long, o long, at long"), "windows")
     discard(names)
-    found = several(windows, ["h", "h2"]).where("o > least").select("o", *own)
+    found = several(windows, ["h"]).where("o > least").select("o", *own)
     found = written(found.groupBy("o", "tag").agg(F.collect_set("i").alias("at")), "found")
     discard(windows)
     marks = found.join(copies, ["o", "tag"], "full")
@@ -226,7 +222,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                     words, gone = [], n
                 elif starts and not whole_copy:
                     p = Parsed([text], 0, window)
-                    h, _ = p.windows(0, window)
+                    h = p.windows(0, window)
                     hit = np.flatnonzero(np.isin(h, h[starts]))
                     mark = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(mark, hit, 1)
