@@ -193,7 +193,9 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
         y.append(r["y"])
         ids.append(r["doc_id"])
     if not y:
-        return Machine()
+        blank = Machine()
+        blank.v[:] = 0
+        return blank
     order = np.lexsort((n, ids))  # the same rows in the same order however the table is split
     index, value = [index[i] for i in order], [value[i] for i in order]
     n, y = np.array(n)[order], np.array(y, dtype=float)[order]
