@@ -46,12 +46,18 @@ def is_multilabel(samples: DataFrame, column: str = "label") -> bool:
 
 
 def minmax_scaled(samples: DataFrame, column: str = "features") -> DataFrame:
-    """Each feature scaled to [0, 1] over the table; a constant one becomes 0. One small aggregate by position, broadcast back."""
-    long = samples.select(F.posexplode(column).alias("i", "v"))
-    ends = long.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    one = ends.agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("ends"))
+    """Each feature scaled to [0, 1] over the table; a constant one becomes 0.
 
-    def scale(v: Column, e: Column) -> Column:
-        return F.when(e["hi"] > e["lo"], (v - e["lo"]) / (e["hi"] - e["lo"])).otherwise(0.0)
+    One aggregate of 2 d columns without a shuffle of rows; its one row goes into the plan as literals.
+    """
+    head = samples.select(F.size(column).alias("d")).first()
+    if head is None or head["d"] < 1:
+        return samples
+    x = F.col(column)
+    ends = samples.agg(*(f(x[i]).alias(f"{n}{i}") for i in range(head["d"]) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+    def scaled(i: int) -> Column:
+        lo, hi = float(ends[f"lo{i}"]), float(ends[f"hi{i}"])
+        return (x[i] - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
 
-    return samples.crossJoin(F.broadcast(one)).withColumn(column, F.zip_with(column, "ends", scale)).drop("ends")
+    return samples.withColumn(column, F.array(*(scaled(i) for i in range(head["d"]))))
