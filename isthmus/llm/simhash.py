@@ -292,7 +292,7 @@ def bit_share(similarity: float) -> float:
 
 
 def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float = RECALL, seed: int = SEED) -> DataFrame:
-    """u, v: links between signatures (columns node, s0 .. s3) whose long signatures differ in no more bits than the similarity allows, two deviations added.
+    """u, v: links between signatures (columns node, s0 .. s3) whose long signatures differ in no more bits than the similarity makes them differ on average, one deviation added (two within a trie).
 
     Each of several tries orders 64 of the 256 bits anew; subtries below the
     first m bits are joined with themselves under a budget, and what they find is held against the
@@ -305,8 +305,8 @@ def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float
     tries = 1 if met > recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(64 * WORDS)[:64] for _ in range(tries)]
-    allowed = lambda bits: math.floor(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
-    budget, most = allowed(64 - m) if m < 64 else 0, allowed(64 * WORDS)
+    allowed = lambda bits, deviations: math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+    budget, most = allowed(64 - m, 2) if m < 64 else 0, allowed(64 * WORDS, 1)
     coarse = min(m, 6)
 
     def spread(batches: Iterator) -> Iterator:
