@@ -29,7 +29,7 @@ from .common import discard, doubled, lanes, prepared, texts_of, written
 from .imatch import chunks
 from .recompress import keyed, several, squeezed
 
-WINDOW, STEP = 100, 20
+WINDOW, STEP = 100, 50
 GRAM = 24
 #: Windows in a segment at most; a longer stretch with one gram hash makes several.
 SEGMENT = 256
@@ -76,29 +76,27 @@ class Grams:
         a, b = self.offsets[i], self.offsets[i + 1] - 1
         return self.least[a : max(a, b - self.window + 1)]
 
-    def names(self, i: int) -> np.ndarray:
+    def runs(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of equal gram hashes over the windows of document i: first window, length, and which of the distinct hashes; and the distinct hashes, and how many runs each has."""
         h = self.of(i)
         if not len(h):
-            return h
-        head = np.ones(len(h), dtype=bool)
-        np.not_equal(h[1:], h[:-1], out=head[1:])
-        return np.unique(h[head])
-
-    def segments(self, i: int, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows and gram hash of the segments of document i whose hash is among the distinct ones with indices in `shared`."""
-        h = self.of(i)
-        wanted = self.names(i)[shared] if len(shared) else h[:0]
-        if not len(wanted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), h[:0]
+            none = np.zeros(0, np.int64)
+            return none, none, none, h, none
         head = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        n = np.diff(np.append(head, len(h)))
-        good = np.isin(h[head], wanted)
-        head, n = head[good], n[good]
-        parts = -(-n // SEGMENT)
-        at = np.repeat(np.arange(len(n)), parts)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = head[at] + k * SEGMENT
-        return start, np.minimum(SEGMENT, head[at] + n[at] - start), h[head[at]]
+        name, of, count = np.unique(h[head], return_inverse=True, return_counts=True)
+        return head, np.diff(np.append(head, len(h))), of, name, count
+
+
+def segments(head: np.ndarray, n: np.ndarray, of: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and hash index of the segments whose distinct hash is wanted (a mask)."""
+    good = wanted[of]
+    head, n, of = head[good], n[good], of[good]
+    parts = -(-n // SEGMENT)
+    if (parts == 1).all():
+        return head, n, of
+    at = np.repeat(np.arange(len(n)), parts)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return head[at] + k * SEGMENT, np.minimum(SEGMENT, n[at] - k * SEGMENT), of[at]
 
 
 class Transform:
@@ -111,28 +109,22 @@ class Transform:
     def of(cls, symbol: np.ndarray, following: np.ndarray, previous: np.ndarray) -> Transform:
         """From the symbol at each place, and the index of the next and the previous place of its chain (-1: none)."""
         n = len(symbol)
-        # Sorted by the last symbols first: what is left of a chain is at most as long as the longest chain.
         tails = np.flatnonzero(following < 0)
-        rank = np.zeros(n + 1, dtype=np.int64)  # rank of the suffix at a place; 0, at -1, is the empty suffix
-        order = np.arange(n)
-        while True:
-            key = symbol.astype(np.int64) * (n + 2) + rank[following]
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            fresh = np.cumsum(np.concatenate([[1], s[1:] != s[:-1]])) if n else s
-            new = np.zeros(n + 1, dtype=np.int64)
-            new[order] = fresh
-            if (new == rank).all():
-                break
-            rank = new
         # Equal suffixes stand in the order of their chains' ends, as the empty ones do.
-        chain = np.full(n, -1, dtype=np.int64)
+        chain = np.zeros(n, dtype=np.uint16 if len(tails) < 65_000 else np.int64)
         at, k = tails, np.arange(len(tails))
         while len(at):
             chain[at] = k
             back = previous[at]
             at, k = back[back >= 0], k[back >= 0]
-        order = np.lexsort((chain, rank[:n]))
+        keys, place = [], np.arange(n)
+        while (place >= 0).any():
+            keys.append(np.where(place >= 0, symbol[place], 0).astype(symbol.dtype))
+            place = np.where(place >= 0, following[place], -1)
+        # A pass for each symbol of the longest chain, the last one first.
+        order = np.argsort(chain, kind="stable")
+        for key in reversed(keys):
+            order = order[np.argsort(key[order], kind="stable")]
         ahead = previous[order]
         before = np.where(ahead >= 0, symbol[ahead], 0)
         return cls(np.concatenate([symbol[tails], before]).astype(symbol.dtype), np.concatenate([np.full(len(tails), -1), order]), len(tails))
@@ -247,7 +239,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
                 found, n = [], []
                 for a, b in chunks(texts[s:e], CHUNK):
                     g = Grams(texts[s + a : s + b], window, gram)
-                    found += [g.names(i) for i in range(b - a)]
+                    found += [g.runs(i)[3] for i in range(b - a)]
                 n = [len(x) for x in found]
                 at = [np.arange(k) << 32 | t for k, t in zip(n, tag[s:e].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[s:e], n)), pa.array(np.concatenate(at))], names=["name", "o", "at"])
@@ -261,47 +253,69 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         import xxhash
         import zstandard
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             z = zstandard.ZstdDecompressor()
             texts = [z.decompress(x) for x in batch.column(2).to_pylist()]
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            cols: list[list] = [[] for _ in range(5)]
+            digests: list[bytes] = []
             for s, e in chunks(texts, CHUNK):
                 g = Grams(texts[s:e], window, gram)
-                rows: list[list] = [[] for _ in range(8)]
                 for i in range(e - s):
-                    name = g.names(i)
-                    # Grams of other documents, and those the document itself has in several places.
-                    h = g.of(i)
-                    pick = set(lists[s + i] or [])
-                    if len(h):
-                        head = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-                        long = np.diff(np.append(head, len(h))) > window - gram + 1
-                        u, k = np.unique(h[head], return_counts=True)
-                        again = np.union1d(u[k > 1], h[head][long])
-                        pick.update(np.searchsorted(name, again).tolist())
-                    start, n, hh = g.segments(i, sorted(pick))
-                    for p, m, x in zip(start.tolist(), n.tolist(), hh.view(np.int64).tolist(), strict=True):
-                        piece = texts[s + i][p : p + m + window - 1]
-                        d = xxhash.xxh3_128_intdigest(piece)
-                        for col, v in zip(rows, (x, (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63), int(o[s + i]), int(tag[s + i]), p, m, piece), strict=True):
-                            col.append(v)
-                if rows[0]:
-                    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["name", "d1", "d2", "o", "tag", "p", "n", "piece"])
-
-    whole = squeezed(docs, ["o", "tag"])
-    left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int, piece binary"), "segments")
+                    head, n, of, name, count = g.runs(i)
+                    # Gram hashes of other documents, and those the document itself has in several places.
+                    wanted = count > 1
+                    wanted[of[n > window - gram + 1]] = True
+                    if lists[s + i]:
+                        wanted[lists[s + i]] = True
+                    if not wanted.any():
+                        continue
+                    p, n, of = segments(head, n, of, wanted)
+                    text = texts[s + i]
+                    digests += [digest(text[a:b]) for a, b in zip(p.tolist(), (p + n + window - 1).tolist(), strict=True)]
+                    for col, v in zip(cols, (name[of].view(np.int64), np.full(len(p), o[s + i]), np.full(len(p), tag[s + i]), p, n), strict=True):
+                        col.append(v)
+            if digests:
+                d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                name_, o_, tag_, p_, n_ = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name_, d[:, 0].copy(), d[:, 1].copy(), o_, tag_, p_.astype(np.int32), n_.astype(np.int32))], names=["name", "d1", "d2", "o", "tag", "p", "n"])
+
+    left = squeezed(docs, ["o", "tag"]).join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
+    pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int"), "segments")
     discard(names)
-    # Equal segments are first reduced to the earliest within each task, bytes and all.
+    # Of equal segments the earliest goes on; the others are copies as a whole.
     at = F.struct("o", "tag", "p")
-    firsts = written(pieces.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c"), F.first("name").alias("name"), F.first("n").alias("n"), F.first("piece").alias("piece")).select("d1", "d2", "f", "c", "name", "n", "piece"), "firsts")
+    firsts = written(pieces.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c"), F.first("name").alias("name"), F.first("n").alias("n")), "firsts")
     equal = pieces.select("d1", "d2", "o", "tag", "p", "n").join(firsts.where("c > 1").select("d1", "d2", "f"), ["d1", "d2"]).where(at > F.col("f"))
     equal = written(equal.select("o", "tag", "p", "n"), "equal")
     discard(pieces)
-    size = firsts.agg(F.sum(F.octet_length("piece").cast("long"))).first()[0] or 0
+    # Gram hashes with one distinct segment that holds its gram at one place have nothing left to find.
+    busy = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1)).select("name")
+    alone = written(firsts.join(busy, "name").select("name", "f.*", "n"), "distinct")
+    size = alone.agg(F.sum(F.col("n") + window)).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))
-    alone = firsts.select("name", "f.*", "n", "piece").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
+    wanted = alone.groupBy("o", "tag").agg(F.collect_list(F.struct("name", "p", "n")).alias("wanted"))
+    discard(firsts)
+
+    def cut_pieces(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        for batch in batches:
+            z = zstandard.ZstdDecompressor()
+            rows: list[list] = [[] for _ in range(6)]
+            for o, tag, raw, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = z.decompress(raw)
+                for w in want:
+                    for col, v in zip(rows, (w["name"], o, tag, w["p"], w["n"], text[w["p"] : w["p"] + w["n"] + window - 1]), strict=True):
+                        col.append(v)
+            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int32(), pa.binary()]
+            for i in range(0, len(rows[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], t) for c, t in zip(rows, kinds, strict=True)], names=["name", "o", "tag", "p", "n", "piece"])
+
+    pieces = squeezed(docs, ["o", "tag"]).join(wanted, ["o", "tag"]).select("o", "tag", "z", "wanted")
+    alone_bytes = pieces.mapInArrow(cut_pieces, "name long, o long, tag long, p int, n int, piece binary").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
 
     def merge_group(key, table):
         import pyarrow as pa
@@ -309,12 +323,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         table = table.sort_by([(c, "ascending") for c in ("name", "o", "tag", "p")])
         same = np.ones(table.num_rows, dtype=bool)  # rows of equal id and text bring their segments twice
         same[1:] = ~np.logical_and.reduce([table.column(c).to_numpy()[1:] == table.column(c).to_numpy()[:-1] for c in ("name", "o", "tag", "p")])
-        # Gram hashes with one distinct segment that holds its gram at one place have nothing left to find.
         table = table.filter(pa.array(same))
-        u, back, k = np.unique(table.column("name").to_numpy(), return_inverse=True, return_counts=True)
-        most = np.zeros(len(u), dtype=np.int64)
-        np.maximum.at(most, back, table.column("n").to_numpy())
-        table = table.filter(pa.array(((k > 1) | (most > window - gram + 1))[back]))
         name, n = table.column("name").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         piece = table.column("piece").to_pylist()
         o, tag, p = (table.column(c).to_numpy().astype(np.int64) for c in ("o", "tag", "p"))
@@ -344,9 +353,9 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table({"o": cols[0], "tag": cols[1], "p": pa.array(cols[2].astype(np.int32)), "n": pa.array(cols[3].astype(np.int32))})
 
-    found = alone.select("g", "name", "o", "tag", "p", "n", "piece").groupBy("g").applyInArrow(merge_group, "o long, tag long, p int, n int")
+    found = alone_bytes.select("g", "name", "o", "tag", "p", "n", "piece").groupBy("g").applyInArrow(merge_group, "o long, tag long, p int, n int")
     runs = written(equal.unionByName(found).groupBy("o", "tag").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
-    discard(firsts, equal)
+    discard(alone, equal)
     marks = runs.join(copies, ["o", "tag"], "full")
 
     def cut_out(batches: Iterator) -> Iterator:
