@@ -128,5 +128,34 @@ SELECT source, lang, version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM co
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+iw AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+ip AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[p : p + least(10, len(ws)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS p FROM iw WHERE len(ws) > 0)),
+dp AS (SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w, (SELECT DISTINCT k FROM ip) WHERE len(ws) >= k)),
+hit AS (SELECT DISTINCT doc_id, p, dp.k, item_id FROM dp JOIN ip ON dp.k = ip.k AND dp.phrase = ip.phrase),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, array_to_string(ws[p : p + 49], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+old AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY words) AS first FROM win) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+judged AS (SELECT word.doc_id, word, i, max((old.p IS NOT NULL)::INT) OVER (PARTITION BY word.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone
+  FROM word LEFT JOIN old ON old.doc_id = word.doc_id AND old.p = word.i),
+kept AS (SELECT doc_id, count_if(gone)::BIGINT AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS s FROM judged GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_token_rollup": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_recompress": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_token_rollup": OP10_SQL}
