@@ -58,6 +58,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released() -> None:
+    """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing needs any more, and lets Spark drop the shuffle files of what has been computed: disk holds one phase at a time."""
     spark = tables[0].sparkSession
