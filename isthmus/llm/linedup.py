@@ -123,7 +123,7 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     # Texts are merged with the marks at every size, so that what is shuffled stays in proportion to the input.
     both = docs.join(cut.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (th == F.col("cut_th")), "left").select(*(docs[c] for c in keep), cut["cut_starts"])
     at = keep.index("text")
-    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     new = [StructField("kept", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("n_runs", LongType())]
     schema = StructType([*docs.schema.fields, *new])

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, crc_side, hashed, joined, mixed, prepared, texts_of, words_in
+from .common import LOWER, SPACED, crc_side, hashed, joined, prepared, texts_of, words_in
 from .imatch import chunks
 
 WORD_BITS = 15
