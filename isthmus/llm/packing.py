@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, prepared, texts_of, written
+from .common import LOWER, prepared, released, texts_of, written
 
 CAPACITY, END_ID, CUTS = 4096, 2, 3
 #: Words whose ids a task remembers, and those, the short ones, that a worker takes on to its next task; beyond either it starts anew.
@@ -193,6 +193,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, c
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "at"])
         ids.trim()
+        released()
 
     prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
