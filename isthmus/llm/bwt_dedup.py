@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doubled, lanes, prepared, texts_of, written
+from .common import discard, doubled, lanes, prepared, released, texts_of, written
 from .imatch import chunks
 from .recompress import keyed, several, squeezed
 
@@ -243,6 +243,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
                 n = [len(x) for x in found]
                 at = [np.arange(k) << 32 | t for k, t in zip(n, tag[s:e].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[s:e], n)), pa.array(np.concatenate(at))], names=["name", "o", "at"])
+        released()
 
     names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, at long"), "grams")
     elsewhere = several(names.withColumn("d", F.xxhash64("o", F.col("at").bitwiseAND(low32))), ["name"], "d")
@@ -280,6 +281,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
                 d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 name_, o_, tag_, p_, n_ = (np.concatenate(c) for c in cols)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name_, d[:, 0].copy(), d[:, 1].copy(), o_, tag_, p_.astype(np.int32), n_.astype(np.int32))], names=["name", "d1", "d2", "o", "tag", "p", "n"])
+        released()
 
     left = squeezed(docs, ["o", "tag"]).join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
     pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int"), "segments")

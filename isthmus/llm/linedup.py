@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, joined, prepared, texts_of, written
+from .common import hashed, joined, prepared, released, texts_of, written
 from .imatch import chunks
 
 MIN_LINES = 2
@@ -44,6 +44,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 line = np.arange(len(doc)) - np.repeat(first[:-1], n)
                 one, two = (hashed(buf, starts, ends, seed).view(np.int64) for seed in (1, 2))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two)], names=["doc_id", "th", "line", "h1", "h2"])
+        released()
 
     prepared(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -145,5 +146,6 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 counts.append((len(lines), int(mask.sum()), int((np.diff(np.concatenate([[0], mask.view(np.int8)])) == 1).sum())))
             cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(kept, pa.string()), *cols], names=[*keep, *(f.name for f in new)])
+        released()
 
     return both.mapInArrow(run, schema)

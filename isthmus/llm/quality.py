@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, crc_side, hashed, joined, prepared, texts_of, words_in
+from .common import LOWER, SPACED, crc_side, hashed, joined, prepared, released, texts_of, words_in
 from .imatch import chunks
 
 WORD_BITS = 15
@@ -228,6 +228,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row
             for a, b in chunks(texts):
                 score.append(held.value.score(Features(texts[a:b])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*keep, "score"])
+        released()
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("held_out", crc_side() == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, discard, doubled, hashed, joined, mixed, prepared, texts_of, words_in, written
+from .common import SPACED, discard, doubled, hashed, joined, mixed, prepared, released, texts_of, words_in, written
 from .imatch import chunks
 
 WINDOW = 50
@@ -169,6 +169,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[a:b], n)), pa.array(np.concatenate([np.arange(k) << 32 | t for k, t in zip(n, tag[a:b].tolist(), strict=True)])),
                 ], names=["name", "o", "at"])
+        released()
 
     own = [F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("tag"), F.shiftright("at", 32).cast("int").alias("i")]
     names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, at long"), "names")
@@ -196,6 +197,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                         at.append(start << 32 | tag[a + i])
                 if one:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, who, at)], names=["h", "o", "at"])
+        released()
 
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashed, mixed, prepared, texts_of, written
+from .common import LOWER, hashed, mixed, prepared, released, texts_of, written
 
 SEED, BUDGET = 42, 2
 #: Fingerprints in one subtrie, on average.
@@ -116,6 +116,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
         for batch in batches:
             fp = fingerprint_batch(texts_of(batch.column(1)), width, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        released()
 
     prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -258,6 +259,7 @@ def long_signatures(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
         for batch in batches:
             s = signature_batch(texts_of(batch.column(2)), width, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(s[:, i]).view(np.int64)) for i in range(WORDS))], names=["doc_id", "th", *(f"s{i}" for i in range(WORDS))])
+        released()
 
     prepared(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
