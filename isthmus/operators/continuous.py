@@ -113,7 +113,7 @@ def adjacency(samples: DataFrame, prototypes: DataFrame, own: DataFrame) -> Data
         def emit(named, x, block: Block):
             at = {int(p): i for i, p in enumerate(block.pid)}
             mine = np.array([at[p] for p in named["pid"].to_pylist()])
-            s = block.scores(x)
+            s = np.round(block.scores(x), 12)  # sums come in any order: scores that differ less are ties
             if s.shape[1] < 2:
                 return None
             s[np.arange(len(s)), mine] = -np.inf
@@ -234,7 +234,7 @@ def null_losses_of_means(samples: DataFrame, distances: DataFrame, permutations:
             if not batch.num_rows:
                 continue
             x, perm, own = matrix(batch.column(0)), batch.column(1).to_numpy(), np.searchsorted(names, batch.column(2).to_numpy())
-            d2 = ((c[perm] - x[:, None, :]) ** 2).sum(axis=2)
+            d2 = np.round(((c[perm] - x[:, None, :]) ** 2).sum(axis=2), 12)
             d2[np.arange(len(x)), own] = np.inf
             key, n = np.unique((perm.astype(np.int64) * len(names) + own) * len(names) + d2.argmin(axis=1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((key // len(names) ** 2).astype(np.int32)), pa.array(names[key // len(names) % len(names)].astype(np.int32)), pa.array(names[key % len(names)].astype(np.int32)), pa.array(n.astype(np.int64))], names=["perm", "p", "q", "n"])

@@ -143,7 +143,7 @@ ar AS (SELECT p, q, dir, abs(sum(w) OVER (PARTITION BY p, q, dir ORDER BY v)) *
 w1 AS (SELECT p, q, avg(d) AS distance FROM (SELECT p, q, dir, coalesce(sum(a), 0) AS d FROM ar GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 
 
-VOTES = """vt AS (SELECT o.row_id, o.pid AS p, o.support, arg_min(p.pid, (power(o.x - p.c, 2), p.pid)) AS q FROM o JOIN p ON p.pid <> o.pid GROUP BY 1, 2, 3),
+VOTES = """vt AS (SELECT o.row_id, o.pid AS p, o.support, arg_min(p.pid, (round(power(o.x - p.c, 2), 12), p.pid)) AS q FROM o JOIN p ON p.pid <> o.pid GROUP BY 1, 2, 3),
 ad AS (SELECT p, q, count(*) AS n, count(*) / any_value(support) AS alpha FROM vt GROUP BY p, q)"""
 VALUES = "vv AS (SELECT pid, 0 AS dir, y AS v FROM o), pq AS (SELECT a.pid AS p, b.pid AS q FROM p a JOIN p b ON a.pid <> b.pid)"
 LOSS = "lo AS (SELECT p.pid, p.support, coalesce(sum(alpha * distance), 0) AS loss FROM p LEFT JOIN (ad JOIN w1 USING (p, q)) z ON z.p = p.pid GROUP BY 1, 2), ac AS (SELECT sum(support * loss) / sum(support) AS loss FROM lo)"
@@ -151,7 +151,7 @@ NULL = f"""ry AS (SELECT row_id, x, row_number() OVER (ORDER BY row_id) AS k FRO
 py AS (SELECT perm, o.pid, row_number() OVER (PARTITION BY perm ORDER BY md5(o.row_id || '-' || perm)) AS k FROM o, range({PERMUTATIONS}) r(perm)),
 sh AS (SELECT perm, ry.row_id, ry.x, pid FROM ry JOIN py USING (k)),
 pm AS (SELECT perm, pid, avg(x) AS c FROM sh GROUP BY perm, pid),
-pv AS (SELECT sh.perm, sh.row_id, sh.pid AS p, arg_min(pm.pid, (power(sh.x - pm.c, 2), pm.pid)) AS q FROM sh JOIN pm ON pm.perm = sh.perm AND pm.pid <> sh.pid GROUP BY 1, 2, 3),
+pv AS (SELECT sh.perm, sh.row_id, sh.pid AS p, arg_min(pm.pid, (round(power(sh.x - pm.c, 2), 12), pm.pid)) AS q FROM sh JOIN pm ON pm.perm = sh.perm AND pm.pid <> sh.pid GROUP BY 1, 2, 3),
 nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM o) AS loss FROM pv JOIN w1 USING (p, q) GROUP BY perm)"""
 
 
