@@ -1,9 +1,9 @@
 """Exact substring dedup over bytes by merging Burrows-Wheeler transforms.
 
 1. Every window of `window` bytes is represented by the least hash of the grams in
-   it. Only windows whose gram hash occurs elsewhere can repeat; the rest leaves. Consecutive
-   windows with one gram hash are a segment, and all segments of a gram hash, from the whole
-   corpus, meet.
+   it. Only windows whose gram hash occurs elsewhere, or twice within one window, can repeat;
+   the rest leaves. Consecutive windows with one gram hash are a segment, and all segments of a
+   gram hash, from the whole corpus, meet.
 2. Of equal segments all but the first in the corpus are copies as a whole.
 3. The distinct segments of a group of gram hashes are dealt into shards. A shard's
    suffixes are sorted once, over symbols of STEP bytes (a window is a whole
@@ -40,8 +40,12 @@ SMALL, SHARDS = 48_000, 4
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def least_grams(buf: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each byte, the least hash of the grams in the window that starts there (the buffer has 16 spare bytes at least)."""
+def least_grams(buf: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, the least hash of the grams in the window that starts there (the buffer has 16 spare bytes at least); and the bytes whose own gram is their window's least and occurs in it again.
+
+    If two equal windows overlap by a gram at least, and all windows between have one
+    least hash, such a byte lies between them: the text there has their distance as a period.
+    """
     n = len(buf) - 8
     if gram == GRAM:
         x = lanes(buf)
@@ -52,11 +56,15 @@ def least_grams(buf: np.ndarray, window: int, gram: int) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= _C1
     h ^= h >> np.uint64(29)
-    k, width = window - gram + 1, 1
-    while 2 * width <= k:
+    k, width, own = window - gram + 1, 1, h
+    if k == 1:
+        return h, np.zeros(0, np.int64)
+    while 2 * width < k:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
-    return np.minimum(h[: len(h) - (k - width)], h[k - width :]) if k > width else h
+    least = np.minimum(h[: len(h) - (k - width)], h[k - width :])
+    lead = np.flatnonzero(own[: len(least)] == least)
+    return least, lead[np.minimum(h[lead + 1], h[lead + k - width]) == own[lead]]
 
 
 def joined_wide(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +78,7 @@ class Grams:
     def __init__(self, texts: list[bytes], window: int, gram: int):
         self.buf, self.offsets = joined_wide(texts)
         self.window = window
-        self.least = least_grams(self.buf, window, gram)
+        self.least, self.again = least_grams(self.buf, window, gram)
 
     def of(self, i: int) -> np.ndarray:
         a, b = self.offsets[i], self.offsets[i + 1] - 1
@@ -86,17 +94,25 @@ class Grams:
         name, of, count = np.unique(h[head], return_inverse=True, return_counts=True)
         return head, np.diff(np.append(head, len(h))), of, name, count
 
+    def twice(self, i: int, head: np.ndarray) -> np.ndarray:
+        """Which of the runs of document i, given by their first windows, have their gram twice within a window."""
+        a, b = self.offsets[i], self.offsets[i + 1] - 1
+        lo, hi = np.searchsorted(self.again, [a, max(a, b - self.window + 1)])
+        out = np.zeros(len(head), dtype=bool)
+        out[np.searchsorted(head, self.again[lo:hi] - a, side="right") - 1] = True
+        return out
+
 
-def segments(head: np.ndarray, n: np.ndarray, of: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and hash index of the segments whose distinct hash is wanted (a mask)."""
+def segments(head: np.ndarray, n: np.ndarray, of: np.ndarray, twice: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, hash index and twice() of the segments whose distinct hash is wanted (a mask)."""
     good = wanted[of]
-    head, n, of = head[good], n[good], of[good]
+    head, n, of, twice = head[good], n[good], of[good], twice[good]
     parts = -(-n // SEGMENT)
     if (parts == 1).all():
-        return head, n, of
+        return head, n, of, twice
     at = np.repeat(np.arange(len(n)), parts)
     k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return head[at] + k * SEGMENT, np.minimum(SEGMENT, n[at] - k * SEGMENT), of[at]
+    return head[at] + k * SEGMENT, np.minimum(SEGMENT, n[at] - k * SEGMENT), of[at], twice[at]
 
 
 class Transform:
@@ -259,7 +275,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
             z = zstandard.ZstdDecompressor()
             texts = [z.decompress(x) for x in batch.column(2).to_pylist()]
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             digests: list[bytes] = []
             for s, e in chunks(texts, CHUNK):
                 g = Grams(texts[s:e], window, gram)
@@ -267,33 +283,34 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
                     head, n, of, name, count = g.runs(i)
                     # Gram hashes of other documents, and those the document itself has in several places.
                     wanted = count > 1
-                    wanted[of[n > window - gram + 1]] = True
+                    twice = g.twice(i, head)
+                    wanted[of[(n > window - gram + 1) | twice]] = True
                     if lists[s + i]:
                         wanted[lists[s + i]] = True
                     if not wanted.any():
                         continue
-                    p, n, of = segments(head, n, of, wanted)
+                    p, n, of, twice = segments(head, n, of, twice, wanted)
                     text = texts[s + i]
                     digests += [digest(text[a:b]) for a, b in zip(p.tolist(), (p + n + window - 1).tolist(), strict=True)]
-                    for col, v in zip(cols, (name[of].view(np.int64), np.full(len(p), o[s + i]), np.full(len(p), tag[s + i]), p, n), strict=True):
+                    for col, v in zip(cols, (name[of].view(np.int64), np.full(len(p), o[s + i]), np.full(len(p), tag[s + i]), p, n, twice), strict=True):
                         col.append(v)
             if digests:
                 d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                name_, o_, tag_, p_, n_ = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name_, d[:, 0].copy(), d[:, 1].copy(), o_, tag_, p_.astype(np.int32), n_.astype(np.int32))], names=["name", "d1", "d2", "o", "tag", "p", "n"])
+                name_, o_, tag_, p_, n_, twice_ = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name_, d[:, 0].copy(), d[:, 1].copy(), o_, tag_, p_.astype(np.int32), n_.astype(np.int32), twice_)], names=["name", "d1", "d2", "o", "tag", "p", "n", "twice"])
         released()
 
     left = squeezed(docs, ["o", "tag"]).join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int"), "segments")
+    pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, tag long, p int, n int, twice boolean"), "segments")
     discard(names)
     # Of equal segments the earliest goes on; the others are copies as a whole.
     at = F.struct("o", "tag", "p")
-    firsts = written(pieces.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c"), F.first("name").alias("name"), F.first("n").alias("n")), "firsts")
+    firsts = written(pieces.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.count("*").alias("c"), F.first("name").alias("name"), F.first("n").alias("n"), F.max("twice").alias("twice")), "firsts")
     equal = pieces.select("d1", "d2", "o", "tag", "p", "n").join(firsts.where("c > 1").select("d1", "d2", "f"), ["d1", "d2"]).where(at > F.col("f"))
     equal = written(equal.select("o", "tag", "p", "n"), "equal")
     discard(pieces)
     # Gram hashes with one distinct segment that holds its gram at one place have nothing left to find.
-    busy = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1)).select("name")
+    busy = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m"), F.max("twice").alias("t")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1) | F.col("t")).select("name")
     alone = written(firsts.join(busy, "name").select("name", "f.*", "n"), "distinct")
     size = alone.agg(F.sum(F.col("n") + window)).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))

@@ -53,6 +53,13 @@ def test_other_windows(spark, window, step, gram):
     same(spark, passages(2, 15) + ["", None, "ab", "z" * 30], window=window, step=step, gram=gram)
 
 
+def test_self_overlap_within_one_run(spark):
+    same(spark, ["x" * 103])
+    texts = [(unit * n)[:n] for unit in ("-", "ab", "abcdefg ", "0123456789" * 5 + "uvwxyz") for n in (101, 103, 176, 200)]
+    other = "".join(random.Random(5).choice("abcdefgh") for _ in range(150))
+    same(spark, texts + texts[5:9] + [other + "_" * 120 + "end of the text"])
+
+
 def test_null_and_repeated_ids(spark):
     r = random.Random(4)
     a, b = ("".join(r.choice("abcdefgh") for _ in range(150)) for _ in range(2))
