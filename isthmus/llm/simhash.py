@@ -266,8 +266,8 @@ def long_signatures(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, s0 long, s1 long, s2 long, s3 long")
 
 
-def signature_batch(texts: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
-    """A row of WORDS 64-bit words for each text."""
+def shingle_sets(texts: list[bytes], width: int, seed: int = SEED) -> list[np.ndarray]:
+    """The hashes of each text's distinct shingles, sorted."""
     split = [t.translate(LOWER).split() for t in texts]
     n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     flat = list(itertools.chain.from_iterable(split))
@@ -285,6 +285,14 @@ def signature_batch(texts: list[bytes], width: int, seed: int = SEED) -> np.ndar
     for k in range(width):
         there = at + k < last
         h[there] = mixed(h[there] * np.uint64(0x9E3779B97F4A7C15) + word[(at + k)[there]])
+    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if texts else []
+
+
+def signature_batch(texts: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """A row of WORDS 64-bit words for each text, in which each distinct shingle counts once."""
+    sets = shingle_sets(texts, width, seed)
+    counts = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    h = np.concatenate([np.zeros(0, np.uint64), *sets])
     return np.stack([majority(mixed(h + np.uint64((i + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)), counts) for i in range(WORDS)], axis=1)
 
 
@@ -293,8 +301,8 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float = RECALL, seed: int = SEED) -> DataFrame:
-    """u, v: links between signatures (columns node, s0 .. s3) whose long signatures differ in no more bits than the similarity makes them differ on average, one deviation added (two within a trie).
+def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """u, v: candidate pairs of signatures (columns node, s0 .. s3, label) of different labels whose long signatures differ in no more bits than the similarity makes them differ on average, three deviations added. nearest: of each signature's pairs with those before it in a unit, only the one with the fewest differing bits.
 
     Each of several tries orders 64 of the 256 bits anew; subtries below the
     first m bits are joined with themselves under a budget, and what they find is held against the
@@ -308,7 +316,7 @@ def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(64 * WORDS)[:64] for _ in range(tries)]
     allowed = lambda bits, deviations: math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-    budget, most = allowed(64 - m, 2) if m < 64 else 0, allowed(64 * WORDS, 1)
+    budget, most = allowed(64 - m, 3) if m < 64 else 0, allowed(64 * WORDS, 3)
     coarse = min(m, 6)
 
     def spread(batches: Iterator) -> Iterator:
@@ -321,7 +329,7 @@ def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float
                 c = np.zeros(len(node), dtype=np.int64)
                 for bit in order[:coarse].tolist():
                     c = c << 1 | ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t << coarse) | c), *batch.columns], names=["unit", "node", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t << coarse) | c), *batch.columns], names=["unit", "node", "s0", "s1", "s2", "s3", "label"])
 
     def unit(key, table):
         import pyarrow as pa
@@ -332,38 +340,76 @@ def permuted_links(classes: DataFrame, n: int, similarity: float, recall: float
         for bit in order.tolist():
             p = p << np.uint64(1) | ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1))
         by = np.argsort(p, kind="stable")
-        p, words, node = p[by], [w[by] for w in words], table.column("node").to_numpy()[by]
+        p, words = p[by], [w[by] for w in words]
+        node, label = (table.column(c).to_numpy()[by] for c in ("node", "label"))
         head = p >> np.uint64(64 - m) if m else np.zeros(len(p), np.uint64)
         roots = np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1, [len(p)]])
-        label = np.arange(len(p))
+        least, mate = np.full(len(p), 64 * WORDS + 1), np.full(len(p), -1)
+        u, v = [node[:0]], [node[:0]]
         for i, j in trie_links(p, p, budget, True, 64 - m, roots):
             far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
-            i, j = i[far <= most], j[far <= most]
-            if not len(i):
-                continue
-            u, back = np.unique(np.concatenate([label[i], label[j]]), return_inverse=True)
-            low = u[labelled(back[: len(i)], back[len(i) :], len(u))]
-            move = np.arange(len(p))
-            move[u] = low
-            label = move[label]
-        child = np.flatnonzero(label != np.arange(len(p)))
-        return pa.table({"u": node[child], "v": node[label[child]]})
-
-    signed = classes.select("node", *(f"s{i}" for i in range(WORDS)))
-    kinds = "unit long, node long, s0 long, s1 long, s2 long, s3 long"
+            ok = (far <= most) & (label[i] != label[j])
+            if nearest:
+                ok &= far < least[j]
+            i, j, far = i[ok], j[ok], far[ok]
+            if nearest:
+                down = np.argsort(-far, kind="stable")  # the nearest is written last
+                least[j[down]], mate[j[down]] = far[down], i[down]
+            else:
+                u.append(node[i])
+                v.append(node[j])
+        if nearest:
+            some = np.flatnonzero(mate >= 0)
+            u, v = [node[mate[some]]], [node[some]]
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    signed = classes.select("node", *(f"s{i}" for i in range(WORDS)), "label")
+    kinds = "unit long, node long, s0 long, s1 long, s2 long, s3 long, label long"
     return signed.mapInArrow(spread, kinds).groupBy("unit").applyInArrow(unit, "u long, v long").distinct()
 
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float, seed: int = SEED) -> DataFrame:
+    """The pairs (u, v) of classes (columns node, f: a document of it) whose sets of shingles have the Jaccard similarity at least."""
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    of = classes.join(nodes, "node").select("node", F.col("f.doc_id").alias("own_id"), F.col("f.th").alias("own_th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).select("node", "text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = shingle_sets(texts_of(batch.column(1)), width, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        released()
+
+    # Rows of equal id and text bring their set twice.
+    sets = written(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return written(common.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("u", "v"), "links")
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """doc_id, th (hash of the text), label (names the group), component_id of every row of docs: near duplicates by word shingles at a Jaccard similarity, as SimHash estimates it.
+    """doc_id, th (hash of the text), label (names the group), component_id of every row of docs: near duplicates by word shingles at a Jaccard similarity. SimHash finds the candidates, and what links is held against the sets of shingles.
 
+    First each signature's nearest candidates are held against it; of the other candidates only
+    pairs that are not connected by then, so that a dense group does not bring all its pairs.
     Nulls, blanks, repeated ids and empty tables fare as in near_duplicates(); all
     texts without words are one group.
     """
     sig = written(long_signatures(docs, width, seed), "signatures")
     words = [f"s{i}" for i in range(WORDS)]
-    classes = written(sig.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*words)), "classes")
-    label = components(permuted_links(classes, classes.count(), similarity, seed=seed))
+    classes = written(sig.groupBy(*words).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).withColumn("node", F.xxhash64(*words)).withColumn("least", F.col("f.doc_id")), "classes")
+    n = classes.count()
+    near = verified(docs, classes, permuted_pairs(classes.withColumn("label", F.col("node")), n, similarity, True, seed=seed), width, similarity, seed)
+    met = classes.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = verified(docs, classes, permuted_pairs(met, n, similarity, False, seed=seed), width, similarity, seed)
+    label = components(near.unionByName(rest))
     of = classes.withColumnRenamed("node", "own").join(label, F.col("own") == F.col("node"), "left").select(*words, "least", F.coalesce("label", "own").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = of.join(least, "label").select(*words, "label", "component_id")

@@ -113,3 +113,21 @@ def test_similar_meets_near_copies_and_leaves_others(spark):
     wrong = [(i, j) for i in got for j in got if i < j and got[i] == got[j] and (i, j) not in loose and i < 180]
     assert not wrong
     assert got[180] == got[181] == 180 and got[182] == got[183] == 182
+
+
+def test_similar_decides_at_the_threshold(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for k in range(120):
+        w = [word() for _ in range(300)]
+        texts.append(" ".join(w))
+        for at in range(6 + k % 2):
+            w[20 + 40 * at] = word()
+        texts.append(" ".join(w))
+    texts += [f"{'again and again and so on ' * 60}{' '.join(word() for _ in range(100))}" for _ in range(2)]  # most shingles in common, few distinct ones
+    got = {x.doc_id: x.component_id for x in simhash.similar(docs_of(spark, texts)).collect()}
+    near = set(jaccard_pairs(texts, 5, 0.8))
+    assert len(near) == 60 and not set(jaccard_pairs(texts, 5, 0.83))
+    assert sum(got[i] == got[j] for i, j in near) >= 0.95 * len(near)
+    assert {(i, j) for i in got for j in got if i < j and got[i] == got[j]} <= near
