@@ -2,7 +2,7 @@
 
 1. quality: the factorisation machine of isthmus.llm.quality; what it rejects goes.
 2. line_dedup: later copies of line runs are cut out of the texts; a document of which
-   they made up COPIED of the bytes or more was a copy itself and goes.
+   nothing is left goes.
 3. near_duplicates: SimHash over five-word shingles at a similarity of 0.8; the least
    doc_id of each group stays.
 4. decontamination: documents with a benchmark phrase go.
@@ -18,8 +18,6 @@ from isthmus.llm import decontaminate, linedup, packing, quality, simhash
 from isthmus.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document that loses this share of its bytes or more as later copies of lines is a near copy.
-COPIED = 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +26,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a removed line pass unchanged, a null or empty text too; n_chars follows the text."""
+    """Documents without a removed line pass unchanged, a null or empty text too; n_chars follows the text. Of the others what is left stays, so that every line removed keeps its first place."""
     found = linedup.deduplicated(docs.select(*COLUMNS))
     left = F.octet_length(F.coalesce("kept", F.lit("")))
-    size = F.octet_length("text")
-    own = found.where((F.col("n_removed") == 0) | (left > (1 - COPIED) * size))
+    own = found.where((F.col("n_removed") == 0) | (left > 0))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long"))
     return own.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))

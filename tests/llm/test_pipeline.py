@@ -24,6 +24,14 @@ def test_stages_on_planted_documents(spark, sf):
         assert f(spark, docs, sf).columns == cp.COLUMNS
 
 
+def test_every_removed_line_keeps_one_copy(spark, sf):
+    lines = [f"line {i} of a long original" for i in range(100)]
+    new = ["a passage that is new", "and has two lines"]
+    texts = ["\n".join(lines), "\n".join(lines[:85] + new), "\n".join(new + ["and a line of its own"]), "\n".join(lines)]
+    kept = {x.doc_id: x.text for x in cp.without_copied_lines(spark, docs_of(spark, texts), sf).collect()}
+    assert kept == {0: texts[0], 1: "\n".join(new), 2: "and a line of its own"}
+
+
 def test_repeated_rows_and_null_ids(spark, sf):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "q r s t u v w", "q r s t u v w", "m n o p q r"], ids=[1, 1, None, None, 1])
     kept = cp.without_near_duplicates(spark, docs, sf).collect()
