@@ -40,9 +40,11 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests, one machine)."""
+    """The shared folder the cluster names; a temporary one only where none is named and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="isthmus-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -58,6 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name with as many underscores behind it as keep it apart from the columns taken, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def besides(columns: list[str], *names: str) -> list[str]:
+    """The columns whose names are none of these, in any case."""
+    return [c for c in columns if c.lower() not in names]
+
+
 def released() -> None:
     """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
     import ctypes

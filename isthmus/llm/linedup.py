@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, joined, prepared, released, texts_of, written
+from .common import besides, fresh, hashed, joined, prepared, released, texts_of, written
 from .imatch import chunks
 
 MIN_LINES = 2
@@ -116,13 +116,16 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     document and fare alike. kept is null if no line is left; else the lines kept,
     joined by line feeds. An empty table gives no rows.
     """
-    spark = prepared(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("kept", "n_lines", "n_removed", "n_runs")]
+    prepared(docs.sparkSession)
+    keep = besides(docs.columns, "kept", "n_lines", "n_removed", "n_runs")
     docs = docs.select(*keep)
-    cut = written(later_copies(docs, min_lines), "copies").select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), F.col("starts").alias("cut_starts"))
+    cut = written(later_copies(docs, min_lines), "copies")
+    # The row as one column, so that no name of its columns meets another.
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), th.alias("th")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))
     # Texts are merged with the marks at every size, so that what is shuffled stays in proportion to the input.
-    both = docs.join(cut.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (th == F.col("cut_th")), "left").select(*(docs[c] for c in keep), cut["cut_starts"])
+    both = rows.join(cut.hint("merge").alias("c"), same, "left").select("row.*", F.col("starts").alias(fresh("starts", keep)))
     at = keep.index("text")
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 

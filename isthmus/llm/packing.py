@@ -9,8 +9,7 @@ smallest k that fits) until what rounding the rest up into its class would waste
 is little, or ``cuts`` such pieces are made.
 
 The bins a worker cannot fill are emptied again; their pieces (under k for a
-class and worker) meet in a second round over fewer workers, and those that
-remain after the last round are packed by decreasing length.
+class and worker) are packed by decreasing length, a group of them at a time.
 """
 
 from __future__ import annotations
@@ -57,8 +56,16 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
+def cased(text: bytes) -> list[bytes]:
+    """The words of a text, lower-cased but for those that hold the start of a special token."""
+    return [w if b"<|" in w else w.translate(LOWER) for w in text.split()]
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that lower-cases and whose pre-tokens never hold ASCII white space: each distinct word, without what punctuation follows it, is encoded once."""
+    """Ids of texts by a tokenizer that lower-cases and whose pre-tokens never hold ASCII white space: each distinct word, without what punctuation follows it, is encoded once.
+
+    A word in which a special token may stand ("<|") keeps its case: such tokens are told before lower-casing.
+    """
 
     #: What a worker process has encoded, kept from task to task.
     shared: dict[tuple, dict[bytes, bytes]] = {}
@@ -121,7 +128,7 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [t.translate(LOWER).split() for t in texts]
+        split = [cased(t) if b"<|" in t else t.translate(LOWER).split() for t in texts]
         known, coded_of = self.known, self._coded
         if len(known) > self.limit:
             self.trim()
@@ -203,7 +210,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = E
     """Packs doc_id, text into sequences of at most `capacity` tokens.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, sequence_tokens. A null text counts as empty: a piece with the end
+    sequence_id, offset. A null text counts as empty: a piece with the end
     id alone. Rows with equal doc_id are packed as documents of their own;
     a null doc_id stays null. An empty table gives no rows; other columns are ignored.
     """
@@ -211,12 +218,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = E
     spark = found.sparkSession
     # Classes with several groups: as many as keep a group's pieces bounded, whatever the corpus.
     counts = {r["k"]: r["n"] for r in found.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    salts = {k: max(1, -(-n // GROUP_PIECES)) for k, n in counts.items()}
-    wide = {k: s for k, s in salts.items() if s > 1}
-    salt = F.lit(0).cast("long")
-    for k, s in wide.items():
-        salt = F.when(F.col("k") == k, F.pmod(F.xxhash64("doc_id", "start", "at"), F.lit(s))).otherwise(salt)
-    spread = found.withColumn("salt", salt)
+    salts = [max(1, -(-counts.get(k, 0) // GROUP_PIECES)) for k in range(capacity + 1)]
+    spread = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "at"), F.get(F.lit(salts), F.col("k")).cast("long")))
 
     def fill(key, table):
         import pyarrow as pa
@@ -245,19 +248,26 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = E
         order = np.argsort(-length, kind="stable")
         bins, offs, room = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), []
         slot: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins by room left
+        rooms = 0  # bit r: a bin with room r is open
         for i in order:
             want = int(length[i])
-            at = next((r for r in range(want, capacity + 1) if slot[r]), 0)
-            if at:
+            fits = rooms >> want
+            if fits:
+                at = want + (fits & -fits).bit_length() - 1
                 b = slot[at].pop()
+                if not slot[at]:
+                    rooms ^= 1 << at
             else:
                 b, at = len(room), capacity
                 room.append(0)
             bins[i], offs[i] = b, capacity - at
-            slot[at - want].append(b)
+            if at > want:
+                slot[at - want].append(b)
+                rooms |= 1 << (at - want)
         return table.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offs))
 
-    # A group leaves under k pieces of class k, whatever it held; groups of left-over pieces are dealt by their salt.
+    # A group leaves under k pieces of class k, whatever it held, and a capacity has few classes (k = capacity div length): left-over
+    # pieces of one salt are some ten thousand at most, for any corpus.
     last = rest.groupBy("salt").applyInArrow(finish, schema)
     out = (
         spread.where("k = 1").select("*", F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit("one").alias("kind"))

@@ -13,15 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, SPACED, crc_side, hashed, joined, prepared, released, texts_of, words_in
+from .common import LOWER, SPACED, besides, crc_side, discard, hashed, joined, prepared, released, texts_of, words_in, written
 from .imatch import chunks
 
 WORD_BITS = 15
 FACTORS = 8
 #: Labelled rows the machine is fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 12_000
-#: Feature slots of fitted rows the driver holds, at most (12 bytes each); a row has one for each distinct word bucket.
+#: Feature slots of fitted rows the driver holds, at most (8 bytes each); a row has one for each distinct word bucket. Of the sample, rows count in the order of their ids' hashes until the next one would not fit.
 FIT_SLOTS = 8_000_000
 THRESHOLD = 0.3
 STEPS = 12
@@ -166,8 +167,11 @@ def sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return good.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
-    """A machine fitted on the sample; without any labelled document it gives one half to every text."""
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, slots: int = FIT_SLOTS) -> Machine:
+    """A machine fitted on the sample; without any labelled document it gives one half to every text.
+
+    What it is fitted on depends on the rows alone, not on how the table is split.
+    """
     chosen = sample(labels, rows)
 
     def run(batches: Iterator) -> Iterator:
@@ -177,42 +181,37 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
             texts, y, ids = texts_of(batch.column(1)), batch.column(2), batch.column(0)
             for a, b in chunks(texts):
                 x = Features(texts[a:b])
-                lists = [pa.array([arr[i:j] for i, j in zip(x.first[:-1], x.first[1:], strict=True)], t) for arr, t in ((x.index.astype(np.int32), pa.list_(pa.int32())), (x.value, pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays([ids[a:b], y[a:b], *lists], names=["doc_id", "y", "index", "value"])
+                packed = [pa.array([arr[i:j].tobytes() for i, j in zip(x.first[:-1], x.first[1:], strict=True)], pa.binary()) for arr in (x.index.astype("<i4"), x.value.astype("<f4"))]
+                yield pa.RecordBatch.from_arrays([ids[a:b], y[a:b], pa.array(np.diff(x.first)), *packed], names=["doc_id", "y", "n", "index", "value"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    got = found.mapInArrow(run, "doc_id long, y int, index array<int>, value array<double>")
-    index, value, n, y, ids, held = [], [], [], [], [], 0
-    for r in got.toLocalIterator():
-        if held + len(r["index"]) > FIT_SLOTS:
-            continue
-        held += len(r["index"])
-        index.append(np.array(r["index"], dtype=np.int32))
-        value.append(np.array(r["value"], dtype=np.float32))
-        n.append(len(r["index"]))
-        y.append(r["y"])
-        ids.append(r["doc_id"])
-    if not y:
+    got = written(found.mapInArrow(run, "doc_id long, y int, n long, index binary, value binary").withColumn("place", F.xxhash64("doc_id")), "features")
+    # Repeated ids follow each other by their features.
+    order = [F.col("place"), F.col("doc_id"), F.col("n"), F.xxhash64("index")]
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample only
+    held = got.select("*", upto.alias("upto")).where(F.col("upto") <= slots).orderBy(*order).select("y", "n", "index", "value").toArrow()
+    discard(got)
+    if not held.num_rows:
         blank = Machine()
         blank.v[:] = 0
         return blank
-    order = np.lexsort((n, ids))  # the same rows in the same order however the table is split
-    index, value = [index[i] for i in order], [value[i] for i in order]
-    n, y = np.array(n)[order], np.array(y, dtype=float)[order]
-    return Machine().fit(np.concatenate(index).astype(np.int64), np.concatenate(value).astype(float), np.concatenate([[0], np.cumsum(n)]), y)
+    index, value = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in (("index", "<i4"), ("value", "<f4")))
+    first = np.concatenate([[0], np.cumsum(held.column("n").to_numpy())])
+    return Machine().fit(index.astype(np.int64), value.astype(float), first, held.column("y").to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS, slots: int = FIT_SLOTS) -> DataFrame:
     """All columns of docs with held_out, score (0 to 1) and predicted; such columns of docs are replaced.
 
+    Fitted on at most `rows` labelled documents with `slots` features together, scored everywhere.
     The score depends on the text alone: a null text scores as an empty one,
     equal texts score alike. A null doc_id is not held out. Labels of unknown documents and
     null labels are ignored; without any usable label every score is 0.5. An empty
     table gives no rows.
     """
     spark = prepared(docs.sparkSession)
-    held = spark.sparkContext.broadcast(fitted(docs, labels, rows))
-    keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    held = spark.sparkContext.broadcast(fitted(docs, labels, rows, slots))
+    keep = besides(docs.columns, "held_out", "score", "predicted")
     docs = docs.select(*keep)
     at = keep.index("text")
     types = [f.dataType for f in docs.schema]

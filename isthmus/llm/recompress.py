@@ -8,7 +8,7 @@ names once, after the last round. A symbol remembers which words its name and it
 depend on. A window that contains all of these contains the symbol wherever
 it occurs, so a window of which one such symbol occurs in no other document is new.
 
-The windows left are compared as a whole, by 64 bits of hash; what
+The windows left are compared as a whole, by 128 bits of two independent hashes of their words; what
 long repeats share falls out of that, seams between different sources included. Names and windows are
 first reduced to the least document that has them, then joined back, so that a
 passage of very many documents can be split between tasks.
@@ -111,6 +111,11 @@ class Parsed:
         """The hash of each window of document i."""
         return doubled(self.hash[self.first[i] : self.first[i + 1]], window).view(np.int64)
 
+    def checks(self, i: int, window: int) -> np.ndarray:
+        """A second hash of each window of document i, from other hashes of its words."""
+        a, b = self.first[i], self.first[i + 1]
+        return doubled(hashed(self.buf, self.starts[a:b], self.ends[a:b], 2), window).view(np.int64)
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """o (doc_id, null as the greatest), tag (32 bits of the text's hash, which tell rows of equal id apart), th, th2, doc_id, text."""
@@ -185,7 +190,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for a, b in chunks(texts):
                 p = Parsed(texts[a:b], rounds, window)
-                one, who, at = [], [], []
+                one, two, who, at = [], [], [], []
                 for i in range(b - a):
                     start = p.candidates(i, lists[a + i] or [], window)
                     if len(start):
@@ -193,17 +198,18 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                         _, once = np.unique(h[start], return_index=True)
                         start = start[once]
                         one.append(h[start])
+                        two.append(p.checks(i, window)[start])
                         who.append(np.full(len(start), o[a + i]))
                         at.append(start << 32 | tag[a + i])
                 if one:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, who, at)], names=["h", "o", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, who, at)], names=["h", "h2", "o", "at"])
         released()
 
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    windows = written(left.mapInArrow(window_rows, "h long, o long, at long"), "windows")
+    windows = written(left.mapInArrow(window_rows, "h long, h2 long, o long, at long"), "windows")
     discard(names)
-    found = several(windows, ["h"]).where("o > least").select("o", *own)
+    found = several(windows, ["h", "h2"]).where("o > least").select("o", *own)
     found = written(found.groupBy("o", "tag").agg(F.collect_set("i").alias("at")), "found")
     discard(windows)
     marks = found.join(copies, ["o", "tag"], "full")

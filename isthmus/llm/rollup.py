@@ -13,21 +13,24 @@ marker stands is skipped when it is delivered again; what a run that died left w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, SPACED, joined, prepared, texts_of, words_in
+from .common import ALNUM, LOWER, SPACED, discard, joined, prepared, texts_of, words_in, written
 from .imatch import chunks
+from .packing import WordIds
 
 KEYS, GROUP = ["doc_id", "version"], ["source", "lang", "version"]
 LOG = "doc_id long, version string, source string, lang string, tokens long, sign int"
 TOTALS = "source string, lang string, version string, docs long, tokens long"
 
-#: Tokenizer versions: the bytes that make words, and whether the text is lower-cased first.
+#: Tokenizer versions: the bytes that make words, and whether the text is lower-cased first; or the path of a tokenizer for which WordIds holds.
 VERSIONS = {"spaced-1": (SPACED, False), "alnum-1": (ALNUM, True)}
+_NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
 def counted(docs: DataFrame, versions: dict | None = None) -> DataFrame:
@@ -39,9 +42,14 @@ def counted(docs: DataFrame, versions: dict | None = None) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch.column(3))
-            for version, (table, lower) in versions.items():
+            for version, how in versions.items():
                 n = []
                 for a, b in chunks(texts):
+                    if isinstance(how, str):
+                        coder = WordIds(how, None)
+                        n.append(np.array([len(x) // 4 for x in coder(texts[a:b])], dtype=np.int64))
+                        continue
+                    table, lower = how
                     buf, offsets = joined([t.translate(LOWER) if lower else t for t in texts[a:b]])
                     n.append(np.diff(words_in(buf, offsets, table)[2]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * batch.num_rows, pa.string()), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=["doc_id", "source", "lang", "version", "tokens"])
@@ -73,9 +81,12 @@ class TokenLedger:
         paths = [f"{self.root}/{table}/batch={b}" for b in self.batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def live(self) -> DataFrame:
-        """The current row of each document and version."""
+    def live(self, keys: DataFrame | None = None) -> DataFrame:
+        """The current row of each document and version; keys (doc_id, version): of these only, so that a small batch groups a small part of the log."""
         log = self._read("log", LOG)
+        if keys is not None:
+            k = keys.select(*(F.col(c).alias(f"key_{c}") for c in KEYS))
+            log = log.join(k, F.col("doc_id").eqNullSafe(F.col("key_doc_id")) & F.col("version").eqNullSafe(F.col("key_version")), "left_semi")
         return log.groupBy(*KEYS, "source", "lang", "tokens").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -83,16 +94,19 @@ class TokenLedger:
 
         op is insert, revise or delete. An insert of a live key is a revision, a
         revision of an unknown key an insert, a delete of an unknown key nothing. Of
-        several changes to a key the one with the highest seq holds, then the one with the most tokens.
+        several changes to a key the one with the highest seq holds, then the one with the most tokens, then the last by op, source and language.
         A null doc_id is a key like any other; null sources, languages and versions are groups of their own; null tokens count 0.
         """
+        if not _NAME.fullmatch(batch):
+            raise ValueError("a batch's name is made of letters, digits, dots, underscores and hyphens")
         if self._there(f"{self.root}/totals/batch={batch}/_SUCCESS"):
             return False
         if "seq" not in changes.columns:
             changes = changes.withColumn("seq", F.lit(0))
         row = F.struct(F.col("seq"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "op", "source", "lang")
         new = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(F.max(row).alias("r")).select(*KEYS, "r.*")
-        live = self.live().select(*(F.col(c).alias(f"old_{c}") for c in [*KEYS, "source", "lang", "tokens"]), F.lit(True).alias("known"))
+        new = written(new, "changes")
+        live = self.live(new).select(*(F.col(c).alias(f"old_{c}") for c in [*KEYS, "source", "lang", "tokens"]), F.lit(True).alias("known"))
         both = new.join(live, F.col("doc_id").eqNullSafe(F.col("old_doc_id")) & F.col("version").eqNullSafe(F.col("old_version")), "left")
         old = F.struct(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_tokens").alias("tokens"), F.lit(-1).alias("sign"))
         now = F.struct("source", "lang", "tokens", F.lit(1).alias("sign"))
@@ -103,6 +117,7 @@ class TokenLedger:
         signed.write.mode("overwrite").parquet(log)
         delta = self.spark.read.schema(LOG).parquet(log).groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         delta.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/totals/batch={batch}")
+        discard(new)
         return True
 
     def totals(self) -> DataFrame:

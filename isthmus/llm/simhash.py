@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashed, mixed, prepared, released, texts_of, written
+from .common import LOWER, fresh, hashed, mixed, prepared, released, texts_of, written
 
 SEED, BUDGET = 42, 2
 #: Fingerprints in one subtrie, on average.
@@ -419,9 +419,10 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of similar(): the one with the least doc_id (null last), then the least hash of its text."""
     groups = written(similar(docs, width, similarity), "groups")
-    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.th").alias("keep_th"))
+    own, mark = fresh("keep_id", docs.columns), fresh("keep_th", docs.columns)
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias(own), F.col("f.th").alias(mark))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (th == F.col("keep_th")), "left_semi")
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (th == F.col(mark)), "left_semi")
     again = groups.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 

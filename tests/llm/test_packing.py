@@ -53,7 +53,7 @@ def test_words_apart_equal_whole_texts(spark, sf):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    texts = ["<|endoftext|> a <|startoftext|>b", "it's we'll x", "é ́x", "ΑΣ ΣΑΣ", "a\x0bb\x0cc\x1cd", "…... ,.", "日本 語", "élève ÉTÉ straße ÷x naïve2 ÿþß œuvre cafe\u0301 É\u0301 à"] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]
+    texts = ["<|endoftext|> a <|startoftext|>b", "A <|ENDOFTEXT|> x<|EndOfText|>Y. Z<|startoftext|>Q", "<| Foo <|x|> it'S<|endoftext|>.DEF", "it's we'll x", "é ́x", "ΑΣ ΣΑΣ", "a\x0bb\x0cc\x1cd", "…... ,.", "日本 語", "élève ÉTÉ straße ÷x naïve2 ÿþß œuvre cafe\u0301 É\u0301 à"] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]
     got = packing.WordIds(packing.default_tokenizer(), None)([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
