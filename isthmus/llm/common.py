@@ -89,7 +89,7 @@ def released() -> None:
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing needs any more, and lets Spark drop the shuffle files of what has been computed: disk holds one phase at a time."""
-    spark = tables[0].sparkSession
+    spark = tables[0].sparkSession if tables else SparkSession.active()
     for t in tables:
         p = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

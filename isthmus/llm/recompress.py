@@ -6,18 +6,18 @@ first round names runs of one token. A name is a hash of what it is made of, so
 workers give equal content the same name and a round needs no shuffle; Spark gathers
 names once, after the last round. A symbol remembers which words its name and its bounds
 depend on. A window that contains all of these contains the symbol wherever
-it occurs (an interior symbol), so a window of which one such symbol occurs in no other document is new.
+it occurs, so a window of which one such symbol occurs in no other document is new.
 
-What is left is found through the symbols that documents share. A window's anchor is the one of its interior symbols
-with the least hash; equal windows have equal anchors. Consecutive windows with one anchor are a segment, and a
-segment's words, as 128 bits of digest over two independent hashes of each word, verify a repeat as a whole: of equal segments those in later documents are
-copies. Only segments whose anchor also has other words around it are compared window by window, by 128 bits again.
-Names, segments and windows are first reduced to the least document that has them, then joined back, so that a
+The windows left are compared as a whole, by 128 bits of two independent hashes of their words; what
+long repeats share falls out of that, seams between different sources included. They are compared in PASSES parts by
+hash, one after another, so that disk holds the shuffle of one part. Names and windows are
+first reduced to the least document that has them, then joined back, so that a
 passage of very many documents can be split between tasks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,8 @@ from .imatch import chunks
 WINDOW = 50
 #: Rounds of pairing; the mean symbol then has about (4/3)^ROUNDS words.
 ROUNDS = 8
+#: Parts in which windows are compared.
+PASSES = 4
 _FAR = np.int64(1) << np.int64(50)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,45 +111,14 @@ class Parsed:
         gone = np.bincount(lo[some], minlength=m + 1) - np.bincount(hi[some] + 1, minlength=m + 1)
         return np.flatnonzero(np.cumsum(gone[:m]) == 0)
 
-    def anchors(self, i: int, start: np.ndarray, window: int) -> np.ndarray:
-        """For some windows of document i, the place among its symbols of the interior one with the least hash (the first of equals); -1 where there is none."""
-        a, (c, e) = self.first[i], self.cut[i : i + 2]
-        if c == e:
-            return np.full(len(start), -1)
-        # Bounds rise from symbol to symbol, so a window's interior symbols are neighbours.
-        first = np.searchsorted(self.low[c:e] - a, start)
-        n = np.searchsorted(self.high[c:e] - a, start + window, side="right") - first
-        key, out = mixed(self.name[c:e]), np.full(len(start), -1)
-        level, width = np.arange(e - c), 1
-        while len(level):
-            # level: place of the least among `width` symbols from each on; two of them cover up to twice as many.
-            some = np.flatnonzero((n >= width) & (n < 2 * width))
-            left, right = level[first[some]], level[first[some] + n[some] - width]
-            out[some] = np.where(key[right] < key[left], right, left)
-            left, right = level[:-width], level[width:]
-            level, width = np.where(key[right] < key[left], right, left), 2 * width
-        return out
-
-    def pairs(self, i: int) -> np.ndarray:
-        """Two independent hashes of each word of document i, side by side."""
-        a, b = self.first[i], self.first[i + 1]
-        return np.stack([self.hash[a:b], hashed(self.buf, self.starts[a:b], self.ends[a:b], 2)], axis=1)
-
+    def windows(self, i: int, window: int) -> np.ndarray:
+        """The hash of each window of document i."""
+        return doubled(self.hash[self.first[i] : self.first[i + 1]], window).view(np.int64)
 
-def segments(p: Parsed, i: int, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor name of the segments of some windows of document i; windows without an anchor come in runs of `window` under one name."""
-    anchor = p.anchors(i, start, window)
-    cut = np.flatnonzero((np.diff(start) != 1) | (np.diff(anchor) != 0)) + 1
-    head = np.concatenate([[0], cut])
-    n = np.diff(np.append(head, len(start)))
-    parts = np.where(anchor[head] < 0, -(-n // window), 1)
-    at = np.repeat(np.arange(len(head)), parts)
-    k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-    size = np.where(anchor[head][at] < 0, np.minimum(window, n[at] - k * window), n[at])
-    named = anchor[head[at]]
-    c = p.cut[i]
-    name = np.where(named < 0, np.uint64(0), p.name[np.minimum(c + named, max(len(p.name) - 1, 0))]) if len(p.name) else np.zeros(len(named), np.uint64)
-    return start[head[at]] + k * window, size, name
+    def checks(self, i: int, window: int) -> np.ndarray:
+        """A second hash of each window of document i, from other hashes of its words."""
+        a, b = self.first[i], self.first[i + 1]
+        return doubled(hashed(self.buf, self.starts[a:b], self.ends[a:b], 2), window).view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -209,88 +180,47 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 ], names=["name", "o", "at"])
         released()
 
-    tag = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("tag")
-    place = F.shiftright("at", 32).cast("int")
+    own = [F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("tag"), F.shiftright("at", 32).cast("int").alias("i")]
     names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, at long"), "names")
-    shared = several(names, ["name"]).select("o", tag, place.alias("i")).groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
+    shared = several(names, ["name"]).select("o", *own).groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
 
-    def segment_rows(batches: Iterator) -> Iterator:
+    def window_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
         import zstandard
 
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             z = zstandard.ZstdDecompressor()
             texts = [z.decompress(x) for x in batch.column(2).to_pylist()]
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            cols: list[list] = [[] for _ in range(4)]
-            digests: list[bytes] = []
             for a, b in chunks(texts):
                 p = Parsed(texts[a:b], rounds, window)
+                one, two, who, at = [], [], [], []
                 for i in range(b - a):
                     start = p.candidates(i, lists[a + i] or [], window)
-                    if not len(start):
-                        continue
-                    at, n, name = segments(p, i, start, window)
-                    words = p.pairs(i).tobytes()
-                    digests += [digest(words[16 * s : 16 * e]) for s, e in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)]
-                    for col, v in zip(cols, (name.view(np.int64), np.full(len(at), o[a + i]), at << 32 | tag[a + i], n), strict=True):
-                        col.append(v)
-            if digests:
-                d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                name, who, at, n = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, d[:, 0].copy(), d[:, 1].copy(), who, at, n.astype(np.int32))], names=["name", "d1", "d2", "o", "at", "n"])
+                    if len(start):
+                        h = p.windows(i, window)
+                        _, once = np.unique(h[start], return_index=True)
+                        start = start[once]
+                        one.append(h[start])
+                        two.append(p.checks(i, window)[start])
+                        who.append(np.full(len(start), o[a + i]))
+                        at.append(start << 32 | tag[a + i])
+                if one:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, who, at)], names=["h", "h2", "o", "at"])
         released()
 
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    pieces = written(left.mapInArrow(segment_rows, "name long, d1 long, d2 long, o long, at long, n int"), "segments")
+    windows = written(left.mapInArrow(window_rows, "h long, h2 long, o long, at long"), "windows")
     discard(names)
-    # Of equal segments those of the least document stay for now; the others are copies as a whole.
-    first = F.min(F.struct("o", "at")).alias("f")
-    firsts = written(pieces.groupBy("d1", "d2").agg(first, F.max("o").alias("most"), F.first("name").alias("name"), F.first("n").alias("n")), "firsts")
-    later = pieces.join(firsts.where("f.o < most").select("d1", "d2", F.col("f.o").alias("least")), ["d1", "d2"]).where("o > least").select("o", "at", "n")
-    later = written(later, "later")
-    busy = firsts.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
-    wanted = firsts.join(busy, "name").select("f.o", "f.at", "n", "d1", "d2")
-    wanted = wanted.groupBy("o", tag).agg(F.collect_list(F.struct(place.alias("p"), "n", "d1", "d2")).alias("wanted"))
-
-    def window_rows(batches: Iterator) -> Iterator:
-        """Two hashes of each window of the wanted segments, with the segment and the window's place in it."""
-        import pyarrow as pa
-        import zstandard
-
-        for batch in batches:
-            z = zstandard.ZstdDecompressor()
-            texts = [z.decompress(x) for x in batch.column(1).to_pylist()]
-            o, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for a, b in chunks(texts):
-                p = Parsed(texts[a:b], 0, window)
-                cols: list[list] = [[] for _ in range(6)]
-                for i in range(b - a):
-                    two = p.pairs(i)
-                    one, two = (doubled(np.ascontiguousarray(two[:, j]), window).view(np.int64) for j in (0, 1))
-                    want = lists[a + i]
-                    n = np.array([w["n"] for w in want])
-                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat([w["p"] for w in want], n) + k
-                    for col, v in zip(cols, (one[at], two[at], np.full(len(at), o[a + i]), np.repeat([w["d1"] for w in want], n), np.repeat([w["d2"] for w in want], n), k.astype(np.int32)), strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "h2", "o", "d1", "d2", "k"])
-        released()
-
-    texts = squeezed(docs, ["o", "tag"]).join(wanted, ["o", "tag"]).select("o", "z", "wanted")
-    windows = written(texts.mapInArrow(window_rows, "h long, h2 long, o long, d1 long, d2 long, k int"), "windows")
-    found = several(windows, ["h", "h2"]).where("o > least").groupBy("d1", "d2").agg(F.collect_set("k").alias("ks"))
-    found = written(found, "found")
+    parts = []
+    for k in range(PASSES):
+        one = several(windows.where(F.pmod("h", F.lit(PASSES)) == k), ["h", "h2"]).where("o > least").select("o", *own)
+        parts.append(written(one.groupBy("o", "tag").agg(F.collect_set("i").alias("at")), "found"))
+        discard()
     discard(windows)
-    # Back to every place where the least document has the segment.
-    again = pieces.join(found, ["d1", "d2"]).join(firsts.select("d1", "d2", F.col("f.o").alias("least")), ["d1", "d2"]).where("o = least")
-    runs = later.select("o", tag, F.struct(place.alias("p"), "n").alias("run")).unionByName(again.select("o", tag, F.explode(F.transform("ks", lambda k: F.struct((place + k).alias("p"), F.lit(1).alias("n")))).alias("run")))
-    runs = written(runs.groupBy("o", "tag").agg(F.collect_list("run").alias("runs")), "runs")
-    discard(pieces, firsts, later, found)
-    marks = runs.join(copies, ["o", "tag"], "full")
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("o", "tag").agg(F.flatten(F.collect_list("at")).alias("at"))
+    marks = found.join(copies, ["o", "tag"], "full")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -301,16 +231,18 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             texts = [z.decompress(x) for x in batch.column(1).to_pylist()]
             lists, copy = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             n_words, n_removed, kept = [], [], []
-            for text, runs, whole_copy in zip(texts, lists, copy, strict=True):
+            for text, starts, whole_copy in zip(texts, lists, copy, strict=True):
                 words = text.split()
                 n, gone = len(words), 0
                 if whole_copy and n >= window:
                     words, gone = [], n
-                elif runs and not whole_copy:
-                    at, k = (np.array([r[c] for r in runs]) for c in ("p", "n"))
+                elif starts and not whole_copy:
+                    p = Parsed([text], 0, window)
+                    h = p.windows(0, window)
+                    hit = np.flatnonzero(np.isin(h, h[starts]))
                     mark = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + k + window - 1, -1)
+                    np.add.at(mark, hit, 1)
+                    np.add.at(mark, hit + window, -1)
                     mask = np.cumsum(mark)[:n] > 0
                     gone = int(mask.sum())
                     words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
@@ -319,5 +251,5 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    final = squeezed(docs, ["o", "tag", "doc_id"]).join(marks, ["o", "tag"], "left").select("doc_id", "z", "runs", "copy")
+    final = squeezed(docs, ["o", "tag", "doc_id"]).join(marks, ["o", "tag"], "left").select("doc_id", "z", "at", "copy")
     return final.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -74,25 +74,5 @@ def test_a_symbol_occurs_in_every_window_that_holds_what_it_depends_on():
         assert any(n == name[k] and a >= 30 and b <= 30 + high[k] - low[k] for n, a, b in zip(again, alow, ahigh))
 
 
-def test_anchors_are_the_least_interior_symbols():
-    """Bounds of symbols rise, and the anchor of a window follows from its words alone."""
-    texts = [t.encode() for t in passages(5, 12, 6)]
-    p = recompress.Parsed(texts, 3, 20)
-    of: dict = {}
-    for i in range(len(texts)):
-        c, e = p.cut[i], p.cut[i + 1]
-        assert (np.diff(p.low[c:e]) >= 0).all() and (np.diff(p.high[c:e]) >= 0).all()
-        words = texts[i].split()
-        start = np.arange(max(len(words) - 19, 0))
-        for s, k in zip(start.tolist(), p.anchors(i, start, 20).tolist(), strict=True):
-            inside = [j for j in range(c, e) if p.low[j] - p.first[i] >= s and p.high[j] - p.first[i] <= s + 20]
-            key = recompress.mixed(p.name)
-            assert k == (min(inside, key=lambda j: (key[j], j)) - c if inside else -1)
-            name = int(p.name[c + k]) if k >= 0 else -1
-            assert of.setdefault(tuple(words[s : s + 20]), name) == name
-        at, n, _ = recompress.segments(p, i, start, 20) if len(start) else (start, start, start)
-        assert [x for a, k in zip(at, n, strict=True) for x in range(a, a + k)] == start.tolist()
-
-
 def test_empty(spark):
     assert recompress.removed(spark.createDataFrame([], COLUMNS)).count() == 0
