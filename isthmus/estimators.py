@@ -11,19 +11,24 @@ import inspect
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isthmus.functions.vectors import l2_normalized
+from isthmus.functions.session import shared_root
+from isthmus.operators import backends
 from isthmus.operators import continuous as co
 from isthmus.operators import labels as lab
 from isthmus.operators import overlap as ov
-from isthmus.operators import prototypes as proto
 from isthmus.operators import scoring, validation
 from isthmus.operators.art import ArtLearner
 
-ONLINE, CENTROID = ("Fuzzy", "Hypersphere"), ("KMeans", "MiniBatchKMeans")
-MODELS = (*ONLINE, *CENTROID, "BallCover")
+ONLINE = ("Fuzzy", "Hypersphere")
+
+
+def models() -> tuple[str, ...]:
+    """The model types known: the online ones and every registered backend."""
+    return (*ONLINE, *backends.BACKENDS)
 
 
 class _Params:
@@ -45,35 +50,24 @@ class _Params:
         if getattr(self, "prototypes_", None) is None:
             raise ValueError("the estimator has not been fitted")
 
-    def _prototypes(self, samples: DataFrame) -> DataFrame:
-        """Class-owned prototypes by the chosen backend; features must already be those that are scored."""
-        more = dict(self.kmeans_kwargs or {})
-        seed = more.pop("random_state", None)
-        seed = 0 if seed is None else seed
-        more.pop("init", None)
-        n_init = more.pop("n_init", 1)
-        n_init = 1 if n_init == "auto" else n_init
-        if self.model_type == "KMeans":
-            keep = {k: v for k, v in more.items() if k in ("max_iter", "tol")}
-            return proto.kmeans(samples, self.kmeans_k, seed, n_init, **keep)
-        if self.model_type == "MiniBatchKMeans":
-            keep = {k: v for k, v in more.items() if k in ("max_iter", "batch_size")}
-            return proto.minibatch_kmeans(samples, self.kmeans_k, seed, n_init=n_init, **keep)
-        options = dict(self.ballcover_kwargs or {})
-        store = options.pop("store_memberships", False)
-        options = {k: v for k, v in options.items() if k not in ("chunk_size", "dtype", "random_state")}
-        found, self.class_diagnostics_, self.resolved_metric_ = proto.ball_cover(samples, self.ballcover_k, self.ballcover_radius, **options)
-        self.ball_members_ = proto.memberships(samples, found) if store else None
-        return found
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """The table, held until the next fit."""
+        self._cached = [*getattr(self, "_cached", ()), df]
+        return df.persist()
+
+    def _drop_cached(self) -> None:
+        for df in getattr(self, "_cached", ()):
+            df.unpersist()
+        self._cached = []
+
+    @property
+    def backend(self):
+        """The backend of this estimator with its parameters."""
+        return backends.BACKENDS[self.model_type](self)
 
     def _prepared(self, samples: DataFrame) -> DataFrame:
-        """Features as the prototypes see them: of length 1 where a ball cover works with cosines."""
-        if self.model_type == "BallCover":
-            options = self.ballcover_kwargs or {}
-            head = samples.select(F.size("features").alias("d")).first()
-            if proto.resolved_metric(options.get("metric", "auto"), head["d"] if head else 0, options.get("high_dim_threshold", 128)) == "cosine":
-                return samples.withColumn("features", l2_normalized(F.col("features")))
-        return samples
+        """Features as the prototypes see them."""
+        return self.backend.prepared(samples)
 
     def predict(self, samples: DataFrame) -> DataFrame:
         """row_id, pid: the best prototype of each sample, whatever its class."""
@@ -103,8 +97,8 @@ class DiscreteSeparability(_Params):
     """
 
     def __init__(self, rho=0.9, r_hat=math.inf, model_type="MiniBatchKMeans", match_tracking="MT+", kmeans_k=8, kmeans_kwargs=None, ballcover_k="auto", ballcover_radius=0.25, ballcover_kwargs=None, offline_chunk_size=10_000, multilabel_pair_mode="all", top_m=None, exclude_classes=None):
-        if model_type not in MODELS:
-            raise ValueError(f"model_type must be one of {MODELS}")
+        if model_type not in models():
+            raise ValueError(f"model_type must be one of {models()}")
         if offline_chunk_size is not None and offline_chunk_size <= 0:
             raise ValueError("offline_chunk_size must be positive or None")
         if multilabel_pair_mode not in ("all", "top_m"):
@@ -116,19 +110,29 @@ class DiscreteSeparability(_Params):
         self.ballcover_k, self.ballcover_radius, self.ballcover_kwargs = ballcover_k, ballcover_radius, ballcover_kwargs
         self.offline_chunk_size, self.multilabel_pair_mode, self.top_m = offline_chunk_size, multilabel_pair_mode, top_m
         self.exclude_classes = exclude_classes
+        self._excluded()
         self.reset()
 
     def reset(self) -> None:
-        self.prototypes_ = self.pairwise_ = self.singleton_ = self.competitors_ = self.counts_ = None
+        self._drop_cached()
+        self.prototypes_ = self.pairwise_ = self.singleton_ = self.competitors_ = None
+        self._state = self._scorer = None
         self.index = self._weighted = 1.0
         if self.model_type in ONLINE:
             self.learner_ = ArtLearner(self.model_type, self.rho, self.r_hat, match_tracking=self.match_tracking)
+            self._stale = False
 
     def _excluded(self) -> list[str]:
+        """Labels are strings in every table, so that 1 and "1" name the same class."""
         x = self.exclude_classes
         if x is None:
             return []
         items = [x] if isinstance(x, (str, bytes)) or not hasattr(x, "__iter__") else list(x)
+        for v in items:
+            try:
+                hash(v)
+            except TypeError as e:
+                raise TypeError("exclude_classes entries must be hashable") from e
         return list(dict.fromkeys(str(v) for v in items))
 
     @property
@@ -160,40 +164,46 @@ class DiscreteSeparability(_Params):
         return s, (s.agg(F.max(F.size("labels"))).first()[0] or 0) > 1
 
     def fit(self, samples: DataFrame, reset_state: bool = True) -> DiscreteSeparability:
+        """Fits the samples as one batch. reset_state=False: overlaps and supports add up with those of earlier fits, and classes that are not in this batch stay."""
         if self.is_online:
-            if reset_state:
-                self.learner_.reset_counters()
-            return self.partial_fit(samples)
+            return self._fit_online(samples, reset_state)
         s, many = self._labelled(samples)
-        before = None if reset_state else self.counts_
+        before = None if reset_state else self._state
+        index = self.index, self._weighted
         self.reset()
-        s = self._prepared(s)
+        self._state = before
+        s = self._kept(self._prepared(s))
         order = lab.dimension(s)
         classes = order.count()
         if not classes:
-            warnings.warn("no samples: the index stays at 1.0", RuntimeWarning, stacklevel=2)
+            warnings.warn("no samples: the index stays as it was" if before else "no samples: the index stays at 1.0", RuntimeWarning, stacklevel=2)
+            if before:
+                self.index, self._weighted = index
+                self.pairwise_, _, self.singleton_ = before
             return self
         single = lab.exploded(s)
-        if many and self.model_type == "BallCover":
+        if many and not self.backend.multilabel:
             raise NotImplementedError("multi-label indices need a centroid backend")
-        self.prototypes_ = self._prototypes(single).persist()
+        self.prototypes_ = self._kept(self.backend.fit(single))
         self.label_order_ = order
         support = single.groupBy("label").agg(F.count("*").alias("support"))
         if classes == 1:
             warnings.warn("one class only: the index stays at 1.0", RuntimeWarning, stacklevel=2)
-            self.singleton_ = support.select(F.col("label").alias("y"), "support", F.lit(1.0).alias("singleton_index"))
-            return self
-        counts = ov.multilabel_counts(s, self.prototypes_) if many else ov.pairwise(single, self.prototypes_)
-        if many:
-            self.competitors_ = ov.competitors(self.prototypes_, order, self.multilabel_pair_mode, self.top_m)
-            counts = counts.join(self.competitors_.select("y", "b"), ["y", "b"])
-        counts = counts.select("y", "b", "adj", "cardinality")
-        if before is not None:
-            counts = ov.summed(before.unionByName(counts)).select("y", "b", "adj", "cardinality")
-        self.counts_ = counts
-        self.pairwise_ = ov.summed(counts).persist()
-        self.singleton_ = ov.singleton(self.pairwise_, support)
-        self._summarise()
+            counts = s.sparkSession.createDataFrame([], ov.COUNTS)
+        else:
+            self._scorer = scoring.held(self.prototypes_)
+            counts = ov.multilabel_counts(s, self._scorer) if many else ov.pairwise(single, self._scorer)
+            if many:
+                self.competitors_ = ov.competitors(self._scorer, order, self.multilabel_pair_mode, self.top_m)
+                counts = counts.join(self.competitors_.select("y", "b"), ["y", "b"])
+        shared_root(s.sparkSession)
+        # Checkpoints, so that many fits on top of each other don't grow one plan.
+        self._state = tuple(t.checkpoint() for t in ov.accumulated(counts, support, before, by_pair=many))
+        self.pairwise_, _, self.singleton_ = self._state
+        if classes == 1 and before is not None:
+            self.index, self._weighted = index
+        else:
+            self._summarise()
         return self
 
     def _summarise(self) -> None:
@@ -202,19 +212,45 @@ class DiscreteSeparability(_Params):
             warnings.warn("all observed classes are excluded: the index stays at 1.0", RuntimeWarning, stacklevel=3)
         self.index, self._weighted = row["index"], row["weighted_index"]
 
-    def partial_fit(self, samples: DataFrame) -> DiscreteSeparability:
-        """Online models learn on; a single stream is one key's state, so its batch comes to the driver in order. Many streams at once: isthmus.streaming. Offline models fit anew."""
-        if not self.is_online:
-            return self.fit(samples)
+    def _ordered(self, samples: DataFrame) -> DataFrame | None:
+        """The samples of an online model with one label each, or None without any. A single stream is one key's state: its rows come to the driver one after another, in order. Many streams at once: isthmus.streaming."""
         s, many = self._labelled(samples)
         if many:
             raise NotImplementedError("online models take one label for each sample")
-        rows = [(r["features"], r["labels"][0]) for r in s.orderBy("ord", "row_id").toLocalIterator()]
-        if not rows:
-            warnings.warn("no samples: the index stays as it was", RuntimeWarning, stacklevel=2)
-            return self
-        self.learner_.add_batch([x for x, _ in rows], [y for _, y in rows])
-        self._from_learner(s.sparkSession)
+        s = s.select("ord", "row_id", "features", F.col("labels")[0].alias("label")).persist(StorageLevel.DISK_ONLY)
+        if s.count():
+            return s
+        s.unpersist()
+        warnings.warn("no samples: the index stays as it was", RuntimeWarning, stacklevel=3)
+        return None
+
+    @staticmethod
+    def _stream(s: DataFrame):
+        for r in s.orderBy("ord", "row_id").toLocalIterator():
+            yield r["features"], r["label"]
+
+    def _fit_online(self, samples: DataFrame, reset_state: bool) -> DiscreteSeparability:
+        """Trains on the samples, then counts each with every category visible, by the best category of its label."""
+        s = self._ordered(samples)
+        if reset_state:
+            self.learner_.reset_counters()
+        if s is not None:
+            self.learner_.learn_all(self._stream(s))
+            self.learner_.count_all(self._stream(s))
+            s.unpersist()
+        self._from_learner()
+        return self
+
+    def partial_fit(self, samples: DataFrame) -> DiscreteSeparability:
+        """Online models learn on, and count the batch with the categories visible that it has reached so far; offline models fit anew."""
+        if not self.is_online:
+            return self.fit(samples)
+        s = self._ordered(samples)
+        if s is not None:
+            categories = self.learner_.learn_all(self._stream(s))
+            self.learner_.replay(self._stream(s), categories)
+            s.unpersist()
+            self._from_learner()
         return self
 
     def add_sample(self, x, y) -> float:
@@ -222,23 +258,37 @@ class DiscreteSeparability(_Params):
         if not self.is_online:
             raise NotImplementedError("offline models are fitted on whole batches")
         self.learner_.add_sample(x, str(y))
-        self._from_learner(None)
+        self._from_learner()
         return self.index
 
-    def _from_learner(self, spark) -> None:
-        if len(self.learner_.support) < 2:
-            warnings.warn("one class only: the index stays at 1.0", RuntimeWarning, stacklevel=3)
+    def _from_learner(self) -> None:
         self.index, self._weighted = (f(tuple(self._excluded())) for f in (self.learner_.index, self.learner_.weighted_index))
-        if spark is not None:
-            learner = self.learner_
-            self.pairwise_ = spark.createDataFrame([(y, b, n, learner.support[y], learner.pairwise[y, b]) for (y, b), n in learner.adj.items()], "y string, b string, adj long, cardinality long, pairwise_index double")
-            self.singleton_ = spark.createDataFrame([(y, learner.support[y], v) for y, v in learner.singleton.items()], "y string, support long, singleton_index double")
-            self.prototypes_ = spark.createDataFrame([(i, c, learner.w[i].tolist(), float(learner.radius[i]), 0.0) for i, c in enumerate(learner.owner)], scoring.PROTOTYPES)
+        self._stale = True
+
+    def __getattribute__(self, name: str):
+        # The tables of an online model are made when they are asked for.
+        if name in ("pairwise_", "singleton_", "prototypes_") and self.__dict__.get("_stale"):
+            self._tables()
+        return super().__getattribute__(name)
+
+    def _tables(self) -> None:
+        spark, learner = SparkSession.active(), self.learner_
+        self._stale = False
+        self.pairwise_ = spark.createDataFrame([(y, b, n, learner.support[y], learner.pairwise[y, b]) for (y, b), n in learner.adj.items()], "y string, b string, adj long, cardinality long, pairwise_index double")
+        self.singleton_ = spark.createDataFrame([(y, learner.support[y], v) for y, v in learner.singleton.items()], "y string, support long, singleton_index double")
+        self.prototypes_ = spark.createDataFrame([(i, c, learner.w[i].tolist(), float(learner.radius[i]), float((learner.w[i] ** 2).sum())) for i, c in enumerate(learner.owner)], scoring.PROTOTYPES)
+
+    @property
+    def weights_(self) -> DataFrame:
+        """pid, class, center, radius, norm2 of an online model's categories, over coded features; for offline models their prototypes."""
+        self._fitted()
+        return self.prototypes_
 
     def predict(self, samples: DataFrame) -> DataFrame:
         if not self.is_online:
             return super().predict(samples)
-        self._fitted()
+        if not self.learner_.n:
+            raise ValueError("the estimator has not been fitted")
         held = samples.sparkSession.sparkContext.broadcast(self.learner_.dump())
 
         def run(batches):
@@ -253,11 +303,11 @@ class DiscreteSeparability(_Params):
     def top2(self, samples: DataFrame) -> DataFrame:
         """row_id, rank, pid, score of the two best prototypes of each sample."""
         self._fitted()
-        return scoring.topk(self._prepared(samples), self.prototypes_, 2)
+        return scoring.topk(self._prepared(samples), self._scorer or self.prototypes_, 2)
 
     def top2_by_class(self, samples: DataFrame) -> DataFrame:
         self._fitted()
-        return scoring.class_top2(self._prepared(samples), self.prototypes_)
+        return scoring.class_top2(self._prepared(samples), self._scorer or self.prototypes_)
 
 
 class ContinuousSeparability(_Params):
@@ -268,14 +318,22 @@ class ContinuousSeparability(_Params):
             if n not in ("self", "__class__"):
                 setattr(self, n, v)
         self._validate()
+        self.reset()
+
+    def reset(self) -> None:
+        """Back to the state before any fit."""
+        self._drop_cached()
+        for n in [n for n in self.__dict__ if n.endswith("_") and not n.startswith("_")]:
+            delattr(self, n)
         self.prototypes_ = None
         self.index, self._weighted = 1.0, 1.0
 
     def _validate(self) -> None:
         if self.model_type in ONLINE:
             raise NotImplementedError("online models don't take continuous targets")
-        if self.model_type not in MODELS:
-            raise ValueError(f"model_type must be one of {(*CENTROID, 'BallCover')}")
+        if self.model_type not in backends.BACKENDS:
+            raise ValueError(f"model_type must be one of {tuple(backends.BACKENDS)}")
+        co.cover_options(self.target_cover_kwargs)
         if self.adjacency_mode == "soft_topk":
             raise NotImplementedError("adjacency_mode='soft_topk' is not available")
         if self.adjacency_mode != "hard_top1":
@@ -301,21 +359,11 @@ class ContinuousSeparability(_Params):
     def partial_fit(self, samples: DataFrame) -> ContinuousSeparability:
         return self.fit(samples)
 
-    def _losses(self, s: DataFrame, directions):
-        """Prototypes, their targets, local losses and their number, for samples with cells."""
-        p = self._prototypes(s).persist()
-        own = scoring.own_best(s, p).select("row_id", "pid").persist()
-        t = s.select("row_id", "target").join(own, "row_id").select("pid", "target")
-        adj = co.adjacency(s.select("row_id", "features"), p, own)
-        dist = co.wasserstein(co.projected(t, directions), adj)
-        losses = co.local_losses(adj, dist, t.groupBy("pid").agg(F.count("*").alias("support"))).persist()
-        return p, own, t, adj, losses
-
     def fit(self, samples: DataFrame) -> ContinuousSeparability:
         n, _ = validation.check_features(samples)
         s = validation.targets(samples)
         _, d = validation.check_features(s, "target")
-        self.prototypes_, self.index, self._weighted = None, 1.0, 1.0
+        self.reset()
         if not n:
             warnings.warn("no samples: the index stays at 1.0", RuntimeWarning, stacklevel=2)
             return self
@@ -324,24 +372,27 @@ class ContinuousSeparability(_Params):
         directions = None if d == 1 else co.random_directions(self.n_projections, d, self.random_state)
         cells = co.cell_count(n, self.n_target_cells)
         scaled = co.scaled_targets(self._prepared(s.select("row_id", F.col("features").cast("array<double>").alias("features"), "target")), self.target_scaling)
-        cut = lambda x: co.cells_of(x, cover, cells, seed)
-        s = cut(scaled).persist()
+        s = self._kept(co.cells_of(scaled, cover, cells, seed, options=self.target_cover_kwargs))
         if s.select("cell").distinct().count() < 2:
             warnings.warn("one target cell only: the index stays at 1.0", RuntimeWarning, stacklevel=2)
             return self
-        self.prototypes_, self.own_prototype_, self.prototype_targets_, self.adjacency_, losses = self._losses(s, directions)
-        self.prototype_stats_ = co.prototype_stats(self.prototype_targets_)
+        backend = self.backend
+        self.prototypes_ = self._kept(backend.fit(s))
         if self.prototypes_.count() < 2:
             warnings.warn("one prototype only: the index stays at 1.0", RuntimeWarning, stacklevel=2)
             return self
+        scorer = scoring.held(self.prototypes_)
+        self.own_prototype_ = self._kept(scoring.own_best(s, scorer).select("row_id", "pid"))
+        self.prototype_targets_ = self._kept(s.select("row_id", "target").join(self.own_prototype_, "row_id").select("pid", "target"))
+        self.prototype_stats_ = co.prototype_stats(self.prototype_targets_)
+        self.adjacency_ = self._kept(co.adjacency(s.select("row_id", "features"), scorer, self.own_prototype_))
+        support = self.prototype_targets_.groupBy("pid").agg(F.count("*").alias("support"))
+        losses = self._kept(co.local_losses(self.adjacency_, co.wasserstein(co.projected(self.prototype_targets_, directions), self.adjacency_), support))
         self.actual_loss_ = co.overall_loss(losses).first()["loss"]
-        null = []
-        for k in range(self.n_null_permutations):
-            # Targets move as a whole; covers and prototypes are fitted anew.
-            mixed = _permuted_once(scaled, f"{seed}-{k}")
-            again = cut(mixed).persist()
-            null.append(0.0 if again.select("cell").distinct().count() < 2 else co.overall_loss(self._losses(again, directions)[-1]).first()["loss"])
-            again.unpersist()
+        # Targets move as a whole; prototypes are fitted anew for every permutation, all in one go.
+        by_cell = backend.by_permutation(self.n_null_permutations)
+        found = co.null_losses(s.select("row_id", "features", "target", "label"), by_cell.fit, self.n_null_permutations, directions, f"{seed}:")
+        null = [r["loss"] for r in sorted(found.collect(), key=lambda r: r["perm"])]
         self.null_losses_, self.null_loss_ = null, sum(null) / len(null)
         self.loss_ratio_ = self.actual_loss_ / self.null_loss_ if self.null_loss_ > co.EPS else 0.0 if self.actual_loss_ <= co.EPS else math.inf
         self.raw_index_ = co.raw_index(self.actual_loss_, self.null_loss_)
@@ -352,11 +403,3 @@ class ContinuousSeparability(_Params):
         self.macro_index_, self._weighted = bound(row["m"]), bound(row["w"])
         self.index = self._weighted if self.aggregation == "support_weighted" else self.macro_index_
         return self
-
-
-def _permuted_once(samples: DataFrame, key: str) -> DataFrame:
-    from isthmus.functions.session import numbered
-
-    x = numbered(samples.drop("target"), ["row_id"])
-    y = numbered(samples.select("row_id", "target").withColumn("h", F.md5(F.concat(F.lit(key + "-"), F.col("row_id").cast("string")).cast("binary"))), ["h", "row_id"])
-    return x.join(y.select("n", "target"), "n").drop("n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="isthmus-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -37,3 +40,35 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     added = df.sparkSession.createDataFrame(shift or [(0, 0)], "part long, shift long")
     out = dealt.withColumn("part", F.shiftright("__at", 33)).join(F.broadcast(added), "part")
     return out.withColumn(name, F.col("__at").bitwiseAND(F.lit(low)) + F.col("shift")).drop("__at", "part", "shift")
+
+
+#: Rows from which on quantiles come from a distributed sort instead of one buffer of distinct values; both are exact.
+SORTED_QUANTILES = 1_000_000
+
+
+def quantiles(values: DataFrame, probs: list[float], rows: int | None = None) -> dict:
+    """Exact, linearly interpolated quantiles of column v for each value of column g; values: g, v, row_id (distinct in g)."""
+    if rows is None:
+        rows = values.count()
+    if rows < SORTED_QUANTILES:
+        got = values.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+        return {r["g"]: list(r["q"]) for r in got}
+    # Places within the sorted table; only the rows at wanted places come to the driver.
+    sizes = sorted((r["g"], r["k"]) for r in values.groupBy("g").agg(F.count("*").alias("k")).collect())
+    start, wanted, at = {}, set(), 0
+    for g, k in sizes:
+        start[g], at = (at, k), at + k
+        for p in probs:
+            x = p * (k - 1)
+            wanted |= {start[g][0] + math.floor(x), start[g][0] + math.ceil(x)}
+    places = values.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "n long")
+    found = {r["n"]: r["v"] for r in numbered(values.select("g", "v", "row_id"), ["g", "v", "row_id"]).join(F.broadcast(places), "n").select("n", "v").collect()}
+    out = {}
+    for g, (base, k) in start.items():
+        out[g] = []
+        for p in probs:
+            x = p * (k - 1)
+            lo, hi = math.floor(x), math.ceil(x)
+            a, b = found[base + lo], found[base + hi]
+            out[g].append(a if lo == hi or a == b else (hi - x) * a + (x - lo) * b)
+    return out

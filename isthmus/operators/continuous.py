@@ -3,23 +3,24 @@
 Targets are scaled and cut into cells; prototypes are fitted by cell; each sample
 votes for the best prototype other than its own; Wasserstein distances between the
 targets of prototypes, weighted by these votes, are the loss; a permutation of targets gives
-the loss of chance. Distances come from counts of distinct values, joined to the pairs that occur.
+the loss of chance. Distances are integrated range by range of the target, for the pairs that occur.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isthmus.functions.session import numbered
+from isthmus.functions.session import numbered, quantiles, shared_root
 from isthmus.functions.vectors import EPS, total
 
 from . import prototypes as proto
-from .scoring import Block, by_batch, gathered, own_best, topk
+from .scoring import TIE_DIGITS, Block, Held, by_batch, gathered, held, matrix, own_best, topk
 
 SCALINGS = ("none", "standard", "minmax", "robust")
 
@@ -36,14 +37,16 @@ def scaled_targets(samples: DataFrame, how: str = "standard", digits: int | None
             y = F.col("target")[j]
             if how == "standard":
                 aggs += [F.avg(y).alias(f"c{j}"), F.stddev_pop(y).alias(f"s{j}")]
-            elif how == "minmax":
-                aggs += [F.min(y).alias(f"c{j}"), (F.max(y) - F.min(y)).alias(f"s{j}")]
             else:
-                q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                aggs += [q[1].alias(f"c{j}"), (q[2] - q[0]).alias(f"s{j}")]
-        r = samples.agg(*aggs).first()
-        center = [r[f"c{j}"] for j in range(d)]
-        scale = [r[f"s{j}"] if abs(r[f"s{j}"]) > EPS else 1.0 for j in range(d)]
+                aggs += [F.min(y).alias(f"c{j}"), (F.max(y) - F.min(y)).alias(f"s{j}")]
+        if how == "robust":
+            values = samples.select("row_id", F.posexplode("target").alias("g", "v"))
+            q = quantiles(values, [0.25, 0.5, 0.75])
+            center, scale = [q[j][1] for j in range(d)], [q[j][2] - q[j][0] for j in range(d)]
+        else:
+            r = samples.agg(*aggs).first()
+            center, scale = ([r[f"{n}{j}"] for j in range(d)] for n in "cs")
+        scale = [v if abs(v) > EPS else 1.0 for v in scale]
         samples = samples.withColumn("target", F.array(*((F.col("target")[j] - F.lit(center[j])) / F.lit(scale[j]) for j in range(d))))
     if digits is not None:
         samples = samples.withColumn("target", F.transform("target", lambda v: F.round(v, digits)))
@@ -79,8 +82,8 @@ def quantile_edges(samples: DataFrame, cells: int, digits: int | None = None) ->
     """Distinct inner quantiles of a univariate target, linearly interpolated."""
     if cells < 2:
         return []
-    at = F.array(*(F.lit(i / cells) for i in range(1, cells)))
-    q = samples.agg(F.percentile(F.col("target")[0], at).alias("q")).first()["q"] or []
+    values = samples.select("row_id", F.lit(0).alias("g"), F.col("target")[0].alias("v"))
+    q = quantiles(values, [i / cells for i in range(1, cells)]).get(0, [])
     return sorted({round(v, digits) if digits is not None else v for v in q})
 
 
@@ -93,38 +96,58 @@ def quantile_cells(samples: DataFrame, cells: int, digits: int | None = None) ->
     return samples.withColumn("cell", cell)
 
 
-def kmeans_cells(samples: DataFrame, cells: int, seed: int = 0) -> DataFrame:
+#: Keywords of the k-means cover of targets: those that steer it, and those that change nothing in its result.
+COVER_KEYWORDS, WITHOUT_EFFECT = ("n_init", "max_iter", "tol", "init", "random_state"), ("algorithm", "copy_x", "verbose")
+
+
+def cover_options(options: dict | None, seed: int = 0) -> dict:
+    """target_cover_kwargs as arguments of kmeans(); TypeError for a keyword that isn't known."""
+    options = dict(options or {})
+    for n in options:
+        if n not in COVER_KEYWORDS + WITHOUT_EFFECT:
+            raise TypeError(f"unexpected keyword {n!r} in target_cover_kwargs")
+    out = {k: v for k, v in options.items() if k in COVER_KEYWORDS and k != "random_state"}
+    if out.get("n_init", "auto") == "auto":
+        out["n_init"] = 1
+    return out | {"seed": seed if options.get("random_state") is None else options["random_state"]}
+
+
+def kmeans_cells(samples: DataFrame, cells: int, seed: int = 0, options: dict | None = None) -> DataFrame:
     """cell: nearest of k-means centres of the targets."""
     targets = samples.select("row_id", F.col("target").alias("features"), F.lit("t").alias("label"))
-    centers = proto.kmeans(targets, cells, seed)
+    centers = proto.kmeans(targets, cells, **cover_options(options, seed))
     near = topk(targets, centers, 1).select("row_id", F.col("pid").alias("cell"))
     return samples.join(near, "row_id")
 
 
-def cells_of(samples: DataFrame, cover: str, cells: int, seed: int = 0, digits: int | None = None) -> DataFrame:
-    out = quantile_cells(samples, cells, digits) if cover == "quantile" else kmeans_cells(samples, cells, seed)
+def cells_of(samples: DataFrame, cover: str, cells: int, seed: int = 0, digits: int | None = None, options: dict | None = None) -> DataFrame:
+    out = quantile_cells(samples, cells, digits) if cover == "quantile" else kmeans_cells(samples, cells, seed, options)
     return out.withColumn("label", F.format_string("%06d", F.col("cell").cast("int")))
 
 
-def adjacency(samples: DataFrame, prototypes: DataFrame, own: DataFrame) -> DataFrame:
-    """p, q, n, alpha: samples of prototype p whose best prototype other than p is q (of any cell), and their share among p's."""
-    if len(gathered(prototypes)) <= 1:
-
-        def emit(named, x, block: Block):
-            at = {int(p): i for i, p in enumerate(block.pid)}
-            mine = np.array([at[p] for p in named["pid"].to_pylist()])
-            s = np.round(block.scores(x), 12)  # sums come in any order: scores that differ less are ties
-            if s.shape[1] < 2:
-                return None
-            s[np.arange(len(s)), mine] = -np.inf
-            best = np.lexsort((np.broadcast_to(block.pid, s.shape), -s), axis=1)[:, 0]
-            pair, n = np.unique(mine * len(block.pid) + best, return_counts=True)
-            return {"p": block.pid[pair // len(block.pid)].astype(np.int32), "q": block.pid[pair % len(block.pid)].astype(np.int32), "n": n.astype(np.int64)}
-
-        votes = by_batch(samples.join(own.select("row_id", "pid"), "row_id"), prototypes, ["pid"], "p int, q int, n long", emit)
+def adjacency(samples: DataFrame, prototypes: DataFrame | Held, own: DataFrame) -> DataFrame:
+    """p, q, n, alpha: samples of prototype p whose best prototype other than p is q (of any cell), and their share among p's; ties go to the lower q."""
+    prototypes = held(prototypes)
+    one = len(prototypes) <= 1
+
+    def emit(named, x, block: Block):
+        mine = named["pid"].to_numpy()
+        s = np.round(block.scores(x), TIE_DIGITS)
+        s[block.pid[None, :] == mine[:, None]] = -np.inf
+        best = np.lexsort((np.broadcast_to(block.pid, s.shape), -s), axis=1)[:, 0]
+        score, q = s[np.arange(len(s)), best], block.pid[best]
+        there = np.isfinite(score)
+        if not one:
+            return {"row_id": named["row_id"].to_numpy()[there], "p": mine[there].astype(np.int32), "q": q[there].astype(np.int32), "far": -score[there]}
+        pair, n = np.unique(mine[there].astype(np.int64) << 32 | q[there], return_counts=True)
+        return {"p": (pair >> 32).astype(np.int32), "q": (pair & 0xFFFFFFFF).astype(np.int32), "n": n.astype(np.int64)}
+
+    mine = samples.join(own.select("row_id", "pid"), "row_id")
+    if one:
+        votes = by_batch(mine, prototypes, ["pid"], "p int, q int, n long", emit)
     else:
-        two = topk(samples, prototypes, 2).join(own.select("row_id", F.col("pid").alias("p")), "row_id").where("pid <> p")
-        votes = two.groupBy("row_id", "p").agg(F.min_by("pid", "rank").alias("q")).select("p", "q", F.lit(1).cast("long").alias("n"))
+        each = by_batch(mine, prototypes, ["row_id", "pid"], "row_id long, p int, q int, far double", emit)
+        votes = each.groupBy("row_id", "p").agg(F.min(F.struct("far", "q")).alias("b")).select("p", F.col("b.q").alias("q"), F.lit(1).cast("long").alias("n"))
     counted = votes.groupBy("p", "q").agg(F.sum("n").alias("n"))
     return counted.withColumn("alpha", F.col("n") / F.sum("n").over(Window.partitionBy("p")))
 
@@ -145,8 +168,12 @@ def projected(targets: DataFrame, directions: list[list[float]] | None) -> DataF
     """pid, dir, v: a univariate target as it is, or the target along each direction."""
     if directions is None:
         return targets.select("pid", F.lit(0).alias("dir"), F.col("target")[0].alias("v"))
-    dots = F.array(*(total(F.zip_with("target", F.array(*map(F.lit, w)), lambda a, b: a * b)) for w in directions))
-    return targets.select("pid", F.posexplode(dots).alias("dir", "v"))
+    return targets.select("pid", F.posexplode(_dots(directions)).alias("dir", "v"))
+
+
+def _dots(directions: list[list[float]]):
+    """The target along each direction."""
+    return F.array(*(total(F.zip_with("target", F.array(*map(F.lit, w)), lambda a, b: a * b)) for w in directions))
 
 
 def random_directions(n: int, d: int, seed: int | None = None) -> list[list[float]]:
@@ -156,22 +183,77 @@ def random_directions(n: int, d: int, seed: int | None = None) -> list[list[floa
 
 def wasserstein(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """p, q, distance: mean over directions of the area between the distribution functions of v in p and in q. values: pid, dir, v; pairs without values on a side don't come back."""
-    counts = values.groupBy("pid", "dir", "v").agg(F.count("*").alias("c"))
-    size = F.sum("c").over(Window.partitionBy("pid", "dir"))
-    mass = counts.select("pid", "dir", "v", (F.col("c") / size).alias("w"))
-    both = mass.select("pid").distinct()
-    wanted = pairs.select("p", "q").distinct().join(both.withColumnRenamed("pid", "p"), "p", "left_semi").join(both.withColumnRenamed("pid", "q"), "q", "left_semi")
-    left = wanted.join(mass.withColumnRenamed("pid", "p"), "p").select("p", "q", "dir", "v", "w")
-    right = wanted.join(mass.withColumnRenamed("pid", "q"), "q").select("p", "q", "dir", "v", (-F.col("w")).alias("w"))
-    steps = left.unionByName(right).groupBy("p", "q", "dir", "v").agg(F.sum("w").alias("w"))
-    w = Window.partitionBy("p", "q", "dir").orderBy("v")
-    area = steps.select("p", "q", "dir", (F.abs(F.sum("w").over(w)) * (F.lead("v").over(w) - F.col("v"))).alias("a"))
-    one = area.groupBy("p", "q", "dir").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("d"))
-    return one.groupBy("p", "q").agg(F.avg("d").alias("distance"))
+    found = wasserstein_by_group(values.withColumn("g", F.lit(0)), pairs.select(F.lit(0).alias("g"), "p", "q"))
+    return found.select("p", "q", "distance")
+
+
+def wasserstein_by_group(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """g, p, q, distance for values (g, pid, dir, v) and pairs (g, p, q) within groups.
+
+    Distinct values with their counts are cut into ranges of (g, dir, v). A range knows the mass that each prototype
+    has before it, and adds up its own part of every pair's area, up to where the next range starts; no task takes
+    all values of a prototype or a pair. Pairs are those of prototypes, thus few: they are broadcast.
+    """
+    spark = values.sparkSession
+    shared_root(spark)
+    counts = values.groupBy("g", "dir", "v", "pid").agg(F.count("*").alias("c"))
+    dealt = counts.repartitionByRange("g", "dir", "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    mass = dealt.groupBy("g", "dir", "pid", "part").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "dir", "pid").orderBy("part"))
+    size = F.sum("c").over(Window.partitionBy("g", "dir", "pid"))
+    # For every range of a direction the mass before it, also of prototypes without values in it.
+    ranges = dealt.groupBy("g", "dir", "part").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ranges = ranges.withColumn("end", F.coalesce(F.lead("low").over(Window.partitionBy("g", "dir").orderBy("part")), "high"))
+    before = mass.select("g", "dir", "pid", F.col("part").alias("at"), upto.alias("upto"), size.alias("size"))
+    known = ranges.join(before, ["g", "dir"]).groupBy("g", "dir", "part", "low", "end", "pid", "size").agg(F.max(F.when(F.col("at") < F.col("part"), F.col("upto"))).alias("before"))
+    edges = known.groupBy("g", "dir", "part", "low", "end").agg(F.collect_list(F.struct("pid", "size", F.coalesce("before", F.lit(0)).alias("before"))).alias("known"))
+    wanted: dict[int, list] = {}
+    for r in pairs.select("g", "p", "q").distinct().collect():
+        wanted.setdefault(r["g"], []).append((r["p"], r["q"]))
+    every = spark.sparkContext.broadcast(wanted)
+
+    def run(left, right):
+        import pyarrow as pa
+
+        out: list[list] = [[] for _ in range(5)]
+        key = left.column("g").to_numpy().astype(np.int64) << 32 | left.column("dir").to_numpy()
+        v, c, pid = left.column("v").to_numpy(), left.column("c").to_numpy().astype(float), left.column("pid").to_numpy()
+        order = np.lexsort((v, key))
+        key, v, c, pid = key[order], v[order], c[order], pid[order]
+        for e in right.to_pylist():
+            name = e["g"] << 32 | e["dir"]
+            rows = np.arange(*np.searchsorted(key, [name, name + 1]))
+            size = {k["pid"]: k["size"] for k in e["known"]}
+            base = {k["pid"]: k["before"] / k["size"] for k in e["known"]}
+            own: dict[int, tuple] = {}
+            for i in np.unique(pid[rows]).tolist():
+                mine = rows[pid[rows] == i]
+                own[i] = (v[mine], c[mine] / size[i])
+            none = (np.zeros(0), np.zeros(0))
+            for p, q in every.value.get(e["g"], ()):
+                if p not in size or q not in size:
+                    continue
+                (vp, wp), (vq, wq) = own.get(p, none), own.get(q, none)
+                at = np.concatenate([vp, vq])
+                order = np.argsort(at, kind="stable")
+                edge = np.concatenate([[e["low"]], at[order], [e["end"]]])
+                gap = base[p] - base[q] + np.concatenate([[0.0], np.cumsum(np.concatenate([wp, -wq])[order])])
+                for col, x in zip(out, (e["g"], e["dir"], p, q, float((np.abs(gap) * np.diff(edge)).sum())), strict=True):
+                    col.append(x)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("g", "dir", "p", "q", "a"), out, kinds, strict=True)})
+
+    # New names for the ranges' columns: both sides come from one table.
+    edges = edges.select(F.col("part").alias("range"), *(F.col(c).alias(c) for c in ("g", "dir", "low", "end", "known")))
+    areas = dealt.groupBy("part").cogroup(edges.groupBy("range")).applyInArrow(run, "g int, dir int, p int, q int, a double")
+    one = areas.groupBy("g", "p", "q", "dir").agg(F.sum("a").alias("d"))
+    return one.groupBy("g", "p", "q").agg(F.avg("d").alias("distance"))
 
 
 def local_losses(adj: DataFrame, distances: DataFrame, support: DataFrame) -> DataFrame:
     """pid, support, loss: the distances of a prototype to those its samples vote for, weighted by votes; 0 without votes."""
+    d = F.col("distance")
+    distances = distances.withColumn("distance", F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.raise_error("the distance of two target distributions is not finite").cast("double")).otherwise(d))
     sums = adj.join(distances, ["p", "q"]).groupBy(F.col("p").alias("pid")).agg(F.sum(F.col("alpha") * F.col("distance")).alias("loss"))
     return support.select("pid", "support").join(sums, "pid", "left").select("pid", "support", F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
@@ -198,17 +280,67 @@ def clipped(column, on: bool = True):
     return F.least(F.greatest(column, F.lit(0.0)), F.lit(1.0)) if on else column
 
 
-def permuted(samples: DataFrame, permutations: int, columns: list[str]) -> DataFrame:
-    """perm, and every sample with the given columns of another, by the order of md5(row_id-perm): a permutation of the table for each perm, jointly for all columns."""
-    spark = samples.sparkSession
+def permuted(samples: DataFrame, permutations: int, columns: list[str], key: str = "") -> DataFrame:
+    """perm, and every sample with the given columns of another, by the order of md5(key + row_id-perm): a permutation of the table for each perm, jointly for all columns."""
     x = numbered(samples.drop(*columns), ["row_id"])
     n = x.count()
-    y = samples.select("row_id", *columns).crossJoin(F.broadcast(spark.range(permutations).select(F.col("id").cast("int").alias("perm"))))
-    y = y.withColumn("h", F.md5(F.concat_ws("-", F.col("row_id").cast("string"), F.col("perm").cast("string")).cast("binary")))
+    y = samples.select("row_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
+    y = y.withColumn("h", F.md5(F.concat(F.lit(key), F.col("row_id").cast("string"), F.lit("-"), F.col("perm").cast("string")).cast("binary")))
     y = numbered(y, ["perm", "h", "row_id"], "at").select("perm", (F.col("at") - F.col("perm") * F.lit(n)).alias("n"), *columns)
     return x.join(y, "n").drop("n")
 
 
+def null_losses(samples: DataFrame, fit: Callable[[DataFrame], DataFrame], permutations: int, directions: list[list[float]] | None = None, key: str = "") -> DataFrame:
+    """perm, loss: the loss of each permutation of the targets, with prototypes fitted anew; all permutations at once. samples: row_id, features, target, label (the cell). fit: prototypes by label.
+
+    Cells follow from the targets as a set, so a target takes its cell along. A cell of a permutation is a class
+    of its own to the fit; a sample is scored against the prototypes of its permutation only.
+    """
+    shuffled = permuted(samples.select("row_id", "features", "target", "label"), permutations, ["target", "label"], key)
+    shuffled = shuffled.withColumn("label", F.concat(F.format_string("%06d|", F.col("perm")), F.col("label"))).checkpoint()
+    blocks: dict[int, list] = {}
+    for block in gathered(fit(shuffled)):
+        for g in sorted({int(c[:6]) for c in block.classes}):
+            blocks.setdefault(g, []).append(block)
+    for g, parts in blocks.items():
+        center, pid, names, ball = [], [], [], []
+        for b in parts:
+            mine = np.array([int(b.classes[i][:6]) == g for i in b.of])
+            center.append(b.center[mine])
+            pid.append(b.pid[mine])
+            names += [b.classes[i] for i in b.of[mine]]
+            ball.append(None if b.radius2 is None else b.radius2[mine])
+        classes = sorted(set(names))
+        blocks[g] = Block(np.concatenate(pid), classes, np.array([classes.index(c) for c in names]), np.concatenate(center), None if ball[0] is None else np.concatenate(ball))
+    every = samples.sparkSession.sparkContext.broadcast(blocks)
+
+    def vote(batches):
+        """The sample's own prototype and the best other one."""
+        import pyarrow as pa
+
+        for batch in batches:
+            perm, y = batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
+            for g in np.unique(perm).tolist():
+                rows = np.flatnonzero(perm == g)
+                b, x = every.value[g], matrix(batch.column(0).take(pa.array(rows)))
+                at = {c: i for i, c in enumerate(b.classes)}
+                s = np.round(b.scores(x), TIE_DIGITS)
+                own = np.where(b.of[None, :] == np.array([at[c] for c in y[rows]])[:, None], s, -np.inf).argmax(axis=1)
+                s[np.arange(len(s)), own] = -np.inf
+                best = s.argmax(axis=1)
+                q = pa.array(b.pid[best].astype(np.int32), mask=~np.isfinite(s[np.arange(len(s)), best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g, np.int32)), pa.array(b.pid[own].astype(np.int32)), q, batch.column(3).take(pa.array(rows))], names=["g", "pid", "q", "target"])
+
+    votes = shuffled.select("features", "perm", "label", "target").mapInArrow(vote, "g int, pid int, q int, target array<double>").checkpoint()
+    adj = votes.where("q is not null").groupBy("g", F.col("pid").alias("p"), "q").agg(F.count("*").alias("n"))
+    values = votes.select("g", "pid", "target")
+    values = values.select("g", "pid", F.lit(0).alias("dir"), F.col("target")[0].alias("v")) if directions is None else values.select("g", "pid", F.posexplode(_dots(directions)).alias("dir", "v"))
+    distances = wasserstein_by_group(values, adj)
+    total = votes.groupBy("g").agg(F.count("*").alias("total"))
+    sums = adj.join(distances, ["g", "p", "q"]).groupBy("g").agg(F.sum(F.col("n") * F.col("distance")).alias("s"))
+    return total.join(sums, "g", "left").select(F.col("g").alias("perm"), (F.coalesce("s", F.lit(0.0)) / F.col("total")).alias("loss"))
+
+
 def null_losses_of_means(samples: DataFrame, distances: DataFrame, permutations: int, d: int) -> DataFrame:
     """perm, loss: the loss of each permutation with one prototype, the mean, for each cell; all permutations at once.
 
@@ -222,14 +354,12 @@ def null_losses_of_means(samples: DataFrame, distances: DataFrame, permutations:
     center = np.full((permutations, len(ids), d), np.inf)
     for r in means:
         center[r["perm"], at[r["pid"]]] = [r[f"m{j}"] for j in range(d)]
-    held = samples.sparkSession.sparkContext.broadcast((center, np.array(ids)))
+    means_of = samples.sparkSession.sparkContext.broadcast((center, np.array(ids)))
 
     def votes(batches):
         import pyarrow as pa
 
-        from .scoring import matrix
-
-        c, names = held.value
+        c, names = means_of.value
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .validation import is_multilabel
+
 
 def from_indicator(samples: DataFrame, column: str = "indicator") -> DataFrame:
     """labels: the positions of the ones of a 0/1 array; any other value raises."""
@@ -17,10 +19,7 @@ def from_indicator(samples: DataFrame, column: str = "indicator") -> DataFrame:
 
 def normalized(samples: DataFrame, column: str = "labels") -> DataFrame:
     """labels as distinct strings, from an array or a single label; a row without any raises."""
-    from pyspark.sql.types import ArrayType
-
-    kind = samples.schema[column].dataType
-    labels = F.col(column).cast("array<string>") if isinstance(kind, ArrayType) else F.array(F.col(column).cast("string"))
+    labels = F.col(column).cast("array<string>") if is_multilabel(samples, column) else F.array(F.col(column).cast("string"))
     labels = F.array_distinct(F.filter(labels, lambda v: v.isNotNull()))
     empty = labels.isNull() | (F.size(labels) == 0)
     return samples.withColumn("labels", F.when(empty, F.raise_error("every row needs a label").cast("array<string>")).otherwise(labels))
@@ -40,9 +39,11 @@ def dimension(samples: DataFrame) -> DataFrame:
 def pair_rows(samples: DataFrame) -> DataFrame:
     """y, b, n: rows that carry y and not b, for each ordered pair of labels with such rows.
 
-    From counts of labels and of label pairs within rows, so that no join of rows is needed.
+    From counts of labels and of label pairs within rows, so that no join of rows is needed; the
+    labels, which are few, come to the driver and go out as one array.
     """
     one = exploded(samples.select("row_id", "labels")).groupBy(F.col("label").alias("y")).agg(F.count("*").alias("n_y"))
+    names = sorted(r["y"] for r in one.select("y").collect())
     both = samples.select(F.explode("labels").alias("y"), "labels").select("y", F.explode("labels").alias("b")).groupBy("y", "b").agg(F.count("*").alias("n_both"))
-    pairs = one.crossJoin(one.select(F.col("y").alias("b"))).where("y <> b")
+    pairs = one.select("y", "n_y", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("b")).where("y <> b")
     return pairs.join(both, ["y", "b"], "left").select("y", "b", (F.col("n_y") - F.coalesce("n_both", F.lit(0))).alias("n")).where("n > 0")

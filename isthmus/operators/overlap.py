@@ -7,14 +7,15 @@ Counters are integers and additive; ratios come last.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isthmus.functions.vectors import distance2
-
-from .scoring import Block, by_batch, class_top2, gathered
+from .scoring import Block, Held, by_batch, class_top2, held
 
 COUNTS = "y string, b string, adj long, cardinality long"
 
@@ -51,9 +52,10 @@ def summed(counts: DataFrame) -> DataFrame:
     return out.withColumn("pairwise_index", 1 - F.col("adj") / F.col("cardinality"))
 
 
-def pairwise(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
+def pairwise(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
     """Directed pairwise indices of samples with one label each. With all prototypes in one block a batch of samples leaves as C x C counters; else the two best scores by class are joined."""
-    if len(gathered(prototypes)) <= 1:
+    prototypes = held(prototypes)
+    if len(prototypes) <= 1:
 
         def emit(named, x, block):
             c = len(block.classes)
@@ -76,7 +78,7 @@ def pairwise(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     return summed(both.groupBy("y", "b").agg(F.count_if(hit).alias("adj"), F.count("*").alias("cardinality")))
 
 
-def multilabel_counts(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
+def multilabel_counts(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
     """y, b, adj, cardinality over the rows that carry y and not b; samples: row_id, features, labels."""
 
     def emit(named, x, block):
@@ -94,7 +96,8 @@ def multilabel_counts(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
             adj[y] = (free & (one[rows] > two[rows, y][:, None])).sum(axis=0)
         return _pairs(block.classes, adj, n)
 
-    if len(gathered(prototypes)) <= 1:
+    prototypes = held(prototypes)
+    if len(prototypes) <= 1:
         return summed(by_batch(samples, prototypes, ["labels"], COUNTS, emit))
     top = class_top2(samples, prototypes)
     own = samples.select("row_id", "labels", F.explode("labels").alias("y")).join(top.select("row_id", F.col("class").alias("y"), "s2"), ["row_id", "y"])
@@ -103,34 +106,104 @@ def multilabel_counts(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     return summed(both.groupBy("y", "b").agg(F.count_if(hit).alias("adj"), F.count("*").alias("cardinality")))
 
 
-def replayed(samples: DataFrame, prototypes: DataFrame, first_seen: dict[int, int], support_of: DataFrame | None = None) -> DataFrame:
-    """pairwise() where a sample sees only the prototypes first assigned up to its own place in the order; the cardinality is the class's whole support."""
+def replayed(samples: DataFrame, prototypes: DataFrame | Held, first_seen: dict[int, int]) -> DataFrame:
+    """pairwise() where a sample sees only the prototypes first assigned up to its own place in the order; the cardinality is the class's whole support. Samples whose label owns no prototype are left out."""
+    prototypes = held(prototypes)
     seen = samples.sparkSession.sparkContext.broadcast(first_seen)
 
-    def emit(named, x, block):
-        c = len(block.classes)
-        at = {v: i for i, v in enumerate(block.classes)}
-        y = np.array([at.get(v, -1) for v in named["label"].to_pylist()])
+    def visible(named, x, block):
         first = np.array([seen.value[int(p)] for p in block.pid])
-        s = np.where(first[None, :] <= named["ord"].to_numpy()[:, None], block.scores(x), -np.inf)
-        one, two = best_two(block, s)
-        over = (one > two[np.arange(len(y)), y][:, None]) & np.isfinite(one)
-        adj, n = np.zeros((c, c)), np.zeros((c, c))
-        np.add.at(adj, y, over)
-        np.add.at(n, y, 1)
-        return _pairs(block.classes, adj, n)
+        return best_two(block, np.where(first[None, :] <= named["ord"].to_numpy()[:, None], block.scores(x), -np.inf))
+
+    if len(prototypes) <= 1:
+
+        def emit(named, x, block):
+            c = len(block.classes)
+            at = {v: i for i, v in enumerate(block.classes)}
+            y = np.array([at.get(v, -1) for v in named["label"].to_pylist()])
+            one, two = visible(named, x, block)
+            known = y >= 0
+            y, one, two = y[known], one[known], two[known]
+            over = (one > two[np.arange(len(y)), y][:, None]) & np.isfinite(one)
+            adj, n = np.zeros((c, c)), np.zeros((c, c))
+            np.add.at(adj, y, over)
+            np.add.at(n, y, 1)
+            return _pairs(block.classes, adj, n)
 
-    return summed(by_batch(samples, prototypes, ["label", "ord"], COUNTS, emit))
+        return summed(by_batch(samples, prototypes, ["label", "ord"], COUNTS, emit))
 
+    def emit_two(named, x, block):
+        import pyarrow as pa
 
-def class_distances(prototypes: DataFrame) -> DataFrame:
-    """a, b, distance: least distance between prototypes of two classes (prototypes are few; one side is broadcast)."""
-    a = prototypes.select(F.col("class").alias("a"), F.col("center").alias("ca"))
-    b = prototypes.select(F.col("class").alias("b"), F.col("center").alias("cb"))
-    return a.crossJoin(F.broadcast(b)).where("a <> b").groupBy("a", "b").agg(F.sqrt(F.min(distance2(F.col("ca"), F.col("cb")))).alias("distance"))
+        one, two = visible(named, x, block)
+        c = len(block.classes)
+        out = {"row_id": np.repeat(named["row_id"].to_numpy(), c), "label": np.repeat(np.array(named["label"].to_pylist(), dtype=object), c), "class": np.tile(np.array(block.classes, dtype=object), len(one))}
+        return out | {n: pa.array(v.ravel(), mask=~np.isfinite(v.ravel())) for n, v in (("s1", one), ("s2", two))}
+
+    top = by_batch(samples, prototypes, ["row_id", "label", "ord"], "row_id long, label string, class string, s1 double, s2 double", emit_two)
+    own = top.where("label = class").select("row_id", F.col("class").alias("y"), "s2")
+    both = own.join(top.select("row_id", F.col("class").alias("b"), "s1"), "row_id").where("y <> b")
+    hit = F.col("s1").isNotNull() & (F.col("s2").isNull() | (F.col("s1") > F.col("s2")))
+    return summed(both.groupBy("y", "b").agg(F.count_if(hit).alias("adj"), F.count("*").alias("cardinality")))
 
 
-def competitors(prototypes: DataFrame, order: DataFrame, mode: str = "all", top_m: int | None = None) -> DataFrame:
+def accumulated(pairs: DataFrame, support_of: DataFrame, before: tuple[DataFrame, DataFrame, DataFrame] | None = None, by_pair: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, support and singletons after one more batch of counts on top of `before` (what this returned for the batch before).
+
+    Overlaps and supports add up. A pair of this batch gets its index anew, over the support of its class in all batches
+    (by_pair: over its own rows in all batches); other pairs keep theirs. A class of this batch gets its least index
+    among this batch's pairs; other classes keep theirs.
+    """
+    pairs, support_of = pairs.select("y", "b", "adj", "cardinality"), support_of.select("label", "support")
+    if before is None:
+        found = summed(pairs)
+        return found, support_of, singleton(found, support_of)
+    old_pairs, old_support, old_single = before
+    support_all = old_support.unionByName(support_of).groupBy("label").agg(F.sum("support").alias("support"))
+    old = old_pairs.select("y", "b", F.col("adj").alias("old_adj"), F.col("cardinality").alias("old_n"), F.col("pairwise_index").alias("old_index"))
+    both = pairs.join(old, ["y", "b"], "full").join(support_all.select(F.col("label").alias("y"), "support"), "y")
+    here, zero = F.col("adj").isNotNull(), F.lit(0)
+    adj = F.coalesce("adj", zero) + F.coalesce("old_adj", zero)
+    n = F.coalesce("cardinality", zero) + F.coalesce("old_n", zero) if by_pair else F.col("support")
+    found = both.select("y", "b", adj.alias("adj"), F.when(here, n).otherwise(F.col("old_n")).alias("cardinality"), F.when(here, 1 - adj / n).otherwise(F.col("old_index")).alias("pairwise_index"), here.alias("here"))
+    low = found.where("here").groupBy("y").agg(F.min("pairwise_index").alias("m"))
+    now = support_of.select(F.col("label").alias("y"), F.lit(True).alias("here"))
+    single = support_all.withColumnRenamed("label", "y").join(low, "y", "left").join(now, "y", "left").join(old_single.select("y", F.col("singleton_index").alias("old_index")), "y", "left")
+    value = F.when(F.col("here"), F.coalesce("m", F.lit(1.0))).otherwise(F.coalesce("old_index", F.lit(1.0)))
+    return found.drop("here"), support_all, single.select("y", "support", value.alias("singleton_index"))
+
+
+def class_distances(prototypes: DataFrame | Held) -> DataFrame:
+    """a, b, distance: least distance between prototypes of two classes. Prototypes are scored against themselves, block by block; what leaves a batch is a row for each pair of classes."""
+    blocks = held(prototypes)
+    spark = SparkSession.active()
+    parts = []
+    for left in blocks.blocks:
+
+        def run(batches, left=left, right=tuple(blocks.blocks)):
+            import pyarrow as pa
+
+            a = left.value
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    rows = a.center[a.of == i]
+                    own, some = a.classes[i], []
+                    for block in right:
+                        b = block.value
+                        least = np.full(len(b.classes), np.inf)
+                        for start in range(0, len(rows), 256):  # differences, so that equal centres are 0 apart
+                            for j in range(0, len(b.center), 256):
+                                d2 = ((rows[start : start + 256, None, :] - b.center[None, j : j + 256]) ** 2).sum(axis=2).min(axis=0)
+                                np.minimum.at(least, b.of[j : j + 256], d2)
+                        some += [(c, math.sqrt(v)) for c, v in zip(b.classes, least.tolist(), strict=True) if c != own]
+                    if some:
+                        yield pa.RecordBatch.from_arrays([pa.array([own] * len(some)), pa.array([c for c, _ in some]), pa.array([v for _, v in some])], names=["a", "b", "distance"])
+
+        parts.append(spark.range(len(left.value.classes)).mapInArrow(run, "a string, b string, distance double"))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "a string, b string, distance double")
+
+
+def competitors(prototypes: DataFrame | Held, order: DataFrame, mode: str = "all", top_m: int | None = None) -> DataFrame:
     """y, b, rank, distance: all other classes, or the top_m nearest; ties go to the class that comes first (order: label, idx)."""
     if mode not in ("all", "top_m"):
         raise ValueError("multilabel_pair_mode must be 'all' or 'top_m'")

@@ -7,6 +7,7 @@ more than SMALL entries; larger ones are fitted by rounds over the distributed t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from isthmus.functions.session import quantiles, shared_root
 from isthmus.functions.vectors import l2_normalized, total
 
-from .scoring import PROTOTYPES, Block, by_batch, gathered, matrix
+from .scoring import PROTOTYPES, Block, by_batch, matrix, own_best
 
 #: Numbers (rows times features) of a class that one task takes.
 SMALL = 20_000_000
-#: Rows that the mini-batches of a class are drawn from: so many batches of the batch size.
-BATCHES = 16
 EPS32 = 1.1920929e-07
 
 
@@ -36,9 +36,10 @@ def per_class(value, label, what: str):
     """A parameter that is one value or a mapping by class; a class missing from a mapping is an error."""
     if isinstance(value, dict):
         named = {str(k): v for k, v in value.items()}
-        if str(label) not in named:
+        plain = str(label).lstrip("0") or "0"  # cells have leading zeros
+        if str(label) not in named and plain not in named:
             raise ValueError(f"{what} has no value for class {label}")
-        return named[str(label)]
+        return named.get(str(label), named.get(plain))
     return value
 
 
@@ -96,25 +97,59 @@ def lloyd(samples: DataFrame, start: DataFrame, iterations: int, tolerance: floa
     return current
 
 
-def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ starting centres."""
-    centers = [x[rng.integers(len(x))]]
-    near = ((x - centers[0]) ** 2).sum(axis=1)
-    while len(centers) < k:
-        p = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
-        centers.append(x[rng.choice(len(x), p=p)])
-        near = np.minimum(near, ((x - centers[-1]) ** 2).sum(axis=1))
-    return np.array(centers)
+#: The uniform numbers of a step are those of the rows, turned by this much (the golden section).
+TURN = 0.6180339887498949
 
 
-def kmeans_matrix(x: np.ndarray, k: int, seed: int = 0, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
-    """Lloyd's algorithm on a matrix: the best of n_init starts."""
+def drawn(samples: DataFrame, seed: int, starts: int = 1) -> DataFrame:
+    """Adds u: for each of several starts a number in [0, 1) from the row's id alone, so that what is drawn depends neither on the order nor on the split of the table."""
+    one = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-{s}-"), F.col("row_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52)) for s in range(starts)]
+    return samples.withColumn("u", F.array(*one))
+
+
+def turned(u: np.ndarray, step: int) -> np.ndarray:
+    return (u + step * TURN) % 1.0
+
+
+def race(u: np.ndarray, near: np.ndarray, step: int) -> np.ndarray:
+    """Keys of which the least is a row drawn with a chance in proportion to its squared distance; rows at distance 0 come after all others, in random order."""
+    r = turned(u, step)
+    with np.errstate(divide="ignore"):
+        return np.where(near > 0, -np.log(np.maximum(r, 1e-300)) / np.where(near > 0, near, 1.0), 1e300 * (1 + r))
+
+
+def nearest2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to its nearest centre, by differences."""
+    near = np.full(len(x), np.inf)
+    for v in c:
+        near = np.minimum(near, ((x - v) ** 2).sum(axis=1))
+    return near
+
+
+def start_rows(x: np.ndarray, u: np.ndarray, k: int, init: str) -> np.ndarray:
+    """Rows that start k clusters: those with the least numbers, or one after another by k-means++."""
+    if init == "random":
+        return np.argsort(u, kind="stable")[:k]
+    rows = [int(u.argmin())]
+    near = ((x - x[rows[0]]) ** 2).sum(axis=1)
+    for t in range(1, k):
+        rows.append(int(race(u, near, t).argmin()))
+        near = np.minimum(near, ((x - x[rows[-1]]) ** 2).sum(axis=1))
+    return np.array(rows)
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * x @ c.T, 0)
+
+
+def kmeans_matrix(x: np.ndarray, u: np.ndarray, k: int, init: str = "k-means++", max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
+    """Lloyd's algorithm on a matrix: the best of as many starts as u has columns."""
     best, least = None, np.inf
     tolerance = tol * x.var(axis=0).mean()
-    for start in range(n_init):
-        c = plus_plus(x, k, np.random.default_rng((seed, start)))
+    for start in range(u.shape[1]):
+        c = x[start_rows(x, u[:, start], k, init)]
         for _ in range(max_iter):
-            d2 = np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * x @ c.T, 0)
+            d2 = squared(x, c)
             own = d2.argmin(axis=1)
             n = np.bincount(own, minlength=k)
             new = np.stack([np.bincount(own, x[:, j], minlength=k) for j in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
@@ -124,48 +159,67 @@ def kmeans_matrix(x: np.ndarray, k: int, seed: int = 0, n_init: int = 1, max_ite
             c = new
             if moved <= tolerance:
                 break
-        inertia = np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * x @ c.T, 0).min(axis=1).sum()
+        inertia = squared(x, c).min(axis=1).sum()
         if inertia < least:
             best, least = c, inertia
     return best
 
 
-def minibatch_matrix(x: np.ndarray, k: int, seed: int = 0, batch_size: int = 8192, max_iter: int = 100, n_init: int = 1) -> np.ndarray:
-    """Mini-batch k-means: centres move to the mean of all they were ever given. Starts from random samples, the best of n_init on one batch."""
-    rng = np.random.default_rng(seed)
-    probe = x[rng.choice(len(x), min(len(x), batch_size), replace=False)]
-    starts = [x[rng.choice(len(x), k, replace=False)] for _ in range(n_init)]
-    c = min(starts, key=lambda s: ((probe[:, None, :] - s[None]) ** 2).sum(axis=2).min(axis=1).sum() if n_init > 1 else 0).copy()
-    seen = np.zeros(k)
-    for _ in range(max_iter):
-        part = x[rng.integers(0, len(x), min(batch_size, len(x)))]
-        own = ((part**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * part @ c.T).argmin(axis=1)
-        n = np.bincount(own, minlength=k)
-        sums = np.stack([np.bincount(own, part[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
+def batch_rows(u: np.ndarray, step: int, batch_size: int, n: int) -> np.ndarray:
+    """Which rows are in the mini-batch of a step: of all n rows of the class each with the chance batch_size / n."""
+    return turned(u, step) < batch_size / n
+
+
+class Running:
+    """Centres that are the means of all the samples they were ever given."""
+
+    def __init__(self, centers: np.ndarray):
+        self.c, self.seen = centers.astype(float).copy(), np.zeros(len(centers))
+
+    def step(self, sums: np.ndarray, n: np.ndarray) -> float:
+        """Takes the sums and numbers of a mini-batch's samples by centre; returns how far the centres moved, squared."""
         some = n > 0
-        seen += n
-        step = c[some] + (sums[some] - n[some, None] * c[some]) / seen[some, None]
-        moved = ((step - c[some]) ** 2).sum()
-        c[some] = step
-        if moved < 1e-9:
+        self.seen += n
+        move = (sums[some] - n[some, None] * self.c[some]) / self.seen[some, None]
+        self.c[some] += move
+        return float((move**2).sum())
+
+
+#: A mini-batch that moves the centres less than this, squared, is the last one.
+STILL = 1e-9
+
+
+def minibatch_matrix(x: np.ndarray, u: np.ndarray, k: int, batch_size: int = 8192, max_iter: int = 100, init: str = "random") -> np.ndarray:
+    """Mini-batch k-means on a matrix; of several starts the best on the first batch."""
+    first = x[batch_rows(u[:, 0], 0, batch_size, len(x))]
+    starts = [x[start_rows(x, u[:, s], k, init)] for s in range(u.shape[1])]
+    state = Running(min(starts, key=lambda c: squared(first, c).min(axis=1).sum()) if len(starts) > 1 else starts[0])
+    for t in range(max_iter):
+        part = x[batch_rows(u[:, 0], t, batch_size, len(x))]
+        if not len(part):
+            continue
+        own = squared(part, state.c).argmin(axis=1)
+        if state.step(np.stack([np.bincount(own, part[:, j], minlength=k) for j in range(x.shape[1])], axis=1), np.bincount(own, minlength=k)) < STILL:
             break
-    return c
+    return state.c
 
 
 def by_class(samples: DataFrame, fit: Callable[[str, np.ndarray, np.ndarray], list[tuple]], kinds: str) -> DataFrame:
-    """fit(class, row ids, features) -> rows, for classes of bounded size; samples come in the order of row_id."""
+    """fit(class, row ids or numbers of drawn(), features) -> rows, for classes of bounded size; samples come in the order of row_id."""
+    numbers = "u" if "u" in samples.columns else "row_id"
 
     def run(key, table):
         import pyarrow as pa
 
         table = table.sort_by("row_id")
-        rows = fit(key[0].as_py(), table.column("row_id").to_numpy(), matrix(table.column("features").combine_chunks()))
+        ids = matrix(table.column("u").combine_chunks()) if numbers == "u" else table.column("row_id").to_numpy()
+        rows = fit(key[0].as_py(), ids, matrix(table.column("features").combine_chunks()))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * (kinds.count(",") + 1)
         names = [k.strip().split(" ")[0] for k in kinds.split(",")]
         types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "boolean": pa.bool_()}
         return pa.table({n: pa.array(c, types[k.strip().split(" ")[1]]) for n, c, k in zip(names, cols, kinds.split(","), strict=True)})
 
-    return samples.select("label", "row_id", "features").groupBy("label").applyInArrow(run, kinds)
+    return samples.select("label", "row_id", "features", *(["u"] if numbers == "u" else [])).groupBy("label").applyInArrow(run, kinds)
 
 
 def class_sizes(samples: DataFrame) -> dict[str, int]:
@@ -177,33 +231,214 @@ def _checked_k(k, label, n: int) -> int:
     return max(1, min(k, n))
 
 
-def kmeans(samples: DataFrame, k=8, seed: int = 0, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """k-means within each class; k: a number or one by class, cut to 1 .. class size."""
+CENTERS = "class string, local int, center array<double>"
+
+
+def kmeans(samples: DataFrame, k=8, seed: int = 0, n_init: int = 1, max_iter: int = 300, tol: float = 1e-4, init: str = "k-means++") -> DataFrame:
+    """k-means within each class; k: a number or one by class, cut to 1 .. class size. Classes that one task can take and those fitted in rounds have the same starts and steps."""
+    check_init(init)
     sizes = class_sizes(samples)
     ks = {c: _checked_k(k, c, n) for c, n in sizes.items()}
     d = len(samples.select("features").first()["features"]) if sizes else 0
+    samples = drawn(samples, seed, n_init)
     if max(sizes.values(), default=0) * d <= SMALL:
-        rows = by_class(samples, lambda c, ids, x: [(c, i, v.tolist()) for i, v in enumerate(kmeans_matrix(x, ks[c], seed, n_init, max_iter, tol))], "class string, local int, center array<double>")
-        return finished(rows)
-    # Starting centres from a bounded sample of each class, then rounds over all rows.
-    most = max(SMALL // d, 1)
-    start = finished(by_class(drawn(samples, most, seed), lambda c, ids, x: [(c, i, v.tolist()) for i, v in enumerate(kmeans_matrix(x, ks[c], seed, n_init, 20, tol))], "class string, local int, center array<double>"))
-    return lloyd(samples, start, max_iter, tol)
+        return finished(by_class(samples, lambda c, u, x: [(c, i, v.tolist()) for i, v in enumerate(kmeans_matrix(x, u, ks[c], init, max_iter, tol))], CENTERS))
+    return kmeans_in_rounds(samples, sizes, ks, d, n_init, max_iter, tol, init)
+
+
+def check_init(init: str) -> None:
+    if init not in ("k-means++", "random"):
+        raise ValueError("init must be 'k-means++' or 'random'")
 
 
-def drawn(samples: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most `most` samples of each class, those with the least hash of their row_id."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id")
-    return samples.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+def scanned(samples: DataFrame, state: dict, emit: Callable, schema: str) -> DataFrame:
+    """emit(class, state of the class, features, row ids, u) -> dicts, for the rows of each class in every batch."""
+    held = samples.sparkSession.sparkContext.broadcast(state)
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y, ids, u = matrix(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).to_numpy(), matrix(batch.column(3))
+            out = []
+            for c in sorted(set(y.tolist()) & held.value.keys()):
+                rows = np.flatnonzero(y == c)
+                out += [{"class": c, **r} for r in emit(c, held.value[c], x[rows], ids[rows], u[rows])]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    import pyarrow as pa
+
+    names = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    kind = pa.schema([(f.split()[0], names[f.split()[1]]) for f in ("class string, " + schema).split(", ")])
+    return samples.select("features", "label", "row_id", "u").mapInArrow(run, "class string, " + schema)
+
+
+def least_row(found: DataFrame, *keys: str) -> dict[tuple, np.ndarray]:
+    """The x with the least (key, row_id) for each class and further keys."""
+    got = found.groupBy("class", *keys).agg(F.min(F.struct("key", "row_id", "x")).alias("b")).collect()
+    return {(r["class"], *(r[k] for k in keys)): np.array(r["b"]["x"]) for r in got}
+
+
+def starts_in_rounds(samples: DataFrame, ks: dict[str, int], n_init: int, init: str) -> dict[tuple[str, int], list[np.ndarray]]:
+    """The rows start_rows() would take for each class and start, a pass for each further centre."""
+    kind = "start int, key double, row_id long, x array<double>"
+    if init == "random":
+        most = max(ks.values())
+
+        def least(c, _, x, ids, u):
+            for s in range(n_init):
+                for i in np.lexsort((ids, u[:, s]))[:most].tolist():
+                    yield {"start": s, "key": u[i, s], "row_id": ids[i], "x": x[i]}
+
+        w = Window.partitionBy("class", "start").orderBy("key", "row_id")
+        got = scanned(samples, ks, least, kind).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).collect()
+        out: dict = {}
+        for r in sorted(got, key=lambda r: r["r"]):
+            if r["r"] <= ks[r["class"]]:
+                out.setdefault((r["class"], r["start"]), []).append(np.array(r["x"]))
+        return out
+
+    def lead(c, have, x, ids, u):
+        for s in range(n_init):
+            key = u[:, s] if have is None else race(u[:, s], nearest2(x, np.array(have[s])), len(have[s]))
+            i = np.lexsort((ids, key))[0]
+            yield {"start": s, "key": key[i], "row_id": ids[i], "x": x[i]}
+
+    out = {k: [v] for k, v in least_row(scanned(samples, dict.fromkeys(ks), lead, kind), "start").items()}
+    for t in range(1, max(ks.values())):
+        live = {c: [out[c, s] for s in range(n_init)] for c, k in ks.items() if k > t}
+        for key, v in least_row(scanned(samples, live, lead, kind), "start").items():
+            out[key].append(v)
+    return out
+
+
+def kmeans_in_rounds(samples: DataFrame, sizes: dict[str, int], ks: dict[str, int], d: int, n_init: int, max_iter: int, tol: float, init: str) -> DataFrame:
+    """kmeans_matrix() for classes that no single task can take: a pass over the table for each step, all classes and starts at once."""
+    spark = samples.sparkSession
+    spread = samples.groupBy("label").agg(*(F.var_pop(F.col("features")[j]).alias(f"v{j}") for j in range(d))).collect()
+    tolerance = {r["label"]: tol * float(np.mean([r[f"v{j}"] for j in range(d)])) for r in spread}
+    centers = {k: np.array(v) for k, v in starts_in_rounds(samples, ks, n_init, init).items()}
 
-def minibatch_kmeans(samples: DataFrame, k=8, seed: int = 0, batch_size: int = 8192, max_iter: int = 100, n_init: int = 1) -> DataFrame:
-    """Mini-batch k-means within each class; batches are drawn from at most BATCHES times batch_size rows of a class."""
+    def sums(c, have, x, ids, u):
+        for s, m in have.items():
+            d2 = squared(x, m)
+            own = d2.argmin(axis=1)
+            near = d2[np.arange(len(x)), own]
+            for i in np.unique(own).tolist():
+                mine = own == i
+                yield {"start": s, "i": i, "n": int(mine.sum()), "far": float(near[mine].sum()), "x": x[mine].sum(axis=0)}
+
+    def totals(live) -> dict:
+        state: dict = {}
+        for c, s in live:
+            state.setdefault(c, {})[s] = centers[c, s]
+        got = scanned(samples, state, sums, "start int, i int, n long, far double, x array<double>")
+        cols = [F.sum(F.col("x")[j]).alias(f"x{j}") for j in range(d)]
+        return {(r["class"], r["start"], r["i"]): r for r in got.groupBy("class", "start", "i").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), *cols).collect()}
+
+    def farthest(live: dict[tuple[str, int], int]) -> dict:
+        state: dict = {}
+        for (c, s), k in live.items():
+            state.setdefault(c, {})[s] = (centers[c, s], k)
+
+        def emit(c, have, x, ids, u):
+            for s, (m, k) in have.items():
+                near = squared(x, m).min(axis=1)
+                for i in np.lexsort((ids, -near))[:k].tolist():
+                    yield {"start": s, "key": -near[i], "row_id": ids[i], "x": x[i]}
+
+        w = Window.partitionBy("class", "start").orderBy("key", "row_id")
+        got = scanned(samples, state, emit, "start int, key double, row_id long, x array<double>").withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(live.values())).collect()
+        return {(r["class"], r["start"], r["r"] - 1): np.array(r["x"]) for r in got}
+
+    live = set(centers)
+    for _ in range(max_iter):
+        if not live:
+            break
+        got, new, empty = totals(live), {}, {}
+        for c, s in live:
+            m = centers[c, s].copy()
+            none = [i for i in range(len(m)) if (c, s, i) not in got]
+            for i in set(range(len(m))) - set(none):
+                m[i] = [got[c, s, i][f"x{j}"] / got[c, s, i]["n"] for j in range(d)]
+            new[c, s] = m
+            if none:
+                empty[c, s] = none
+        if empty:
+            far = farthest({k: len(v) for k, v in empty.items()})
+            for (c, s), none in empty.items():
+                for at, i in enumerate(none):
+                    new[c, s][i] = far[c, s, at]
+        for key, m in new.items():
+            if ((m - centers[key]) ** 2).sum() <= tolerance[key[0]]:
+                live.discard(key)
+            centers[key] = m
+    inertia: dict = {}
+    if n_init > 1:
+        for (c, s, _), r in totals(set(centers)).items():
+            inertia[c, s] = inertia.get((c, s), 0.0) + r["far"]
+    best = {c: min(range(n_init), key=lambda s, c=c: inertia.get((c, s), 0.0)) for c in ks}
+    return finished(spark.createDataFrame([(c, i, v.tolist()) for c, s in best.items() for i, v in enumerate(centers[c, s])], CENTERS))
+
+
+def minibatch_kmeans(samples: DataFrame, k=8, seed: int = 0, batch_size: int = 8192, max_iter: int = 100, n_init: int = 1, init: str = "random") -> DataFrame:
+    """Mini-batch k-means within each class: max_iter mini-batches, each of about batch_size rows drawn from all rows of the class (all of them if it has no more). Classes that one task can take and those fitted in rounds have the same starts and batches."""
+    check_init(init)
     sizes = class_sizes(samples)
     ks = {c: _checked_k(k, c, n) for c, n in sizes.items()}
-    pool = drawn(samples, BATCHES * batch_size, seed) if max(sizes.values(), default=0) > BATCHES * batch_size else samples
-    rows = by_class(pool, lambda c, ids, x: [(c, i, v.tolist()) for i, v in enumerate(minibatch_matrix(x, ks[c], seed, batch_size, max_iter, n_init))], "class string, local int, center array<double>")
-    return finished(rows)
+    d = len(samples.select("features").first()["features"]) if sizes else 0
+    samples = drawn(samples, seed, n_init)
+    if max(sizes.values(), default=0) * d <= SMALL:
+        return finished(by_class(samples, lambda c, u, x: [(c, i, v.tolist()) for i, v in enumerate(minibatch_matrix(x, u, ks[c], batch_size, max_iter, init))], CENTERS))
+    return minibatch_in_rounds(samples, sizes, ks, batch_size, max_iter, n_init, init)
+
+
+def minibatch_in_rounds(samples: DataFrame, sizes: dict[str, int], ks: dict[str, int], batch_size: int, max_iter: int, n_init: int, init: str) -> DataFrame:
+    """minibatch_matrix() for classes that no single task can take. One pass draws the rows of all batches into a table of max_iter times batch_size rows a class; a step reads its own batch from it."""
+    spark = samples.sparkSession
+    starts = starts_in_rounds(samples, ks, n_init, init)
+    chance = F.create_map(*(F.lit(v) for c, n in sizes.items() for v in (c, batch_size / n)))[F.col("label")]
+    steps = F.filter(F.sequence(F.lit(0), F.lit(max_iter - 1)), lambda t: (F.col("u")[0] + t * F.lit(TURN)) % F.lit(1.0) < chance)
+    path = f"{shared_root(spark)}/batches-{uuid.uuid4().hex}"
+    samples.select("label", "row_id", "features", "u", F.explode(steps).alias("t")).write.partitionBy("t").parquet(path)
+    batches = spark.read.parquet(path)
+
+    def sums(c, have, x, ids, u):
+        for s, m in have.items():
+            d2 = squared(x, m)
+            own = d2.argmin(axis=1)
+            for i in np.unique(own).tolist():
+                mine = own == i
+                yield {"start": s, "i": i, "n": int(mine.sum()), "far": float(d2[mine, i].sum()), "x": x[mine].sum(axis=0)}
+
+    def totals(t: int, state: dict) -> list:
+        d = len(next(iter(starts.values()))[0])
+        got = scanned(batches.where(F.col("t") == t), state, sums, "start int, i int, n long, far double, x array<double>")
+        return got.groupBy("class", "start", "i").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), *(F.sum(F.col("x")[j]).alias(f"x{j}") for j in range(d))).collect()
+
+    best = dict.fromkeys(ks, 0)
+    if n_init > 1:
+        far: dict = {}
+        for r in totals(0, {c: {s: np.array(starts[c, s]) for s in range(n_init)} for c in ks}):
+            far[r["class"], r["start"]] = far.get((r["class"], r["start"]), 0.0) + r["far"]
+        best = {c: min(range(n_init), key=lambda s, c=c: far.get((c, s), 0.0)) for c in ks}
+    state = {c: Running(np.array(starts[c, s])) for c, s in best.items()}
+    live = set(ks)
+    for t in range(max_iter):
+        if not live:
+            break
+        by: dict[str, list] = {}
+        for r in totals(t, {c: {0: state[c].c} for c in live}):
+            by.setdefault(r["class"], []).append(r)
+        for c, rows in by.items():
+            x, n = np.zeros_like(state[c].c), np.zeros(len(state[c].c), dtype=np.int64)
+            for r in rows:
+                x[r["i"]], n[r["i"]] = [r[f"x{j}"] for j in range(x.shape[1])], r["n"]
+            if state[c].step(x, n) < STILL:
+                live.discard(c)
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    return finished(spark.createDataFrame([(c, i, v.tolist()) for c, r in state.items() for i, v in enumerate(r.c)], CENTERS))
 
 
 # Ball covers: farthest-first landmarks of each class.
@@ -283,13 +518,30 @@ def ball_cover(samples: DataFrame, k="auto", radius=0.25, metric: str = "auto",
         rows = cover_in_rounds(samples, sizes, k, radius, cover_fraction, max_balls, kinds)
     rows = rows.withColumnRenamed("r", "own_radius")
     prototypes = finished(rows, "own_radius")
+    ids = prototypes.groupBy("class").agg(F.sort_array(F.collect_list("pid")).alias("ball_ids"))
+    mode = F.create_map(*(F.lit(v) for c in sizes for v in (c, cover_mode(per_class(k, c, "k"), per_class(radius, c, "radius")))))[F.col("class")] if sizes else F.lit("")
     diagnostics = rows.groupBy("class").agg(
         F.first("n").alias("n_samples"), F.count("*").alias("n_balls"), F.first("own_radius").alias("radius"), F.first("covered").alias("covered_fraction"),
         F.first("mean_d").alias("mean_nearest_distance"), F.first("max_d").alias("max_nearest_distance"), F.first("stopped").alias("stopped_by_max_balls"),
-    ).select(F.lit(metric).alias("metric"), F.lit(float(cover_fraction)).alias("target_fraction"), "*")
+    ).join(ids, "class").select(F.lit(metric).alias("metric"), mode.alias("mode"), F.lit(float(cover_fraction)).alias("target_fraction"), "*")
     return prototypes, diagnostics, metric
 
 
+def cover_mode(k, radius) -> str:
+    """What a class's cover was asked for."""
+    if k == "auto":
+        return "auto_k_fixed_radius"
+    return "fixed_k_auto_radius" if radius == "auto" else "fixed_k_fixed_radius"
+
+
+def fit_diagnostics(diagnostics: DataFrame, d: int, high_dim_threshold: int = 128, stored: bool = False) -> DataFrame:
+    """One row on the whole fit, from the diagnostics by class."""
+    return diagnostics.agg(
+        F.sum("n_samples").cast("long").alias("n_samples"), F.lit(d).cast("long").alias("n_features"), F.count("*").alias("n_classes"), F.sum("n_balls").alias("n_balls"),
+        F.max("metric").alias("metric"), F.lit(high_dim_threshold).alias("high_dim_threshold"), F.max("target_fraction").alias("cover_fraction"), F.lit(stored).alias("stored_memberships"),
+    )
+
+
 def cover_in_rounds(samples: DataFrame, sizes: dict[str, int], k, radius, cover_fraction: float, max_balls: int | None, kinds: str) -> DataFrame:
     """The same covers for classes that no single task can take: a pass over the table for each further centre, all classes at once."""
     spark = samples.sparkSession
@@ -348,12 +600,12 @@ def cover_in_rounds(samples: DataFrame, sizes: dict[str, int], k, radius, cover_
     auto = [c for c in sizes if c not in radii]
     if auto:  # radii from the distribution of nearest distances
         prototypes = spark.createDataFrame([(i, c, x.tolist(), None, 0.0) for i, (c, x) in enumerate((c, x) for c in auto for _, x in centers[c])], PROTOTYPES)
-        from .scoring import own_best
-
-        near = own_best(samples.where(F.col("label").isin(*auto)), prototypes).groupBy("label").agg(F.percentile_approx(-F.col("score"), cover_fraction, 100_000).alias("q"))
-        for r in near.collect():
-            radii[r["label"]] = float(np.sqrt(max(r["q"], EPS32)))
-            final[r["label"]] = (cover_fraction, *final[r["label"]][1:])
+        near = own_best(samples.where(F.col("label").isin(*auto)), prototypes).select(F.col("label").alias("g"), (-F.col("score")).alias("v"), "row_id")
+        for c, q in quantiles(near, [cover_fraction], sum(sizes[c] for c in auto)).items():
+            radii[c] = float(np.sqrt(max(q[0], EPS32)))
+        bound = F.create_map(*(F.lit(v) for c in auto for v in (c, radii[c] ** 2)))[F.col("g")]
+        for r in near.groupBy("g").agg(F.avg((F.col("v") <= bound).cast("int")).alias("covered")).collect():
+            final[r["g"]] = (r["covered"], *final[r["g"]][1:])
     for c, have in centers.items():
         rows += [(c, i, x.tolist(), int(row), radii[c], sizes[c], *map(float, final[c][:3]), bool(final[c][3])) for i, (row, x) in enumerate(have)]
     return spark.createDataFrame(rows, kinds)
@@ -372,4 +624,4 @@ def memberships(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     return by_batch(samples, prototypes, ["label", "row_id"], "pid int, row_id long", emit)
 
 
-__all__ = ["ball_cover", "class_means", "gathered", "kmeans", "landmarks", "lloyd", "memberships", "minibatch_kmeans"]
+__all__ = ["ball_cover", "class_means", "kmeans", "landmarks", "lloyd", "memberships", "minibatch_kmeans"]

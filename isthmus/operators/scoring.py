@@ -4,11 +4,13 @@ Prototypes are few (classes times k): they are gathered on the driver, their siz
 checked, and every Arrow batch of samples is scored against them by one
 matrix product. A batch leaves as what is asked for: best prototypes, the two best scores for each class, or
 counts that are summed before they are shuffled. Prototypes beyond the bound are scored in
-blocks of that size; top-k and top-2 results of blocks merge exactly.
+blocks of that size, each broadcast by itself and scored in a pass of its own; top-k and top-2 results of blocks merge exactly.
+The plan behind the prototypes runs once for each result: what takes prototypes also takes held() ones.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of prototype centres that are held in one block.
 BLOCK_BYTES = 64 << 20
+#: Scores are sums in any order: where a sample is given to a prototype, those that differ by less than this many digits are ties.
+TIE_DIGITS = 12
 PROTOTYPES = "pid int, class string, center array<double>, radius double, norm2 double"
 
 
@@ -37,24 +41,41 @@ class Block:
         return -d2 if self.radius2 is None else 1 - d2 / self.radius2[None, :]
 
 
-def gathered(prototypes: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Block]:
-    """The prototypes in blocks of whole classes, as far as block_bytes allows (a class is never split)."""
-    rows = sorted(prototypes.select("pid", "class", "center", "radius").toLocalIterator(), key=lambda r: r["pid"])
-    blocks: list[list] = []
-    size = block_bytes + 1
-    for i, r in enumerate(rows):
-        if size > block_bytes and (not i or rows[i - 1]["class"] != r["class"]):
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
+def gathered(prototypes: DataFrame, block_bytes: int | None = None) -> Iterator[Block]:
+    """The prototypes in blocks of whole classes, as far as block_bytes allows (a class is never split); the driver holds one block at a time."""
+    limit = BLOCK_BYTES if block_bytes is None else block_bytes
+    part: list = []
+    size = 0
+    for r in prototypes.select("pid", "class", "center", "radius").orderBy("pid").toLocalIterator():
+        if size > limit and part[-1]["class"] != r["class"]:
+            yield _block(part)
+            part, size = [], 0
+        part.append(r)
         size += 8 * len(r["center"])
-    out = []
-    for part in blocks:
-        names = sorted({r["class"] for r in part})
-        at = {c: i for i, c in enumerate(names)}
-        radius = np.array([np.nan if r["radius"] is None else r["radius"] for r in part], dtype=float)
-        out.append(Block(np.array([r["pid"] for r in part]), names, np.array([at[r["class"]] for r in part]), np.array([r["center"] for r in part], dtype=float), None if np.isnan(radius).any() else radius**2))
-    return out
+    if part:
+        yield _block(part)
+
+
+def _block(part: list) -> Block:
+    names = sorted({r["class"] for r in part})
+    at = {c: i for i, c in enumerate(names)}
+    radius = np.array([np.nan if r["radius"] is None else r["radius"] for r in part], dtype=float)
+    return Block(np.array([r["pid"] for r in part]), names, np.array([at[r["class"]] for r in part]), np.array([r["center"] for r in part], dtype=float), None if np.isnan(radius).any() else radius**2)
+
+
+class Held:
+    """Prototypes as broadcast blocks."""
+
+    def __init__(self, prototypes: DataFrame, block_bytes: int | None = None):
+        context = prototypes.sparkSession.sparkContext
+        self.blocks = [context.broadcast(b) for b in gathered(prototypes, block_bytes)]
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+
+def held(prototypes: DataFrame | Held) -> Held:
+    return prototypes if isinstance(prototypes, Held) else Held(prototypes)
 
 
 def matrix(column) -> np.ndarray:
@@ -63,24 +84,26 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def by_batch(samples: DataFrame, prototypes: DataFrame, columns: list[str], schema: str, emit: Callable) -> DataFrame:
+def by_batch(samples: DataFrame, prototypes: DataFrame | Held, columns: list[str], schema: str, emit: Callable) -> DataFrame:
     """emit(batch columns by name, features, block) -> dict of arrays, for every batch and every block."""
-    held = samples.sparkSession.sparkContext.broadcast(gathered(prototypes))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def scorer(block):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(0))
-            named = dict(zip(columns, batch.columns[1:], strict=True))
-            for block in held.value:
-                out = emit(named, x, block)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                out = emit(dict(zip(columns, batch.columns[1:], strict=True)), matrix(batch.column(0)), block.value)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], names=list(out))
 
-    return samples.select("features", *columns).mapInArrow(run, schema)
+        return run
+
+    parts = [samples.select("features", *columns).mapInArrow(scorer(b), schema) for b in held(prototypes).blocks]
+    if not parts:
+        return samples.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def score_table(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
@@ -94,13 +117,14 @@ def score_table(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     return by_batch(samples, prototypes, ["row_id"], "row_id long, pid int, class string, score double", emit)
 
 
-def topk(samples: DataFrame, prototypes: DataFrame, k: int, classes: list[str] | None = None) -> DataFrame:
+def topk(samples: DataFrame, prototypes: DataFrame | Held, k: int, classes: list[str] | None = None) -> DataFrame:
     """row_id, rank (from 1), pid, score: the k best prototypes of each sample, of some classes only if given; ties go to the lower pid. k <= 0 gives no rows."""
     if classes is not None:
         prototypes = prototypes.where(F.col("class").isin(*classes)) if classes else prototypes.limit(0)
     spark = samples.sparkSession
     if k <= 0:
         return spark.createDataFrame([], "row_id long, rank int, pid int, score double")
+    prototypes = held(prototypes)
 
     def emit(named, x, block):
         s = block.scores(x)
@@ -109,7 +133,7 @@ def topk(samples: DataFrame, prototypes: DataFrame, k: int, classes: list[str] |
         return {"row_id": np.repeat(named["row_id"].to_numpy(), m), "rank": np.tile(np.arange(1, m + 1, dtype=np.int32), len(s)), "pid": block.pid[best].astype(np.int32).ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()}
 
     out = by_batch(samples, prototypes, ["row_id"], "row_id long, rank int, pid int, score double", emit)
-    if len(gathered(prototypes)) < 2:
+    if len(prototypes) < 2:
         return out
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pid"))), 1, k)
     merged = out.groupBy("row_id").agg(best.alias("b")).select("row_id", F.posexplode("b").alias("i", "e"))
@@ -142,23 +166,27 @@ def class_top2(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
     return by_batch(samples, prototypes, ["row_id"], "row_id long, class string, s1 double, p1 int, s2 double, p2 int", emit)
 
 
-def own_best(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
+def own_best(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
     """row_id, label, pid, score: each sample's best prototype of its own class; a label without prototypes raises."""
+    prototypes = held(prototypes)
+    known = [c for b in prototypes.blocks for c in b.value.classes]
+    check_labels(samples, known)
 
     def emit(named, x, block):
         at = {c: i for i, c in enumerate(block.classes)}
         y = np.array([at.get(v, -1) for v in named["label"].to_pylist()])
         s = block.scores(x)
-        s = np.where(block.of[None, :] == y[:, None], s, -np.inf)
-        best = np.lexsort((np.broadcast_to(block.pid, s.shape), -s), axis=1)[:, 0]
+        own = np.where(block.of[None, :] == y[:, None], np.round(s, TIE_DIGITS), -np.inf)
+        best = np.lexsort((np.broadcast_to(block.pid, s.shape), -own), axis=1)[:, 0]
         rows = np.flatnonzero(y >= 0)
         return {"row_id": named["row_id"].to_numpy()[rows], "label": np.array(named["label"].to_pylist(), dtype=object)[rows], "pid": block.pid[best[rows]].astype(np.int32), "score": s[rows, best[rows]]}
 
     return by_batch(samples, prototypes, ["row_id", "label"], "row_id long, label string, pid int, score double", emit)
 
 
-def check_labels(samples: DataFrame, prototypes: DataFrame) -> None:
+def check_labels(samples: DataFrame, classes: list[str]) -> None:
     """ValueError if a sample's label owns no prototype."""
-    missing = samples.select("label").distinct().join(prototypes.select(F.col("class").alias("label")).distinct(), "label", "left_anti").first()
-    if missing is not None:
-        raise ValueError(f"class {missing['label']} has no prototypes")
+    have = {r["label"] for r in samples.select("label").distinct().collect()}
+    missing = sorted(str(c) for c in have - set(classes))
+    if missing:
+        raise ValueError(f"class {missing[0]} has no prototypes")

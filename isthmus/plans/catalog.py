@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return discrete.sql() | continuous.sql()
+    return discrete.sql() | continuous.sql() | online.sql()

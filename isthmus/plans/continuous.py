@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isthmus.estimators import ContinuousSeparability
+from isthmus.functions.session import shared_root
+from isthmus.operators import backends, validation
 from isthmus.operators import continuous as co
 from isthmus.operators import prototypes as proto
-from isthmus.operators.scoring import own_best
+from isthmus.operators.scoring import held, own_best
 from isthmus.sources import tables
 
 CELLS, DIGITS, PERMUTATIONS = 4, 9, 5
@@ -45,17 +48,19 @@ def kmeans_cells(spark, d):
 
 
 def _fit(spark, d, target=("p_retailprice",)):
-    """Samples with cells, prototypes, own prototypes and their targets."""
+    """Samples with cells, prototypes, own prototypes and their targets; each part is worked out once."""
+    shared_root(spark)
     s = _part(spark, d, target)
-    s = co.cells_of(s, "quantile", CELLS, digits=DIGITS)
-    p = proto.class_means(s, 1)
-    own = own_best(s, p).select("row_id", "pid")
+    s = co.cells_of(s, "quantile", CELLS, digits=DIGITS).checkpoint()
+    p = held(proto.class_means(s, 1))
+    own = own_best(s, p).select("row_id", "pid").checkpoint()
     return s, p, own, s.join(own, "row_id").select("pid", "target")
 
 
-def _all_pairs(targets):
-    ids = targets.select("pid").distinct()
-    return ids.select(F.col("pid").alias("p")).crossJoin(F.broadcast(ids.select(F.col("pid").alias("q")))).where("p < q")
+def _all_pairs(targets, both: bool = False):
+    """Every pair of prototypes, which are few: from their ids on the driver."""
+    ids = sorted(r["pid"] for r in targets.select("pid").distinct().collect())
+    return targets.sparkSession.createDataFrame([(p, q) for p in ids for q in ids if p < q or both and p > q], "p int, q int")
 
 
 def w1_between_cells(spark, d):
@@ -92,11 +97,9 @@ def coi_actual_loss(spark, d):
     return co.overall_loss(_losses(spark, d)[-1]).select(r6("loss"))
 
 
-def _null(spark, d):
-    s, p, own, t = _fit(spark, d)
-    ids = t.select("pid").distinct()
-    pairs = ids.select(F.col("pid").alias("p")).crossJoin(F.broadcast(ids.select(F.col("pid").alias("q")))).where("p <> q")
-    dist = co.wasserstein(co.projected(t, None), pairs)
+def _null(spark, d, fitted=None):
+    s, p, own, t = fitted or _fit(spark, d)
+    dist = co.wasserstein(co.projected(t, None), _all_pairs(t, both=True))
     return co.null_losses_of_means(s.join(own, "row_id").select("row_id", "features", "label", "pid"), dist, PERMUTATIONS, 1)
 
 
@@ -105,14 +108,101 @@ def coi_null_loss(spark, d):
 
 
 def coi_index(spark, d):
-    losses = _losses(spark, d)[-1]
+    *fitted, losses = _losses(spark, d)
+    losses = losses.checkpoint()
     actual = co.overall_loss(losses).first()["loss"]
-    null = _null(spark, d).agg(F.avg("loss").alias("m")).first()["m"]
+    null = _null(spark, d, fitted).agg(F.avg("loss").alias("m")).first()["m"]
     own = losses.withColumn("i", co.clipped(co.index_column(F.col("loss"), null)))
     out = own.agg(co.clipped(F.avg("i")).alias("macro_index"), co.clipped(F.sum(F.col("i") * F.col("support")) / F.sum("support")).alias("weighted_index"))
     return out.select(r6("macro_index"), r6("weighted_index"), F.round(F.lit(co.raw_index(actual, null)), 6).alias("raw_index"), F.round(F.lit(actual), 6).alias("actual_loss"), F.round(F.lit(null), 6).alias("null_loss"), F.round(F.lit(actual / null), 6).alias("loss_ratio"))
 
 
+def _cells(spark, d):
+    shared_root(spark)
+    return co.cells_of(_part(spark, d), "quantile", CELLS, digits=DIGITS).checkpoint()
+
+
+def coi_null_refit(spark, d):
+    """The losses of chance with prototypes fitted anew for every permutation: one mean a cell."""
+    return co.null_losses(_cells(spark, d), lambda s: proto.class_means(s, 1), PERMUTATIONS).select(F.col("perm").cast("long").alias("perm"), r6("loss"))
+
+
+def coi_null_refit_marks(spark, d):
+    """The same with two prototypes a cell: the rows of least id that a permutation puts there."""
+    return co.null_losses(_cells(spark, d), lambda s: proto.landmarks(s, 2), PERMUTATIONS).select(F.col("perm").cast("long").alias("perm"), r6("loss"))
+
+
+class _Means(backends.Backend):
+    """One prototype for each cell, its mean."""
+
+    def fit(self, samples):
+        return proto.class_means(samples, 1)
+
+
+class _OfMeans(ContinuousSeparability):
+    backend = property(_Means)
+
+
+def est_continuous(spark, d):
+    """The estimator with one mean a cell, raw targets and 5 permutations."""
+    s = tables.samples(tables.read(spark, d, "part").withColumn("u", F.col("p_size") / 50.0), "p_partkey", ["u"], None, ["p_retailprice"])
+    m = _OfMeans(n_target_cells=CELLS, n_null_permutations=PERMUTATIONS, target_scaling="none").fit(s)
+    row = (m.index, m.macro_index_, m.weighted_index, m.raw_index_, m.actual_loss_, m.null_loss_)
+    m.reset()
+    return spark.createDataFrame([(*(round(v, 6) for v in row), m.index)], "index double, macro_index double, weighted_index double, raw_index double, actual_loss double, null_loss double, after_reset double")
+
+
+def coi_cell_prototypes(spark, d):
+    """Which prototypes a cell owns, with two a cell."""
+    p = proto.landmarks(_cells(spark, d), 2)
+    return p.groupBy(F.col("class").cast("long").alias("cell")).agg(F.count("*").alias("n"), F.min("pid").cast("long").alias("first"), F.max("pid").cast("long").alias("last"))
+
+
+def kmeans_cells_fixed(spark, d):
+    """Target cells by k-means, with starts drawn by row id and a fixed number of rounds."""
+    s = _part(spark, d, ("p_retailprice", "p_size"))
+    cells = co.kmeans_cells(s, 4, options={"init": "random", "max_iter": 2, "tol": 0.0, "random_state": 7})
+    return cells.groupBy(F.col("cell").cast("long").alias("cell")).agg(F.count("*").alias("n"), F.round(F.min(F.col("target")[0]), 6).alias("lo"), F.round(F.max(F.col("target")[1]), 6).alias("hi"))
+
+
+def target_scale_flat(spark, d):
+    """Constant targets: a scale of zero counts as one, so all become 0."""
+    s = tables.samples(tables.read(spark, d, "part").withColumn("y", F.lit(5.0)), "p_partkey", ["p_size"], None, ["y"])
+    one = lambda how: co.scaled_targets(s, how).groupBy(F.col("target")[0].alias("y")).agg(F.count("*").alias("n")).select(F.lit(how).alias("how"), "y", "n")
+    return one("standard").unionByName(one("minmax")).unionByName(one("robust"))
+
+
+def cell_count_rule(spark, d):
+    """Numbers of cells by number of samples."""
+    return spark.createDataFrame([(n, co.cell_count(n), co.cell_count(n, 20)) for n in range(1, 6000, 7)], "n long, cells long, of_twenty long")
+
+
+def target_rules(spark, d):
+    """Cover and distance by number of targets."""
+    return spark.createDataFrame([(k, co.resolved_cover("auto", k), co.resolved_distance("auto", k)) for k in range(1, 9)], "d long, cover string, distance string")
+
+
+def direction_norms(spark, d):
+    """Directions of projection have length 1."""
+    w = co.random_directions(32, 3, 5)
+    return spark.createDataFrame([(i, round(sum(v * v for v in x), 6)) for i, x in enumerate(w)], "direction long, squared double")
+
+
+def validate_targets(spark, d):
+    """Targets as arrays, single numbers or columns, checked."""
+    s = validation.targets(tables.read(spark, d, "part").select(F.col("p_retailprice").alias("target")))
+    return validation.feature_report(s, "target")
+
+
+def w1_missing_side(spark, d):
+    """A prototype that its samples vote for but that owns no sample adds no distance."""
+    s, p, own, t = _fit(spark, d)
+    adj = co.adjacency(s, p, own)
+    gone = t.where("pid <> 1")
+    dist = co.wasserstein(co.projected(gone, None), adj)
+    return co.local_losses(adj, dist, gone.groupBy("pid").agg(F.count("*").alias("support"))).select(F.col("pid").cast("long").alias("pid"), "support", r6("loss"))
+
+
 def degenerate_single_cell(spark, d):
     """One cell: no prototype has another to vote for, so the loss is 0 and the index 1."""
     s = co.cells_of(_part(spark, d), "quantile", 1, digits=DIGITS)
@@ -155,10 +245,27 @@ pv AS (SELECT sh.perm, sh.row_id, sh.pid AS p, arg_min(pm.pid, (round(power(sh.x
 nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM o) AS loss FROM pv JOIN w1 USING (p, q) GROUP BY perm)"""
 
 
+def null_sql(marks: int | None = None) -> str:
+    """Losses of permutations with prototypes of their own: means of cells (as NULL), or the first `marks` rows of each cell, with distances between the targets that each prototype's rows have."""
+    return f"""ry AS (SELECT row_id, x, row_number() OVER (ORDER BY row_id) AS k FROM c),
+py AS (SELECT perm, c.cell, c.y, row_number() OVER (PARTITION BY perm ORDER BY md5(c.row_id || '-' || perm)) AS k FROM c, range({PERMUTATIONS}) r(perm)),
+sh AS (SELECT perm, ry.row_id, ry.x, cell, y FROM ry JOIN py USING (k)),
+pm AS (SELECT perm, cell, x AS c, row_number() OVER (ORDER BY perm, cell, l) - 1 AS pid FROM (SELECT *, row_number() OVER (PARTITION BY perm, cell ORDER BY row_id) AS l FROM sh) WHERE l <= {marks}),
+po AS (SELECT sh.perm, sh.row_id, sh.x, sh.y, arg_min(pm.pid, (round(power(sh.x - pm.c, 2), 12), pm.pid)) AS p FROM sh JOIN pm ON pm.perm = sh.perm AND pm.cell = sh.cell GROUP BY 1, 2, 3, 4),
+pv AS (SELECT po.perm, po.row_id, po.p, arg_min(pm.pid, (round(power(po.x - pm.c, 2), 12), pm.pid)) AS q FROM po JOIN pm ON pm.perm = po.perm AND pm.pid <> po.p GROUP BY 1, 2, 3),
+vv AS (SELECT p AS pid, 0 AS dir, y AS v FROM po), pq AS (SELECT DISTINCT p, q FROM pv),
+{w1_sql('vv', 'pq')},
+nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM c) AS loss FROM pv JOIN w1 USING (p, q) GROUP BY perm)"""
+
+
 def sql() -> dict[str, str]:
+    raw = STAT.replace("round((y - m) / sd, 9) AS y", "y").replace("list_transform(quantile_cont(y, [0.25, 0.5, 0.75]), lambda q: round(q, 9))", "quantile_cont(y, [0.25, 0.5, 0.75])")
+    of_raw = f"WITH {raw}, {VALUES}, {w1_sql('vv', 'pq')}, {VOTES}, {LOSS}, {NULL}".replace("md5(o.row_id ||", "md5('0:' || o.row_id ||")
     base = f"WITH {STAT}"
     full = f"{base}, {VALUES}, {w1_sql('vv', 'pq')}, {VOTES}, {LOSS}"
     dirs = " UNION ALL ".join(f"SELECT cell AS pid, {i} AS dir, {w[0]!r} * y + {w[1]!r} * y2 AS v FROM c" for i, w in enumerate(DIRECTIONS))
+    step = """a{n} AS (SELECT row_id, y, y2, arg_min(l, (power(y - a, 2) + power(y2 - b, 2), l)) AS l FROM s, q{m} GROUP BY row_id, y, y2),
+q{n} AS (SELECT l, avg(y) AS a, avg(y2) AS b FROM a{n} GROUP BY l)"""
     part = "WITH y AS (SELECT p_partkey AS row_id, p_retailprice AS y FROM part) SELECT row_id, round({}, 6) AS y FROM y"
     return {
         "target_scale_none": part.format("y"),
@@ -179,6 +286,22 @@ SELECT cell, count(*) AS n, round(min(y), 6) AS lo, round(max(y), 6) AS hi FROM
         "coi_index": f"""{full}, {NULL}, nn AS (SELECT avg(loss) AS m FROM nl), pi AS (SELECT support, least(greatest(1 - 0.5 * loss / m, 0), 1) AS i FROM lo, nn)
 SELECT round(avg(i), 6) AS macro_index, round(sum(i * support) / sum(support), 6) AS weighted_index, round(1 - 0.5 * any_value(ac.loss) / any_value(m), 6) AS raw_index,
   round(any_value(ac.loss), 6) AS actual_loss, round(any_value(m), 6) AS null_loss, round(any_value(ac.loss) / any_value(m), 6) AS loss_ratio FROM pi, ac, nn""",
+        "coi_null_refit": f"{full}, {NULL} SELECT perm, round(loss, 6) AS loss FROM nl",
+        "coi_null_refit_marks": f"{base}, {null_sql(2)} SELECT perm, round(loss, 6) AS loss FROM nl",
+        "est_continuous": f"""{of_raw}, nn AS (SELECT avg(loss) AS m FROM nl), pi AS (SELECT support, least(greatest(1 - 0.5 * loss / m, 0), 1) AS i FROM lo, nn)
+SELECT round(sum(i * support) / sum(support), 6) AS index, round(avg(i), 6) AS macro_index, round(sum(i * support) / sum(support), 6) AS weighted_index,
+  round(1 - 0.5 * any_value(ac.loss) / any_value(m), 6) AS raw_index, round(any_value(ac.loss), 6) AS actual_loss, round(any_value(m), 6) AS null_loss, 1.0::DOUBLE AS after_reset FROM pi, ac, nn""",
+        "coi_cell_prototypes": f"{base}, m AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY row_id) AS l FROM c QUALIFY l <= 2), i AS (SELECT cell, row_number() OVER (ORDER BY cell, l) - 1 AS pid FROM m) SELECT cell, count(*) AS n, min(pid) AS first, max(pid) AS last FROM i GROUP BY cell",
+        "kmeans_cells_fixed": f"""{base}, u AS (SELECT *, ('0x' || substr(md5('7-0-' || row_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM s),
+q0 AS (SELECT row_number() OVER (ORDER BY u, row_id) - 1 AS l, y AS a, y2 AS b FROM u QUALIFY l < 4),
+{step.format(n=1, m=0)}, {step.format(n=2, m=1)}, e AS (SELECT row_id, y, y2, arg_min(l, (power(y - a, 2) + power(y2 - b, 2), l)) AS cell FROM s, q2 GROUP BY row_id, y, y2)
+SELECT cell, count(*) AS n, round(min(y), 6) AS lo, round(max(y2), 6) AS hi FROM e GROUP BY cell""",
+        "target_scale_flat": " UNION ALL ".join(f"SELECT '{h}' AS how, 0.0::DOUBLE AS y, count(*) AS n FROM part" for h in ("standard", "minmax", "robust")),
+        "cell_count_rule": "SELECT n, least(greatest(8, floor(sqrt(n))), 64, n)::BIGINT AS cells, least(20, n) AS of_twenty FROM range(1, 6000, 7) r(n)",
+        "target_rules": "SELECT d, CASE WHEN d = 1 THEN 'quantile' ELSE 'kmeans' END AS cover, CASE WHEN d = 1 THEN 'wasserstein' ELSE 'sliced_wasserstein' END AS distance FROM range(1, 9) r(d)",
+        "direction_norms": "SELECT i AS direction, 1.0::DOUBLE AS squared FROM range(32) r(i)",
+        "validate_targets": "SELECT count(*) AS n_rows, 1::INT AS min_size, 1::INT AS max_size, count_if(p_retailprice IS NULL OR NOT isfinite(p_retailprice))::BIGINT AS non_finite FROM part",
+        "w1_missing_side": f"{full} SELECT p.pid, p.support, round(coalesce(sum(alpha * distance) FILTER (WHERE z.q <> 1), 0), 6) AS loss FROM p LEFT JOIN (ad JOIN w1 USING (p, q)) z ON z.p = p.pid WHERE p.pid <> 1 GROUP BY 1, 2",
         "degenerate_single_cell": "SELECT 1.0::DOUBLE AS index, 0.0::DOUBLE AS loss",
     }
 

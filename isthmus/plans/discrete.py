@@ -6,10 +6,15 @@ row by row; ratios are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isthmus.estimators import ContinuousSeparability, DiscreteSeparability
+from isthmus.functions.session import shared_root
 from isthmus.functions.vectors import complement_coded, l2_normalized
+from isthmus.operators import continuous as co
 from isthmus.operators import labels as lab
 from isthmus.operators import overlap as ov
 from isthmus.operators import prototypes as proto
@@ -176,8 +181,25 @@ def ballcover_diag(spark, d):
 
 
 def ballcover_fit_diag(spark, d):
-    s, p, diag, metric = _balls(spark, d)
-    return diag.agg(F.sum("n_samples").alias("n_samples"), F.count("*").alias("n_classes"), F.sum("n_balls").alias("n_balls")).withColumn("n_features", F.lit(64).cast("long"))
+    _, _, diag, _ = _balls(spark, d)
+    return proto.fit_diagnostics(diag, 64).select("n_samples", "n_features", "n_classes", "n_balls", "metric", F.col("high_dim_threshold").cast("long").alias("high_dim_threshold"), "stored_memberships")
+
+
+def ballcover_class_diag(spark, d):
+    """What each class was asked for, and the ids of its balls."""
+    _, _, diag, _ = _balls(spark, d)
+    return diag.select("class", "mode", "metric", F.array_join(F.transform("ball_ids", lambda v: v.cast("string")), ",").alias("ball_ids"))
+
+
+def ballcover_fixed_k_radius(spark, d):
+    _, _, diag, _ = _balls(spark, d, COVER_K, RADIUS, 1.0)
+    return diag.select("class", "mode", "n_balls", r6("radius"), r6("covered_fraction"), r6("mean_nearest_distance"))
+
+
+def ballcover_per_class(spark, d):
+    """Numbers of balls by class: 1 to 4."""
+    _, _, diag, _ = _balls(spark, d, {str(c): 1 + c % COVER_K for c in range(10)}, {str(c): 0.9 + 0.05 * c for c in range(10)}, 1.0)
+    return diag.select("class", "n_balls", r6("radius"), r6("covered_fraction"), r6("max_nearest_distance"))
 
 
 def oi_ballcover(spark, d):
@@ -208,6 +230,161 @@ def oi_minibatch(spark, d):
     return ov.summary(ov.singleton(pairs, ov.support(s)))
 
 
+ROUNDS, ROUND_K = 2, 3
+
+
+def _fixed(spark, d, fit):
+    s = tables.embeddings(spark, d)
+    return s, fit(s)
+
+
+def kmeans_fixed_rounds(spark, d):
+    """k-means from starts drawn by row id, after a fixed number of rounds: centres of every class."""
+    _, p = _fixed(spark, d, lambda s: proto.kmeans(s, ROUND_K, seed=7, max_iter=ROUNDS, tol=0.0, init="random"))
+    return p.select(F.col("pid").cast("long").alias("pid"), "class", *(F.round(F.col("center")[i], 6).alias(f"c{i}") for i in (0, 1, 63)))
+
+
+def minibatch_fixed_rounds(spark, d):
+    """Mini-batch k-means on classes smaller than a batch: running means over two batches of all rows."""
+    _, p = _fixed(spark, d, lambda s: proto.minibatch_kmeans(s, ROUND_K, seed=7, max_iter=ROUNDS))
+    return p.select(F.col("pid").cast("long").alias("pid"), "class", *(F.round(F.col("center")[i], 6).alias(f"c{i}") for i in (0, 1, 63)))
+
+
+def kmeans_plus_plus(spark, d):
+    """The rows that k-means++ starts from, drawn by their squared distance."""
+    _, p = _fixed(spark, d, lambda s: proto.kmeans(s, ROUND_K, seed=7, max_iter=0))
+    s = tables.embeddings(spark, d).select("row_id", F.col("label").alias("class"), F.round(F.col("features")[0], 6).alias("c0"), F.round(F.col("features")[1], 6).alias("c1"))
+    q = p.select(F.col("pid").cast("long").alias("pid"), "class", F.round(F.col("center")[0], 6).alias("c0"), F.round(F.col("center")[1], 6).alias("c1"))
+    return q.join(s, ["class", "c0", "c1"]).select("pid", "class", "row_id")
+
+
+def oi_kmeans_fixed(spark, d):
+    s, p = _fixed(spark, d, lambda s: proto.kmeans(s, ROUND_K, seed=7, max_iter=ROUNDS, tol=0.0, init="random"))
+    return ov.summary(ov.singleton(ov.pairwise(s, p), ov.support(s))).select(r6("index"), r6("weighted_index"), "n_classes")
+
+
+def _estimator(spark, d, **how):
+    s = tables.embeddings(spark, d)
+    options = {"metric": "euclidean", "cover_fraction": COVER_FRACTION}
+    return DiscreteSeparability(model_type="BallCover", ballcover_k=COVER_K, ballcover_radius="auto", ballcover_kwargs=options, **how), s
+
+
+def _scores(spark, m):
+    return spark.createDataFrame([(round(m.index, 6), round(m.weighted_index, 6), m.singleton_.count())], "index double, weighted_index double, n_classes long")
+
+
+def est_fit(spark, d):
+    """The estimator's attributes after a fit."""
+    m, s = _estimator(spark, d)
+    return _scores(spark, m.fit(s))
+
+
+def est_exclude(spark, d):
+    """Excluded classes given twice, as strings and as numbers; the classes themselves stay in the tables."""
+    m, s = _estimator(spark, d, exclude_classes=["0", "0", 3, "3"])
+    return _scores(spark, m.fit(s))
+
+
+def est_partial_fit(spark, d):
+    """An offline model is fitted anew by each batch: the last one counts."""
+    m, s = _estimator(spark, d)
+    m.partial_fit(s.where("row_id % 2 = 1"))
+    return _scores(spark, m.partial_fit(s))
+
+
+def est_score(spark, d):
+    m, s = _estimator(spark, d)
+    first = m.score(s)
+    again = m.score()
+    m.set_params(**m.get_params())
+    return spark.createDataFrame([(round(first, 6), round(again, 6), m.score())], "fitted double, current double, after_reset double")
+
+
+def est_fit_predict(spark, d):
+    m, s = _estimator(spark, d)
+    return m.fit_predict(s).select("row_id", F.col("pid").cast("long").alias("pid"))
+
+
+def est_classes(spark, d):
+    """Which prototypes a class owns, from the estimator's table."""
+    m, s = _estimator(spark, d)
+    return m.fit(s).weights_.groupBy("class").agg(F.count("*").alias("n"), F.min("pid").cast("long").alias("first"), F.max("pid").cast("long").alias("last"))
+
+
+def label_kinds(spark, d):
+    """Strings are one label however long; arrays are sets of labels."""
+    one = lab.normalized(tables.read(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("label")), "label")
+    many = lab.normalized(tables.document_labels(spark, d).select("row_id", F.concat("labels", "labels").alias("labels")))
+    kind = lambda s, name: s.groupBy(F.size("labels").alias("size")).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), F.col("size").cast("long").alias("size"), "n")
+    return kind(one, "string").unionByName(kind(many, "array"))
+
+
+def metric_rule(spark, d):
+    """The metric by number of features."""
+    return spark.createDataFrame([(n, t, proto.resolved_metric("auto", n, t)) for t in (16, 128) for n in range(1, 257)], "d long, threshold long, metric string")
+
+
+def text_source(spark, d):
+    """Parts written as lines of white-space separated fields and read back."""
+    path = f"{shared_root(spark)}/text-{uuid.uuid4().hex}"
+    cols = [F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_brand")]
+    tables.read(spark, d, "part").select(F.concat_ws("  ", *cols)).write.text(path)
+    return tables.whitespace_text(spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0]).alias("s0"), F.sum(F.col("features")[1]).alias("s1"))
+
+
+def guards(spark, d):
+    """What is refused, and how."""
+    s = tables.embeddings(spark, d)
+    bad = s.limit(1).withColumn("features", F.array(F.lit(float("nan"))))
+    cases = {
+        "model_type": lambda: DiscreteSeparability(model_type="Grid"),
+        "pair_mode": lambda: DiscreteSeparability(multilabel_pair_mode="some"),
+        "top_m": lambda: DiscreteSeparability(multilabel_pair_mode="top_m", top_m=0),
+        "chunk_size": lambda: DiscreteSeparability(offline_chunk_size=0),
+        "unhashable": lambda: DiscreteSeparability(exclude_classes=[["a"]]),
+        "unknown_parameter": lambda: DiscreteSeparability().set_params(nothing=1),
+        "not_fitted": lambda: DiscreteSeparability().predict(s),
+        "online_only": lambda: DiscreteSeparability().add_sample([0.5], "a"),
+        "no_map": lambda: DiscreteSeparability().module_a,
+        "non_finite": lambda: DiscreteSeparability().fit(bad),
+        "sample_shape": lambda: DiscreteSeparability(model_type="Fuzzy").add_sample([[0.5]], "a"),
+        "unit_interval": lambda: DiscreteSeparability(model_type="Hypersphere").add_sample([2.0], "a"),
+        "keyword": lambda: DiscreteSeparability(kmeans_kwargs={"n_clusters_": 3}).fit(s),
+        "k_and_radius": lambda: proto.check_cover("auto", "auto", 1.0, None, "farthest"),
+        "negative_k": lambda: proto.check_cover(-1, "auto", 1.0, None, "farthest"),
+        "negative_radius": lambda: proto.check_cover(3, -1.0, 1.0, None, "farthest"),
+        "cover_fraction": lambda: proto.check_cover(3, "auto", 0.0, None, "farthest"),
+        "max_balls": lambda: proto.check_cover(3, "auto", 1.0, 0, "farthest"),
+        "selection": lambda: proto.check_cover(3, "auto", 1.0, None, "nearest"),
+        "metric": lambda: proto.resolved_metric("cityblock", 3),
+        "class_without_k": lambda: proto.per_class({"a": 1}, "b", "k"),
+        "class_without_prototypes": lambda: scoring.own_best(s, proto.landmarks(s.where("label <> '1'"), 2)),
+        "online_target": lambda: ContinuousSeparability(model_type="Fuzzy"),
+        "soft_topk": lambda: ContinuousSeparability(adjacency_mode="soft_topk"),
+        "aggregation": lambda: ContinuousSeparability(aggregation="median"),
+        "permutations": lambda: ContinuousSeparability(n_null_permutations=0),
+        "quantile_cover": lambda: co.resolved_cover("quantile", 2),
+        "wasserstein": lambda: co.resolved_distance("wasserstein", 2),
+        "cover_keyword": lambda: ContinuousSeparability(target_cover_kwargs={"clusters": 3}),
+    }
+    rows = []
+    for name, f in cases.items():
+        try:
+            f()
+            rows.append((name, "none"))
+        except Exception as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "case string, error string")
+
+
+REFUSED = {
+    "ValueError": "model_type pair_mode top_m chunk_size unknown_parameter not_fitted non_finite sample_shape unit_interval k_and_radius negative_k negative_radius cover_fraction max_balls selection metric class_without_k class_without_prototypes aggregation permutations quantile_cover wasserstein",
+    "TypeError": "unhashable keyword cover_keyword",
+    "NotImplementedError": "online_only online_target soft_topk",
+    "AttributeError": "no_map",
+}
+
+
 def ml_pair_rows(spark, d):
     return lab.pair_rows(lab.normalized(tables.document_labels(spark, d)))
 
@@ -248,6 +425,23 @@ def visible_replay(spark, d):
     return ov.replayed(s, p, first).select("y", "b", "adj", "cardinality", r6("pairwise_index"))
 
 
+def visible_replay_blocks(spark, d):
+    """The same with a block of prototypes for each class, and rows of a class that owns none."""
+    s, p = _marks(spark, d)
+    first = {r["pid"]: r["row_id"] for r in p.join(s.select("row_id", F.col("label").alias("class"), F.col("features").alias("center")), ["class", "center"]).select("pid", "row_id").collect()}
+    s = s.unionByName(s.where("label = '1'").withColumn("label", F.lit("stray")).withColumn("row_id", -F.col("row_id") - 1))
+    return ov.replayed(s, scoring.Held(p, 1), first).select("y", "b", "adj", "cardinality", r6("pairwise_index"))
+
+
+def accumulate_summary(spark, d):
+    """Classes 0 to 5, then 4 to 9: what the first batch said of 0 to 3 stays, and what the second says of 4 and 5 is taken over both supports."""
+    s = tables.embeddings(spark, d)
+    state = None
+    for part in (s.where("cast(label as int) <= 5"), s.where("cast(label as int) >= 4")):
+        state = ov.accumulated(ov.pairwise(part, proto.landmarks(part, 4)), ov.support(part), state)
+    return state[2].select("y", "support", r6("singleton_index"))
+
+
 def accumulate_two_batches(spark, d):
     """Counters of two batches, each scored against prototypes of its own, added up."""
     s = tables.embeddings(spark, d)
@@ -378,6 +572,66 @@ pw AS (SELECT s.label AS y, cl.b, count_if(q.s1 IS NOT NULL AND (o.s2 IS NULL OR
   LEFT JOIN vt o ON o.row_id = s.row_id AND o.class = s.label LEFT JOIN vt q ON q.row_id = s.row_id AND q.class = cl.b GROUP BY 1, 2)"""
 
 
+def drawn_sql(seed: int = 7) -> str:
+    """u: the numbers of proto.drawn()."""
+    return f"u AS (SELECT *, ('0x' || substr(md5('{seed}-0-' || row_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM s)"
+
+
+def rounds_sql(running: bool = False) -> str:
+    """Starts by least u, then rounds of nearest centre and mean (running: the mean of all samples given in all rounds)."""
+    out = [f"WITH {SAMPLES}, {drawn_sql()}", f"q0 AS (SELECT label AS class, x AS c, row_number() OVER (PARTITION BY label ORDER BY u, row_id) AS l, 0::BIGINT AS seen FROM u QUALIFY l <= {ROUND_K})"]
+    for i in range(1, ROUNDS + 1):
+        out += [
+            f"a{i} AS (SELECT s.label AS class, s.x, arg_min(l, (power(list_distance(s.x, c), 2), l)) AS l FROM s JOIN q{i - 1} q ON q.class = s.label GROUP BY s.row_id, s.label, s.x)",
+            f"m{i} AS (SELECT class, l, list(m ORDER BY i) AS m, any_value(n) AS n FROM (SELECT class, l, i, sum(v) AS m, count(*) AS n FROM (SELECT class, l, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY class, l, i) GROUP BY class, l)",
+        ]
+        if running:
+            new = "CASE WHEN m IS NULL THEN c ELSE list_transform(list_zip(c, m), lambda z: z[1] + (z[2] - n * z[1]) / (seen + n)) END"
+        else:
+            new = "CASE WHEN m IS NULL THEN c ELSE list_transform(m, lambda z: z / n) END"
+        out.append(f"q{i} AS (SELECT q.class, q.l, {new} AS c, seen + coalesce(n, 0) AS seen FROM q{i - 1} q LEFT JOIN m{i} m ON m.class = q.class AND m.l = q.l)")
+    out.append(f"p AS (SELECT row_number() OVER (ORDER BY class, l) - 1 AS pid, class, c, NULL AS first_ord, NULL::DOUBLE AS r2 FROM q{ROUNDS})")
+    return ",\n".join(out)
+
+
+def plus_plus_sql() -> str:
+    """Starts of k-means++: each further one wins a race whose times are exponential with the squared distance as rate."""
+    out = [f"WITH {SAMPLES}, {drawn_sql()}", "z1 AS (SELECT label, arg_min(row_id, (u, row_id)) AS row_id FROM u GROUP BY label)",
+           "n1 AS (SELECT u.label, u.row_id, u.x, u.u, power(list_distance(u.x, q.x), 2) AS near FROM u JOIN z1 ON z1.label = u.label JOIN u q ON q.row_id = z1.row_id)"]
+    for i in range(2, ROUND_K + 1):
+        turn = f"((u + {i - 1} * {proto.TURN!r}::DOUBLE) % 1.0)"
+        out += [
+            f"z{i} AS (SELECT label, arg_min(row_id, (CASE WHEN near > 0 THEN -ln({turn}) / near ELSE 1e300 * (1 + {turn}) END, row_id)) AS row_id FROM n{i - 1} GROUP BY label)",
+            f"n{i} AS (SELECT n.label, n.row_id, n.x, n.u, least(near, power(list_distance(n.x, q.x), 2)) AS near FROM n{i - 1} n JOIN z{i} z ON z.label = n.label JOIN s q ON q.row_id = z.row_id)",
+        ]
+    every = " UNION ALL ".join(f"SELECT label, row_id, {i} AS l FROM z{i}" for i in range(1, ROUND_K + 1))
+    return ",\n".join(out) + f" SELECT row_number() OVER (ORDER BY label, l) - 1 AS pid, label AS class, row_id FROM ({every})"
+
+
+CENTER_OUT = "SELECT pid, class, round(c[1], 6) AS c0, round(c[2], 6) AS c1, round(c[64], 6) AS c63 FROM p"
+
+
+def fixed_cover_sql() -> tuple[str, str]:
+    """Covers of COVER_K balls of one radius; and with numbers and radii by class."""
+    near = " UNION ALL ".join(f"SELECT label, row_id, near, {i} AS k FROM n{i}" for i in range(1, COVER_K + 1))
+    base = f"WITH {SAMPLES}, {cover_steps(COVER_K)}, every AS ({near})"
+    one = f"{base} SELECT label AS class, 'fixed_k_fixed_radius' AS mode, {COVER_K}::BIGINT AS n_balls, {RADIUS!r}::DOUBLE AS radius, round(avg((near <= {RADIUS * RADIUS!r})::INT), 6) AS covered_fraction, round(avg(sqrt(near)), 6) AS mean_nearest_distance FROM every WHERE k = {COVER_K} GROUP BY label"
+    r = "(0.9::DOUBLE + 0.05::DOUBLE * label::INT)"
+    by = f"{base} SELECT label AS class, k::BIGINT AS n_balls, round({r}, 6) AS radius, round(avg((near <= {r} * {r})::INT), 6) AS covered_fraction, round(max(sqrt(near)), 6) AS max_nearest_distance FROM every WHERE k = 1 + label::INT % {COVER_K} GROUP BY label, k"
+    return one, by
+
+
+def accumulate_sql() -> str:
+    def part(cond: str, i: int) -> str:
+        body = marks_sql(4) + ",\n" + PAIRS + ", su AS (SELECT label, count(*) AS support FROM s GROUP BY label) SELECT y, b, adj, support FROM pw JOIN su ON su.label = pw.y"
+        return f"b{i} AS (" + body.replace("FROM embeddings", f"FROM embeddings WHERE {cond}") + ")"
+
+    return f"""WITH {part("label <= 5", 1)}, {part("label >= 4", 2)}, w AS (SELECT label::VARCHAR AS label, count(*) * (CASE WHEN label BETWEEN 4 AND 5 THEN 2 ELSE 1 END) AS support FROM embeddings GROUP BY embeddings.label),
+i2 AS (SELECT c.y, min(1 - (c.adj + coalesce(o.adj, 0)) / w.support) AS v FROM b2 c LEFT JOIN b1 o ON o.y = c.y AND o.b = c.b JOIN w ON w.label = c.y GROUP BY c.y),
+i1 AS (SELECT y, min(1 - adj / support) AS v FROM b1 GROUP BY y)
+SELECT w.label AS y, w.support, round(coalesce(i2.v, i1.v), 6) AS singleton_index FROM w LEFT JOIN i2 ON i2.y = w.label LEFT JOIN i1 ON i1.y = w.label"""
+
+
 def _two_batches() -> str:
     def part(i: int) -> str:
         body = marks_sql(4) + ",\n" + PAIRS + " SELECT y, b, adj, cardinality FROM pw"
@@ -390,6 +644,8 @@ def sql() -> dict[str, str]:
     m, pairs = marks_sql(), marks_sql() + ",\n" + PAIRS
     single = pairs + ",\n" + SINGLE
     cover = cover_sql()
+    fixed, by_class = fixed_cover_sql()
+    est = f"{cover}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}"
     near = f"SELECT label AS class, count(*) AS n_samples, {COVER_K}::BIGINT AS n_balls, round(any_value(r), 6) AS radius, round(avg((near <= r * r)::INT), 6) AS covered_fraction, round(avg(sqrt(near)), 6) AS mean_nearest_distance, round(max(sqrt(near)), 6) AS max_nearest_distance FROM n{COVER_K} JOIN rad USING (label) GROUP BY label"
     return {
         "oi_landmark_summary": f"{single} {summary_out()}",
@@ -419,7 +675,26 @@ def sql() -> dict[str, str]:
         "ballcover_fixed_radius": greedy_sql(),
         "ballcover_membership": f"{cover} SELECT pid, count(*) AS n, min(row_id) AS first_row FROM p JOIN s ON s.label = p.class WHERE power(list_distance(s.x, p.c), 2) <= r2 GROUP BY pid",
         "ballcover_diag": f"{cover} {near}",
-        "ballcover_fit_diag": f"SELECT count(*) AS n_samples, count(DISTINCT label) AS n_classes, count(DISTINCT label) * {COVER_K} AS n_balls, 64::BIGINT AS n_features FROM embeddings",
+        "ballcover_fit_diag": f"SELECT count(*) AS n_samples, count(DISTINCT label) AS n_classes, count(DISTINCT label) * {COVER_K} AS n_balls, any_value(len(embedding)) AS n_features, 'euclidean' AS metric, 128::BIGINT AS high_dim_threshold, false AS stored_memberships FROM embeddings",
+        "ballcover_class_diag": f"{cover} SELECT class, 'fixed_k_auto_radius' AS mode, 'euclidean' AS metric, string_agg(pid::VARCHAR, ',' ORDER BY pid) AS ball_ids FROM p GROUP BY class",
+        "ballcover_fixed_k_radius": fixed,
+        "ballcover_per_class": by_class,
+        "kmeans_fixed_rounds": f"{rounds_sql()} {CENTER_OUT}",
+        "minibatch_fixed_rounds": f"{rounds_sql(True)} {CENTER_OUT}",
+        "kmeans_plus_plus": plus_plus_sql(),
+        "oi_kmeans_fixed": f"{rounds_sql()}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}",
+        "est_fit": est,
+        "est_exclude": f"{cover}, {SCORES}, {PAIRS}, {SINGLE}, k AS ({summary_out('y NOT IN ' + repr(tuple(EXCLUDED)))}) SELECT index, weighted_index, (SELECT count(*) FROM si) AS n_classes FROM k",
+        "est_partial_fit": est,
+        "est_score": f"{cover}, {SCORES}, {PAIRS}, {SINGLE}, k AS ({summary_out()}) SELECT index AS fitted, index AS current, 1.0::DOUBLE AS after_reset FROM k",
+        "est_fit_predict": f"{cover}, {SCORES} {topk_sql(1, score='').replace('row_id, rank, pid', 'row_id, pid')}",
+        "est_classes": f"{cover} SELECT class, count(*) AS n, min(pid) AS first, max(pid) AS last FROM p GROUP BY class",
+        "label_kinds": f"WITH {DOC_LABELS} SELECT 'string' AS kind, 1::BIGINT AS size, count(*) AS n FROM part UNION ALL SELECT 'array', len(labels), count(*) FROM d GROUP BY len(labels)",
+        "metric_rule": "SELECT d, t AS threshold, CASE WHEN d >= t THEN 'cosine' ELSE 'euclidean' END AS metric FROM range(1, 257) x(d), (VALUES (16::BIGINT), (128::BIGINT)) y(t)",
+        "text_source": "SELECT p_brand AS label, count(*) AS n, sum(p_size)::DOUBLE AS s0, sum(p_partkey)::DOUBLE AS s1 FROM part GROUP BY p_brand",
+        "guards": " UNION ALL ".join(f"SELECT '{c}' AS \"case\", '{e}' AS error" for e, cs in REFUSED.items() for c in cs.split()),
+        "visible_replay_blocks": f"{m}, {REPLAY} {PAIR_OUT}",
+        "accumulate_summary": accumulate_sql(),
         "oi_ballcover": f"{cover}, {SCORES}, {PAIRS} {PAIR_OUT}",
         "kmeans_k1_centers": f"WITH {SAMPLES}, v AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s) GROUP BY label, i) SELECT row_number() OVER (ORDER BY label) - 1 AS pid, label AS class, round(max(CASE WHEN i = 1 THEN m END), 6) AS c0, round(max(CASE WHEN i = 2 THEN m END), 6) AS c1, round(max(CASE WHEN i = 64 THEN m END), 6) AS c63, round(sum(m * m), 6) AS norm2 FROM v GROUP BY label",
         "lloyd_fixed_iter": lloyd_sql(),

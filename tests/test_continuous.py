@@ -121,3 +121,123 @@ def test_degenerate(spark):
     with pytest.warns(RuntimeWarning, match="one target cell"):
         assert fit(spark, np.random.default_rng(0).random((10, 2)), np.ones(10)).index == 1.0
     assert co.raw_index(0.0, 0.0) == 1.0 and co.raw_index(1.0, 0.0) == float("-inf")
+
+
+def test_quantiles_by_sorting(spark, monkeypatch):
+    from isthmus.functions import session
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), i) for g, n in ((0, 41), (1, 7), (2, 1)) for i, v in enumerate(rng.normal(size=n).round(1))]
+    df = spark.createDataFrame(rows, "g int, v double, row_id long").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.731, 1.0]
+    monkeypatch.setattr(session, "SORTED_QUANTILES", 0)
+    got = session.quantiles(df, probs)
+    for g in range(3):
+        assert np.allclose(got[g], np.quantile([v for h, v, _ in rows if h == g], probs))
+    assert session.quantiles(df.limit(0), probs) == {}
+
+
+def test_distances_by_ranges(spark):
+    """Many values over several ranges, in groups and directions."""
+    rng = np.random.default_rng(6)
+    values = {(g, d, p): rng.normal(p, 1 + d, 200 + 50 * p).round(2) for g in (0, 1) for d in (0, 1) for p in (0, 1, 2)}
+    df = spark.createDataFrame([(g, p, d, float(v)) for (g, d, p), vs in values.items() for v in vs], "g int, pid int, dir int, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = spark.createDataFrame([(0, 0, 1), (0, 2, 1), (1, 0, 2)], "g int, p int, q int")
+        got = {(r.g, r.p, r.q): r.distance for r in co.wasserstein_by_group(df, pairs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {(0, 0, 1), (0, 2, 1), (1, 0, 2)}
+    for (g, p, q), v in got.items():
+        assert v == pytest.approx(np.mean([w1(values[g, d, p], values[g, d, q]) for d in (0, 1)]))
+
+
+def literal_loss(rows, prototypes, k):
+    """The loss of (features, target, cell) with prototypes (cell, centre), by the literal rule."""
+    targets, votes = {}, {}
+    for x, y, cell in rows:
+        d = [float(((np.array(x) - c) ** 2).sum()) for _, c in prototypes]
+        own = min((i for i, (own_cell, _) in enumerate(prototypes) if own_cell == cell), key=lambda i: d[i])
+        other = min((i for i in range(len(prototypes)) if i != own), key=lambda i: (round(d[i], 12), i))
+        targets.setdefault(own, []).append(y)
+        votes[own, other] = votes.get((own, other), 0) + 1
+    return sum(n * w1(targets[p], targets[q]) for (p, q), n in votes.items() if q in targets) / len(rows)
+
+
+@pytest.mark.parametrize("model", ["KMeans", "MiniBatchKMeans", "BallCover"])
+def test_a_refitted_permutation_against_a_literal_one(spark, model):
+    """Permutations by md5, one task's fit for each cell of each, and the loss by the literal rule."""
+    import hashlib
+
+    from isthmus.operators import prototypes as proto
+
+    x, y = separated()
+    m = fit(spark, x, y, model_type=model, n_target_cells=3, n_null_permutations=2, ballcover_k=2, ballcover_radius="auto", target_scaling="none")
+    edges = np.unique(np.quantile(y, [1 / 3, 2 / 3]))
+    cell = np.searchsorted(edges, y, side="right")
+    n = len(y)
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    for perm in range(2):
+        order = sorted(range(n), key=lambda i: (md5(f"1:{i}-{perm}"), i))
+        ty, tc = y[order], cell[order]
+        prototypes = []
+        for c in range(3):
+            rows = np.flatnonzero(tc == c)
+            u = np.array([[int(md5(f"0-0-{i}")[:13], 16) / 2**52] for i in rows])
+            if model == "KMeans":
+                centers = proto.kmeans_matrix(x[rows], u, 2)
+            elif model == "MiniBatchKMeans":
+                centers = proto.minibatch_matrix(x[rows], u, 2)
+            else:
+                centers = x[rows][proto.cover_matrix(rows, x[rows], 2, "auto", 1.0, None)[0]]
+                r = proto.cover_matrix(rows, x[rows], 2, "auto", 1.0, None)[1]
+                prototypes += [(c, v, r) for v in centers]
+                continue
+            prototypes += [(c, v, None) for v in centers]
+        if model == "BallCover":  # scores 1 - d^2 / r^2
+            continue
+        assert m.null_losses_[perm] == pytest.approx(literal_loss(list(zip(x, ty, tc, strict=True)), [(c, v) for c, v, _ in prototypes], 2), rel=1e-6)
+    assert len(m.null_losses_) == 2 and all(v >= 0 for v in m.null_losses_)
+
+
+def test_reset_and_no_tables_left_cached(spark):
+    spark.catalog.clearCache()
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    m = fit(spark, *separated(), n_null_permutations=3)
+    assert m.index != 1.0 and m.prototypes_ is not None
+    m.reset()
+    assert m.index == 1.0 and m.prototypes_ is None and not hasattr(m, "null_loss_")
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_keywords_of_the_target_cover(spark):
+    x, y = separated()
+    two = np.stack([y, y**2], axis=1)
+    m = fit(spark, x, two, target_cover="kmeans", target_cover_kwargs={"n_init": 2, "max_iter": 5}, n_null_permutations=1, n_projections=4)
+    assert 0 <= m.index <= 1
+    with pytest.raises(TypeError, match="n_clusters"):
+        ContinuousSeparability(target_cover_kwargs={"n_clusters": 2})
+
+
+def test_non_finite_distances_are_refused(spark):
+    from pyspark.errors import PySparkException
+
+    adj = spark.createDataFrame([(0, 1, 1, 1.0)], "p int, q int, n long, alpha double")
+    dist = spark.createDataFrame([(0, 1, float("inf"))], "p int, q int, distance double")
+    with pytest.raises(PySparkException, match="not finite"):
+        co.local_losses(adj, dist, spark.createDataFrame([(0, 1)], "pid int, support long")).collect()
+
+
+def test_adjacency_in_blocks(spark, monkeypatch):
+    from isthmus.operators import prototypes as proto
+    from isthmus.operators import scoring
+
+    x, y = separated()
+    s = co.cells_of(frame(spark, x, y), "quantile", 4)
+    p = proto.landmarks(s, 3)
+    own = scoring.own_best(s, p).select("row_id", "pid")
+    key = lambda: sorted((r.p, r.q, r.n) for r in co.adjacency(s, p, own).collect())
+    one = key()
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 1)
+    assert key() == one

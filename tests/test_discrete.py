@@ -50,10 +50,8 @@ def test_blocks_of_prototypes_agree(spark, monkeypatch):
     p = proto.landmarks(df, 4)
     whole = sorted(map(tuple, ov.pairwise(df, p).collect()))
     best = sorted(map(tuple, scoring.topk(df, p, 3).collect()))
-    one = scoring.gathered
-    for m in (scoring, ov):
-        monkeypatch.setattr(m, "gathered", lambda q, size=100: one(q, size))
-    assert len(scoring.gathered(p)) > 1
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 100)
+    assert len(scoring.held(p)) > 1
     assert sorted(map(tuple, ov.pairwise(df, p).collect())) == whole
     assert sorted(map(tuple, scoring.topk(df, p, 3).collect())) == best
 
@@ -160,8 +158,67 @@ def test_params(spark):
 def test_accumulating_fit(spark):
     df, _ = cloud(spark, 7)
     m = DiscreteSeparability(kmeans_k=3).fit(df)
+    one = {(r.y, r.b): r.adj for r in m.pairwise_.collect()}
     m.fit(df, reset_state=False)
     assert {r.cardinality for r in m.pairwise_.collect()} == {40}
+    assert {(r.y, r.b): r.adj for r in m.pairwise_.collect()} == {k: 2 * v for k, v in one.items()}
+
+
+def test_accumulating_fit_keeps_earlier_classes(spark):
+    df, _ = cloud(spark, 7, 80, classes=4, spread=0.5)
+    m = DiscreteSeparability(model_type="BallCover", ballcover_k=3, ballcover_radius="auto")
+    first = {r.y: r.singleton_index for r in m.fit(df.where("label in ('c0', 'c1')")).singleton_.collect()}
+    m.fit(df.where("label in ('c2', 'c3')"), reset_state=False)
+    got = {r.y: (r.support, r.singleton_index) for r in m.singleton_.collect()}
+    assert set(got) == {"c0", "c1", "c2", "c3"} and all(got[y] == (20, v) for y, v in first.items())
+    assert m.index == pytest.approx(np.mean([v for _, v in got.values()]))
+    # One class in common: its pairs are taken over both supports, and only this batch's pairs set its index.
+    m.fit(df.where("label in ('c0', 'c2')"), reset_state=False)
+    got = {r.y: r.support for r in m.singleton_.collect()}
+    pairs = {(r.y, r.b): r for r in m.pairwise_.collect()}
+    assert got == {"c0": 40, "c1": 20, "c2": 40, "c3": 20} and pairs["c0", "c2"].cardinality == 40 and pairs["c0", "c1"].cardinality == 20
+    assert {r.y: r.singleton_index for r in m.singleton_.collect()}["c0"] == pytest.approx(1 - pairs["c0", "c2"].adj / 40)
+
+
+def test_prototypes_are_worked_out_once(spark):
+    df, _ = cloud(spark, 11)
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    p = proto.landmarks(df.where("row_id < 60"), 20)
+    assert p.count() == 60
+    ov.pairwise(df, p.mapInArrow(tick, p.schema)).collect()
+    assert seen.value == 60
+
+
+def test_a_class_without_prototypes_is_refused(spark):
+    df, _ = cloud(spark, 12)
+    with pytest.raises(ValueError, match="c2"):
+        scoring.own_best(df, proto.landmarks(df.where("label <> 'c2'"), 2))
+
+
+def test_keywords(spark):
+    df, _ = cloud(spark, 13)
+    a = DiscreteSeparability(model_type="KMeans", kmeans_k=3, kmeans_kwargs={"init": "random", "n_init": 3, "max_iter": 4, "algorithm": "lloyd", "random_state": 3}).fit(df)
+    assert a.prototypes_.count() == 9
+    with pytest.raises(TypeError, match="n_jobs"):
+        DiscreteSeparability(kmeans_kwargs={"n_jobs": 3}).fit(df)
+
+
+def test_a_backend_of_ones_own(spark, monkeypatch):
+    from isthmus.operators import backends
+
+    class Marks(backends.Backend):
+        def fit(self, samples):
+            return proto.landmarks(samples, 2)
+
+    monkeypatch.setitem(backends.BACKENDS, "Marks", Marks)
+    df, _ = cloud(spark, 14)
+    assert DiscreteSeparability(model_type="Marks").fit(df).prototypes_.count() == 6
 
 
 def test_covers_in_rounds_equal_covers_in_one_task(spark, monkeypatch):
@@ -177,11 +234,47 @@ def test_covers_in_rounds_equal_covers_in_one_task(spark, monkeypatch):
         assert diag(da) == diag(db)
 
 
-def test_large_classes_take_lloyd_in_rounds(spark, monkeypatch):
-    df, _ = cloud(spark, 9, 120, spread=6.0)
-    monkeypatch.setattr(proto, "SMALL", 60)
-    p = proto.kmeans(df, 2, seed=1, max_iter=5)
-    assert p.count() == 6 and ov.summary(ov.singleton(ov.pairwise(df, p), ov.support(df))).first()["index"] > 0.9
+@pytest.mark.parametrize("how", [{}, {"init": "random", "n_init": 3}, {"n_init": 2, "max_iter": 3}])
+def test_kmeans_in_rounds_equals_kmeans_in_one_task(spark, monkeypatch, how):
+    df, _ = cloud(spark, 9, 120, d=2, spread=3.0)
+    df = df.repartition(3)
+    key = lambda p: [(r["pid"], r["class"], [round(v, 9) for v in r["center"]]) for r in p.orderBy("pid").collect()]
+    a = key(proto.kmeans(df, 3, seed=1, **how))
+    monkeypatch.setattr(proto, "SMALL", 0)
+    assert key(proto.kmeans(df, {"c0": 3, "c1": 3, "c2": 3}, seed=1, **how)) == a
+
+
+def test_empty_clusters_start_anew_alike(spark, monkeypatch):
+    rows = [(i, i, [float(v)], "a") for i, v in enumerate([0, 0, 0, 0, 5, 9])]
+    df = spark.createDataFrame(rows, KIND)
+    monkeypatch.setattr(proto, "start_rows", lambda x, u, k, init: np.array([0, 1, 2]))
+    monkeypatch.setattr(proto, "starts_in_rounds", lambda s, ks, n, init: {("a", 0): [np.zeros(1)] * 3})
+    a = proto.kmeans_matrix(np.array([r[2] for r in rows]), np.zeros((6, 1)), 3)
+    b = proto.kmeans_in_rounds(proto.drawn(df, 0), {"a": 6}, {"a": 3}, 1, 1, 300, 1e-4, "random")
+    assert [r["center"] for r in b.orderBy("pid").collect()] == a.tolist() and sorted(a.ravel()) == [0, 5, 9]
+
+
+@pytest.mark.parametrize("n_init", [1, 2])
+def test_minibatches_in_rounds_equal_those_in_one_task(spark, monkeypatch, n_init):
+    df, _ = cloud(spark, 15, 240, d=2, spread=3.0)
+    key = lambda p: [(r["pid"], r["class"], [round(v, 9) for v in r["center"]]) for r in p.orderBy("pid").collect()]
+    how = {"seed": 2, "batch_size": 20, "max_iter": 7, "n_init": n_init}
+    a = key(proto.minibatch_kmeans(df, 3, **how))
+    monkeypatch.setattr(proto, "SMALL", 0)
+    assert key(proto.minibatch_kmeans(df, 3, **how)) == a
+
+
+def test_automatic_radius_in_rounds_is_exact(spark, monkeypatch):
+    from isthmus.functions import session
+
+    df, _ = cloud(spark, 16, 90, d=2)
+    how = {"k": 4, "radius": "auto", "cover_fraction": 0.83, "metric": "euclidean"}
+    key = lambda d: sorted((r["class"], round(r["radius"], 9), round(r["covered_fraction"], 9), r["mode"], r["ball_ids"]) for r in d.collect())
+    a = key(proto.ball_cover(df, **how)[1])
+    monkeypatch.setattr(proto, "SMALL", 0)
+    assert key(proto.ball_cover(df, **how)[1]) == a
+    monkeypatch.setattr(session, "SORTED_QUANTILES", 0)
+    assert key(proto.ball_cover(df, **how)[1]) == a
 
 
 def test_cosine_covers(spark):

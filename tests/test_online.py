@@ -40,7 +40,102 @@ def test_balls_hold_their_samples():
     m, (x, y) = ArtLearner("Hypersphere", 0.7), samples(2)
     for u, v in zip(x, y, strict=True):
         j = m.learn(u, v)
-        assert np.linalg.norm(m.w[j] - u) <= m.radius[j] + 1e-9
+        assert np.linalg.norm(m.w[j] - m.coded(u)) <= m.radius[j] + 1e-9
+
+
+class Plain:
+    """The published rules, one category after another, without arrays."""
+
+    def __init__(self, kind, rho, r_hat, dim):
+        self.kind, self.rho, self.full = kind, rho, r_hat if np.isfinite(r_hat) else np.sqrt(2 * dim) / 2
+        self.cats, self.rev, self.card, self.adj, self.pair, self.single = [], {}, {}, {}, {}, {}
+
+    def judge(self, i, cat):
+        w, r, _ = cat
+        if self.kind == "Fuzzy":
+            both = np.minimum(i, w).sum()
+            return both / (1e-10 + w.sum()), both / i.sum()
+        far = max(r, np.sqrt(((i - w) ** 2).sum()))
+        return (self.full - far) / (self.full - r + 1e-10), 1 - far / self.full
+
+    def learn(self, i, y):
+        rho = self.rho
+        for j in sorted(range(len(self.cats)), key=lambda j: (-self.judge(i, self.cats[j])[0], j)):
+            match = self.judge(i, self.cats[j])[1]
+            if match < rho:
+                continue
+            w, r, owner = self.cats[j]
+            if owner != y:
+                rho = max(rho, match + 1e-9)
+                continue
+            if self.kind == "Fuzzy":
+                self.cats[j] = (np.minimum(i, w), 0.0, y)
+            else:
+                d = np.sqrt(((i - w) ** 2).sum())
+                if d > r:
+                    self.cats[j] = (w + 0.5 * (1 - r / d) * (i - w), r + 0.5 * (d - r), y)
+            return j
+        self.cats.append((i, 0.0, y))
+        return len(self.cats) - 1
+
+    def count(self, i, y, mine):
+        self.card[y] = self.card.get(y, 0) + 1
+        score = [self.judge(i, c)[0] for c in self.cats]
+        for b in self.rev:
+            if b == y:
+                continue
+            two = sorted(self.rev[y] | self.rev[b], key=lambda j: (-score[j], j))[:2]
+            chosen = mine if len(two) < 2 else two[1] if two[0] == mine else two[0]
+            self.adj[y, b] = self.adj.get((y, b), 0) + (chosen in self.rev[b])
+            self.pair[y, b] = 1 - self.adj[y, b] / self.card[y]
+
+    def settle(self, ys):
+        for y in ys:
+            self.single[y] = min((v for (a, _), v in self.pair.items() if a == y), default=1.0)
+        return float(np.mean(list(self.single.values())))
+
+    def batch(self, rows):
+        mine = [self.learn(i, y) for i, y in rows]
+        for (i, y), j in zip(rows, mine, strict=True):
+            self.rev.setdefault(y, set()).add(j)
+            self.count(i, y, j)
+        return self.settle({y for _, y in rows})
+
+    def fit(self, rows):
+        self.card, self.adj, self.pair, self.single = {}, {}, {}, {}
+        for i, y in rows:
+            self.learn(i, y)
+        self.rev = {}
+        for j, (_, _, y) in enumerate(self.cats):
+            self.rev.setdefault(y, set()).add(j)
+        for i, y in rows:
+            score = [self.judge(i, c)[0] for c in self.cats]
+            self.count(i, y, min(self.rev[y], key=lambda j: (-score[j], j)))
+        return self.settle({y for _, y in rows})
+
+    def one(self, i, y):
+        j = self.learn(i, y)
+        self.rev.setdefault(y, set()).add(j)
+        self.count(i, y, j)
+        return self.settle({y})
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", 0.1), ("Hypersphere", 0.5), ("Hypersphere", np.inf)])
+def test_against_a_plain_loop(kind, r_hat):
+    rng = np.random.default_rng(7)
+    x = rng.random((150, 3))
+    y = [f"c{i}" for i in rng.integers(0, 3, 150)]
+    rows = [(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    fast, slow = ArtLearner(kind, 0.7, r_hat), Plain(kind, 0.7, r_hat, 3)
+    assert fast.fit_batch(x[:100], y[:100]) == pytest.approx(slow.fit(rows[:100]))
+    assert fast.owner == [c[2] for c in slow.cats] and np.allclose(fast.w, [c[0] for c in slow.cats]) and np.allclose(fast.radius, [c[1] for c in slow.cats])
+    assert fast.add_batch(x[100:130], y[100:130]) == pytest.approx(slow.batch(rows[100:130]))
+    for a, b, (i, _) in zip(x[130:], y[130:], rows[130:], strict=True):
+        assert fast.add_sample(a, b) == pytest.approx(slow.one(i, b))
+    assert fast.adj == slow.adj
+    fresh, plain = ArtLearner(kind, 0.7, r_hat), Plain(kind, 0.7, r_hat, 3)
+    assert fresh.add_batch(x, y) == pytest.approx(plain.batch(rows)) and fresh.support == plain.card
 
 
 def test_vigilance_makes_categories():
@@ -67,6 +162,12 @@ def test_estimator(spark):
     m.add_sample(x[0], y[0])
     assert m.learner_.support["c0"] == before + 1
     assert m.predict(df).count() == 40
+    assert {r.y: r.support for r in m.singleton_.collect()}["c0"] == before + 1
+    one = DiscreteSeparability(model_type="Fuzzy", rho=0.8)
+    one.add_sample(x[0], y[0]), one.add_sample(x[1], y[1])
+    assert one.predict(df).count() == 40 and one.weights_.count() == len(one.map) == 2
+    learner = ArtLearner("Fuzzy", 0.8)
+    assert DiscreteSeparability(model_type="Fuzzy", rho=0.8).fit(df).index == pytest.approx(learner.fit_batch(x, y))
     with pytest.raises(AttributeError):
         _ = DiscreteSeparability().module_a
 
