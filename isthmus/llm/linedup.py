@@ -1,32 +1,34 @@
 """Line dedup: repeated runs of lines by a suffix array over line ids, sorted by distributed prefix doubling.
 
-A suffix is a place (document, line). Its rank to depth 1 is its line's place among the
-sorted distinct lines; ranks to depth k and j give those to depth k + j, by
-ranking the pairs (rank at the place, rank k lines further on). Ranking is a range-partitioned sort of
-distinct pairs with running counts, so no key's suffixes meet in one
-task. Suffixes whose rank nobody shares have no repeated run and leave. At depth min_lines,
-suffixes of one rank are an interval of the suffix array whose common prefix has at least
-min_lines lines: the first place in the corpus keeps its lines, the later
-ones lose theirs. Overlapping runs unite into maximal ones.
+A suffix is a place: a document, in corpus order, and a line. Its rank to depth 1 is its line's place among the
+sorted lines; ranks to depth k give those to depth 2k, by ranking the pairs (rank at the place, rank k lines
+further on) within each rank. Ranking is a range-partitioned sort of distinct pairs with running counts, so no key's
+suffixes meet in one task. A suffix whose next 2k lines nobody shares has found its place and leaves (its place ranks it from then on); doubling goes on
+until all have. The common prefix of neighbours in the suffix array follows from the ranks of all depths, the deepest
+first. Neighbours whose common prefix is long enough form intervals: the first place of an interval in the corpus keeps its
+lines, the later ones lose theirs. Overlapping runs unite into maximal ones.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import besides, fresh, hashed, joined, prepared, released, texts_of, written
+from .common import SPACED, besides, discard, fresh, hashed, joined, prepared, released, texts_of, words_in, written
 from .imatch import chunks
 
-MIN_LINES = 2
+MIN_LINES, MIN_WORDS = 2, 50
 PLACE = ["doc_id", "th", "line"]
+#: A place is one number: the document's number in the corpus, and this many bits for the line.
+LINE_BITS = 29
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line, h1, h2 (128 bits that name the line) of every line."""
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), line, h1, h2 (128 bits that name the line), long (whether it has min_words words) of every line."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -43,89 +45,179 @@ def line_table(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(a, b), n)
                 line = np.arange(len(doc)) - np.repeat(first[:-1], n)
                 one, two = (hashed(buf, starts, ends, seed).view(np.int64) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two)], names=["doc_id", "th", "line", "h1", "h2"])
+                words = words_in(buf, np.append(starts, len(buf)), SPACED)[2]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two), pa.array(np.diff(words) >= min_words)], names=["doc_id", "th", "line", "h1", "h2", "long"])
         released()
 
     prepared(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, th long, line long, h1 long, h2 long, long boolean")
 
 
-def ranked(keys: DataFrame, names: list[str], table: str) -> DataFrame:
-    """The columns `names` of distinct keys with rank: how many suffixes (column n of keys) have a lesser key."""
+def running(df: DataFrame, order: list[str], sums: list[str], table: str) -> DataFrame:
+    """The rows of df (longs only) with, for each column c of `sums`, before_c: the sum of c over all rows that come earlier by `order`, whose columns tell all rows apart. A range-partitioned sort; each task adds up its own rows, and what earlier tasks hold is added after."""
+    names, m = df.columns, len(sums)
 
-    def running(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, total = TaskContext.get().partitionId(), 0
+        part, total = TaskContext.get().partitionId(), np.zeros(m, dtype=np.int64)
         for batch in batches:
-            n = batch.column(batch.schema.names.index("n")).to_numpy()
-            upto = np.cumsum(n) + total
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(upto - n), pa.array(upto), pa.array(np.full(len(n), part))], names=[*names, "before", "upto", "part"])
-            total = int(upto[-1]) if len(n) else total
-
-    kinds = ", ".join(f"{c} long" for c in [*names, "before", "upto", "part"])
-    dealt = written(keys.select(*names, F.col("n").cast("long")).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(running, kinds), table)
+            values = [batch.column(batch.schema.names.index(c)).to_numpy() for c in sums]
+            upto = [np.cumsum(v) + t for v, t in zip(values, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(u - v) for u, v in zip(upto, values, strict=True)), *(pa.array(u) for u in upto), pa.array(np.full(batch.num_rows, part))], names=[*names, *(f"before_{c}" for c in sums), *(f"upto_{c}" for c in sums), "part"])
+            if batch.num_rows:
+                total = np.array([u[-1] for u in upto])
+
+    kinds = ", ".join(f"{c} long" for c in [*names, *(f"before_{c}" for c in sums), *(f"upto_{c}" for c in sums), "part"])
+    dealt = written(df.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kinds), table)
     # One row for each task: what earlier tasks hold.
-    totals = dealt.groupBy("part").agg(F.max("upto").alias("t")).collect()
-    offset, shift = 0, {}
-    for r in sorted(totals, key=lambda r: r["part"]):
-        shift[r["part"]], offset = offset, offset + r["t"]
-    added = keys.sparkSession.createDataFrame(list(shift.items()) or [(0, 0)], "part long, shift long")
-    return dealt.join(F.broadcast(added), "part").select(*names, (F.col("before") + F.col("shift")).alias("rank"))
-
-
-def repeated(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The suffixes (doc_id, th, line, rank) whose first min_lines lines occur at several places; equal ranks have equal lines."""
-    keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    depth = 1
-    suffixes = written(lines.join(ranked(keys, ["h1", "h2"], "ranks"), ["h1", "h2"]).select(*PLACE, "rank"), "suffixes")
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = suffixes.select("doc_id", "th", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "doc_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in PLACE]
-        pairs = written(suffixes.alias("a").join(ahead.alias("b"), same).select(*(f"a.{c}" for c in PLACE), "a.rank", "b.next"), "pairs")
-        keys = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
-        new = ranked(keys.withColumnRenamed("rank", "own"), ["own", "next"], "ranks")
-        suffixes = written(pairs.withColumnRenamed("rank", "own").join(new, ["own", "next"]).select(*PLACE, "rank"), "suffixes")
-        depth += step
-    return suffixes
-
-
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, th, starts: for each document, the sorted first lines of its later copies of min_lines lines."""
-    lines = written(line_table(docs), "lines")
+    totals = sorted((tuple(r) for r in dealt.groupBy("part").agg(*(F.max(f"upto_{c}") for c in sums)).collect()), key=lambda r: r[0])
+    shift, at = [], [0] * m
+    for part, *t in totals:
+        shift.append((part, *at))
+        at = [a + b for a, b in zip(at, t, strict=True)]
+    added = df.sparkSession.createDataFrame(shift or [(0, *at)], "part long, " + ", ".join(f"shift_{c} long" for c in sums))
+    out = dealt.join(F.broadcast(added), "part").select(*names, *((F.col(f"before_{c}") + F.col(f"shift_{c}")).alias(f"before_{c}") for c in sums))
+    out.written_path = dealt.written_path
+    return out
+
+
+def ranked(keys: DataFrame, names: list[str], table: str) -> DataFrame:
+    """The columns `names` of distinct keys with rank: how many suffixes (column n of keys) have a lesser key."""
+    out = running(keys.select(*names, "n"), names, ["n"], table)
+    ranks = out.select(*names, F.col("before_n").alias("rank"))
+    ranks.written_path = out.written_path
+    return ranks
+
+
+class SuffixArray:
+    """The suffixes whose first line occurs at several places.
+
+    documents: number, doc_id, th of the documents that have any, numbered in corpus order. suffixes: pos (document
+    number and line in one), long, place (its place in the suffix array; equal suffixes share one). depths: pos and rank
+    of the suffixes whose first k lines occur at several places, for k = 1, 2, 4 ... as far as there are any.
+    """
+
+    def __init__(self, lines: DataFrame):
+        keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+        first = ranked(keys, ["h1", "h2"], "ranks")
+        shared = written(lines.join(first, ["h1", "h2"]).select(*PLACE, "rank", "long"), "shared")
+        discard(first)
+        docs = shared.select("doc_id", "th").distinct().withColumn("one", F.lit(1))
+        last = F.col("doc_id").isNull().cast("long").alias("last")
+        order = running(docs.select(last, F.coalesce("doc_id", F.lit(0)).alias("own"), "th", "one"), ["last", "own", "th"], ["one"], "documents")
+        self.documents = order.select(F.col("before_one").alias("number"), F.when(F.col("last") == 0, F.col("own")).alias("doc_id"), "th")
+        same = F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("s.th") == F.col("d.th"))
+        pos = (F.shiftleft(F.col("d.number"), LINE_BITS) + F.col("s.line")).alias("pos")
+        suffixes = written(shared.alias("s").join(self.documents.alias("d"), same).select(pos, "s.rank", "s.long"), "suffixes")
+        discard(shared)
+        self._tables, self.depths = [order, suffixes], [(1, suffixes.select("pos", "rank"))]
+        depth, now = 1, suffixes.select("pos", "rank")
+        kinds = "pos long, place long, depth int, closed boolean"
+        placed = docs.sparkSession.createDataFrame([], kinds)
+        while True:
+            # The ranks of all suffixes; whoever has left stands by its place. closed: others have the same place, but share no more than they are known to.
+            ranks_of = now.select("pos", F.col("rank").alias("next"), F.lit(False).alias("closed")).unionByName(placed.select("pos", F.col("place").alias("next"), "closed"))
+            ahead = ranks_of.select((F.col("pos") - depth).alias("pos"), "next", "closed")
+            # -1: what follows occurs nowhere else, or the document ends.
+            pairs = now.join(ahead.hint("merge"), "pos", "left").select("pos", F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("closed", F.lit(True)).cast("long").alias("closed"))
+            pairs = written(pairs, "pairs")
+            ranks = running(pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.max("closed").alias("closed")), ["own", "next"], ["n"], "ranks")
+            # A rank's suffixes stay where they are as a whole and take places among themselves.
+            base = ranks.groupBy("own").agg(F.min("before_n").alias("base"))
+            many, more = F.col("n") > 1, (F.col("n") > 1) & (F.col("closed") == 0)
+            keys = ranks.join(base, "own").select("own", "next", (F.col("own") + F.col("before_n") - F.col("base")).alias("rank"), many.alias("many"), more.alias("more"))
+            found = written(pairs.drop("closed").join(keys.hint("merge"), ["own", "next"]).select("pos", "rank", "many", "more"), "found")
+            discard(pairs, ranks)
+            self._tables.append(found)
+            placed = placed.unionByName(found.where("not more").select("pos", F.col("rank").alias("place"), F.lit(depth).alias("depth"), F.col("many").alias("closed")))
+            now = found.where("more").select("pos", "rank")
+            if now.limit(1).count() == 0:
+                break
+            depth *= 2
+            self.depths.append((depth, now))
+        self.suffixes = written(placed.select("pos", "place", "depth").join(suffixes.select("pos", "long").hint("merge"), "pos"), "placed")
+
+    def neighbours(self) -> DataFrame:
+        """n (from 0 in the order of the suffix array), pos, long, common (how many first lines it shares with the suffix before it) of every suffix."""
+        rows = running(self.suffixes.select("place", "pos", F.col("long").cast("long").alias("long"), "depth", F.lit(1).alias("one")), ["place", "pos"], ["one"], "array")
+        ordered = written(rows.select(F.col("before_one").alias("n"), "pos", "long", "depth"), "array")
+        before = ordered.select((F.col("n") + 1).alias("n"), F.col("pos").alias("other"), F.col("depth").alias("other_depth"))
+        # Two suffixes share a rank at most up to the depth at which the first of them leaves.
+        pairs = ordered.join(before.hint("merge"), "n", "left").select("n", "pos", "long", "other", F.least("depth", F.coalesce("other_depth", F.lit(0))).alias("depth"))
+        pairs = written(pairs.withColumn("common", F.lit(0).cast("long")), "pairs")
+        discard(rows, ordered)
+        done = pairs.limit(0)
+        for depth, ranks in reversed(self.depths):
+            here = pairs.where(F.col("depth") == depth).unionByName(done)
+            one = ranks.select(F.col("pos").alias("at_one"), F.col("rank").alias("rank_one")).hint("merge")
+            two = ranks.select(F.col("pos").alias("at_two"), F.col("rank").alias("rank_two")).hint("merge")
+            here = here.join(one, F.col("pos") + F.col("common") == F.col("at_one"), "left").join(two, F.col("other") + F.col("common") == F.col("at_two"), "left")
+            equal = F.coalesce(F.col("rank_one") == F.col("rank_two"), F.lit(False))
+            here = here.select("n", "pos", "long", "other", "depth", F.when(equal, F.col("common") + depth).otherwise(F.col("common")).alias("common"))
+            old, done = done, written(here, "common")
+            if hasattr(old, "written_path"):
+                discard(old)
+        first = pairs.where(F.col("depth") == 0)
+        out = written(first.unionByName(done).select("n", "pos", "long", "common"), "neighbours")
+        discard(pairs, done, self.suffixes, *self._tables[1:])
+        return out
+
+    def drop(self) -> None:
+        discard(self._tables[0])
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th, runs (struct of line and n): for each document, which lines begin a later copy, and of how many lines."""
+    lines = written(line_table(docs, min_words), "lines")
     # Rows with equal id and text are one document.
     if lines.where("line = 0").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         lines = written(lines.dropDuplicates(PLACE), "lines")
-    found = repeated(lines, min_lines)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), *PLACE)
-    first = found.groupBy("rank").agg(F.min(place).alias("first"))
-    later = found.join(first, "rank").where(place != F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("starts"))
-
-
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    array = SuffixArray(lines)
+    discard(lines)
+    rows = array.neighbours()
+    # An interval ends where the common prefix is too short: of min_lines lines, and of one line where that is long.
+    ends = rows.select("n", "pos", "long", (F.col("common") < min_lines).cast("long").alias("many"), (F.col("common") < 1).cast("long").alias("one"))
+    cut = running(ends, ["n"], ["many", "one"], "intervals")
+    cut = cut.select("pos", "long", (F.col("before_many") + F.col("many")).alias("many"), (F.col("before_one") + F.col("one")).alias("one"))
+
+    def later(of: DataFrame, key: str, n: int) -> DataFrame:
+        first = of.groupBy(key).agg(F.min("pos").alias("first"), F.count("*").alias("k")).where("k > 1").select(key, "first")
+        return of.join(first, key).where("pos > first").select("pos", F.lit(n).cast("long").alias("n"))
+
+    found = later(cut, "many", min_lines)
+    if min_lines > 1:
+        found = found.unionByName(later(cut.where("long = 1"), "one", 1))
+    line = F.col("pos").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("line")
+    by = found.groupBy(F.shiftright("pos", LINE_BITS).alias("number")).agg(F.collect_list(F.struct(line, "n")).alias("runs"))
+    out = written(by.join(array.documents, "number").select("doc_id", "th", "runs"), "copies")
+    discard(rows)
+    array.drop()
+    return out
+
+
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with kept (the text without later copies), n_lines, n_removed and n_runs; such columns of docs are replaced.
 
     A line is what line feeds separate; every text has at least one, also an empty or null
     one. A line goes if it lies in min_lines consecutive lines of its document that
     also start earlier: at a smaller doc_id (null last, equal ids by hash of the text), or
-    further up in the same document. All is judged on the input. Rows with equal doc_id and text are one
+    further up in the same document; a line of min_words words or more also by itself. All is judged on the input. Rows with equal doc_id and text are one
     document and fare alike. kept is null if no line is left; else the lines kept,
     joined by line feeds. An empty table gives no rows.
     """
     prepared(docs.sparkSession)
     keep = besides(docs.columns, "kept", "n_lines", "n_removed", "n_runs")
     docs = docs.select(*keep)
-    cut = written(later_copies(docs, min_lines), "copies")
+    cut = later_copies(docs, min_lines, min_words)
     # The row as one column, so that no name of its columns meets another.
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), th.alias("th")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))
     # Texts are merged with the marks at every size, so that what is shuffled stays in proportion to the input.
-    both = rows.join(cut.hint("merge").alias("c"), same, "left").select("row.*", F.col("starts").alias(fresh("starts", keep)))
+    both = rows.join(cut.hint("merge").alias("c"), same, "left").select("row.*", F.col("c.runs").alias(fresh("runs", keep)))
     at = keep.index("text")
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -137,12 +229,13 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
         for batch in batches:
             kept, counts = [], []
-            for text, starts in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 gone = np.zeros(len(lines) + 1, dtype=np.int64)
-                if starts:
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, np.array(starts) + min_lines, -1)
+                if runs:
+                    first, n = (np.array([r[c] for r in runs]) for c in ("line", "n"))
+                    np.add.at(gone, first, 1)
+                    np.add.at(gone, first + n, -1)
                 mask = np.cumsum(gone)[: len(lines)] > 0
                 left = [x for x, g in zip(lines, mask.tolist(), strict=True) if not g]
                 kept.append("\n".join(left) if left else None)

@@ -98,15 +98,16 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), runs AS (
   SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines
 ), later AS (
-  SELECT doc_id, i, line, j IS NOT NULL AND row_number() OVER (PARTITION BY j IS NULL, line, next ORDER BY doc_id, i) > 1 AS starts FROM runs
+  SELECT doc_id, i, line, j IS NOT NULL AND row_number() OVER (PARTITION BY j IS NULL, line, next ORDER BY doc_id, i) > 1 AS starts,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS alone FROM runs
 ), judged AS (
-  SELECT *, starts OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM later
+  SELECT *, starts OR alone OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM later
 ), edges AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS run FROM judged
 )
