@@ -13,13 +13,14 @@ share most terms agree in part of the hashes at any length.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, hashed, joined, mixed, prepared, texts_of, words_in
+from .common import ALNUM, LOWER, hashed, joined, mixed, prepared, released, texts_of, words_in, written
 
 BUCKET_BITS = 21
 #: Relative inverse document frequency, log(N / df) / log(N): below are the commonest terms, above the rarest.
@@ -27,8 +28,8 @@ BAND = (0.2, 0.9)
 LEVELS, SEEDS = 12, 8
 #: Levels whose subsets keep about so many of a document's terms are compared.
 KEEP = (0.4, 5.0)
-#: UTF-8 bytes of text in a group of neighbouring documents, on average.
-GROUP_BYTES = 8 << 20
+#: UTF-8 bytes of text in a range of neighbouring documents, on average; a range is read as a stream, however much it has.
+GROUP_BYTES = 32 << 20
 #: UTF-8 bytes of text that are turned into terms at once.
 CHUNK_BYTES = 1 << 20
 
@@ -152,57 +153,79 @@ def matched(docs: DataFrame, band: tuple[float, float] = BAND, bits: int = BUCKE
     null. A null text is empty. An empty table gives no rows; columns besides doc_id and text are ignored.
     """
     spark = prepared(docs.sparkSession)
-    lowest = -(1 << 63)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(lowest)).alias("key")
-    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.count("*").alias("n"), F.max(key).alias("m")).first()
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.count("*").alias("n")).first()
     if not size["n"]:
         return spark.createDataFrame([], RESULT)
     count, n = frequencies(docs, bits)
     inside = spark.sparkContext.broadcast(np.packbits(lexicon(count, n, band)))
-    groups = max(1, -(-int(size["b"]) // group_bytes))
-    # As Spark's own range partitioner does, the driver holds one key for each group of neighbours; all are ids that occur.
-    cuts = docs.select(key).agg(F.percentile_approx("key", [i / groups for i in range(1, groups)] or [0.5], max(10_000, 20 * groups))).first()[0]
-    heads = spark.sparkContext.broadcast(np.array(sorted({*(cuts if groups > 1 else []), size["m"]}), dtype=np.int64))
 
-    def dealt(batches: Iterator) -> Iterator:
-        """Every row to its group; a group's highest id also, as a guest, to the group above it (the highest of all to the lowest)."""
+    def results(ids: list, texts: list[str]) -> dict:
+        """The columns of RESULT for all texts but the last, each held against the one after it."""
+        known = np.unpackbits(inside.value).astype(bool)
+        edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in itertools.pairwise(texts)]
+        raw = [t.encode() for t in edited]
+        plain, changed = prints([t.encode() for t in texts], known, bits), prints(raw, known, bits)
+        return {
+            "doc_id": ids, "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw],
+            "fingerprint": plain[:-1], "edited_fingerprint": changed,
+            "near_edited": [likeness(a, b) for a, b in zip(plain[:-1], changed, strict=True)], "near_next": [likeness(a, b) for a, b in itertools.pairwise(plain)],
+        }
+
+    kind = pa_schema(f"part int, edge int, text string, {RESULT}")
+
+    def run(batches: Iterator) -> Iterator:
+        """A partition's rows in order; its first text leaves as edge 1 and its last row, whose next is elsewhere, as edge 2."""
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+
+        def edge(number: int, doc, text: str):
+            return pa.RecordBatch.from_pylist([{"part": part, "edge": number, "doc_id": doc, "text": text}], schema=kind)
 
         for batch in batches:
-            ids = batch.column(2).to_numpy()
-            group = np.searchsorted(heads.value, ids)
-            guests = np.flatnonzero(heads.value[group] == ids)
-            for rows, where, guest in ((np.arange(len(ids)), group, False), (guests, (group[guests] + 1) % len(heads.value), True)):
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(where[rows] if not guest else where), pa.array([guest] * len(rows), pa.bool_()), *part.columns], names=["g", "guest", "doc_id", "text", "key"])
-
-    def group(key_, tab):
+            for a, b in chunks(texts_of(batch.column(1))):
+                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+                if last is None:
+                    yield edge(1, ids[0], texts[0])
+                else:
+                    ids, texts = [last[0], *ids], [last[1], *texts]
+                if len(texts) > 1:
+                    cols = results(ids[:-1], texts)
+                    rows = len(ids) - 1
+                    cols |= {"part": [part] * rows, "edge": [0] * rows, "text": [None] * rows}
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in kind], schema=kind)
+                last = ids[-1], texts[-1]
+        if last is not None:
+            yield edge(2, *last)
+        released()
+
+    # In descending order; a key's rows may be split by how their texts begin.
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    parts = max(1, -(-int(size["b"]) // group_bytes))
+    ranged = docs.repartitionByRange(parts, order.desc(), F.substring("text", 1, 64).desc()).sortWithinPartitions(order.desc(), F.col("text").desc())
+    out = written(ranged.select("doc_id", "text").mapInArrow(run, f"part int, edge int, text string, {RESULT}"), "fingerprints")
+    # The last row of each partition goes with the first text of the next one that has any (after the last: the first).
+    have = sorted(r["part"] for r in out.where("edge = 1").select("part").collect())
+    following = spark.createDataFrame(list(zip(have, [*have[1:], have[0]], strict=True)), "part int, next int")
+    heads = out.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    tails = out.where("edge = 2").select("part", "doc_id", "text").join(following, "part").join(heads, "next").select("doc_id", "text", "after")
+
+    def edges(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = np.unpackbits(inside.value).astype(bool)
-        rows = sorted(zip(tab.column("guest").to_pylist(), [-k for k in tab.column("key").to_pylist()], tab.column("doc_id").to_pylist(), tab.column("text").to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-        # Ties of a key go by descending text.
-        i = 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j][:2] == rows[i][:2]:
-                j += 1
-            if j - i > 1:
-                rows[i:j] = sorted(rows[i:j], key=lambda r: r[3], reverse=True)
-            i = j
-        own = [r for r in rows if not r[0]]
-        following = next((r[3] for r in rows if r[0]), own[0][3] if own else "")
-        texts = [r[3] for r in own] + [following]
-        edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(texts[:-1], texts[1:], strict=True)]
-        raw = [t.encode() for t in edited]
-        plain = prints([t.encode() for t in texts], known, bits)
-        changed = prints(raw, known, bits)
-        return pa.table({
-            "doc_id": pa.array([r[2] for r in own], pa.int64()), "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
-            "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw], "fingerprint": plain[:-1], "edited_fingerprint": changed,
-            "near_edited": [likeness(a, b) for a, b in zip(plain[:-1], changed, strict=True)], "near_next": [likeness(a, b) for a, b in zip(plain[:-1], plain[1:], strict=True)],
-        })
-
-    spread = docs.select("doc_id", "text", key).mapInArrow(dealt, "g long, guest boolean, doc_id long, text string, key long")
-    return spread.groupBy("g").applyInArrow(group, RESULT)
+        for batch in batches:
+            for doc, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cols = results([doc], [text, after])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in list(kind)[3:]], names=[f.name for f in list(kind)[3:]])
+
+    return out.where("edge = 0").drop("part", "edge", "text").unionByName(tails.mapInArrow(edges, RESULT))
+
+
+def pa_schema(text: str):
+    """An Arrow schema from "name type, ..."."""
+    import pyarrow as pa
+
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    return pa.schema([(f.split()[0], types[f.split()[1]]) for f in text.split(", ")])
