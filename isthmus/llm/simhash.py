@@ -1,10 +1,10 @@
 """SimHash fingerprints and a self-join of their binary trie.
 
 A fingerprint bit is 1 if it is set in over half of the XXH64 values of a text's
-word shingles. The join works on distinct fingerprints. Their bits are put in an order that
-starts with the most even ones; the first p bits name a subtrie, and a pair of
-subtries whose names differ in no more bits than the budget is one unit of work.
-A unit walks both subtries together, a level at a time, over sorted arrays: node
+word shingles. The join works on distinct fingerprints. Their bits are dealt into one block more than the budget
+has bits, and a trie is made for each block, with its bits first: values within the budget agree in a block, so they meet in
+one subtrie below its first bits. A subtrie is one unit of work. It
+is walked together with itself, a level at a time, over sorted arrays: node
 pairs add up the bits that differ and die when they exceed the budget. Each unit
 returns a spanning forest of its links, never all pairs of a dense group, and the
 forests are merged into components by rounds of large and small stars.
@@ -74,24 +74,33 @@ def shingle_spans(spans_per_doc: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return starts[word], ends[np.minimum(word + width - 1, (first + spans_per_doc)[doc] - 1)], counts
 
 
+#: For each byte, its bits as the eight bytes of a word.
+_SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]).astype(np.uint64)
+
+
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of counts[i] values, the bits set in over half of them; 0 for an empty run."""
     out = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
-    sums = np.zeros((len(counts), 64), dtype=np.int64)
-    ends = np.cumsum(counts)
-    for a in range(0, len(h), 1 << 18):
-        b = min(len(h), a + (1 << 18))
-        bits = np.unpackbits(h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        lo, hi = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right")
-        docs = np.arange(lo, hi + 1)
-        docs = docs[counts[docs] > 0]
-        cuts = np.maximum(ends[docs] - counts[docs], a) - a
-        sums[docs] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-    set_bits = sums[some] * 2 > counts[some][:, None]
-    out[some] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    # Up to 255 values are added with eight counters to a word, then these sums as numbers.
+    n = counts[some].astype(np.int64)
+    parts = -(-n // 255)
+    run = np.repeat(np.arange(len(n)), parts)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = (np.cumsum(n) - n)[run] + 255 * k
+    sums = np.zeros((len(n), 64), dtype=np.int64)
+    at = 0
+    while at < len(cuts):
+        to = min(len(cuts), at + 4096)
+        a, b = cuts[at], cuts[to] if to < len(cuts) else len(h)
+        words = _SPREAD[h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        part = np.add.reduceat(words, cuts[at:to] - a, axis=0).astype("<u8").view(np.uint8).reshape(to - at, 64)
+        first = np.flatnonzero(np.concatenate([[True], run[at + 1 : to] != run[at : to - 1]]))
+        sums[run[at:to][first]] += np.add.reduceat(part, first, axis=0, dtype=np.int64)
+        at = to
+    out[some] = np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -195,75 +204,77 @@ def forest(a: np.ndarray, b: np.ndarray, budget: int, same: bool, bits: int) ->
     return both[child], both[label[child]]
 
 
+def blocks_of(order: list[int], budget: int) -> list[list[int]]:
+    """Orders of the bits, each led by another block of them. Two values that differ in at most `budget` bits agree in all bits of one block at least, as there are more blocks than such bits."""
+    dealt = [order[i :: budget + 1] for i in range(budget + 1)]  # each with its share of the most even bits, these first
+    return [block + [b for other in dealt if other is not block for b in other] for block in dealt]
+
+
 def links(values: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRIE) -> DataFrame:
-    """u, v: links that connect whatever is connected at `budget` differing bits. values: distinct longs in column fp."""
+    """u, v: links that connect whatever is connected at `budget` differing bits. values: distinct longs in column fp.
+
+    One trie for each order of blocks_of(); the first bits of the leading block name a subtrie, which is joined with itself. A value
+    goes to budget + 1 subtries, at any size.
+    """
     row = values.agg(F.count("*").alias("n"), *(F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64))).first()
     n = row["n"]
+    orders = blocks_of(sorted(range(64), key=lambda i: (abs(2 * (row[f"b{i}"] or 0) - n), -i)), budget)  # the most even bits first
     depth = 0
-    while n >> depth > subtrie and depth < 24:
+    while n >> depth > subtrie and depth < 64 // (budget + 1):
         depth += 1
-    order = sorted(range(64), key=lambda i: (abs(2 * (row[f"b{i}"] or 0) - n), -i))  # the most even bits first
-    masks = sorted(sum(1 << (depth - 1 - i) for i in c) for k in range(min(budget, depth) + 1) for c in itertools.combinations(range(depth), k))
 
-    def mates(batches: Iterator) -> Iterator:
+    def turned(values: np.ndarray, order: list[int]) -> np.ndarray:
+        out = np.zeros_like(values)
+        for i in order:
+            out = (out << np.uint64(1)) | ((values >> np.uint64(i)) & np.uint64(1))
+        return out
+
+    def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            p = np.zeros_like(fp)
-            for i in order:
-                p = (p << np.uint64(1)) | ((fp >> np.uint64(i)) & np.uint64(1))
-            own = (p >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(p), np.int64)
-            other = own[:, None] ^ np.array(masks, dtype=np.int64)[None, :]
-            own = np.repeat(own, len(masks))
-            other = other.ravel()
-            out = [np.minimum(own, other), np.maximum(own, other), (own > other).astype(np.int32), np.repeat(p, len(masks)).view(np.int64)]
-            for k in range(0, len(own), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in out], names=["lo", "hi", "side", "p"])
-
-    place = {i: 63 - k for k, i in enumerate(order)}
-
-    def restored(p: np.ndarray) -> np.ndarray:
-        fp = np.zeros_like(p)
-        for i, k in place.items():
-            fp |= ((p >> np.uint64(k)) & np.uint64(1)) << np.uint64(i)
-        return fp.view(np.int64)
+            for t, order in enumerate(orders):
+                p = turned(fp, order)
+                own = (p >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(p), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t << 40) | own), pa.array(p.view(np.int64))], names=["unit", "p"])
 
     def unit(key, table):
         import pyarrow as pa
 
-        side, p = table.column("side").to_numpy(), np.ascontiguousarray(table.column("p").to_numpy()).view(np.uint64)
-        same = key[0].as_py() == key[1].as_py()
-        a, b = np.sort(p[side == 0]), np.sort(p[side == 1])
-        u, v = forest(a, a if same else b, budget, same, 64 - depth if same else 64)
-        return pa.table({"u": restored(u), "v": restored(v)})
+        a = np.sort(np.ascontiguousarray(table.column("p").to_numpy()).view(np.uint64))
+        back = [0] * 64  # places of the bits in p
+        for k, i in enumerate(orders[key[0].as_py() >> 40]):
+            back[i] = 63 - k
+        u, v = forest(a, a, budget, True, 64 - depth)
+        return pa.table({"u": turned(u, back[::-1]).view(np.int64), "v": turned(v, back[::-1]).view(np.int64)})
 
-    spread = values.select("fp").mapInArrow(mates, "lo long, hi long, side int, p long")
-    return spread.groupBy("lo", "hi").applyInArrow(unit, "u long, v long")
+    return values.select("fp").mapInArrow(spread, "unit long, p long").groupBy("unit").applyInArrow(unit, "u long, v long")
 
 
-#: 64-bit words of a long signature; seeds of their hashes are derived from the first.
-WORDS = 4
+#: 64-bit words of a long signature; seeds of their hashes are derived from the first. With 1,024 bits the similarity is known to 0.03.
+WORDS = 16
+SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Share of the pairs at exactly the wanted similarity that some trie brings together.
 RECALL = 0.97
 #: Values that share a subtrie of a permuted trie, on average.
-SHARED = 16
+SHARED = 64
 
 
 def long_signatures(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
-    """doc_id, th (hash of the text), s0 .. s3 (a 256-bit SimHash) of every row."""
+    """doc_id, th (hash of the text), s0 .. s15 (a 1,024-bit SimHash) of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             s = signature_batch(texts_of(batch.column(2)), width, seed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(s[:, i]).view(np.int64)) for i in range(WORDS))], names=["doc_id", "th", *(f"s{i}" for i in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(s[:, i]).view(np.int64)) for i in range(WORDS))], names=["doc_id", "th", *SIGNATURE])
         released()
 
     prepared(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, s0 long, s1 long, s2 long, s3 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def shingle_sets(texts: list[bytes], width: int, seed: int = SEED) -> list[np.ndarray]:
@@ -302,9 +313,9 @@ def bit_share(similarity: float) -> float:
 
 
 def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool, recall: float = RECALL, seed: int = SEED) -> DataFrame:
-    """u, v: candidate pairs of signatures (columns node, s0 .. s3, label) of different labels whose long signatures differ in no more bits than the similarity makes them differ on average, three deviations added. nearest: of each signature's pairs with those before it in a unit, only the one with the fewest differing bits.
+    """u, v: candidate pairs of signatures (columns node, s0 .. s15, label) of different labels whose long signatures differ in no more bits than the similarity makes them differ on average, two deviations added (98 % of the pairs at exactly that similarity). nearest: of each signature's pairs with those before it in a unit, only the one with the fewest differing bits.
 
-    Each of several tries orders 64 of the 256 bits anew; subtries below the
+    Each of several tries orders 64 of the 1,024 bits anew; subtries below the
     first m bits are joined with themselves under a budget, and what they find is held against the
     whole signatures. m follows the logarithm of n and the number of tries follows m, so that the
     share of pairs met stays at `recall` at any size.
@@ -316,7 +327,7 @@ def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool,
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(64 * WORDS)[:64] for _ in range(tries)]
     allowed = lambda bits, deviations: math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-    budget, most = allowed(64 - m, 3) if m < 64 else 0, allowed(64 * WORDS, 3)
+    budget, most = allowed(64 - m, 3) if m < 64 else 0, allowed(64 * WORDS, 2)
     coarse = min(m, 6)
 
     def spread(batches: Iterator) -> Iterator:
@@ -329,7 +340,7 @@ def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool,
                 c = np.zeros(len(node), dtype=np.int64)
                 for bit in order[:coarse].tolist():
                     c = c << 1 | ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t << coarse) | c), *batch.columns], names=["unit", "node", "s0", "s1", "s2", "s3", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t << coarse) | c), *batch.columns], names=["unit", "node", *SIGNATURE, "label"])
 
     def unit(key, table):
         import pyarrow as pa
@@ -364,8 +375,8 @@ def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool,
         u, v = np.concatenate(u), np.concatenate(v)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    signed = classes.select("node", *(f"s{i}" for i in range(WORDS)), "label")
-    kinds = "unit long, node long, s0 long, s1 long, s2 long, s3 long, label long"
+    signed = classes.select("node", *SIGNATURE, "label")
+    kinds = ", ".join(f"{c} long" for c in ["unit", "node", *SIGNATURE, "label"])
     return signed.mapInArrow(spread, kinds).groupBy("unit").applyInArrow(unit, "u long, v long").distinct()
 
 
@@ -403,7 +414,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int
     texts without words are one group.
     """
     sig = written(long_signatures(docs, width, seed), "signatures")
-    words = [f"s{i}" for i in range(WORDS)]
+    words = SIGNATURE
     classes = written(sig.groupBy(*words).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).withColumn("node", F.xxhash64(*words)).withColumn("least", F.col("f.doc_id")), "classes")
     n = classes.count()
     near = verified(docs, classes, permuted_pairs(classes.withColumn("label", F.col("node")), n, similarity, True, seed=seed), width, similarity, seed)
