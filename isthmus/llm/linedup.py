@@ -92,11 +92,78 @@ def ranked(keys: DataFrame, names: list[str], table: str) -> DataFrame:
     return ranks
 
 
+def refined(rows: DataFrame) -> DataFrame:
+    """pos, rank, many (whether other rows have its key), more (many, and not closed) of rows (own, next, closed, pos): the keys (own, next) ranked within each own, whose rows keep their places as a whole.
+
+    One range-partitioned sort of the rows, in which a key may spread over several tasks. Each task reads its rows once, in
+    order; the driver holds a row for each task, which says how its first and last keys go on in its neighbours.
+    """
+    names = ["own", "next", "closed", "pos"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, at, start = TaskContext.get().partitionId(), 0, [0, 0]  # place of the first row not yet given out; first places of its own and its key
+        before, held = None, None
+
+        def given(cols: list[np.ndarray], n: int):
+            """The first n rows; a row after them, if any, is only looked at."""
+            nonlocal at, start, before
+            own, key = cols[0], cols[1]
+            new_own, new_key = np.ones(len(own), dtype=bool), np.ones(len(own), dtype=bool)
+            new_own[1:] = own[1:] != own[:-1]
+            new_key[1:] = new_own[1:] | (key[1:] != key[:-1])
+            if before is not None:
+                new_own[0] = own[0] != before[0]
+                new_key[0] = new_own[0] or key[0] != before[1]
+            place = at + np.arange(n)
+            firsts = [np.maximum.accumulate(np.where(new[:n], place, s)) for new, s in zip((new_own, new_key), start, strict=True)]
+            twin = ~new_key[:n]
+            follows = np.append(~new_key[1:], False)[:n]
+            out = [*(c[:n] for c in cols), np.full(n, part), *firsts, twin | follows]
+            before, at, start = (own[n - 1], key[n - 1]), at + n, [int(f[-1]) for f in firsts]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*names, "part", "own_at", "key_at", "twin"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            if len(cols[0]) > 1:
+                yield given(cols, len(cols[0]) - 1)
+            held = [c[-1:] for c in cols] if len(cols[0]) else held
+        if held is not None and len(held[0]):
+            yield given(held, 1)
+
+    order = ["own", "next", "pos"]
+    dealt = rows.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "part", "own_at", "key_at"]) + ", twin boolean"), "dealt")
+    key = F.struct("own", "next", "own_at", "key_at")
+    tasks = sorted(dealt.groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r["part"])
+    same = lambda a, b: (a["own"], a["next"]) == (b["own"], b["next"])
+    shift, edges = 0, []
+    for i, r in enumerate(tasks):
+        old = tasks[i - 1]["last"] if i else None
+        goes_on = old is not None and old["own"] == r["first"]["own"], old is not None and same(old, r["first"])
+        # Where the first own and the first key of this task begin in the whole table.
+        heads = [begins[j] if goes_on[j] else shift for j in (0, 1)] if i else [0, 0]
+        further = i + 1 < len(tasks) and same(r["last"], tasks[i + 1]["first"])
+        edges.append((r["part"], shift, *heads, goes_on[1], r["last"]["key_at"] if further else -1))
+        begins = [heads[j] if r["last"][c] == 0 else shift + r["last"][c] for j, c in enumerate(("own_at", "key_at"))]
+        shift += r["n"]
+    edges = rows.sparkSession.createDataFrame(edges, "part long, shift long, own_head long, key_head long, from_before boolean, tail long")
+    whole = lambda c, head: F.when(F.col(c) == 0, F.col(head)).otherwise(F.col(c) + F.col("shift"))
+    many = F.col("twin") | ((F.col("key_at") == 0) & F.col("from_before")) | (F.col("key_at") == F.col("tail"))
+    out = dealt.join(F.broadcast(edges), "part").select("pos", (F.col("own") + whole("key_at", "key_head") - whole("own_at", "own_head")).alias("rank"), many.alias("many"), (many & (F.col("closed") == 0)).alias("more"))
+    out.written_path = dealt.written_path
+    return out
+
+
 class SuffixArray:
     """The suffixes whose first line occurs at several places.
 
     documents: number, doc_id, th of the documents that have any, numbered in corpus order. suffixes: pos (document
-    number and line in one), long, place (its place in the suffix array; equal suffixes share one). depths: pos and rank
+    number and line in one), long, place (its place in the suffix array; equal suffixes share one), depth (the last one at which it was shared). depths: pos and rank
     of the suffixes whose first k lines occur at several places, for k = 1, 2, 4 ... as far as there are any.
     """
 
@@ -104,7 +171,6 @@ class SuffixArray:
         keys = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
         first = ranked(keys, ["h1", "h2"], "ranks")
         shared = written(lines.join(first, ["h1", "h2"]).select(*PLACE, "rank", "long"), "shared")
-        discard(first)
         docs = shared.select("doc_id", "th").distinct().withColumn("one", F.lit(1))
         last = F.col("doc_id").isNull().cast("long").alias("last")
         order = running(docs.select(last, F.coalesce("doc_id", F.lit(0)).alias("own"), "th", "one"), ["last", "own", "th"], ["one"], "documents")
@@ -112,25 +178,17 @@ class SuffixArray:
         same = F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("s.th") == F.col("d.th"))
         pos = (F.shiftleft(F.col("d.number"), LINE_BITS) + F.col("s.line")).alias("pos")
         suffixes = written(shared.alias("s").join(self.documents.alias("d"), same).select(pos, "s.rank", "s.long"), "suffixes")
-        discard(shared)
+        discard(first, shared)
         self._tables, self.depths = [order, suffixes], [(1, suffixes.select("pos", "rank"))]
         depth, now = 1, suffixes.select("pos", "rank")
-        kinds = "pos long, place long, depth int, closed boolean"
-        placed = docs.sparkSession.createDataFrame([], kinds)
+        placed = lines.sparkSession.createDataFrame([], "pos long, place long, depth int, closed boolean")
         while True:
             # The ranks of all suffixes; whoever has left stands by its place. closed: others have the same place, but share no more than they are known to.
-            ranks_of = now.select("pos", F.col("rank").alias("next"), F.lit(False).alias("closed")).unionByName(placed.select("pos", F.col("place").alias("next"), "closed"))
-            ahead = ranks_of.select((F.col("pos") - depth).alias("pos"), "next", "closed")
+            ranks = now.select("pos", F.col("rank").alias("next"), F.lit(False).alias("closed")).unionByName(placed.select("pos", F.col("place").alias("next"), "closed"))
+            ahead = ranks.select((F.col("pos") - depth).alias("pos"), "next", "closed")
             # -1: what follows occurs nowhere else, or the document ends.
-            pairs = now.join(ahead.hint("merge"), "pos", "left").select("pos", F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("closed", F.lit(True)).cast("long").alias("closed"))
-            pairs = written(pairs, "pairs")
-            ranks = running(pairs.groupBy("own", "next").agg(F.count("*").alias("n"), F.max("closed").alias("closed")), ["own", "next"], ["n"], "ranks")
-            # A rank's suffixes stay where they are as a whole and take places among themselves.
-            base = ranks.groupBy("own").agg(F.min("before_n").alias("base"))
-            many, more = F.col("n") > 1, (F.col("n") > 1) & (F.col("closed") == 0)
-            keys = ranks.join(base, "own").select("own", "next", (F.col("own") + F.col("before_n") - F.col("base")).alias("rank"), many.alias("many"), more.alias("more"))
-            found = written(pairs.drop("closed").join(keys.hint("merge"), ["own", "next"]).select("pos", "rank", "many", "more"), "found")
-            discard(pairs, ranks)
+            pairs = now.join(ahead.hint("merge"), "pos", "left").select(F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("closed", F.lit(True)).alias("closed"), "pos")
+            found = refined(pairs)
             self._tables.append(found)
             placed = placed.unionByName(found.where("not more").select("pos", F.col("rank").alias("place"), F.lit(depth).alias("depth"), F.col("many").alias("closed")))
             now = found.where("more").select("pos", "rank")
@@ -140,17 +198,18 @@ class SuffixArray:
             self.depths.append((depth, now))
         self.suffixes = written(placed.select("pos", "place", "depth").join(suffixes.select("pos", "long").hint("merge"), "pos"), "placed")
 
-    def neighbours(self) -> DataFrame:
-        """n (from 0 in the order of the suffix array), pos, long, common (how many first lines it shares with the suffix before it) of every suffix."""
+    def neighbours(self, upto: int | None = None) -> DataFrame:
+        """n (from 0 in the order of the suffix array), pos, long, common (how many first lines it shares with the suffix before it) of every suffix. upto: common prefixes are told apart up to so many lines only; beyond, common may be less than it is, but not less than upto."""
+        depths = [d for d in self.depths if upto is None or d[0] <= upto]
         rows = running(self.suffixes.select("place", "pos", F.col("long").cast("long").alias("long"), "depth", F.lit(1).alias("one")), ["place", "pos"], ["one"], "array")
         ordered = written(rows.select(F.col("before_one").alias("n"), "pos", "long", "depth"), "array")
         before = ordered.select((F.col("n") + 1).alias("n"), F.col("pos").alias("other"), F.col("depth").alias("other_depth"))
         # Two suffixes share a rank at most up to the depth at which the first of them leaves.
-        pairs = ordered.join(before.hint("merge"), "n", "left").select("n", "pos", "long", "other", F.least("depth", F.coalesce("other_depth", F.lit(0))).alias("depth"))
+        pairs = ordered.join(before.hint("merge"), "n", "left").select("n", "pos", "long", "other", F.least("depth", F.coalesce("other_depth", F.lit(0)), F.lit(depths[-1][0])).alias("depth"))
         pairs = written(pairs.withColumn("common", F.lit(0).cast("long")), "pairs")
         discard(rows, ordered)
         done = pairs.limit(0)
-        for depth, ranks in reversed(self.depths):
+        for depth, ranks in reversed(depths):
             here = pairs.where(F.col("depth") == depth).unionByName(done)
             one = ranks.select(F.col("pos").alias("at_one"), F.col("rank").alias("rank_one")).hint("merge")
             two = ranks.select(F.col("pos").alias("at_two"), F.col("rank").alias("rank_two")).hint("merge")
@@ -177,7 +236,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
         lines = written(lines.dropDuplicates(PLACE), "lines")
     array = SuffixArray(lines)
     discard(lines)
-    rows = array.neighbours()
+    rows = array.neighbours(min_lines)
     # An interval ends where the common prefix is too short: of min_lines lines, and of one line where that is long.
     ends = rows.select("n", "pos", "long", (F.col("common") < min_lines).cast("long").alias("many"), (F.col("common") < 1).cast("long").alias("one"))
     cut = running(ends, ["n"], ["many", "one"], "intervals")
