@@ -12,6 +12,7 @@
    transforms by symbol, stably, and so orders suffixes by one symbol more,
    until nothing moves. Where rounds split neighbours gives the common prefixes. Suffixes that share a
    window's symbols are a repeated interval; all but the first window in it are copies.
+   Gram hashes with more segments than a task should take have their windows compared by 128 bits of digest instead.
 4. Copies become spans of their documents, which are cut out.
 
 The order of the corpus is doc_id, then hash of the text, then position.
@@ -29,12 +30,14 @@ from .common import discard, doubled, lanes, prepared, released, texts_of, writt
 from .imatch import chunks
 from .recompress import keyed, several, squeezed
 
-WINDOW, STEP = 100, 50
+WINDOW, STEP = 100, 20
 GRAM = 24
 #: Windows in a segment at most; a longer stretch with one gram hash makes several.
 SEGMENT = 256
 #: UTF-8 bytes worked on at once (in the cache), and bytes of distinct segments in a group.
 CHUNK, GROUP_BYTES = 1 << 17, 2 << 20
+#: Distinct segments of a gram hash that one task takes; beyond, their windows are compared one by one, by a sum that Spark may split.
+HOT = 20_000
 #: Suffixes that are merged at once, where gram hashes allow (16-bit symbols), and shards they are dealt into.
 SMALL, SHARDS = 48_000, 4
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -227,7 +230,7 @@ def interval_copies(texts: list[bytes], windows: np.ndarray, key: list[np.ndarra
     return out
 
 
-def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of docs.
 
     A byte goes if a string of `window` bytes that covers it also starts earlier in the corpus, overlaps
@@ -310,11 +313,16 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
     equal = written(equal.select("o", "tag", "p", "n"), "equal")
     discard(pieces)
     # Gram hashes with one distinct segment that holds its gram at one place have nothing left to find.
-    busy = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m"), F.max("twice").alias("t")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1) | F.col("t")).select("name")
-    alone = written(firsts.join(busy, "name").select("name", "f.*", "n"), "distinct")
-    size = alone.agg(F.sum(F.col("n") + window)).first()[0] or 0
+    busy = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("n").alias("m"), F.max("twice").alias("t")).where((F.col("k") > 1) | (F.col("m") > window - gram + 1) | F.col("t")).select("name", (F.col("k") > hot).alias("hot"))
+    alone = written(firsts.join(busy, "name").select("name", "f.*", "n", "hot"), "distinct")
+    size = alone.where("not hot").agg(F.sum(F.col("n") + window)).first()[0] or 0
     groups = max(1, -(-int(size) // GROUP_BYTES))
-    wanted = alone.groupBy("o", "tag").agg(F.collect_list(F.struct("name", "p", "n")).alias("wanted"))
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        """The rows' segments with their documents' texts."""
+        lists = rows.groupBy("o", "tag").agg(F.collect_list(F.struct("name", "p", "n")).alias("wanted"))
+        return squeezed(docs, ["o", "tag"]).join(lists, ["o", "tag"]).select("o", "tag", "z", "wanted")
+
     discard(firsts)
 
     def cut_pieces(batches: Iterator) -> Iterator:
@@ -333,8 +341,22 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
             for i in range(0, len(rows[0]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], t) for c, t in zip(rows, kinds, strict=True)], names=["name", "o", "tag", "p", "n", "piece"])
 
-    pieces = squeezed(docs, ["o", "tag"]).join(wanted, ["o", "tag"]).select("o", "tag", "z", "wanted")
-    alone_bytes = pieces.mapInArrow(cut_pieces, "name long, o long, tag long, p int, n int, piece binary").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
+    def hot_windows(batches: Iterator) -> Iterator:
+        """Two halves of the digest of each window, and where it is."""
+        import pyarrow as pa
+        import xxhash
+        import zstandard
+
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            z = zstandard.ZstdDecompressor()
+            for o, tag, raw, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = z.decompress(raw)
+                at = np.unique(np.concatenate([np.arange(w["p"], w["p"] + w["n"]) for w in want]))
+                d = np.frombuffer(b"".join([digest(text[a : a + window]) for a in at.tolist()]), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[:, 0].copy(), d[:, 1].copy(), np.full(len(at), o), np.full(len(at), tag), at.astype(np.int32))], names=["d1", "d2", "o", "tag", "p"])
+
+    alone_bytes = wanted(alone.where("not hot")).mapInArrow(cut_pieces, "name long, o long, tag long, p int, n int, piece binary").withColumn("g", F.pmod(F.xxhash64("name"), F.lit(groups)))
 
     def merge_group(key, table):
         import pyarrow as pa
@@ -373,6 +395,10 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         return pa.table({"o": cols[0], "tag": cols[1], "p": pa.array(cols[2].astype(np.int32)), "n": pa.array(cols[3].astype(np.int32))})
 
     found = alone_bytes.select("g", "name", "o", "tag", "p", "n", "piece").groupBy("g").applyInArrow(merge_group, "o long, tag long, p int, n int")
+    if alone.where("hot").limit(1).count():
+        windows = written(wanted(alone.where("hot")).mapInArrow(hot_windows, "d1 long, d2 long, o long, tag long, p int"), "windows")
+        least = windows.groupBy("d1", "d2").agg(F.min(at).alias("f"), F.max(at).alias("most")).where("f < most").drop("most")
+        found = found.unionByName(windows.join(least, ["d1", "d2"]).where(at > F.col("f")).select("o", "tag", "p", F.lit(1).alias("n")))
     runs = written(equal.unionByName(found).groupBy("o", "tag").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
     discard(alone, equal)
     marks = runs.join(copies, ["o", "tag"], "full")

@@ -53,6 +53,11 @@ def test_other_windows(spark, window, step, gram):
     same(spark, passages(2, 15) + ["", None, "ab", "z" * 30], window=window, step=step, gram=gram)
 
 
+def test_hot_grams_by_windows(spark):
+    same(spark, passages(3) + awkward(2), hot=1)
+    same(spark, passages(4, 15) + ["z" * 30], window=20, step=5, gram=8, hot=3)
+
+
 def test_self_overlap_within_one_run(spark):
     same(spark, ["x" * 103])
     texts = [(unit * n)[:n] for unit in ("-", "ab", "abcdefg ", "0123456789" * 5 + "uvwxyz") for n in (101, 103, 176, 200)]
