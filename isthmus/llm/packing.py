@@ -56,11 +56,29 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
+#: Latin-1 in small letters, and the pre-tokens in it: contractions, letters, single digits, anything else but white space.
+_SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_LETTERS, _DIGITS, _SPACES = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+_PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%b]+|[%b]|[^%b%b%b]+" % (_LETTERS, _DIGITS, _SPACES, _LETTERS, _DIGITS))
+
+
 def cased(text: bytes) -> list[bytes]:
     """The words of a text, lower-cased but for those that hold the start of a special token."""
     return [w if b"<|" in w else w.translate(LOWER) for w in text.split()]
 
 
+class _Pieces(dict):
+    """The ids of pre-tokens in Latin-1, each looked up in the model when it is first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: bytes) -> bytes:
+        text = piece.decode("latin-1").encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = self[piece] = array("I", [t.id for t in self.model(text)]).tobytes()
+        return ids
+
+
 class WordIds:
     """Ids of texts by a tokenizer that lower-cases and whose pre-tokens never hold ASCII white space: each distinct word, without what punctuation follows it, is encoded once.
 
@@ -82,6 +100,7 @@ class WordIds:
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.model = self.tokenizer.model.tokenize
         self.known = self.shared.setdefault((path,), {})
+        self.pieces = self.shared.setdefault((path, "latin"), _Pieces(self.model))
 
     def _coded(self, word: bytes) -> bytes | None:
         """Ids of a word not yet known, without the tokenizer's whole path: small Latin letters are one pre-token in normal form, and what punctuation follows an ASCII letter is another word. None if the word needs that path. Strings of special tokens do."""
@@ -100,9 +119,10 @@ class WordIds:
 
     def trim(self) -> None:
         """Forgets all but short words, the frequent ones."""
-        few = dict(itertools.islice(((w, c) for w, c in self.known.items() if len(w) < 7), KEPT_WORDS))
-        self.known.clear()
-        self.known.update(few)
+        for held in (self.known, self.pieces):
+            few = dict(itertools.islice(((w, c) for w, c in held.items() if len(w) < 7), KEPT_WORDS))
+            held.clear()
+            held.update(few)
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -128,33 +148,33 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [cased(t) if b"<|" in t else t.translate(LOWER).split() for t in texts]
-        known, coded_of = self.known, self._coded
-        if len(known) > self.limit:
+        out: list = [None] * len(texts)
+        rest, small = [], []
+        for i, t in enumerate(texts):
+            try:
+                if b"<|" in t:
+                    raise ValueError
+                small.append((i, (t if t.isascii() else t.decode().encode("latin-1")).translate(_SMALL)))
+            except ValueError:  # beyond Latin-1, or a special token perhaps
+                rest.append(i)
+        for i, coded in zip(rest, self._by_word([texts[i] for i in rest]), strict=True):
+            out[i] = coded
+        # Latin-1: the pre-tokens are found here, and each distinct one goes to the model once.
+        split = [_PRE_TOKEN.findall(t) for _, t in small]
+        if len(self.pieces) > self.limit:
             self.trim()
-        flat = list(itertools.chain.from_iterable(split))
-        coded, later = list(map(known.get, flat)), []
-        for i in [i for i, c in enumerate(coded) if c is None]:
-            w = flat[i]
-            c = known.get(w)
-            if c is None:
-                c = coded_of(w)
-                if c is None:
-                    later.append(i)
-                    continue
-                known[w] = c
-            coded[i] = c
-        if later:
-            new = list({flat[i] for i in later})
-            known.update(zip(new, self._whole(new), strict=True))
-            for i in later:
-                coded[i] = known[flat[i]]
-        out, at = [], 0
-        for ws in split:
-            out.append(b"".join(coded[at : at + len(ws)]) + self.end)
-            at += len(ws)
+        known = self.pieces
+        for (i, _), ps in zip(small, split, strict=True):
+            out[i] = b"".join(map(known.__getitem__, ps)) + self.end
         return out
 
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
+        """The same for any text, by words between white space."""
+        split = [cased(t) if b"<|" in t else t.translate(LOWER).split() for t in texts]
+        flat = itertools.chain.from_iterable(split)
+        coded = dict(zip(new := list(set(flat)), self.words(new), strict=True))
+        return [b"".join(map(coded.__getitem__, ws)) + self.end for ws in split]
+
 
 def pieces_of(n: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[tuple[int, int]]:
     """(length, class) of the pieces of a document of n tokens, in order; the last may be shorter than its class is wide."""

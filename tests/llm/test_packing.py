@@ -58,6 +58,18 @@ def test_words_apart_equal_whole_texts(spark, sf):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_latin_texts_equal_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(packing.default_tokenizer()), random.Random(3)
+    few = "abzABZ'sStT re'vemlld09. ,-!?\t\n\x0b\x1c\x00\x7f\x80\x85\xa0\xa1«»¿ª²³¹ºµ¼ÀÉÞß×÷éñÿ<|>"
+    texts = ["".join(r.choice(few) for _ in range(r.randint(1, 60))) for _ in range(3000)] + ["".join(map(chr, range(256)))]
+    got = packing.WordIds(packing.default_tokenizer(), None)([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty_and_repeated_ids(spark):
     assert packing.packed(spark.createDataFrame([], COLUMNS)).count() == 0
     rows = packing.packed(docs_of(spark, ["a b", "c", None], ids=[5, 5, None])).collect()

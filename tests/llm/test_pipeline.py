@@ -1,6 +1,7 @@
 import random
 
 from helpers import COLUMNS, docs_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from isthmus.llm import decontaminate
@@ -38,6 +39,39 @@ def test_repeated_rows_and_null_ids(spark, sf):
     assert sorted((str(x.doc_id), x.text[0]) for x in kept) == [("1", "a"), ("1", "m"), ("None", "q")]
 
 
+def test_rows_of_one_id_fare_by_their_texts(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = ["a clean text " * 5, f"some words {item}", "another clean one " * 5, f"more words {item}", None, f"some words {item}"]
+    docs = docs_of(spark, texts, ids=[1, 1, None, None, None, 1])
+    assert sorted((str(x.doc_id), x.text or "") for x in cp.without_benchmark(spark, docs, sf).collect()) == sorted((str(i), t or "") for i, t in ((1, texts[0]), (None, texts[2]), (None, None)))
+    twice = docs.unionByName(docs)
+    assert cp.without_benchmark(spark, twice, sf).count() == 6
+    assert cp.good_quality(spark, twice, sf).count() == 2 * cp.good_quality(spark, docs, sf).count()
+    pieces = cp.sequences(spark, twice, sf).collect()
+    assert len(pieces) == 12 and sum(x.length for x in pieces) == 2 * sum(x.length for x in cp.sequences(spark, docs, sf).collect())
+
+
+def test_clashing_columns(spark, sf):
+    """Columns named like those the stages work with, in any case, change nothing."""
+    texts = ["one line\nand two", "one line\nand two", "x y z " * 9, "x y z " * 9, None]
+    plain = docs_of(spark, texts)
+    odd = plain
+    for n in ("cut_id", "cut_th", "STARTS", "runs", "keep_id", "Keep_Th", "hit", "th", "row", "o", "tag", "z", "unit", "y", "place", "Score", "block", "part", "edge", "k", "at", "g"):
+        odd = odd.withColumn(n, F.lit(n))
+    from isthmus.llm import bwt_dedup, imatch, linedup, lm, packing, quality, recompress, simhash
+
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "y z x y z", "q")], "item_id long, text string, spans string")
+    for f in (
+        lm.scored, packing.packed, recompress.removed, bwt_dedup.removed, imatch.matched, simhash.near_duplicates, simhash.similar, simhash.representatives,
+        linedup.deduplicated, lambda d: quality.scored(d, labels), lambda d: decontaminate.contaminated_spans(d, items),
+    ):
+        a, b = f(plain), f(odd)
+        same = [c for c in a.columns if c != "sequence_id"]
+        key = lambda df: sorted(str(tuple(r)) for r in df.select(*same).collect())  # noqa: B023, E731
+        assert key(a) == key(b)
+
+
 def test_whole_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = cp.run(spark, sf).collect()
