@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, hashed, mixed, prepared, released, texts_of, written
+from .common import LOWER, discard, fresh, hashed, mixed, prepared, released, texts_of, written
 
 SEED, BUDGET = 42, 2
 #: Fingerprints in one subtrie, on average.
@@ -402,7 +402,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
     common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return written(common.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("u", "v"), "links")
+    out = written(common.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("u", "v"), "links")
+    discard(pairs, sets)
+    return out
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -448,7 +450,8 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, name)
+        edges, old = written(small, name), edges
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u"), F.count_if(F.col("v").isNull())).first()
         if now == before:
             break
