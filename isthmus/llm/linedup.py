@@ -12,23 +12,24 @@ lines, the later ones lose theirs. Overlapping runs unite into maximal ones.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, besides, discard, fresh, hashed, joined, prepared, released, texts_of, words_in, written
+from .common import besides, discard, fresh, hashed, joined, prepared, released, texts_of, written
 from .imatch import chunks
 
-MIN_LINES, MIN_WORDS = 2, 50
+MIN_LINES, MIN_BYTES = 2, 200
 PLACE = ["doc_id", "th", "line"]
 #: A place is one number: the document's number in the corpus, and this many bits for the line.
 LINE_BITS = 29
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), line, h1, h2 (128 bits that name the line), long (whether it has min_words words) of every line."""
+def line_table(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """doc_id, th (hash of the text), line, h1, h2 (128 bits that name the line), long (whether it has min_bytes bytes) of every line."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -45,8 +46,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 doc = np.repeat(np.arange(a, b), n)
                 line = np.arange(len(doc)) - np.repeat(first[:-1], n)
                 one, two = (hashed(buf, starts, ends, seed).view(np.int64) for seed in (1, 2))
-                words = words_in(buf, np.append(starts, len(buf)), SPACED)[2]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two), pa.array(np.diff(words) >= min_words)], names=["doc_id", "th", "line", "h1", "h2", "long"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two), pa.array(ends - starts >= min_bytes)], names=["doc_id", "th", "line", "h1", "h2", "long"])
         released()
 
     prepared(docs.sparkSession)
@@ -92,11 +92,11 @@ def ranked(keys: DataFrame, names: list[str], table: str) -> DataFrame:
     return ranks
 
 
-def refined(rows: DataFrame) -> DataFrame:
-    """pos, rank, many (whether other rows have its key), more (many, and not closed) of rows (own, next, closed, pos): the keys (own, next) ranked within each own, whose rows keep their places as a whole.
+def refined(rows: DataFrame, depth: int) -> DataFrame:
+    """pos, rank, depth, many (whether other rows have its key), more (many, and not closed) of rows (own, next, closed, pos): the keys (own, next) ranked within each own, whose rows keep their places as a whole.
 
     One range-partitioned sort of the rows, in which a key may spread over several tasks. Each task reads its rows once, in
-    order; the driver holds a row for each task, which says how its first and last keys go on in its neighbours.
+    order; the driver holds a row for each task, which says how its first and last keys go on in its neighbours. is_open of the result: whether any row has more.
     """
     names = ["own", "next", "closed", "pos"]
 
@@ -138,8 +138,9 @@ def refined(rows: DataFrame) -> DataFrame:
     order = ["own", "next", "pos"]
     dealt = rows.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = written(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "part", "own_at", "key_at"]) + ", twin boolean"), "dealt")
-    key = F.struct("own", "next", "own_at", "key_at")
-    tasks = sorted(dealt.groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r["part"])
+    key = F.struct("own", "next", "own_at", "key_at", "closed")
+    open_ = F.count_if(F.col("twin") & (F.col("closed") == 0)).alias("open")
+    tasks = sorted(dealt.groupBy("part").agg(F.count("*").alias("n"), open_, F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r["part"])
     same = lambda a, b: (a["own"], a["next"]) == (b["own"], b["next"])
     shift, edges = 0, []
     for i, r in enumerate(tasks):
@@ -154,8 +155,10 @@ def refined(rows: DataFrame) -> DataFrame:
     edges = rows.sparkSession.createDataFrame(edges, "part long, shift long, own_head long, key_head long, from_before boolean, tail long")
     whole = lambda c, head: F.when(F.col(c) == 0, F.col(head)).otherwise(F.col(c) + F.col("shift"))
     many = F.col("twin") | ((F.col("key_at") == 0) & F.col("from_before")) | (F.col("key_at") == F.col("tail"))
-    out = dealt.join(F.broadcast(edges), "part").select("pos", (F.col("own") + whole("key_at", "key_head") - whole("own_at", "own_head")).alias("rank"), many.alias("many"), (many & (F.col("closed") == 0)).alias("more"))
-    out.written_path = dealt.written_path
+    out = dealt.join(F.broadcast(edges), "part").select("pos", (F.col("own") + whole("key_at", "key_head") - whole("own_at", "own_head")).alias("rank"), F.lit(depth).alias("depth"), many.alias("many"), (many & (F.col("closed") == 0)).alias("more"))
+    out = written(out, "found")
+    discard(dealt)
+    out.is_open = any(r["open"] for r in tasks) or any(same(a["last"], b["first"]) and not b["first"]["closed"] for a, b in itertools.pairwise(tasks))
     return out
 
 
@@ -181,33 +184,37 @@ class SuffixArray:
         discard(first, shared)
         self._tables, self.depths = [order, suffixes], [(1, suffixes.select("pos", "rank"))]
         depth, now = 1, suffixes.select("pos", "rank")
-        placed = lines.sparkSession.createDataFrame([], "pos long, place long, depth int, closed boolean")
+        paths, placed = [], None
         while True:
             # The ranks of all suffixes; whoever has left stands by its place. closed: others have the same place, but share no more than they are known to.
-            ranks = now.select("pos", F.col("rank").alias("next"), F.lit(False).alias("closed")).unionByName(placed.select("pos", F.col("place").alias("next"), "closed"))
+            ranks = now.select("pos", F.col("rank").alias("next"), F.lit(False).alias("closed"))
+            if placed is not None:
+                ranks = ranks.unionByName(placed.select("pos", F.col("rank").alias("next"), F.col("many").alias("closed")))
             ahead = ranks.select((F.col("pos") - depth).alias("pos"), "next", "closed")
             # -1: what follows occurs nowhere else, or the document ends.
             pairs = now.join(ahead.hint("merge"), "pos", "left").select(F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"), F.coalesce("closed", F.lit(True)).alias("closed"), "pos")
-            found = refined(pairs)
+            found = refined(pairs, depth)
             self._tables.append(found)
-            placed = placed.unionByName(found.where("not more").select("pos", F.col("rank").alias("place"), F.lit(depth).alias("depth"), F.col("many").alias("closed")))
+            # One read of all rounds' tables, so that the plan doesn't grow with them.
+            paths.append(found.written_path)
+            placed = lines.sparkSession.read.schema(found.schema).parquet(*paths).where("not more")
             now = found.where("more").select("pos", "rank")
-            if now.limit(1).count() == 0:
+            if not found.is_open:
                 break
             depth *= 2
             self.depths.append((depth, now))
-        self.suffixes = written(placed.select("pos", "place", "depth").join(suffixes.select("pos", "long").hint("merge"), "pos"), "placed")
+        self.suffixes = written(placed.select("pos", F.col("rank").alias("place"), "depth").join(suffixes.select("pos", "long").hint("merge"), "pos"), "placed")
 
     def neighbours(self, upto: int | None = None) -> DataFrame:
         """n (from 0 in the order of the suffix array), pos, long, common (how many first lines it shares with the suffix before it) of every suffix. upto: common prefixes are told apart up to so many lines only; beyond, common may be less than it is, but not less than upto."""
         depths = [d for d in self.depths if upto is None or d[0] <= upto]
         rows = running(self.suffixes.select("place", "pos", F.col("long").cast("long").alias("long"), "depth", F.lit(1).alias("one")), ["place", "pos"], ["one"], "array")
-        ordered = written(rows.select(F.col("before_one").alias("n"), "pos", "long", "depth"), "array")
+        ordered = rows.select(F.col("before_one").alias("n"), "pos", "long", "depth")
         before = ordered.select((F.col("n") + 1).alias("n"), F.col("pos").alias("other"), F.col("depth").alias("other_depth"))
         # Two suffixes share a rank at most up to the depth at which the first of them leaves.
         pairs = ordered.join(before.hint("merge"), "n", "left").select("n", "pos", "long", "other", F.least("depth", F.coalesce("other_depth", F.lit(0)), F.lit(depths[-1][0])).alias("depth"))
         pairs = written(pairs.withColumn("common", F.lit(0).cast("long")), "pairs")
-        discard(rows, ordered)
+        discard(rows)
         done = pairs.limit(0)
         for depth, ranks in reversed(depths):
             here = pairs.where(F.col("depth") == depth).unionByName(done)
@@ -228,9 +235,9 @@ class SuffixArray:
         discard(self._tables[0])
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, th, runs (struct of line and n): for each document, which lines begin a later copy, and of how many lines."""
-    lines = written(line_table(docs, min_words), "lines")
+    lines = written(line_table(docs, min_bytes), "lines")
     # Rows with equal id and text are one document.
     if lines.where("line = 0").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         lines = written(lines.dropDuplicates(PLACE), "lines")
@@ -257,20 +264,20 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     return out
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """All columns of docs with kept (the text without later copies), n_lines, n_removed and n_runs; such columns of docs are replaced.
 
     A line is what line feeds separate; every text has at least one, also an empty or null
     one. A line goes if it lies in min_lines consecutive lines of its document that
     also start earlier: at a smaller doc_id (null last, equal ids by hash of the text), or
-    further up in the same document; a line of min_words words or more also by itself. All is judged on the input. Rows with equal doc_id and text are one
+    further up in the same document; a line of min_bytes UTF-8 bytes or more also by itself. All is judged on the input. Rows with equal doc_id and text are one
     document and fare alike. kept is null if no line is left; else the lines kept,
     joined by line feeds. An empty table gives no rows.
     """
     prepared(docs.sparkSession)
     keep = besides(docs.columns, "kept", "n_lines", "n_removed", "n_runs")
     docs = docs.select(*keep)
-    cut = later_copies(docs, min_lines, min_words)
+    cut = later_copies(docs, min_lines, min_bytes)
     # The row as one column, so that no name of its columns meets another.
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), th.alias("th")).alias("d")

@@ -105,7 +105,7 @@ WITH lines AS (
   SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines
 ), later AS (
   SELECT doc_id, i, line, j IS NOT NULL AND row_number() OVER (PARTITION BY j IS NULL, line, next ORDER BY doc_id, i) > 1 AS starts,
-    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS alone FROM runs
+    strlen(line) >= 200 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS alone FROM runs
 ), judged AS (
   SELECT *, starts OR alone OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM later
 ), edges AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isthmus.llm import linedup
 
 
-def slow(texts, k, ids=None, words=50):
+def slow(texts, k, ids=None, size=200):
     order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0) if ids else i)
     first, alone, out = {}, {}, {}
     for d in order:
@@ -17,7 +17,7 @@ def slow(texts, k, ids=None, words=50):
             if first.setdefault(tuple(lines[i : i + k]), (d, i)) != (d, i):
                 gone[i : i + k] = [True] * k
         for i, x in enumerate(lines):
-            if len(x.encode().split()) >= words and alone.setdefault(x, (d, i)) != (d, i):
+            if len(x.encode()) >= size and alone.setdefault(x, (d, i)) != (d, i):
                 gone[i] = True
         kept = [x for x, g in zip(lines, gone, strict=True) if not g]
         runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
@@ -31,12 +31,12 @@ def test_against_brute_force(spark, k):
     texts = ["\n".join(r.choice(["a", "b", "c", "", "long line é"]) for _ in range(r.randint(1, 12))) for _ in range(25)]
     texts += [None, "", "\n\n\n\n\n", "a\nb\nc\nd\ne\nf", "a\nb\nc\nd\ne\nf", "x", "x", "same\n" * 300]
     docs = docs_of(spark, texts).withColumn("line", F.lit(1)).withColumn("starts", F.lit(2)).withColumn("rank", F.lit(3)).withColumn("n_runs", F.lit(4))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in linedup.deduplicated(docs, k, 2).collect()}
-    assert got == slow(texts, k, words=2)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in linedup.deduplicated(docs, k, 12).collect()}
+    assert got == slow(texts, k, size=12)
 
 
 def test_long_lines_go_by_themselves(spark):
-    long, short = " ".join(["word"] * 50), " ".join(["word"] * 49)
+    long, short = "é" * 100, "é" * 99 + "e"
     texts = [f"{long}\n{short}\na", f"b\n{long}\nc\n{short}", f"{short}\n{long}\n{long}"]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in linedup.deduplicated(docs_of(spark, texts)).collect()}
     assert got == slow(texts, 2) and [got[i][1] for i in range(3)] == [0, 1, 2]
