@@ -74,7 +74,7 @@ def besides(columns: list[str], *names: str) -> list[str]:
 
 
 def released() -> None:
-    """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
+    """Gives memory that this Python process has freed back to the machine; workers live on between tasks, the driver between phases."""
     import ctypes
 
     import pyarrow as pa
@@ -93,7 +93,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         p = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
+    released()
     spark._jvm.System.gc()
 
 

@@ -140,7 +140,7 @@ class Machine:
                 n = first[rows + 1] - first[rows]
                 cut = np.concatenate([[0], np.cumsum(n)])
                 at = np.repeat(first[rows] - cut[:-1], n) + np.arange(cut[-1])
-                idx, val = index[at], value[at]
+                idx, val = index[at].astype(np.int64), value[at].astype(float)
                 z, vx, s = self.parts(idx, val, cut)
                 d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
                 each = np.repeat(d, n)
@@ -167,6 +167,12 @@ def sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return good.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def content(column) -> np.ndarray:
+    """The bytes of an Arrow binary array, one value after another, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, slots: int = FIT_SLOTS) -> Machine:
     """A machine fitted on the sample; without any labelled document it gives one half to every text.
 
@@ -189,15 +195,19 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, slots: int
     # Repeated ids follow each other by their features.
     order = [F.col("place"), F.col("doc_id"), F.col("n"), F.xxhash64("index")]
     upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample only
-    held = got.select("*", upto.alias("upto")).where(F.col("upto") <= slots).orderBy(*order).select("y", "n", "index", "value").toArrow()
+    held = got.select("*", upto.alias("upto")).where(F.col("upto") <= slots).orderBy(*order).select("y", "n", "index", "value").toArrow().combine_chunks()
     discard(got)
     if not held.num_rows:
         blank = Machine()
         blank.v[:] = 0
         return blank
-    index, value = (np.frombuffer(b"".join(held.column(c).to_pylist()), t) for c, t in (("index", "<i4"), ("value", "<f4")))
+    # The columns' own buffers, without copies: they are the most that the driver holds.
+    index, value = (content(held.column(c).combine_chunks()).view(t) for c, t in (("index", "<i4"), ("value", "<f4")))
     first = np.concatenate([[0], np.cumsum(held.column("n").to_numpy())])
-    return Machine().fit(index.astype(np.int64), value.astype(float), first, held.column("y").to_numpy().astype(float))
+    machine = Machine().fit(index, value, first, held.column("y").to_numpy().astype(float))
+    del held, index, value
+    released()
+    return machine
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS, slots: int = FIT_SLOTS) -> DataFrame:
