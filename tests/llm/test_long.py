@@ -8,10 +8,7 @@ from helpers import docs_of
 import corpus_pipeline as cp
 from isthmus.llm import bwt_dedup, decontaminate, imatch, linedup, lm, packing, quality, recompress, rollup, simhash
 
-OPERATORS = {
-    "lm": lm.scored, "packing": packing.packed, "recompress": recompress.removed, "bwt": bwt_dedup.removed, "imatch": imatch.matched, "simhash": simhash.near_duplicates,
-    "similar": simhash.similar, "lines": linedup.deduplicated, "counts": rollup.counted,
-}
+OPERATORS = {"lm": lm.scored, "packing": packing.packed, "imatch": imatch.matched, "simhash": simhash.near_duplicates, "counts": rollup.counted}
 
 
 @pytest.fixture(scope="module")
