@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import besides, discard, fresh, hashed, joined, prepared, released, texts_of, written
+from .common import besides, discard, fresh, prepared, released, texts_of, written
 from .imatch import chunks
 
 MIN_LINES, MIN_BYTES = 2, 200
@@ -33,20 +33,20 @@ def line_table(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             texts, th = texts_of(batch.column(1)), batch.column(2)
             for a, b in chunks(texts):
-                buf, offsets = joined(texts[a:b])
-                breaks = np.flatnonzero(buf[: offsets[-1]] == 10)
-                ends = np.sort(np.concatenate([breaks, offsets[1:] - 1]))
-                first = np.searchsorted(ends, offsets)
-                n = np.diff(first)
-                starts = np.concatenate([[0], ends[:-1] + 1])
+                split = [t.split(b"\n") for t in texts[a:b]]
+                flat = list(itertools.chain.from_iterable(split))
+                n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                size = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+                names = np.frombuffer(b"".join(map(digest, flat)), dtype="<i8").reshape(-1, 2)
                 doc = np.repeat(np.arange(a, b), n)
-                line = np.arange(len(doc)) - np.repeat(first[:-1], n)
-                one, two = (hashed(buf, starts, ends, seed).view(np.int64) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(one), pa.array(two), pa.array(ends - starts >= min_bytes)], names=["doc_id", "th", "line", "h1", "h2", "long"])
+                line = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), th.take(pa.array(doc)), pa.array(line), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(size >= min_bytes)], names=["doc_id", "th", "line", "h1", "h2", "long"])
         released()
 
     prepared(docs.sparkSession)
@@ -296,12 +296,15 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = M
         for batch in batches:
             kept, counts = [], []
             for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
+                if not runs:
+                    kept.append(text or "")
+                    counts.append((kept[-1].count("\n") + 1, 0, 0))
+                    continue
                 lines = (text or "").split("\n")
                 gone = np.zeros(len(lines) + 1, dtype=np.int64)
-                if runs:
-                    first, n = (np.array([r[c] for r in runs]) for c in ("line", "n"))
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, first + n, -1)
+                first, n = (np.array([r[c] for r in runs]) for c in ("line", "n"))
+                np.add.at(gone, first, 1)
+                np.add.at(gone, first + n, -1)
                 mask = np.cumsum(gone)[: len(lines)] > 0
                 left = [x for x, g in zip(lines, mask.tolist(), strict=True) if not g]
                 kept.append("\n".join(left) if left else None)
