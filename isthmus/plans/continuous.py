@@ -253,7 +253,7 @@ sh AS (SELECT perm, ry.row_id, ry.x, cell, y FROM ry JOIN py USING (k)),
 pm AS (SELECT perm, cell, x AS c, row_number() OVER (ORDER BY perm, cell, l) - 1 AS pid FROM (SELECT *, row_number() OVER (PARTITION BY perm, cell ORDER BY row_id) AS l FROM sh) WHERE l <= {marks}),
 po AS (SELECT sh.perm, sh.row_id, sh.x, sh.y, arg_min(pm.pid, (round(power(sh.x - pm.c, 2), 12), pm.pid)) AS p FROM sh JOIN pm ON pm.perm = sh.perm AND pm.cell = sh.cell GROUP BY 1, 2, 3, 4),
 pv AS (SELECT po.perm, po.row_id, po.p, arg_min(pm.pid, (round(power(po.x - pm.c, 2), 12), pm.pid)) AS q FROM po JOIN pm ON pm.perm = po.perm AND pm.pid <> po.p GROUP BY 1, 2, 3),
-vv AS (SELECT p AS pid, 0 AS dir, y AS v FROM po), pq AS (SELECT DISTINCT p, q FROM pv),
+vv AS (SELECT p AS pid, 0 AS dir, y AS v FROM po), pq AS (SELECT DISTINCT p, q FROM pv WHERE q IN (SELECT pid FROM vv)),
 {w1_sql('vv', 'pq')},
 nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM c) AS loss FROM pv JOIN w1 USING (p, q) GROUP BY perm)"""
 
