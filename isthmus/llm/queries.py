@@ -94,8 +94,14 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup, op13_align)}
 
 
 OP8_SQL = r"""
