@@ -94,6 +94,12 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .product_codes import product_codes
+
+    return product_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .align import linked
 
@@ -101,7 +107,7 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup, op13_align)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup, op12_product_codes, op13_align)}
 
 
 OP8_SQL = r"""
@@ -165,4 +171,6 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_recompress": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_token_rollup": OP10_SQL}
+    from .product_codes import oracle
+
+    return {"op12_product_codes": oracle(), "op2_decontaminate": OP2_SQL, "op4_recompress": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_token_rollup": OP10_SQL}
