@@ -94,6 +94,12 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .product_codes import product_codes
 
@@ -107,7 +113,7 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup, op12_product_codes, op13_align)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_packing, op4_recompress, op5_bwt_dedup, op6_imatch, op7_simhash, op8_line_dedup, op9_quality, op10_token_rollup, op11_html_text, op12_product_codes, op13_align)}
 
 
 OP8_SQL = r"""
