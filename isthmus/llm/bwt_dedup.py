@@ -242,11 +242,10 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
     assert window % step == 0 and gram <= window
     prepared(docs.sparkSession)
     docs = keyed(docs)
-    low32 = F.lit((1 << 32) - 1)
-    ids = written(docs.select("o", "tag", "th", "th2"), "ids")
+    ids = written(docs.select("o", "tag", "tag2"), "ids")
     order = F.struct("o", "tag")
-    copies = ids.groupBy("th", "th2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last")
-    copies = ids.join(copies, ["th", "th2"]).where(order > F.col("first")).select("o", "tag", F.lit(True).alias("copy")).distinct()
+    copies = ids.groupBy("tag", "tag2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last")
+    copies = ids.join(copies, ["tag", "tag2"]).where(order > F.col("first")).select("o", "tag", F.lit(True).alias("copy")).distinct()
 
     def name_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -260,13 +259,13 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
                     g = Grams(texts[s + a : s + b], window, gram)
                     found += [g.runs(i)[3] for i in range(b - a)]
                 n = [len(x) for x in found]
-                at = [np.arange(k) << 32 | t for k, t in zip(n, tag[s:e].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[s:e], n)), pa.array(np.concatenate(at))], names=["name", "o", "at"])
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[s:e], n)), pa.array(np.repeat(tag[s:e], n)), pa.array(at)], names=["name", "o", "tag", "i"])
         released()
 
-    names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, at long"), "grams")
-    elsewhere = several(names.withColumn("d", F.xxhash64("o", F.col("at").bitwiseAND(low32))), ["name"], "d")
-    shared = elsewhere.groupBy("o", F.col("at").bitwiseAND(low32).alias("tag")).agg(F.collect_set(F.shiftright("at", 32).cast("int")).alias("shared"))
+    names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, tag long, i int"), "grams")
+    elsewhere = several(names, ["name"], F.struct("o", "tag"))
+    shared = elsewhere.groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
 
     def segment_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa

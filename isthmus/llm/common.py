@@ -134,9 +134,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each piece buf[start:end]; the same bytes give the same value in every process."""
+    """A 64-bit hash of each piece buf[start:end]; the same bytes give the same value in every process, and pieces that collide under one seed part under another: the seed is spread before the length is mixed in."""
     lens = (ends - starts).astype(np.int64)
-    h = lens.astype(np.uint64) * _C1 + np.uint64(seed)
+    h = lens.astype(np.uint64) * _C1
+    if seed:
+        h = mixed(h + mixed(np.array([seed], dtype=np.uint64)))
     if not len(h):
         return h
     words, left, off = lanes(buf), np.arange(len(h)), 0

@@ -21,7 +21,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, discard, doubled, hashed, joined, mixed, prepared, released, texts_of, words_in, written
@@ -120,13 +120,19 @@ class Parsed:
         a, b = self.first[i], self.first[i + 1]
         return doubled(hashed(self.buf, self.starts[a:b], self.ends[a:b], 2), window).view(np.int64)
 
+    def equal(self, i: int, starts: list[int], window: int) -> np.ndarray:
+        """Starts of the windows of document i that equal one of those at `starts`, by both hashes."""
+        h, h2 = self.windows(i, window), self.checks(i, window)
+        found = set(zip(h[starts].tolist(), h2[starts].tolist(), strict=True))
+        hit = np.flatnonzero(np.isin(h, h[starts]))
+        return hit[[pair in found for pair in zip(h[hit].tolist(), h2[hit].tolist(), strict=True)]]
+
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """o (doc_id, null as the greatest), tag (32 bits of the text's hash, which tell rows of equal id apart), th, th2, doc_id, text."""
+    """o (doc_id, null as the greatest), tag (a 64-bit hash of the text, which tells rows of equal id apart), tag2 (another one), doc_id, text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    th = F.xxhash64("text")
-    return base.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), th.bitwiseAND(F.lit((1 << 32) - 1)).alias("tag"), th.alias("th"), F.xxhash64(F.lit(7), "text").alias("th2"), "doc_id", "text")
+    return base.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.xxhash64("text").alias("tag"), F.xxhash64(F.lit(7), "text").alias("tag2"), "doc_id", "text")
 
 
 def squeezed(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,7 +150,7 @@ def squeezed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", z binary")
 
 
-def several(rows: DataFrame, keys: list[str], of: str = "o") -> DataFrame:
+def several(rows: DataFrame, keys: list[str], of: str | Column = "o") -> DataFrame:
     """The rows whose key belongs to several values of a column, with the least of them."""
     least = rows.groupBy(*keys).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").drop("most")
     return rows.join(least, keys)
@@ -161,9 +167,9 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     prepared(docs.sparkSession)
     docs = keyed(docs)
     # Whole copies: all their windows also start in the first of them.
-    ids = written(docs.select("o", "tag", "th", "th2"), "ids")
-    copies = ids.groupBy("th", "th2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last")
-    copies = ids.join(copies, ["th", "th2"]).where("o > first").select("o", "tag", F.lit(True).alias("copy")).distinct()
+    ids = written(docs.select("o", "tag", "tag2"), "ids")
+    copies = ids.groupBy("tag", "tag2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last")
+    copies = ids.join(copies, ["tag", "tag2"]).where("o > first").select("o", "tag", F.lit(True).alias("copy")).distinct()
 
     def name_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -176,13 +182,12 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 found = [p.names(i)[0] for i in range(b - a)]
                 n = [len(x) for x in found]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[a:b], n)), pa.array(np.concatenate([np.arange(k) << 32 | t for k, t in zip(n, tag[a:b].tolist(), strict=True)])),
-                ], names=["name", "o", "at"])
+                    pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(o[a:b], n)), pa.array(np.repeat(tag[a:b], n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])),
+                ], names=["name", "o", "tag", "i"])
         released()
 
-    own = [F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("tag"), F.shiftright("at", 32).cast("int").alias("i")]
-    names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, at long"), "names")
-    shared = several(names, ["name"]).select("o", *own).groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
+    names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, tag long, i int"), "names")
+    shared = several(names, ["name"]).groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
 
     def window_rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -194,28 +199,28 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             o, tag, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for a, b in chunks(texts):
                 p = Parsed(texts[a:b], rounds, window)
-                one, two, who, at = [], [], [], []
+                rows: list[list] = [[] for _ in range(5)]
                 for i in range(b - a):
                     start = p.candidates(i, lists[a + i] or [], window)
                     if len(start):
-                        h = p.windows(i, window)
-                        _, once = np.unique(h[start], return_index=True)
-                        start = start[once]
-                        one.append(h[start])
-                        two.append(p.checks(i, window)[start])
-                        who.append(np.full(len(start), o[a + i]))
-                        at.append(start << 32 | tag[a + i])
-                if one:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, who, at)], names=["h", "h2", "o", "at"])
+                        h, h2 = p.windows(i, window)[start], p.checks(i, window)[start]
+                        # Once for each distinct window of the document.
+                        order = np.lexsort((h2, h))
+                        once = order[np.append(True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1]))]
+                        n = len(once)
+                        for col, v in zip(rows, (h[once], h2[once], np.full(n, o[a + i]), np.full(n, tag[a + i]), start[once].astype(np.int32)), strict=True):
+                            col.append(v)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["h", "h2", "o", "tag", "i"])
         released()
 
     whole = squeezed(docs, ["o", "tag"])
     left = whole.join(shared, ["o", "tag"], "left").join(copies, ["o", "tag"], "left_anti").select("o", "tag", "z", "shared")
-    windows = written(left.mapInArrow(window_rows, "h long, h2 long, o long, at long"), "windows")
+    windows = written(left.mapInArrow(window_rows, "h long, h2 long, o long, tag long, i int"), "windows")
     discard(names)
     parts = []
     for k in range(PASSES):
-        one = several(windows.where(F.pmod("h", F.lit(PASSES)) == k), ["h", "h2"]).where("o > least").select("o", *own)
+        one = several(windows.where(F.pmod("h", F.lit(PASSES)) == k), ["h", "h2"]).where("o > least")
         parts.append(written(one.groupBy("o", "tag").agg(F.collect_set("i").alias("at")), "found"))
         discard()
     discard(windows)
@@ -238,8 +243,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                     words, gone = [], n
                 elif starts and not whole_copy:
                     p = Parsed([text], 0, window)
-                    h = p.windows(0, window)
-                    hit = np.flatnonzero(np.isin(h, h[starts]))
+                    hit = p.equal(0, starts, window)
                     mark = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(mark, hit, 1)
                     np.add.at(mark, hit + window, -1)

@@ -76,3 +76,62 @@ def test_a_symbol_occurs_in_every_window_that_holds_what_it_depends_on():
 
 def test_empty(spark):
     assert recompress.removed(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_rows_of_one_id_whose_hashes_share_32_bits(spark):
+    """Two texts of null id that the low half of a hash doesn't tell apart, through both substring operators."""
+    import xxhash
+
+    from isthmus.llm import bwt_dedup
+
+    tail = " ".join(f"w{i}" for i in range(70))
+    seen, pair = {}, None
+    for i in range(1_000_000):
+        text = f"{i} {'x ' * (i % 3)}{tail}"
+        low = xxhash.xxh64(text.encode(), seed=42).intdigest() & 0xFFFFFFFF
+        if low in seen:
+            pair = seen[low], text
+            break
+        seen[low] = text
+    texts = [*pair, tail + " more words", "short"]
+    docs = docs_of(spark, texts, ids=[None, None, 3, 4])
+    got = recompress.removed(docs).collect()
+    assert sorted((r.n_removed, r.kept) for r in got if r.doc_id is None) == sorted((70, " ".join(t.split()[:-70])) for t in pair)
+    assert [r.n_removed for r in got if r.doc_id == 3] == [0] and bwt_dedup.removed(docs).where("doc_id is null and n_removed > 0").count() == 2
+
+
+def test_words_that_collide_under_one_seed(spark):
+    rest = " ".join(f"v{i}" for i in range(49))
+    got = {r.doc_id: r.n_removed for r in recompress.removed(docs_of(spark, [f"KDZw {rest}", f"WkXoasVF {rest}", f"KDZw {rest}"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
+
+
+def test_seeds_part():
+    from isthmus.llm.common import hashed, joined
+
+    r = np.random.default_rng(1)
+    # Words of one eight-byte step that collide under a seed: the step's input solved for the other length.
+    from isthmus.llm import common
+
+    inverse = pow(int(common._C2), -1, 1 << 64)
+    short = r.integers(97, 123, (200, 4), dtype=np.uint8)
+
+    def base(n, seed):
+        h = np.array([n], np.uint64) * common._C1
+        return int((common.mixed(h + common.mixed(np.array([seed], np.uint64))))[0])
+
+    for w in short:
+        c = int.from_bytes(w.tobytes(), "little")
+        other = (((c * int(common._C2)) & ((1 << 64) - 1)) ^ base(4, 1) ^ base(8, 1)) * inverse & ((1 << 64) - 1)
+        buf, off = joined([w.tobytes(), other.to_bytes(8, "little")])
+        one, two = (hashed(buf, off[:-1], off[1:] - 1, seed) for seed in (1, 2))
+        assert one[0] == one[1] and two[0] != two[1]
+
+
+def test_windows_marked_by_both_hashes():
+    from isthmus.llm.recompress import Parsed
+
+    p = Parsed([b"a b c a b d a b c"], 0, 3)
+    assert p.equal(0, [0], 3).tolist() == [0, 6] and p.equal(0, [2], 3).tolist() == [2]
+    p.windows = lambda i, window: np.zeros(7, np.int64)
+    assert p.equal(0, [0], 3).tolist() == [0, 6]
