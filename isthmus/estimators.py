@@ -10,17 +10,18 @@ from __future__ import annotations
 import inspect
 import math
 import warnings
+from array import array
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isthmus.functions.session import shared_root
+from isthmus.functions.session import Scratch, numbered, shared_root
 from isthmus.operators import backends
 from isthmus.operators import continuous as co
 from isthmus.operators import labels as lab
 from isthmus.operators import overlap as ov
-from isthmus.operators import scoring, validation
+from isthmus.operators import replay, scoring, validation
 from isthmus.operators.art import ArtLearner
 
 ONLINE = ("Fuzzy", "Hypersphere")
@@ -213,7 +214,7 @@ class DiscreteSeparability(_Params):
         self.index, self._weighted = row["index"], row["weighted_index"]
 
     def _ordered(self, samples: DataFrame) -> DataFrame | None:
-        """The samples of an online model with one label each, or None without any. A single stream is one key's state: its rows come to the driver one after another, in order. Many streams at once: isthmus.streaming."""
+        """The samples of an online model with one label each, or None without any. A single stream is one key's state: the driver learns its rows one after another, in order; counting them is a pass over the table. Many streams at once: isthmus.streaming."""
         s, many = self._labelled(samples)
         if many:
             raise NotImplementedError("online models take one label for each sample")
@@ -224,9 +225,12 @@ class DiscreteSeparability(_Params):
         warnings.warn("no samples: the index stays as it was", RuntimeWarning, stacklevel=3)
         return None
 
+    #: Samples whose categories the driver holds before it writes them down.
+    LEARNT_AT_ONCE = 1 << 20
+
     @staticmethod
-    def _stream(s: DataFrame):
-        for r in s.orderBy("ord", "row_id").toLocalIterator():
+    def _stream(s: DataFrame, *order: str):
+        for r in s.orderBy(*order).toLocalIterator():
             yield r["features"], r["label"]
 
     def _fit_online(self, samples: DataFrame, reset_state: bool) -> DiscreteSeparability:
@@ -235,20 +239,49 @@ class DiscreteSeparability(_Params):
         if reset_state:
             self.learner_.reset_counters()
         if s is not None:
-            self.learner_.learn_all(self._stream(s))
-            self.learner_.count_all(self._stream(s))
+            for x, y in self._stream(s, "ord", "row_id"):
+                self.learner_.learn(x, y)
+            self.learner_.counted(replay.counts(s, self.learner_))
             s.unpersist()
         self._from_learner()
         return self
 
+    def _learnt(self, placed: DataFrame, path: str) -> dict[int, int]:
+        """Trains on samples in the order of their places and writes down their categories (place, category); the categories reached so far, and from which place on (-1: before this batch)."""
+        spark, learner = placed.sparkSession, self.learner_
+        first = dict.fromkeys(learner.seen, -1)
+        got = array("q")
+
+        def flush(upto: int) -> None:
+            import pyarrow as pa
+
+            rows = pa.table({"place": pa.array(range(upto - len(got), upto), pa.int64()), "category": pa.array(got, pa.int64())})
+            spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(path)
+            del got[:]
+
+        place = 0
+        for x, y in self._stream(placed, "place"):
+            got.append(learner.learn(x, y))
+            first.setdefault(got[-1], place)
+            place += 1
+            if len(got) == self.LEARNT_AT_ONCE:
+                flush(place)
+        flush(place)
+        return first
+
     def partial_fit(self, samples: DataFrame) -> DiscreteSeparability:
         """Online models learn on, and count the batch with the categories visible that it has reached so far; offline models fit anew."""
         if not self.is_online:
             return self.fit(samples)
         s = self._ordered(samples)
         if s is not None:
-            categories = self.learner_.learn_all(self._stream(s))
-            self.learner_.replay(self._stream(s), categories)
+            scratch = Scratch(s.sparkSession)
+            placed = numbered(s.select("ord", "row_id", "features", "label"), ["ord", "row_id"], "place", scratch)
+            path = scratch.path("categories")
+            first = self._learnt(placed, path)
+            categories = s.sparkSession.read.schema("place long, category long").parquet(path)
+            self.learner_.counted(replay.counts(placed.join(categories, "place"), self.learner_, first), first)
+            scratch.discard()
             s.unpersist()
             self._from_learner()
         return self

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,42 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark's tables lie in."""
+    jvm, context = spark._jvm, spark.sparkContext  # no public call deletes files
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder. Written and read again they cut the lineage, so that a lost executor costs one table's tasks; they are deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def path(self, name: str) -> str:
+        self.folders.append(f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.folders[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        while self.folders:
+            deleted(self.spark, self.folders.pop())
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "n", scratch: Scratch | None = None) -> DataFrame:
     """The rows with their place, from 0, in the order of some columns that tell all rows apart.
 
     A range-partitioned sort; each task's rows are numbered by itself and shifted by what
-    earlier tasks hold, so that no task takes the whole table.
+    earlier tasks hold, so that no task takes the whole table. The sorted table belongs to the scratch given.
     """
-    shared_root(df.sparkSession)
     low = (1 << 33) - 1
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = (scratch or Scratch(df.sparkSession)).written(dealt, "numbered")
     part = F.shiftright("__at", 33).alias("part")
     sizes = sorted((r["part"], r["k"]) for r in dealt.groupBy(part).agg(F.count("*").alias("k")).collect())
     shift, total = [], 0
@@ -62,7 +90,9 @@ def quantiles(values: DataFrame, probs: list[float], rows: int | None = None) ->
             x = p * (k - 1)
             wanted |= {start[g][0] + math.floor(x), start[g][0] + math.ceil(x)}
     places = values.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "n long")
-    found = {r["n"]: r["v"] for r in numbered(values.select("g", "v", "row_id"), ["g", "v", "row_id"]).join(F.broadcast(places), "n").select("n", "v").collect()}
+    scratch = Scratch(values.sparkSession)
+    found = {r["n"]: r["v"] for r in numbered(values.select("g", "v", "row_id"), ["g", "v", "row_id"], scratch=scratch).join(F.broadcast(places), "n").select("n", "v").collect()}
+    scratch.discard()
     out = {}
     for g, (base, k) in start.items():
         out[g] = []

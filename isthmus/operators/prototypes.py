@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isthmus.functions.session import quantiles, shared_root
+from isthmus.functions.session import deleted, quantiles, shared_root
 from isthmus.functions.vectors import l2_normalized, total
 
 from .scoring import PROTOTYPES, Block, by_batch, matrix, own_best
@@ -437,7 +437,7 @@ def minibatch_in_rounds(samples: DataFrame, sizes: dict[str, int], ks: dict[str,
                 x[r["i"]], n[r["i"]] = [r[f"x{j}"] for j in range(x.shape[1])], r["n"]
             if state[c].step(x, n) < STILL:
                 live.discard(c)
-    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    deleted(spark, path)
     return finished(spark.createDataFrame([(c, i, v.tolist()) for c, r in state.items() for i, v in enumerate(r.c)], CENTERS))
 
 

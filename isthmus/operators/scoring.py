@@ -10,11 +10,13 @@ The plan behind the prototypes runs once for each result: what takes prototypes
 
 from __future__ import annotations
 
+import copy
 import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ class Block:
     center: np.ndarray
     radius2: np.ndarray | None
 
+    def only(self, classes: list[str]) -> Block:
+        """The prototypes of some classes."""
+        left = [i for i, c in enumerate(self.classes) if c in set(classes)]
+        mine = np.isin(self.of, left)
+        return Block(self.pid[mine], [self.classes[i] for i in left], np.searchsorted(left, self.of[mine]), self.center[mine], None if self.radius2 is None else self.radius2[mine])
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """-d^2 to centres; 1 - d^2 / r^2 where prototypes are balls."""
         d2 = np.maximum((x**2).sum(axis=1)[:, None] + (self.center**2).sum(axis=1)[None, :] - 2 * x @ self.center.T, 0.0)
@@ -70,6 +78,12 @@ class Held:
         context = prototypes.sparkSession.sparkContext
         self.blocks = [context.broadcast(b) for b in gathered(prototypes, block_bytes)]
 
+    def only(self, classes: list[str]) -> Held:
+        """The prototypes of some classes."""
+        out = copy.copy(self)
+        out.blocks = [SparkContext.getOrCreate().broadcast(b) for b in (x.value.only(classes) for x in self.blocks) if b.classes]
+        return out
+
     def __len__(self) -> int:
         return len(self.blocks)
 
@@ -120,7 +134,7 @@ def score_table(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
 def topk(samples: DataFrame, prototypes: DataFrame | Held, k: int, classes: list[str] | None = None) -> DataFrame:
     """row_id, rank (from 1), pid, score: the k best prototypes of each sample, of some classes only if given; ties go to the lower pid. k <= 0 gives no rows."""
     if classes is not None:
-        prototypes = prototypes.where(F.col("class").isin(*classes)) if classes else prototypes.limit(0)
+        prototypes = prototypes.only(classes) if isinstance(prototypes, Held) else prototypes.where(F.col("class").isin(*classes)) if classes else prototypes.limit(0)
     spark = samples.sparkSession
     if k <= 0:
         return spark.createDataFrame([], "row_id long, rank int, pid int, score double")

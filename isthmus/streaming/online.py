@@ -1,45 +1,97 @@
 """Online indices with Structured Streaming.
 
-learn_stream keeps one adaptive-resonance learner as the state of each stream key:
-samples of a micro-batch are taken in the order of ord, keys run in parallel, and a row with the current
-indices leaves for each key and micro-batch. refit_stream recomputes an offline index for each micro-batch.
-State and offsets live in the checkpoint folder, so that a restart goes on where it stood.
+learn_stream keeps the map of each stream key as state in parts: categories in pages of PAGE, and the counters of each
+class as a row of its own. A micro-batch reads a key's parts and writes back the pages whose categories it has made or
+moved and the rows of the classes it has met. Samples of a micro-batch are taken in the order of ord, keys run in
+parallel, and a row with the current indices leaves for each key and micro-batch. refit_stream recomputes an offline
+index for each micro-batch. State and offsets live in the checkpoint folder, so that a restart goes on where it stood.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from isthmus.operators.art import ArtLearner
 
-OUTPUT = "stream_id string, last_ord long, samples long, categories int, index double, weighted_index double"
-
-
-def learn_stream(samples: DataFrame, mode: str = "batch", **params) -> DataFrame:
-    """A streaming DataFrame of OUTPUT from streaming samples (stream_id, ord, features, label). mode: batch replays each micro-batch after training on it, sample learns and counts row by row."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def update(key, frames: Iterator, state: GroupState) -> Iterator:
+#: warning: what the learner had to say in this micro-batch, null if nothing.
+OUTPUT = "stream_id string, last_ord long, samples long, categories int, index double, weighted_index double, warning string"
+#: Categories in a page of state.
+PAGE = 32
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Keeper(StatefulProcessor):
+    """One key's learner, kept as pages of categories and rows of counters."""
+
+    def __init__(self, mode: str, params: dict, page: int = PAGE):
+        self.mode, self.params, self.page = mode, params, page
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = handle.getMapState("categories", "page long", "w binary, radius binary, owners array<string>")
+        self.classes = handle.getMapState("classes", "label string", "support long, singleton double, others array<string>, adj array<long>, pairwise array<double>")
+
+    def _read(self) -> ArtLearner:
+        m = ArtLearner(**self.params)
+        pages = sorted((page, *value) for (page,), value in self.pages.iterator())
+        if pages:
+            radius = np.frombuffer(b"".join(bytes(p[2]) for p in pages))
+            w = np.frombuffer(b"".join(bytes(p[1]) for p in pages)).reshape(len(radius), -1)
+            m.put_categories(w.copy(), radius.copy(), [y for p in pages for y in p[3]])
+        for (y,), (support, single, others, adj, index) in self.classes.iterator():
+            m.support[y], m.singleton[y] = support, single
+            for b, n, v in zip(others, adj, index, strict=True):
+                m.adj[y, b], m.pairwise[y, b] = int(n), float(v)
+        return m
+
+    def _write(self, m: ArtLearner, met: set[str]) -> None:
+        owners = m.owner
+        for page in sorted({j // self.page for j in m.moved}):
+            mine = slice(page * self.page, (page + 1) * self.page)
+            self.pages.updateValue((page,), (m.w[mine].tobytes(), m.radius[mine].tobytes(), owners[mine]))
+        rows: dict[str, list] = {y: [] for y in met}
+        for (y, b), n in m.adj.items():
+            if y in rows:
+                rows[y].append((b, n, m.pairwise[y, b]))
+        for y, found in rows.items():
+            others, adj, index = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+            self.classes.updateValue((y,), (m.support[y], m.singleton[y], others, adj, index))
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
-        learner = ArtLearner.restore(state.get[0]) if state.exists else ArtLearner(**params)
-        rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
-        xs, ys = rows["features"].tolist(), rows["label"].astype(str).tolist()
-        if mode == "batch":
-            learner.add_batch(xs, ys)
-        else:
-            for x, y in zip(xs, ys, strict=True):
-                learner.add_sample(x, y)
-        state.update((learner.dump(),))
+        m = self._read()
+        table = pd.concat(list(rows)).sort_values("ord", kind="stable")
+        xs, ys = table["features"].tolist(), table["label"].astype(str).tolist()
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            if self.mode == "batch":
+                m.add_batch(xs, ys)
+            else:
+                for x, y in zip(xs, ys, strict=True):
+                    m.add_sample(x, y)
+        self._write(m, set(ys))
+        texts = list(dict.fromkeys(str(w.message) for w in said))
         yield pd.DataFrame({
-            "stream_id": [key[0]], "last_ord": [int(rows["ord"].max())], "samples": [sum(learner.support.values())], "categories": [len(learner.owner)],
-            "index": [learner.index()], "weighted_index": [learner.weighted_index()],
+            "stream_id": [key[0]], "last_ord": [int(table["ord"].max())], "samples": [sum(m.support.values())], "categories": [m.n],
+            "index": [m.index()], "weighted_index": [m.weighted_index()], "warning": pd.Series(["; ".join(texts) or None], dtype=object),
         })
 
-    return samples.select("stream_id", "ord", "features", "label").groupBy("stream_id").applyInPandasWithState(update, OUTPUT, "learner binary", "append", GroupStateTimeout.NoTimeout)
+
+def learn_stream(samples: DataFrame, mode: str = "batch", **params) -> DataFrame:
+    """A streaming DataFrame of OUTPUT from streaming samples (stream_id, ord, features, label). mode: batch replays each micro-batch after training on it, sample learns and counts row by row. State in parts needs the RocksDB state store, which this names to the session unless the session names one itself."""
+    if mode not in ("batch", "sample"):
+        raise ValueError("mode must be 'batch' or 'sample'")
+    spark = samples.sparkSession
+    if "HDFSBacked" in spark.conf.get(PROVIDER, "HDFSBacked"):
+        spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = samples.select("stream_id", "ord", "features", F.col("label").cast("string").alias("label"))
+    return rows.groupBy("stream_id").transformWithStateInPandas(Keeper(mode, params, PAGE), OUTPUT, "append", "none")
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> DataFrame:

@@ -54,6 +54,10 @@ def test_blocks_of_prototypes_agree(spark, monkeypatch):
     assert len(scoring.held(p)) > 1
     assert sorted(map(tuple, ov.pairwise(df, p).collect())) == whole
     assert sorted(map(tuple, scoring.topk(df, p, 3).collect())) == best
+    some = [r["class"] for r in p.select("class").distinct().orderBy("class").collect()][1:]
+    for classes in (some, some[:1], []):
+        want = sorted(map(tuple, scoring.topk(df, p, 2, classes).collect()))
+        assert sorted(map(tuple, scoring.topk(df, scoring.held(p), 2, classes).collect())) == want and bool(want) == bool(classes)
 
 
 @pytest.mark.parametrize("model", ["KMeans", "MiniBatchKMeans", "BallCover"])

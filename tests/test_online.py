@@ -198,3 +198,71 @@ def test_whitespace_text(spark, tmp_path):
     (tmp_path / "y.data").write_text("A_1  0.1  0.2 CYT\nB_2  0.3 0.4  NUC\n\n")
     rows = tables.whitespace_text(spark, str(tmp_path / "y.data")).orderBy("row_id").collect()
     assert [(r.features, r.label) for r in rows] == [([0.1, 0.2], "CYT"), ([0.3, 0.4], "NUC")]
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize("block_bytes", [1 << 30, 1])
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", 0.5)])
+def test_counting_as_a_pass_over_the_table(spark, monkeypatch, kind, r_hat, block_bytes):
+    """Vigilance 0.7, repeated samples (ties), one block of categories or one a class, against a plain loop; a fit, two batches and single samples on top of each other."""
+    from isthmus.operators import replay
+
+    monkeypatch.setattr(replay.counts, "__defaults__", (None, block_bytes))
+    monkeypatch.setattr(replay, "AT_ONCE", 500)
+    monkeypatch.setattr(DiscreteSeparability, "LEARNT_AT_ONCE", 7)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.random((60, 2)).round(1), rng.random((60, 2))])
+    y = [f"c{i}" for i in rng.integers(0, 3, 100)] + ["c1"] * 10 + ["new"] * 10
+    rows = [(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([(i, 1000 - i, a.tolist(), b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_id long, ord long, features array<double>, label string").repartition(5)
+    part = lambda a, b: df.where(f"ord between {1000 - b + 1} and {1000 - a}")
+    backwards = lambda a, b: rows[a:b][::-1]
+    m, slow = DiscreteSeparability(model_type=kind, rho=0.7, r_hat=r_hat), Plain(kind, 0.7, r_hat, 2)
+    assert m.fit(part(0, 50)).index == pytest.approx(slow.fit(backwards(0, 50)))
+    for a, b in ((50, 90), (90, 120)):
+        assert m.add_batch(part(a, b)) == pytest.approx(slow.batch(backwards(a, b)))
+        assert m.learner_.adj == slow.adj and m.learner_.support == slow.card and m.learner_.pairwise == pytest.approx(slow.pair)
+    assert m.add_sample(x[3], y[3]) == pytest.approx(slow.one(*rows[3]))
+    assert m.learner_.adj == slow.adj
+    fresh, plain = DiscreteSeparability(model_type=kind, rho=0.7, r_hat=r_hat), Plain(kind, 0.7, r_hat, 2)
+    assert fresh.add_batch(part(0, 120)) == pytest.approx(plain.batch(backwards(0, 120))) and fresh.learner_.adj == plain.adj
+
+
+def test_no_file_is_left_behind(spark):
+    import os
+
+    from isthmus.functions.session import shared_root
+
+    x, y = samples(4, 40)
+    df = spark.createDataFrame([(i, i, a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_id long, ord long, features array<double>, label string")
+    before = set(os.listdir(shared_root(spark)))
+    m = DiscreteSeparability(model_type="Fuzzy", rho=0.8).fit(df)
+    m.add_batch(df)
+    assert set(os.listdir(shared_root(spark))) == before
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize("kind", ["Fuzzy", "Hypersphere"])
+def test_restart_from_a_checkpoint(spark, tmp_path, monkeypatch, kind):
+    """Three runs of one query, each ended before the next file comes, over several pages of categories; state grows by what a run touches."""
+    monkeypatch.setattr(online, "PAGE", 4)
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i % 2}", i, rng.random(2).tolist(), f"c{i % 3}") for i in range(120)]
+    rows += [("lonely", 200, [0.5, 0.5], "c0")]
+    cuts = [(0, 50), (50, 51), (51, 121)]
+    got = []
+    for a, b in cuts:
+        spark.createDataFrame(rows[a:b], KIND).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got.append({r.stream_id: r for r in online.run_to_end(online.learn_stream(stream, "batch", kind=kind, rho=0.8), f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect() if r.last_ord >= a})
+    for s in ("s0", "s1"):
+        m = ArtLearner(kind, 0.8)
+        for (a, b), found in zip(cuts, got, strict=True):
+            mine = [r for r in rows[a:b] if r[0] == s]
+            if not mine:
+                assert s not in found
+                continue
+            m.add_batch([r[2] for r in mine], [r[3] for r in mine])
+            assert (found[s].samples, found[s].categories, found[s]["index"], found[s].warning) == (sum(m.support.values()), m.n, pytest.approx(m.index()), None)
+        assert m.n > 8
+    assert got[2]["lonely"].warning.startswith("one class only")
