@@ -172,22 +172,6 @@ def target_scale_flat(spark, d):
     return one("standard").unionByName(one("minmax")).unionByName(one("robust"))
 
 
-def cell_count_rule(spark, d):
-    """Numbers of cells by number of samples."""
-    return spark.createDataFrame([(n, co.cell_count(n), co.cell_count(n, 20)) for n in range(1, 6000, 7)], "n long, cells long, of_twenty long")
-
-
-def target_rules(spark, d):
-    """Cover and distance by number of targets."""
-    return spark.createDataFrame([(k, co.resolved_cover("auto", k), co.resolved_distance("auto", k)) for k in range(1, 9)], "d long, cover string, distance string")
-
-
-def direction_norms(spark, d):
-    """Directions of projection have length 1."""
-    w = co.random_directions(32, 3, 5)
-    return spark.createDataFrame([(i, round(sum(v * v for v in x), 6)) for i, x in enumerate(w)], "direction long, squared double")
-
-
 def validate_targets(spark, d):
     """Targets as arrays, single numbers or columns, checked."""
     s = validation.targets(tables.read(spark, d, "part").select(F.col("p_retailprice").alias("target")))
@@ -297,9 +281,6 @@ q0 AS (SELECT row_number() OVER (ORDER BY u, row_id) - 1 AS l, y AS a, y2 AS b F
 {step.format(n=1, m=0)}, {step.format(n=2, m=1)}, e AS (SELECT row_id, y, y2, arg_min(l, (power(y - a, 2) + power(y2 - b, 2), l)) AS cell FROM s, q2 GROUP BY row_id, y, y2)
 SELECT cell, count(*) AS n, round(min(y), 6) AS lo, round(max(y2), 6) AS hi FROM e GROUP BY cell""",
         "target_scale_flat": " UNION ALL ".join(f"SELECT '{h}' AS how, 0.0::DOUBLE AS y, count(*) AS n FROM part" for h in ("standard", "minmax", "robust")),
-        "cell_count_rule": "SELECT n, least(greatest(8, floor(sqrt(n))), 64, n)::BIGINT AS cells, least(20, n) AS of_twenty FROM range(1, 6000, 7) r(n)",
-        "target_rules": "SELECT d, CASE WHEN d = 1 THEN 'quantile' ELSE 'kmeans' END AS cover, CASE WHEN d = 1 THEN 'wasserstein' ELSE 'sliced_wasserstein' END AS distance FROM range(1, 9) r(d)",
-        "direction_norms": "SELECT i AS direction, 1.0::DOUBLE AS squared FROM range(32) r(i)",
         "validate_targets": "SELECT count(*) AS n_rows, 1::INT AS min_size, 1::INT AS max_size, count_if(p_retailprice IS NULL OR NOT isfinite(p_retailprice))::BIGINT AS non_finite FROM part",
         "w1_missing_side": f"{full} SELECT p.pid, p.support, round(coalesce(sum(alpha * distance) FILTER (WHERE z.q <> 1), 0), 6) AS loss FROM p LEFT JOIN (ad JOIN w1 USING (p, q)) z ON z.p = p.pid WHERE p.pid <> 1 GROUP BY 1, 2",
         "degenerate_single_cell": "SELECT 1.0::DOUBLE AS index, 0.0::DOUBLE AS loss",

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isthmus import ml
 from isthmus.estimators import ContinuousSeparability, DiscreteSeparability
 from isthmus.functions.session import shared_root
 from isthmus.functions.vectors import complement_coded, l2_normalized
@@ -305,6 +306,19 @@ def est_fit_predict(spark, d):
     return m.fit_predict(s).select("row_id", F.col("pid").cast("long").alias("pid"))
 
 
+def est_pipeline(spark, d):
+    """The same predictions from a pipeline that is fitted, saved, read again and applied to the table."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    renamed = SQLTransformer(statement="SELECT vec_id AS row_id, embedding AS features, CAST(label AS STRING) AS label FROM __THIS__")
+    options = {"metric": "euclidean", "cover_fraction": COVER_FRACTION}
+    stage = ml.Separability(modelType="BallCover", ballcoverK=COVER_K, ballcoverRadius="auto", ballcoverKwargs=options)
+    t = tables.read(spark, d, "embeddings")
+    model = ml.saved(Pipeline(stages=[renamed, stage]).fit(t), spark)
+    return model.transform(t).select("row_id", F.col("prediction").cast("long").alias("pid"))
+
+
 def est_classes(spark, d):
     """Which prototypes a class owns, from the estimator's table."""
     m, s = _estimator(spark, d)
@@ -319,11 +333,6 @@ def label_kinds(spark, d):
     return kind(one, "string").unionByName(kind(many, "array"))
 
 
-def metric_rule(spark, d):
-    """The metric by number of features."""
-    return spark.createDataFrame([(n, t, proto.resolved_metric("auto", n, t)) for t in (16, 128) for n in range(1, 257)], "d long, threshold long, metric string")
-
-
 def text_source(spark, d):
     """Parts written as lines of white-space separated fields and read back."""
     path = f"{shared_root(spark)}/text-{uuid.uuid4().hex}"
@@ -332,59 +341,6 @@ def text_source(spark, d):
     return tables.whitespace_text(spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0]).alias("s0"), F.sum(F.col("features")[1]).alias("s1"))
 
 
-def guards(spark, d):
-    """What is refused, and how."""
-    s = tables.embeddings(spark, d)
-    bad = s.limit(1).withColumn("features", F.array(F.lit(float("nan"))))
-    cases = {
-        "model_type": lambda: DiscreteSeparability(model_type="Grid"),
-        "pair_mode": lambda: DiscreteSeparability(multilabel_pair_mode="some"),
-        "top_m": lambda: DiscreteSeparability(multilabel_pair_mode="top_m", top_m=0),
-        "chunk_size": lambda: DiscreteSeparability(offline_chunk_size=0),
-        "unhashable": lambda: DiscreteSeparability(exclude_classes=[["a"]]),
-        "unknown_parameter": lambda: DiscreteSeparability().set_params(nothing=1),
-        "not_fitted": lambda: DiscreteSeparability().predict(s),
-        "online_only": lambda: DiscreteSeparability().add_sample([0.5], "a"),
-        "no_map": lambda: DiscreteSeparability().module_a,
-        "non_finite": lambda: DiscreteSeparability().fit(bad),
-        "sample_shape": lambda: DiscreteSeparability(model_type="Fuzzy").add_sample([[0.5]], "a"),
-        "unit_interval": lambda: DiscreteSeparability(model_type="Hypersphere").add_sample([2.0], "a"),
-        "keyword": lambda: DiscreteSeparability(kmeans_kwargs={"n_clusters_": 3}).fit(s),
-        "k_and_radius": lambda: proto.check_cover("auto", "auto", 1.0, None, "farthest"),
-        "negative_k": lambda: proto.check_cover(-1, "auto", 1.0, None, "farthest"),
-        "negative_radius": lambda: proto.check_cover(3, -1.0, 1.0, None, "farthest"),
-        "cover_fraction": lambda: proto.check_cover(3, "auto", 0.0, None, "farthest"),
-        "max_balls": lambda: proto.check_cover(3, "auto", 1.0, 0, "farthest"),
-        "selection": lambda: proto.check_cover(3, "auto", 1.0, None, "nearest"),
-        "metric": lambda: proto.resolved_metric("cityblock", 3),
-        "class_without_k": lambda: proto.per_class({"a": 1}, "b", "k"),
-        "class_without_prototypes": lambda: scoring.own_best(s, proto.landmarks(s.where("label <> '1'"), 2)),
-        "online_target": lambda: ContinuousSeparability(model_type="Fuzzy"),
-        "soft_topk": lambda: ContinuousSeparability(adjacency_mode="soft_topk"),
-        "aggregation": lambda: ContinuousSeparability(aggregation="median"),
-        "permutations": lambda: ContinuousSeparability(n_null_permutations=0),
-        "quantile_cover": lambda: co.resolved_cover("quantile", 2),
-        "wasserstein": lambda: co.resolved_distance("wasserstein", 2),
-        "cover_keyword": lambda: ContinuousSeparability(target_cover_kwargs={"clusters": 3}),
-    }
-    rows = []
-    for name, f in cases.items():
-        try:
-            f()
-            rows.append((name, "none"))
-        except Exception as e:
-            rows.append((name, type(e).__name__))
-    return spark.createDataFrame(rows, "case string, error string")
-
-
-REFUSED = {
-    "ValueError": "model_type pair_mode top_m chunk_size unknown_parameter not_fitted non_finite sample_shape unit_interval k_and_radius negative_k negative_radius cover_fraction max_balls selection metric class_without_k class_without_prototypes aggregation permutations quantile_cover wasserstein",
-    "TypeError": "unhashable keyword cover_keyword",
-    "NotImplementedError": "online_only online_target soft_topk",
-    "AttributeError": "no_map",
-}
-
-
 def ml_pair_rows(spark, d):
     return lab.pair_rows(lab.normalized(tables.document_labels(spark, d)))
 
@@ -688,11 +644,10 @@ def sql() -> dict[str, str]:
         "est_partial_fit": est,
         "est_score": f"{cover}, {SCORES}, {PAIRS}, {SINGLE}, k AS ({summary_out()}) SELECT index AS fitted, index AS current, 1.0::DOUBLE AS after_reset FROM k",
         "est_fit_predict": f"{cover}, {SCORES} {topk_sql(1, score='').replace('row_id, rank, pid', 'row_id, pid')}",
+        "est_pipeline": f"{cover}, {SCORES} {topk_sql(1, score='').replace('row_id, rank, pid', 'row_id, pid')}",
         "est_classes": f"{cover} SELECT class, count(*) AS n, min(pid) AS first, max(pid) AS last FROM p GROUP BY class",
         "label_kinds": f"WITH {DOC_LABELS} SELECT 'string' AS kind, 1::BIGINT AS size, count(*) AS n FROM part UNION ALL SELECT 'array', len(labels), count(*) FROM d GROUP BY len(labels)",
-        "metric_rule": "SELECT d, t AS threshold, CASE WHEN d >= t THEN 'cosine' ELSE 'euclidean' END AS metric FROM range(1, 257) x(d), (VALUES (16::BIGINT), (128::BIGINT)) y(t)",
         "text_source": "SELECT p_brand AS label, count(*) AS n, sum(p_size)::DOUBLE AS s0, sum(p_partkey)::DOUBLE AS s1 FROM part GROUP BY p_brand",
-        "guards": " UNION ALL ".join(f"SELECT '{c}' AS \"case\", '{e}' AS error" for e, cs in REFUSED.items() for c in cs.split()),
         "visible_replay_blocks": f"{m}, {REPLAY} {PAIR_OUT}",
         "accumulate_summary": accumulate_sql(),
         "oi_ballcover": f"{cover}, {SCORES}, {PAIRS} {PAIR_OUT}",
