@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isthmus.functions.session import Scratch, numbered, shared_root
+from isthmus.functions.session import Scratch, numbered
 from isthmus.operators import backends
 from isthmus.operators import continuous as co
 from isthmus.operators import labels as lab
@@ -60,6 +60,9 @@ class _Params:
         for df in getattr(self, "_cached", ()):
             df.unpersist()
         self._cached = []
+        if getattr(self, "_scratch", None):
+            self._scratch.discard()
+        self._scratch = None
 
     @property
     def backend(self):
@@ -171,8 +174,9 @@ class DiscreteSeparability(_Params):
         s, many = self._labelled(samples)
         before = None if reset_state else self._state
         index = self.index, self._weighted
+        written, self._scratch = (None, self._scratch) if reset_state else (self._scratch, None)
         self.reset()
-        self._state = before
+        self._state, self._scratch = before, written
         s = self._kept(self._prepared(s))
         order = lab.dimension(s)
         classes = order.count()
@@ -197,9 +201,12 @@ class DiscreteSeparability(_Params):
             if many:
                 self.competitors_ = ov.competitors(self._scorer, order, self.multilabel_pair_mode, self.top_m)
                 counts = counts.join(self.competitors_.select("y", "b"), ["y", "b"])
-        shared_root(s.sparkSession)
-        # Checkpoints, so that many fits on top of each other don't grow one plan.
-        self._state = tuple(t.checkpoint() for t in ov.accumulated(counts, support, before, by_pair=many))
+        # Written down, so that many fits on top of each other don't grow one plan.
+        scratch = Scratch(s.sparkSession)
+        self._state = tuple(scratch.written(t, "state") for t in ov.accumulated(counts, support, before, by_pair=many))
+        old, self._scratch = self._scratch, scratch
+        if old:
+            old.discard()
         self.pairwise_, _, self.singleton_ = self._state
         if classes == 1 and before is not None:
             self.index, self._weighted = index
@@ -400,6 +407,7 @@ class ContinuousSeparability(_Params):
         if not n:
             warnings.warn("no samples: the index stays at 1.0", RuntimeWarning, stacklevel=2)
             return self
+        self._scratch = scratch = Scratch(samples.sparkSession)
         cover, seed = co.resolved_cover(self.target_cover, d), self.random_state or 0
         self.resolved_distance_ = co.resolved_distance(self.target_distance, d)
         directions = None if d == 1 else co.random_directions(self.n_projections, d, self.random_state)
@@ -420,11 +428,11 @@ class ContinuousSeparability(_Params):
         self.prototype_stats_ = co.prototype_stats(self.prototype_targets_)
         self.adjacency_ = self._kept(co.adjacency(s.select("row_id", "features"), scorer, self.own_prototype_))
         support = self.prototype_targets_.groupBy("pid").agg(F.count("*").alias("support"))
-        losses = self._kept(co.local_losses(self.adjacency_, co.wasserstein(co.projected(self.prototype_targets_, directions), self.adjacency_), support))
+        losses = self._kept(co.local_losses(self.adjacency_, co.wasserstein(co.projected(self.prototype_targets_, directions), self.adjacency_, scratch), support))
         self.actual_loss_ = co.overall_loss(losses).first()["loss"]
         # Targets move as a whole; prototypes are fitted anew for every permutation, all in one go.
         by_cell = backend.by_permutation(self.n_null_permutations)
-        found = co.null_losses(s.select("row_id", "features", "target", "label"), by_cell.fit, self.n_null_permutations, directions, f"{seed}:")
+        found = co.null_losses(s.select("row_id", "features", "target", "label"), by_cell.fit, self.n_null_permutations, directions, f"{seed}:", scratch)
         null = [r["loss"] for r in sorted(found.collect(), key=lambda r: r["perm"])]
         self.null_losses_, self.null_loss_ = null, sum(null) / len(null)
         self.loss_ratio_ = self.actual_loss_ / self.null_loss_ if self.null_loss_ > co.EPS else 0.0 if self.actual_loss_ <= co.EPS else math.inf

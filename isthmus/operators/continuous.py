@@ -8,18 +8,21 @@ the loss of chance. Distances are integrated range by range of the target, for t
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isthmus.functions.session import numbered, quantiles, shared_root
+from isthmus.functions.session import Scratch, numbered, quantiles
 from isthmus.functions.vectors import EPS, total
 
 from . import prototypes as proto
+from . import scoring
 from .scoring import TIE_DIGITS, Block, Held, by_batch, gathered, held, matrix, own_best, topk
 
 SCALINGS = ("none", "standard", "minmax", "robust")
@@ -181,23 +184,70 @@ def random_directions(n: int, d: int, seed: int | None = None) -> list[list[floa
     return (w / np.maximum(np.sqrt((w**2).sum(axis=1, keepdims=True)), EPS)).tolist()
 
 
-def wasserstein(values: DataFrame, pairs: DataFrame) -> DataFrame:
+def wasserstein(values: DataFrame, pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """p, q, distance: mean over directions of the area between the distribution functions of v in p and in q. values: pid, dir, v; pairs without values on a side don't come back."""
-    found = wasserstein_by_group(values.withColumn("g", F.lit(0)), pairs.select(F.lit(0).alias("g"), "p", "q"))
+    found = wasserstein_by_group(values.withColumn("g", F.lit(0)), pairs.select(F.lit(0).alias("g"), "p", "q"), scratch)
     return found.select("p", "q", "distance")
 
 
-def wasserstein_by_group(values: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Numbers that areas of pairs are worked out on at once.
+AT_ONCE = 1 << 21
+
+
+def areas(v: np.ndarray, c: np.ndarray, pid: np.ndarray, low: float, end: float, known: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The area between the distribution functions of p and q, for every pair, from low to end. v (in order), c, pid: how often each prototype has each value there; known: pid to (size, mass before low).
+
+    Pairs are worked out together: each brings the values of its two prototypes with signed weights, one
+    sort puts them in order within their pairs, and one running sum gives the differences of the functions.
+    """
+    ids = np.array(sorted(known), dtype=np.int64)
+    size, before = (np.array([known[k][x] for k in ids.tolist()], dtype=float) for x in (0, 1))
+    at = np.searchsorted(ids, pid)
+    order = np.argsort(at, kind="stable")
+    start = np.searchsorted(at[order], np.arange(len(ids) + 1))
+    n = np.diff(start)
+    base = before / size
+    weight = c / size[at]
+    left, right = np.searchsorted(ids, p), np.searchsorted(ids, q)
+    out = np.zeros(len(p))
+    many = n[left] + n[right] + 1
+    upto = np.cumsum(many)
+    a = 0
+    while a < len(p):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + AT_ONCE, side="right")))
+        l, r, k = left[a:b], right[a:b], many[a:b]  # noqa: E741
+        # A place for the range's start, then the values of both; the last gap ends with the range.
+        take = np.concatenate([start[l], start[r]])
+        lens = np.concatenate([n[l], n[r]])
+        pair = np.repeat(np.concatenate([np.arange(b - a)] * 2), lens)
+        row = order[np.repeat(take - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+        sign = np.repeat(np.concatenate([np.ones(b - a), -np.ones(b - a)]), lens)
+        by = np.argsort(pair * len(v) + row, kind="stable")  # rows are in the order of values
+        head = np.cumsum(k) - k
+        inner = np.ones(int(k.sum()), dtype=bool)
+        inner[head] = False
+        step, place = np.empty(len(inner)), np.empty(len(inner))
+        step[inner], place[inner] = (sign * weight[row])[by], v[row[by]]
+        step[head], place[head] = base[l] - base[r], low
+        total = np.cumsum(step)
+        gap = total - np.repeat(total[head] - step[head], k)
+        following = np.append(place[1:], end)
+        following[head[1:] - 1] = end
+        out[a:b] = np.add.reduceat(np.abs(gap) * (following - place), head)
+        a = b
+    return out
+
+
+def wasserstein_by_group(values: DataFrame, pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """g, p, q, distance for values (g, pid, dir, v) and pairs (g, p, q) within groups.
 
     Distinct values with their counts are cut into ranges of (g, dir, v). A range knows the mass that each prototype
-    has before it, and adds up its own part of every pair's area, up to where the next range starts; no task takes
-    all values of a prototype or a pair. Pairs are those of prototypes, thus few: they are broadcast.
+    has before it and the pairs of its group, and adds up its own part of every pair's area, up to where the next
+    range starts; no task takes all values of a prototype or a pair. The values dealt into ranges belong to the scratch given.
     """
-    spark = values.sparkSession
-    shared_root(spark)
     counts = values.groupBy("g", "dir", "v", "pid").agg(F.count("*").alias("c"))
-    dealt = counts.repartitionByRange("g", "dir", "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    dealt = counts.repartitionByRange("g", "dir", "v").withColumn("part", F.spark_partition_id())
+    dealt = (scratch or Scratch(values.sparkSession)).written(dealt, "ranges")
     mass = dealt.groupBy("g", "dir", "pid", "part").agg(F.sum("c").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("g", "dir", "pid").orderBy("part"))
     size = F.sum("c").over(Window.partitionBy("g", "dir", "pid"))
@@ -207,10 +257,7 @@ def wasserstein_by_group(values: DataFrame, pairs: DataFrame) -> DataFrame:
     before = mass.select("g", "dir", "pid", F.col("part").alias("at"), upto.alias("upto"), size.alias("size"))
     known = ranges.join(before, ["g", "dir"]).groupBy("g", "dir", "part", "low", "end", "pid", "size").agg(F.max(F.when(F.col("at") < F.col("part"), F.col("upto"))).alias("before"))
     edges = known.groupBy("g", "dir", "part", "low", "end").agg(F.collect_list(F.struct("pid", "size", F.coalesce("before", F.lit(0)).alias("before"))).alias("known"))
-    wanted: dict[int, list] = {}
-    for r in pairs.select("g", "p", "q").distinct().collect():
-        wanted.setdefault(r["g"], []).append((r["p"], r["q"]))
-    every = spark.sparkContext.broadcast(wanted)
+    edges = edges.join(pairs.groupBy("g").agg(F.collect_set(F.struct("p", "q")).alias("pairs")), "g")
 
     def run(left, right):
         import pyarrow as pa
@@ -220,33 +267,27 @@ def wasserstein_by_group(values: DataFrame, pairs: DataFrame) -> DataFrame:
         v, c, pid = left.column("v").to_numpy(), left.column("c").to_numpy().astype(float), left.column("pid").to_numpy()
         order = np.lexsort((v, key))
         key, v, c, pid = key[order], v[order], c[order], pid[order]
-        for e in right.to_pylist():
-            name = e["g"] << 32 | e["dir"]
-            rows = np.arange(*np.searchsorted(key, [name, name + 1]))
-            size = {k["pid"]: k["size"] for k in e["known"]}
-            base = {k["pid"]: k["before"] / k["size"] for k in e["known"]}
-            own: dict[int, tuple] = {}
-            for i in np.unique(pid[rows]).tolist():
-                mine = rows[pid[rows] == i]
-                own[i] = (v[mine], c[mine] / size[i])
-            none = (np.zeros(0), np.zeros(0))
-            for p, q in every.value.get(e["g"], ()):
-                if p not in size or q not in size:
-                    continue
-                (vp, wp), (vq, wq) = own.get(p, none), own.get(q, none)
-                at = np.concatenate([vp, vq])
-                order = np.argsort(at, kind="stable")
-                edge = np.concatenate([[e["low"]], at[order], [e["end"]]])
-                gap = base[p] - base[q] + np.concatenate([[0.0], np.cumsum(np.concatenate([wp, -wq])[order])])
-                for col, x in zip(out, (e["g"], e["dir"], p, q, float((np.abs(gap) * np.diff(edge)).sum())), strict=True):
+        for i in range(right.num_rows):
+            e = {n: right.column(n)[i] for n in ("g", "dir", "low", "end", "known", "pairs")}
+            g, d = e["g"].as_py(), e["dir"].as_py()
+            rows = slice(*np.searchsorted(key, [g << 32 | d, (g << 32 | d) + 1]))
+            held = {k["pid"]: (k["size"], k["before"]) for k in e["known"].as_py()}
+            both = e["pairs"].values
+            p, q = (both.field(n).to_numpy().astype(np.int64) for n in "pq")
+            there = np.isin(p, list(held)) & np.isin(q, list(held))
+            p, q = p[there], q[there]
+            if len(p):
+                found = areas(v[rows], c[rows], pid[rows], e["low"].as_py(), e["end"].as_py(), held, p, q)
+                for col, x in zip(out, (np.full(len(p), g), np.full(len(p), d), p, q, found), strict=True):
                     col.append(x)
+        cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("g", "dir", "p", "q", "a"), out, kinds, strict=True)})
+        return pa.table({n: pa.array(x).cast(t) for n, x, t in zip(("g", "dir", "p", "q", "a"), cols, kinds, strict=True)})
 
     # New names for the ranges' columns: both sides come from one table.
-    edges = edges.select(F.col("part").alias("range"), *(F.col(c).alias(c) for c in ("g", "dir", "low", "end", "known")))
-    areas = dealt.groupBy("part").cogroup(edges.groupBy("range")).applyInArrow(run, "g int, dir int, p int, q int, a double")
-    one = areas.groupBy("g", "p", "q", "dir").agg(F.sum("a").alias("d"))
+    edges = edges.select(F.col("part").alias("range"), *(F.col(c).alias(c) for c in ("g", "dir", "low", "end", "known", "pairs")))
+    parts = dealt.groupBy("part").cogroup(edges.groupBy("range")).applyInArrow(run, "g int, dir int, p int, q int, a double")
+    one = parts.groupBy("g", "p", "q", "dir").agg(F.sum("a").alias("d"))
     return one.groupBy("g", "p", "q").agg(F.avg("d").alias("distance"))
 
 
@@ -280,62 +321,119 @@ def clipped(column, on: bool = True):
     return F.least(F.greatest(column, F.lit(0.0)), F.lit(1.0)) if on else column
 
 
-def permuted(samples: DataFrame, permutations: int, columns: list[str], key: str = "") -> DataFrame:
-    """perm, and every sample with the given columns of another, by the order of md5(key + row_id-perm): a permutation of the table for each perm, jointly for all columns."""
-    x = numbered(samples.drop(*columns), ["row_id"])
-    n = x.count()
-    y = samples.select("row_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    y = y.withColumn("h", F.md5(F.concat(F.lit(key), F.col("row_id").cast("string"), F.lit("-"), F.col("perm").cast("string")).cast("binary")))
-    y = numbered(y, ["perm", "h", "row_id"], "at").select("perm", (F.col("at") - F.col("perm") * F.lit(n)).alias("n"), *columns)
-    return x.join(y, "n").drop("n")
+#: Multipliers of the 32-bit mixer in a round.
+MIX = (739982445, 695872825)
+CIPHER_ROUNDS = 4
 
 
-def null_losses(samples: DataFrame, fit: Callable[[DataFrame], DataFrame], permutations: int, directions: list[list[float]] | None = None, key: str = "") -> DataFrame:
-    """perm, loss: the loss of each permutation of the targets, with prototypes fitted anew; all permutations at once. samples: row_id, features, target, label (the cell). fit: prototypes by label.
+def round_keys(key: str, perm: int) -> list[int]:
+    """A 32-bit key for each round of a permutation's cipher: the first 8 hex digits of md5(key + perm-round)."""
+    return [int(hashlib.md5(f"{key}{perm}-{r}".encode()).hexdigest()[:8], 16) for r in range(CIPHER_ROUNDS)]
 
-    Cells follow from the targets as a set, so a target takes its cell along. A cell of a permutation is a class
-    of its own to the fit; a sample is scored against the prototypes of its permutation only.
+
+def ciphered(n: np.ndarray, size: int, keys: list[int]) -> np.ndarray:
+    """A permutation of 0 .. size - 1 by arithmetic: a Feistel cipher on the least even number of bits that hold size, applied again to what falls outside (cycle walking)."""
+    half = max(1, -(-(size - 1).bit_length() // 2))
+    mask, out, left = np.int64((1 << half) - 1), n.astype(np.int64), np.arange(len(n))
+    low = np.int64(0xFFFFFFFF)
+    while len(left):
+        a, b = out[left] >> half, out[left] & mask
+        for k in keys:
+            x = (b + k) & low
+            x = ((x ^ (x >> 15)) * MIX[0]) & low
+            x = ((x ^ (x >> 12)) * MIX[1]) & low
+            a, b = b, a ^ ((x ^ (x >> 15)) & mask)
+        out[left] = a << half | b
+        left = left[out[left] >= size]
+    return out
+
+
+def permuted(samples: DataFrame, permutations: int, columns: list[str], key: str = "", scratch: Scratch | None = None) -> DataFrame:
+    """perm, and every sample with the given columns of another: a permutation of the table for each perm, jointly for all columns.
+
+    Rows are numbered by row_id once; a permutation's place of a number is arithmetic (ciphered), so that nothing is
+    sorted for it. A sample gets its columns of all permutations at once, in one join by
+    number: other columns, features among them, are moved once, and repeated only while the result is read.
     """
-    shuffled = permuted(samples.select("row_id", "features", "target", "label"), permutations, ["target", "label"], key)
-    shuffled = shuffled.withColumn("label", F.concat(F.format_string("%06d|", F.col("perm")), F.col("label"))).checkpoint()
-    blocks: dict[int, list] = {}
-    for block in gathered(fit(shuffled)):
-        for g in sorted({int(c[:6]) for c in block.classes}):
-            blocks.setdefault(g, []).append(block)
-    for g, parts in blocks.items():
-        center, pid, names, ball = [], [], [], []
-        for b in parts:
-            mine = np.array([int(b.classes[i][:6]) == g for i in b.of])
-            center.append(b.center[mine])
-            pid.append(b.pid[mine])
-            names += [b.classes[i] for i in b.of[mine]]
-            ball.append(None if b.radius2 is None else b.radius2[mine])
-        classes = sorted(set(names))
-        blocks[g] = Block(np.concatenate(pid), classes, np.array([classes.index(c) for c in names]), np.concatenate(center), None if ball[0] is None else np.concatenate(ball))
-    every = samples.sparkSession.sparkContext.broadcast(blocks)
-
-    def vote(batches):
-        """The sample's own prototype and the best other one."""
+    scratch = scratch or Scratch(samples.sparkSession)
+    rows = numbered(samples, ["row_id"], "n", scratch)
+    size = rows.count()
+    keys = [round_keys(key, p) for p in range(permutations)]
+
+    def places(batches):
         import pyarrow as pa
 
         for batch in batches:
-            perm, y = batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
-            for g in np.unique(perm).tolist():
-                rows = np.flatnonzero(perm == g)
-                b, x = every.value[g], matrix(batch.column(0).take(pa.array(rows)))
-                at = {c: i for i, c in enumerate(b.classes)}
-                s = np.round(b.scores(x), TIE_DIGITS)
-                own = np.where(b.of[None, :] == np.array([at[c] for c in y[rows]])[:, None], s, -np.inf).argmax(axis=1)
-                s[np.arange(len(s)), own] = -np.inf
-                best = s.argmax(axis=1)
-                q = pa.array(b.pid[best].astype(np.int32), mask=~np.isfinite(s[np.arange(len(s)), best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g, np.int32)), pa.array(b.pid[own].astype(np.int32)), q, batch.column(3).take(pa.array(rows))], names=["g", "pid", "q", "target"])
-
-    votes = shuffled.select("features", "perm", "label", "target").mapInArrow(vote, "g int, pid int, q int, target array<double>").checkpoint()
+            n = batch.column(0).to_numpy()
+            for perm, k in enumerate(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(ciphered(n, size, k)), pa.array(np.full(len(n), perm, np.int32)), *batch.columns[1:]], names=["at", "perm", *columns])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*columns).schema)
+    moved = rows.select("n", *columns).mapInArrow(places, f"at long, perm int, {kinds}")
+    moved = moved.groupBy("at").agg(F.collect_list(F.struct("perm", *columns)).alias("moved"))
+    both = scratch.written(rows.drop(*columns).join(moved, F.col("n") == F.col("at")).drop("n", "at"), "permuted")
+    return both.select("*", F.explode("moved").alias("m")).select(*(c for c in samples.columns if c not in columns), "m.*")
+
+
+def _by_permutation(blocks: Iterator[Block]) -> Iterator[dict[int, Block]]:
+    """Prototypes of a few permutations at once (classes begin with six digits of their number), about BLOCK_BYTES of them."""
+    held: dict[int, list] = {}
+
+    def merged() -> dict[int, Block]:
+        return {g: Block.of_blocks(parts) for g, parts in held.items()}
+
+    for block in blocks:
+        of = np.array([int(c[:6]) for c in block.classes])
+        for g in sorted(set(of.tolist())):
+            if g not in held and sum(b.center.nbytes for parts in held.values() for b in parts) > scoring.BLOCK_BYTES:
+                yield merged()
+                held = {}
+            held.setdefault(g, []).append(block.only([c for c in block.classes if int(c[:6]) == g]))
+    if held:
+        yield merged()
+
+
+def null_losses(samples: DataFrame, fit: Callable[[DataFrame], DataFrame], permutations: int, directions: list[list[float]] | None = None, key: str = "", scratch: Scratch | None = None) -> DataFrame:
+    """perm, loss: the loss of each permutation of the targets, with prototypes fitted anew; all permutations at once. samples: row_id, features, target, label (the cell). fit: prototypes by label.
+
+    Cells follow from the targets as a set, so a target takes its cell along. A cell of a permutation is a class
+    of its own to the fit; a sample is scored against the prototypes of its permutation only, which are broadcast a few permutations at a time.
+    """
+    scratch = scratch or Scratch(samples.sparkSession)
+    shuffled = permuted(samples.select("row_id", "features", "target", "label"), permutations, ["target", "label"], key, scratch)
+    shuffled = shuffled.withColumn("label", F.concat(F.format_string("%06d|", F.col("perm")), F.col("label")))
+
+    def voter(every):
+        def vote(batches):
+            """The sample's own prototype and the best other one."""
+            import pyarrow as pa
+
+            for batch in batches:
+                perm, y = batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), dtype=object)
+                for g in np.unique(perm).tolist():
+                    rows = np.flatnonzero(perm == g)
+                    b, x = every.value[g], matrix(batch.column(0).take(pa.array(rows)))
+                    at = {c: i for i, c in enumerate(b.classes)}
+                    s = np.round(b.scores(x), TIE_DIGITS)
+                    own = np.where(b.of[None, :] == np.array([at[c] for c in y[rows]])[:, None], s, -np.inf).argmax(axis=1)
+                    s[np.arange(len(s)), own] = -np.inf
+                    best = s.argmax(axis=1)
+                    q = pa.array(b.pid[best].astype(np.int32), mask=~np.isfinite(s[np.arange(len(s)), best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g, np.int32)), pa.array(b.pid[own].astype(np.int32)), q, batch.column(3).take(pa.array(rows))], names=["g", "pid", "q", "target"])
+
+        return vote
+
+    parts = []
+    for few in _by_permutation(gathered(fit(shuffled))):
+        every = samples.sparkSession.sparkContext.broadcast(few)
+        mine = shuffled.where(F.col("perm").isin(*few)).select("features", "perm", "label", "target")
+        parts.append(scratch.written(mine.mapInArrow(voter(every), "g int, pid int, q int, target array<double>"), "votes"))
+        every.destroy()
+    votes = functools.reduce(DataFrame.unionByName, parts) if parts else samples.sparkSession.createDataFrame([], "g int, pid int, q int, target array<double>")
     adj = votes.where("q is not null").groupBy("g", F.col("pid").alias("p"), "q").agg(F.count("*").alias("n"))
     values = votes.select("g", "pid", "target")
     values = values.select("g", "pid", F.lit(0).alias("dir"), F.col("target")[0].alias("v")) if directions is None else values.select("g", "pid", F.posexplode(_dots(directions)).alias("dir", "v"))
-    distances = wasserstein_by_group(values, adj)
+    distances = wasserstein_by_group(values, adj, scratch)
     total = votes.groupBy("g").agg(F.count("*").alias("total"))
     sums = adj.join(distances, ["g", "p", "q"]).groupBy("g").agg(F.sum(F.col("n") * F.col("distance")).alias("s"))
     return total.join(sums, "g", "left").select(F.col("g").alias("perm"), (F.coalesce("s", F.lit(0.0)) / F.col("total")).alias("loss"))

@@ -37,6 +37,14 @@ class Block:
     center: np.ndarray
     radius2: np.ndarray | None
 
+    @classmethod
+    def of_blocks(cls, parts: list[Block]) -> Block:
+        """Several blocks in one."""
+        classes = sorted({c for b in parts for c in b.classes})
+        at = {c: i for i, c in enumerate(classes)}
+        radius2 = None if parts[0].radius2 is None else np.concatenate([b.radius2 for b in parts])
+        return cls(np.concatenate([b.pid for b in parts]), classes, np.concatenate([np.array([at[b.classes[i]] for i in b.of], dtype=np.int64) for b in parts]), np.concatenate([b.center for b in parts]), radius2)
+
     def only(self, classes: list[str]) -> Block:
         """The prototypes of some classes."""
         left = [i for i, c in enumerate(self.classes) if c in set(classes)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isthmus.estimators import ContinuousSeparability
-from isthmus.functions.session import shared_root
+from isthmus.functions.session import Scratch
 from isthmus.operators import backends, validation
 from isthmus.operators import continuous as co
 from isthmus.operators import prototypes as proto
@@ -49,11 +49,10 @@ def kmeans_cells(spark, d):
 
 def _fit(spark, d, target=("p_retailprice",)):
     """Samples with cells, prototypes, own prototypes and their targets; each part is worked out once."""
-    shared_root(spark)
-    s = _part(spark, d, target)
-    s = co.cells_of(s, "quantile", CELLS, digits=DIGITS).checkpoint()
+    scratch = Scratch(spark)
+    s = scratch.written(co.cells_of(_part(spark, d, target), "quantile", CELLS, digits=DIGITS), "cells")
     p = held(proto.class_means(s, 1))
-    own = own_best(s, p).select("row_id", "pid").checkpoint()
+    own = scratch.written(own_best(s, p).select("row_id", "pid"), "own")
     return s, p, own, s.join(own, "row_id").select("pid", "target")
 
 
@@ -109,7 +108,7 @@ def coi_null_loss(spark, d):
 
 def coi_index(spark, d):
     *fitted, losses = _losses(spark, d)
-    losses = losses.checkpoint()
+    losses = Scratch(spark).written(losses, "losses")
     actual = co.overall_loss(losses).first()["loss"]
     null = _null(spark, d, fitted).agg(F.avg("loss").alias("m")).first()["m"]
     own = losses.withColumn("i", co.clipped(co.index_column(F.col("loss"), null)))
@@ -118,8 +117,7 @@ def coi_index(spark, d):
 
 
 def _cells(spark, d):
-    shared_root(spark)
-    return co.cells_of(_part(spark, d), "quantile", CELLS, digits=DIGITS).checkpoint()
+    return Scratch(spark).written(co.cells_of(_part(spark, d), "quantile", CELLS, digits=DIGITS), "cells")
 
 
 def coi_null_refit(spark, d):
@@ -221,8 +219,32 @@ VOTES = """vt AS (SELECT o.row_id, o.pid AS p, o.support, arg_min(p.pid, (round(
 ad AS (SELECT p, q, count(*) AS n, count(*) / any_value(support) AS alpha FROM vt GROUP BY p, q)"""
 VALUES = "vv AS (SELECT pid, 0 AS dir, y AS v FROM o), pq AS (SELECT a.pid AS p, b.pid AS q FROM p a JOIN p b ON a.pid <> b.pid)"
 LOSS = "lo AS (SELECT p.pid, p.support, coalesce(sum(alpha * distance), 0) AS loss FROM p LEFT JOIN (ad JOIN w1 USING (p, q)) z ON z.p = p.pid GROUP BY 1, 2), ac AS (SELECT sum(support * loss) / sum(support) AS loss FROM lo)"
-NULL = f"""ry AS (SELECT row_id, x, row_number() OVER (ORDER BY row_id) AS k FROM c),
-py AS (SELECT perm, o.pid, row_number() OVER (PARTITION BY perm ORDER BY md5(o.row_id || '-' || perm)) AS k FROM o, range({PERMUTATIONS}) r(perm)),
+
+
+def permutation_sql(rows: str, key: str = "") -> str:
+    """CTEs sz(size, half, mask) and pl(perm, i, at): the place of each number of a table with a column k (from 1), in every permutation. The cipher of operators.continuous.ciphered; the recursion is its cycle walk."""
+
+    def cipher(source: str) -> str:
+        out = f"SELECT perm, i, v >> half AS a, v & mask AS b, half, mask FROM ({source}) z, sz"
+        for r in range(co.CIPHER_ROUNDS):
+            k = f"('0x' || substr(md5('{key}' || perm || '-{r}'), 1, 8))::BIGINT"
+            out = f"""SELECT perm, i, b AS a, xor(a, xor(x2, x2 >> 15) & mask) AS b, half, mask FROM (SELECT *, xor(x1, x1 >> 12) * {co.MIX[1]} % 4294967296 AS x2
+FROM (SELECT *, xor(x0, x0 >> 15) * {co.MIX[0]} % 4294967296 AS x1 FROM (SELECT *, (b + {k}) % 4294967296 AS x0 FROM ({out}))))"""
+        return f"SELECT perm, i, (a << half) | b AS v FROM ({out})"
+
+    return f"""sz AS (SELECT size, h AS half, (1::BIGINT << h) - 1 AS mask FROM (SELECT count(*) AS size FROM {rows}), range(1, 31) t(h) WHERE (1::BIGINT << (2 * h)) >= size ORDER BY h LIMIT 1),
+wk AS ({cipher(f"SELECT perm, k - 1 AS i, k - 1 AS v FROM {rows}, range({PERMUTATIONS}) r(perm)")} UNION ALL {cipher("SELECT perm, i, v FROM wk WHERE v >= (SELECT size FROM sz)")}),
+pl AS (SELECT perm, i + 1 AS k, v + 1 AS at FROM wk WHERE v < (SELECT size FROM sz))"""
+
+
+def moved_sql(key: str = "") -> str:
+    """CTEs ry(row_id, x, k) and pl."""
+    return f"ry AS (SELECT row_id, x, row_number() OVER (ORDER BY row_id) AS k FROM c), {permutation_sql('ry', key)}"
+
+
+def means_sql(key: str = "") -> str:
+    return f"""{moved_sql(key)},
+py AS (SELECT perm, o.pid, pl.at AS k FROM o JOIN ry USING (row_id) JOIN pl USING (k)),
 sh AS (SELECT perm, ry.row_id, ry.x, pid FROM ry JOIN py USING (k)),
 pm AS (SELECT perm, pid, avg(x) AS c FROM sh GROUP BY perm, pid),
 pv AS (SELECT sh.perm, sh.row_id, sh.pid AS p, arg_min(pm.pid, (round(power(sh.x - pm.c, 2), 12), pm.pid)) AS q FROM sh JOIN pm ON pm.perm = sh.perm AND pm.pid <> sh.pid GROUP BY 1, 2, 3),
@@ -230,9 +252,9 @@ nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM o) AS loss FROM pv JOI
 
 
 def null_sql(marks: int | None = None) -> str:
-    """Losses of permutations with prototypes of their own: means of cells (as NULL), or the first `marks` rows of each cell, with distances between the targets that each prototype's rows have."""
-    return f"""ry AS (SELECT row_id, x, row_number() OVER (ORDER BY row_id) AS k FROM c),
-py AS (SELECT perm, c.cell, c.y, row_number() OVER (PARTITION BY perm ORDER BY md5(c.row_id || '-' || perm)) AS k FROM c, range({PERMUTATIONS}) r(perm)),
+    """Losses of permutations with prototypes of their own: the first `marks` rows of each cell, with distances between the targets that each prototype's rows have."""
+    return f"""{moved_sql()},
+py AS (SELECT perm, c.cell, c.y, pl.at AS k FROM c JOIN ry USING (row_id) JOIN pl USING (k)),
 sh AS (SELECT perm, ry.row_id, ry.x, cell, y FROM ry JOIN py USING (k)),
 pm AS (SELECT perm, cell, x AS c, row_number() OVER (ORDER BY perm, cell, l) - 1 AS pid FROM (SELECT *, row_number() OVER (PARTITION BY perm, cell ORDER BY row_id) AS l FROM sh) WHERE l <= {marks}),
 po AS (SELECT sh.perm, sh.row_id, sh.x, sh.y, arg_min(pm.pid, (round(power(sh.x - pm.c, 2), 12), pm.pid)) AS p FROM sh JOIN pm ON pm.perm = sh.perm AND pm.cell = sh.cell GROUP BY 1, 2, 3, 4),
@@ -244,8 +266,8 @@ nl AS (SELECT perm, sum(distance) / (SELECT count(*) FROM c) AS loss FROM pv JOI
 
 def sql() -> dict[str, str]:
     raw = STAT.replace("round((y - m) / sd, 9) AS y", "y").replace("list_transform(quantile_cont(y, [0.25, 0.5, 0.75]), lambda q: round(q, 9))", "quantile_cont(y, [0.25, 0.5, 0.75])")
-    of_raw = f"WITH {raw}, {VALUES}, {w1_sql('vv', 'pq')}, {VOTES}, {LOSS}, {NULL}".replace("md5(o.row_id ||", "md5('0:' || o.row_id ||")
-    base = f"WITH {STAT}"
+    of_raw = f"WITH RECURSIVE {raw}, {VALUES}, {w1_sql('vv', 'pq')}, {VOTES}, {LOSS}, {means_sql('0:')}"
+    base = f"WITH RECURSIVE {STAT}"
     full = f"{base}, {VALUES}, {w1_sql('vv', 'pq')}, {VOTES}, {LOSS}"
     dirs = " UNION ALL ".join(f"SELECT cell AS pid, {i} AS dir, {w[0]!r} * y + {w[1]!r} * y2 AS v FROM c" for i, w in enumerate(DIRECTIONS))
     step = """a{n} AS (SELECT row_id, y, y2, arg_min(l, (power(y - a, 2) + power(y2 - b, 2), l)) AS l FROM s, q{m} GROUP BY row_id, y, y2),
@@ -266,11 +288,11 @@ SELECT cell, count(*) AS n, round(min(y), 6) AS lo, round(max(y), 6) AS hi FROM
         "coi_adjacency": f"{base}, {VOTES} SELECT p, q, n, round(alpha, 6) AS alpha FROM ad",
         "coi_prototype_stats": f"{base} SELECT pid, count(*) AS support, round(avg(y), 6) AS mean, round(coalesce(var_samp(y), 0), 6) AS variance, round(max(abs(y - m)), 6) AS radius FROM o JOIN (SELECT pid, avg(y) AS m FROM o GROUP BY pid) USING (pid) GROUP BY pid",
         "coi_actual_loss": f"{full} SELECT round(loss, 6) AS loss FROM ac",
-        "coi_null_loss": f"{full}, {NULL} SELECT perm, round(loss, 6) AS loss FROM nl",
-        "coi_index": f"""{full}, {NULL}, nn AS (SELECT avg(loss) AS m FROM nl), pi AS (SELECT support, least(greatest(1 - 0.5 * loss / m, 0), 1) AS i FROM lo, nn)
+        "coi_null_loss": f"{full}, {means_sql()} SELECT perm, round(loss, 6) AS loss FROM nl",
+        "coi_index": f"""{full}, {means_sql()}, nn AS (SELECT avg(loss) AS m FROM nl), pi AS (SELECT support, least(greatest(1 - 0.5 * loss / m, 0), 1) AS i FROM lo, nn)
 SELECT round(avg(i), 6) AS macro_index, round(sum(i * support) / sum(support), 6) AS weighted_index, round(1 - 0.5 * any_value(ac.loss) / any_value(m), 6) AS raw_index,
   round(any_value(ac.loss), 6) AS actual_loss, round(any_value(m), 6) AS null_loss, round(any_value(ac.loss) / any_value(m), 6) AS loss_ratio FROM pi, ac, nn""",
-        "coi_null_refit": f"{full}, {NULL} SELECT perm, round(loss, 6) AS loss FROM nl",
+        "coi_null_refit": f"{full}, {means_sql()} SELECT perm, round(loss, 6) AS loss FROM nl",
         "coi_null_refit_marks": f"{base}, {null_sql(2)} SELECT perm, round(loss, 6) AS loss FROM nl",
         "est_continuous": f"""{of_raw}, nn AS (SELECT avg(loss) AS m FROM nl), pi AS (SELECT support, least(greatest(1 - 0.5 * loss / m, 0), 1) AS i FROM lo, nn)
 SELECT round(sum(i * support) / sum(support), 6) AS index, round(avg(i), 6) AS macro_index, round(sum(i * support) / sum(support), 6) AS weighted_index,

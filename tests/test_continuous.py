@@ -179,7 +179,8 @@ def test_a_refitted_permutation_against_a_literal_one(spark, model):
     n = len(y)
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     for perm in range(2):
-        order = sorted(range(n), key=lambda i: (md5(f"1:{i}-{perm}"), i))
+        places = {literal_place(i, n, [int(md5(f"1:{perm}-{r}")[:8], 16) for r in range(4)]): i for i in range(n)}
+        order = [places[i] for i in range(n)]
         ty, tc = y[order], cell[order]
         prototypes = []
         for c in range(3):
@@ -241,3 +242,78 @@ def test_adjacency_in_blocks(spark, monkeypatch):
     one = key()
     monkeypatch.setattr(scoring, "BLOCK_BYTES", 1)
     assert key() == one
+
+
+def literal_place(v, size, keys):
+    """The cipher in plain integers."""
+    half = 1
+    while 4**half < size:
+        half += 1
+    while True:
+        a, b = divmod(v, 2**half)
+        for k in keys:
+            x = (b + k) % 2**32
+            x = (x ^ x // 2**15) * 739982445 % 2**32
+            x = (x ^ x // 2**12) * 695872825 % 2**32
+            a, b = b, a ^ (x ^ x // 2**15) % 2**half
+        v = a * 2**half + b
+        if v < size:
+            return v
+
+
+def test_cipher_is_a_permutation():
+    for size in (1, 2, 3, 16, 17, 100, 1023, 5000):
+        seen = set()
+        for perm in range(4):
+            got = co.ciphered(np.arange(size), size, co.round_keys("k", perm))
+            assert sorted(got.tolist()) == list(range(size))
+            seen.add(tuple(got.tolist()))
+            part = np.arange(size)[::3]
+            assert (co.ciphered(part, size, co.round_keys("k", perm)) == got[::3]).all()
+        assert size < 5 or len(seen) == 4
+        keys = co.round_keys("k", 2)
+        assert co.ciphered(np.arange(size), size, keys).tolist() == [literal_place(i, size, keys) for i in range(size)]
+    # Places are spread: correlation with the number itself stays within what chance gives.
+    n = np.arange(5000)
+    r = [abs(np.corrcoef(n, co.ciphered(n, 5000, co.round_keys("x", p)))[0, 1]) for p in range(30)]
+    assert max(r) < 5 / np.sqrt(5000) and np.mean(r) < 2 / np.sqrt(5000)
+
+
+def test_areas_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = [3, 4, 9, 11, 20]
+    values = {i: rng.normal(i, 3, 1 + 40 * (i % 4)).round(1) for i in ids}
+    every = np.sort(np.concatenate(list(values.values())))
+    cut = float(every[len(every) // 3])
+    pairs = [(p, q) for p in ids for q in ids]
+    p, q = (np.array(x) for x in zip(*pairs, strict=True))
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(co, "AT_ONCE", at_once)
+        total = np.zeros(len(p))
+        for low, end, inside in ((every[0], cut, lambda x: x < cut), (cut, every[-1], lambda x: x >= cut)):
+            rows = sorted((float(v), i, int(n)) for i, x in values.items() for v, n in zip(*np.unique(x[inside(x)], return_counts=True), strict=True))
+            v, pid, c = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+            known = {i: (len(x), int((x < low).sum())) for i, x in values.items()}
+            total += co.areas(v, c.astype(float), pid, float(low), float(end), known, p, q)
+        assert np.allclose(total, [w1(values[a], values[b]) for a, b in pairs])
+
+
+def test_permutations_in_several_broadcasts(spark, monkeypatch):
+    from isthmus.operators import scoring
+
+    x, y = separated()
+    one = fit(spark, x, y, n_null_permutations=4)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 1)
+    assert fit(spark, x, y, n_null_permutations=4).null_losses_ == pytest.approx(one.null_losses_)
+
+
+def test_reset_leaves_no_file(spark):
+    import os
+
+    from isthmus.functions.session import shared_root
+
+    before = set(os.listdir(shared_root(spark)))
+    m = fit(spark, *separated(), n_null_permutations=3)
+    assert set(os.listdir(shared_root(spark))) > before
+    m.reset()
+    assert set(os.listdir(shared_root(spark))) == before
