@@ -257,9 +257,8 @@ WORDS = 16
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Share of the pairs at exactly the wanted similarity that some trie brings together.
 RECALL = 0.97
-#: Values that share a subtrie of a permuted trie, on average.
-SHARED = 64
-
+#: Values that share a subtrie of a permuted trie, on average, and values in a unit of work, at any size: neighbouring subtries of one trie.
+SHARED, UNIT = 64, 1 << 15
 
 def long_signatures(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
     """doc_id, th (hash of the text), s0 .. s15 (a 1,024-bit SimHash) of every row."""
@@ -312,23 +311,28 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def prefix_bits(n: int) -> tuple[int, int]:
+    """How many first bits of a permuted trie name a subtrie of n values, and how many of them a unit of work, so that a unit has from UNIT / 2 to UNIT values on average, or all if there are fewer."""
+    return max(0, math.ceil(math.log2(max(n, 1) / SHARED))), max(0, math.ceil(math.log2(max(n, 1) / UNIT)))
+
+
 def permuted_pairs(classes: DataFrame, n: int, similarity: float, nearest: bool, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """u, v: candidate pairs of signatures (columns node, s0 .. s15, label) of different labels whose long signatures differ in no more bits than the similarity makes them differ on average, two deviations added (98 % of the pairs at exactly that similarity). nearest: of each signature's pairs with those before it in a unit, only the one with the fewest differing bits.
 
     Each of several tries orders 64 of the 1,024 bits anew; subtries below the
     first m bits are joined with themselves under a budget, and what they find is held against the
     whole signatures. m follows the logarithm of n and the number of tries follows m, so that the
-    share of pairs met stays at `recall` at any size.
+    share of pairs met stays at `recall` at any size. A unit of work is a trie and so many of its first
+    bits as keep it at UNIT values on average.
     """
     p = bit_share(similarity)
-    m = max(0, math.ceil(math.log2(max(n, 1) / SHARED)))
+    m, coarse = prefix_bits(n)
     met = (1 - p) ** m
     tries = 1 if met > recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(64 * WORDS)[:64] for _ in range(tries)]
     allowed = lambda bits, deviations: math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
     budget, most = allowed(64 - m, 3) if m < 64 else 0, allowed(64 * WORDS, 2)
-    coarse = min(m, 6)
 
     def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa

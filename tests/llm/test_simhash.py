@@ -131,3 +131,28 @@ def test_similar_decides_at_the_threshold(spark):
     assert len(near) == 60 and not set(jaccard_pairs(texts, 5, 0.83))
     assert sum(got[i] == got[j] for i, j in near) >= 0.95 * len(near)
     assert {(i, j) for i in got for j in got if i < j and got[i] == got[j]} <= near
+
+
+def test_units_keep_their_size():
+    for n in (0, 1, 63, 1000, 40_000, 10**6, 10**9, 10**12):
+        m, unit = simhash.prefix_bits(n)
+        assert unit <= m <= 40 and n / 2**unit <= simhash.UNIT and (unit == 0 or n / 2**unit > simhash.UNIT / 2) and n / 2**m <= simhash.SHARED
+
+
+def test_recall_with_many_units(spark, monkeypatch):
+    """1,000 pairs at similarities just above 0.8, dealt over many small units."""
+    import random
+
+    monkeypatch.setattr(simhash, "UNIT", 128)
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    texts, wanted = [], 0
+    for _ in range(1000):
+        words = [word() for _ in range(204)]
+        other = list(words)
+        for at in range(20, 200, 45):  # 4 replaced words change 20 of 200 shingles: 180 / 220
+            other[at] = word()
+        texts += [" ".join(words), " ".join(other)]
+    rows = {x.doc_id: x.component_id for x in simhash.similar(docs_of(spark, texts).repartition(6)).collect()}
+    met = sum(rows[2 * i] == rows[2 * i + 1] for i in range(1000))
+    assert met >= 900 and len(set(rows.values())) == 2000 - met
