@@ -7,6 +7,7 @@ more than SMALL entries; larger ones are fitted by rounds over the distributed t
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isthmus.functions.session import deleted, quantiles, shared_root
+from isthmus.functions.session import Scratch, deleted, quantiles, shared_root
 from isthmus.functions.vectors import l2_normalized, total
 
-from .scoring import PROTOTYPES, Block, by_batch, matrix, own_best
+from .scoring import PROTOTYPES, Block, by_batch, matrix
 
 #: Numbers (rows times features) of a class that one task takes.
 SMALL = 20_000_000
@@ -542,84 +543,232 @@ def fit_diagnostics(diagnostics: DataFrame, d: int, high_dim_threshold: int = 12
     )
 
 
+#: Farthest rows of all classes that come to the driver in a pass, in numbers, and of one class at most; numbers that are worked on at once.
+FAR_NUMBERS, FAR_ROWS, AT_ONCE = 1 << 22, 1024, 1 << 21
+_STATE = "row_id long, label string, features array<double>, near double, owner int, covered_at int"
+
+
+class _Growing:
+    """A class's cover while it grows: rows and places of its centres in order, how many of them the table knows of, and the farthest rows found."""
+
+    def __init__(self, size: int, k, radius, cover_fraction: float, max_balls: int | None):
+        self.size, self.cover_fraction, self.max_balls = size, cover_fraction, max_balls
+        self.k = None if k == "auto" else min(int(k), size)
+        self.r2 = None if radius == "auto" else float(radius) ** 2
+        self.rows: list[int] = []
+        self.x: list[np.ndarray] = []
+        self.known, self.stopped, self.done = 0, False, False
+
+    def add(self, row: int, x: np.ndarray) -> None:
+        self.rows.append(int(row))
+        self.x.append(x)
+
+    def judge(self, covered: dict[int, int]) -> None:
+        """Ends the cover if the centres the table knows of are enough; covered: rows first covered by each centre. Centres beyond the number that is enough are taken back."""
+        if self.k is not None:
+            self.done = len(self.rows) >= self.k
+            return
+        have = 0
+        for m in range(1, self.known + 1):
+            have += covered.get(m - 1, 0)
+            enough = have / self.size >= self.cover_fraction or m >= self.size
+            if enough or self.max_balls is not None and m >= self.max_balls:
+                self.stopped, self.done = not enough, True
+                del self.rows[m:], self.x[m:]
+                return
+
+    def reach(self, ids: np.ndarray, x: np.ndarray, near: np.ndarray) -> None:
+        """Adds the next centres whose order is certain. The rows given are the farthest of the class, the farthest first, lower ids first among equals: no other row stands before the last of them, and distances only shrink, so a row that still stands before it is the farthest of all."""
+        near = near.copy()
+        whole = len(ids) == self.size
+        bound = (-near[-1], ids[-1])
+        most = self.k if self.k is not None else min(self.size, self.max_balls or self.size)
+        while len(self.rows) < most:
+            at = int(np.lexsort((ids, -near))[0])
+            if not whole and (-near[at], ids[at]) > bound:
+                break
+            if self.k is None and self.r2 is not None and near[at] <= self.r2:
+                break  # all rows are covered
+            self.add(ids[at], x[at])
+            near = np.minimum(near, ((x - x[at]) ** 2).sum(axis=1))
+
+
+def _advanced(state: DataFrame, growing: dict[str, _Growing], fresh: bool) -> DataFrame:
+    """The rows with their nearest distance after the centres the table does not know of yet. A row whose centre is at least twice as far from a new one as the row is from it keeps it, without a distance to the new one."""
+    sets = {c: (np.array(g.x), g.known, -1.0 if g.r2 is None else g.r2) for c, g in growing.items() if not g.done}
+    held = state.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        apart: dict[str, np.ndarray] = {}
+
+        def between(c: str) -> np.ndarray:
+            """Squared distances from every centre to every new one, a little too small, as float32."""
+            if c not in apart:
+                x, known, _ = held.value[c]
+                out = np.empty((len(x), len(x) - known), np.float32)
+                for i in range(known, len(x)):
+                    out[:, i - known] = ((x - x[i]) ** 2).sum(axis=1)
+                apart[c] = out * np.float32(0.9999)
+            return apart[c]
+
+        for batch in batches:
+            ids, y, x = batch.column(0), np.array(batch.column(1).to_pylist(), dtype=object), matrix(batch.column(2))
+            if fresh:
+                near, owner, covered = np.full(len(y), np.inf), np.zeros(len(y), np.int32), np.full(len(y), -1, np.int32)
+            else:
+                near, owner, covered = (batch.column(i).to_numpy().copy() for i in (3, 4, 5))
+            for c in set(y.tolist()) & held.value.keys():
+                rows = np.flatnonzero(y == c)
+                centers, known, r2 = held.value[c]
+                far, mine, d, own = between(c), x[rows], near[rows], owner[rows]
+                cov = covered[rows]
+                for k in range(known, len(centers)):
+                    some = np.flatnonzero(far[own, k - known] <= 4 * d)
+                    if len(some):
+                        new = ((mine[some] - centers[k]) ** 2).sum(axis=1)
+                        closer = new < d[some]
+                        some, new = some[closer], new[closer]
+                        d[some], own[some] = new, k
+                        hit = some[(cov[some] < 0) & (new <= r2)]
+                        cov[hit] = k
+                near[rows], owner[rows], covered[rows] = d, own, cov
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), pa.array(near), pa.array(owner), pa.array(covered)], names=["row_id", "label", "features", "near", "owner", "covered_at"])
+
+    return state.mapInArrow(run, _STATE)
+
+
+def _farthest(state: DataFrame, classes: list[str], most: int) -> dict[str, tuple]:
+    """For each class its `most` farthest rows, the farthest first: ids, features, squared distances."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        best: dict[str, tuple] = {}
+        for batch in batches:
+            ids, y, x, near = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=object), matrix(batch.column(2)), batch.column(3).to_numpy()
+            for c in set(y.tolist()):
+                rows = np.flatnonzero(y == c)
+                parts = [(ids[rows], x[rows], near[rows]), *([best[c]] if c in best else [])]
+                i, v, d = (np.concatenate(p) for p in zip(*parts, strict=True))
+                top = np.lexsort((i, -d))[:most]
+                best[c] = i[top], v[top], d[top]
+        for c, (i, v, d) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(i)), pa.array(i), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(d)], names=["label", "row_id", "features", "near"])
+
+    mine = state.where(F.col("label").isin(*classes)).select("row_id", "label", "features", "near")
+    found = mine.mapInArrow(run, "label string, row_id long, features array<double>, near double")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("near"), "row_id"))
+    out: dict[str, list] = {}
+    for r in found.withColumn("place", place).where(F.col("place") <= most).orderBy("label", "place").toLocalIterator():
+        out.setdefault(r["label"], []).append(r)
+    return {c: (np.array([r["row_id"] for r in rs]), np.array([r["features"] for r in rs], dtype=float), np.array([r["near"] for r in rs])) for c, rs in out.items()}
+
+
 def cover_in_rounds(samples: DataFrame, sizes: dict[str, int], k, radius, cover_fraction: float, max_balls: int | None, kinds: str) -> DataFrame:
-    """The same covers for classes that no single task can take: a pass over the table for each further centre, all classes at once."""
+    """The same covers for classes that no single task can take.
+
+    Every row carries its nearest distance and the centre it belongs to from pass to pass, so that a pass works out
+    distances to the new centres only, and few of them (_advanced). A pass brings as many centres as
+    its farthest rows leave no doubt about (reach), many of them where there are many to come.
+    """
     spark = samples.sparkSession
     d = len(samples.select("features").first()["features"])
-    means = {r["class"]: np.array(r["center"]) for r in class_means(samples, d).collect()}
-    centers: dict[str, list[tuple[int, np.ndarray]]] = {}
-
-    def scan(centre_sets: dict[str, np.ndarray], nearest: bool, radii: dict[str, float]) -> dict:
-        held = spark.sparkContext.broadcast((centre_sets, radii))
-
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            sets, rad = held.value
-            best: dict[str, tuple] = {}
-            for batch in batches:
-                x, y, ids = matrix(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).to_numpy()
-                for c in set(y.tolist()) & sets.keys():
-                    rows = np.flatnonzero(y == c)
-                    near = ((x[rows][:, None, :] - sets[c][None]) ** 2).sum(axis=2).min(axis=1)
-                    pick = rows[np.lexsort((ids[rows], near if nearest else -near))[0]]
-                    v = near.min() if nearest else near.max()
-                    key = (v if nearest else -v, int(ids[pick]))
-                    old = best.get(c)
-                    covered = int((near <= rad.get(c, -1.0) ** 2).sum()) + (old[2] if old else 0)
-                    total_d = float(np.sqrt(near).sum()) + (old[3] if old else 0.0)
-                    best[c] = (*min((key, x[pick]), (old[0], old[1]) if old else (key, x[pick]), key=lambda t: t[0]), covered, total_d)
-            if best:
-                yield pa.RecordBatch.from_pylist([{"class": c, "v": float(b[0][0]), "row_id": b[0][1], "x": b[1].tolist(), "covered": b[2], "total": b[3]} for c, b in best.items()])
-
-        got = samples.select("features", "label", "row_id").mapInArrow(run, "class string, v double, row_id long, x array<double>, covered long, total double")
-        out = got.groupBy("class").agg(F.min(F.struct("v", "row_id", "x")).alias("b"), F.sum("covered").alias("covered"), F.sum("total").alias("total"))
-        return {r["class"]: (abs(r["b"]["v"]), r["b"]["row_id"], np.array(r["b"]["x"]), r["covered"], r["total"]) for r in out.collect()}
-
-    for c, (_, row, x, _, _) in scan({c: m[None] for c, m in means.items()}, True, {}).items():
-        centers[c] = [(row, x)]
-    live, rows = set(sizes), []
-    radii = {c: float(per_class(radius, c, "radius")) for c in sizes if per_class(radius, c, "radius") != "auto"}
-    final: dict[str, tuple] = {}
-    while live:
-        found = scan({c: np.array([x for _, x in centers[c]]) for c in live}, False, radii)
-        for c in list(live):
-            v, row, x, covered, sum_d = found[c]
-            kc, n, have = per_class(k, c, "k"), sizes[c], len(centers[c])
-            if kc == "auto":
-                enough = covered / n >= cover_fraction or have >= n
-                stopped = not enough and max_balls is not None and have >= max_balls
-                over = enough or stopped
-            else:
-                stopped, over = False, have >= min(int(kc), n)
-            if over:
-                final[c] = (covered / n, sum_d / n, float(np.sqrt(v)), stopped)
-                live.discard(c)
-            else:
-                centers[c].append((row, x))
+    growing = {c: _Growing(n, per_class(k, c, "k"), per_class(radius, c, "radius"), cover_fraction, max_balls) for c, n in sizes.items()}
+    most = max(2, min(FAR_ROWS, FAR_NUMBERS // (d * len(sizes))))
+    state, scratch = samples.select(F.col("row_id").cast("long").alias("row_id"), "label", F.col("features").cast("array<double>").alias("features")), Scratch(spark)
+    for c, (row, x) in _nearest_to(state, {r["class"]: np.array(r["center"]) for r in class_means(samples, d).collect()}).items():
+        growing[c].add(row, x)
+    while any(not g.done for g in growing.values()):
+        old = scratch
+        scratch = Scratch(spark)
+        left = [c for c, g in growing.items() if not g.done]
+        state = scratch.written(_advanced(state.where(F.col("label").isin(*left)) if len(left) < len(growing) else state, growing, len(state.columns) == 3), "cover")
+        old.discard()
+        covered: dict[str, dict[int, int]] = {}
+        for r in state.groupBy("label", "covered_at").count().collect():
+            covered.setdefault(r["label"], {})[r["covered_at"]] = r["count"]
+        for c, g in growing.items():
+            if not g.done:
+                g.known = len(g.rows)
+                g.judge(covered[c])
+        live = [c for c, g in growing.items() if not g.done]
+        for c, (ids, x, near) in (_farthest(state, live, most) if live else {}).items():
+            growing[c].reach(ids, x, near)
+            growing[c].done = growing[c].k is not None and len(growing[c].rows) >= growing[c].k
+    scratch.discard()
+    near = _nearest_distances(samples, {c: np.array(g.x) for c, g in growing.items()})
+    radii = {c: math.sqrt(g.r2) for c, g in growing.items() if g.r2 is not None}
     auto = [c for c in sizes if c not in radii]
     if auto:  # radii from the distribution of nearest distances
-        prototypes = spark.createDataFrame([(i, c, x.tolist(), None, 0.0) for i, (c, x) in enumerate((c, x) for c in auto for _, x in centers[c])], PROTOTYPES)
-        near = own_best(samples.where(F.col("label").isin(*auto)), prototypes).select(F.col("label").alias("g"), (-F.col("score")).alias("v"), "row_id")
-        for c, q in quantiles(near, [cover_fraction], sum(sizes[c] for c in auto)).items():
+        of_auto = near.where(F.col("g").isin(*auto))
+        for c, q in quantiles(of_auto, [cover_fraction], sum(sizes[c] for c in auto)).items():
             radii[c] = float(np.sqrt(max(q[0], EPS32)))
-        bound = F.create_map(*(F.lit(v) for c in auto for v in (c, radii[c] ** 2)))[F.col("g")]
-        for r in near.groupBy("g").agg(F.avg((F.col("v") <= bound).cast("int")).alias("covered")).collect():
-            final[r["g"]] = (r["covered"], *final[r["g"]][1:])
-    for c, have in centers.items():
-        rows += [(c, i, x.tolist(), int(row), radii[c], sizes[c], *map(float, final[c][:3]), bool(final[c][3])) for i, (row, x) in enumerate(have)]
+    bound = F.create_map(*(F.lit(v) for c in sizes for v in (c, radii[c] ** 2)))[F.col("g")]
+    final = {r["g"]: r for r in near.groupBy("g").agg(F.avg((F.col("v") <= bound).cast("int")).alias("covered"), F.avg(F.sqrt("v")).alias("mean"), F.max(F.sqrt("v")).alias("most")).collect()}
+    rows = [(c, i, x.tolist(), row, radii[c], sizes[c], *(float(final[c][f]) for f in ("covered", "mean", "most")), g.stopped) for c, g in growing.items() for i, (row, x) in enumerate(zip(g.rows, g.x, strict=True))]
     return spark.createDataFrame(rows, kinds)
 
 
-def memberships(samples: DataFrame, prototypes: DataFrame) -> DataFrame:
+def _nearest_to(samples: DataFrame, points: dict[str, np.ndarray]) -> dict[str, tuple]:
+    """row_id and features of the row of each class nearest to a point, of equally near ones the lower id. samples: row_id, label, features."""
+    held = samples.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        best: dict[str, tuple] = {}
+        for batch in batches:
+            ids, y, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=object), matrix(batch.column(2))
+            for c in set(y.tolist()):
+                rows = np.flatnonzero(y == c)
+                near = ((x[rows] - held.value[c]) ** 2).sum(axis=1)
+                at = np.lexsort((ids[rows], near))[0]
+                found = float(near[at]), int(ids[rows[at]]), x[rows[at]].tolist()
+                best[c] = min(found, best.get(c, found))
+        if best:
+            yield pa.RecordBatch.from_pylist([{"class": c, "v": v, "row_id": i, "x": x} for c, (v, i, x) in best.items()])
+
+    got = samples.mapInArrow(run, "class string, v double, row_id long, x array<double>").groupBy("class").agg(F.min(F.struct("v", "row_id", "x")).alias("b"))
+    return {r["class"]: (r["b"]["row_id"], np.array(r["b"]["x"])) for r in got.collect()}
+
+
+def _nearest_distances(samples: DataFrame, centers: dict[str, np.ndarray]) -> DataFrame:
+    """g (the label), v (squared distance to the nearest centre of the label), row_id."""
+    held = samples.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            y, x = np.array(batch.column(1).to_pylist(), dtype=object), matrix(batch.column(2))
+            near = np.full(len(y), np.inf)
+            for c in set(y.tolist()):
+                rows = np.flatnonzero(y == c)
+                for a in range(0, len(rows), step := max(1, AT_ONCE // held.value[c].size)):
+                    some = rows[a : a + step]
+                    near[some] = ((x[some][:, None, :] - held.value[c]) ** 2).sum(axis=2).min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(near), batch.column(0)], names=["g", "v", "row_id"])
+
+    return samples.select(F.col("row_id").cast("long").alias("row_id"), "label", "features").mapInArrow(run, "g string, v double, row_id long")
+
+
+def memberships(samples: DataFrame, prototypes: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """pid, row_id: the rows of a ball's own class within its radius; a row may lie in several balls."""
 
     def emit(named, x, block: Block):
         at = {c: i for i, c in enumerate(block.classes)}
-        y = np.array([at.get(v, -1) for v in named["label"].to_pylist()])
-        d2 = ((x[:, None, :] - block.center[None]) ** 2).sum(axis=2)
-        row, p = np.nonzero((d2 <= block.radius2[None, :]) & (block.of[None, :] == y[:, None]))
-        return {"pid": block.pid[p].astype(np.int32), "row_id": named["row_id"].to_numpy()[row]}
+        y, ids = np.array([at.get(v, -1) for v in named["label"].to_pylist()]), named["row_id"].to_numpy()
+        pids, rows = [block.pid[:0]], [ids[:0]]
+        for c in np.unique(y[y >= 0]).tolist():
+            mine, own = np.flatnonzero(y == c), np.flatnonzero(block.of == c)
+            for a in range(0, len(mine), step := max(1, at_once // (len(own) * x.shape[1]))):
+                some = mine[a : a + step]
+                i, p = np.nonzero(((x[some][:, None, :] - block.center[own]) ** 2).sum(axis=2) <= block.radius2[own])
+                pids.append(block.pid[own[p]])
+                rows.append(ids[some[i]])
+        return {"pid": np.concatenate(pids).astype(np.int32), "row_id": np.concatenate(rows)}
 
     return by_batch(samples, prototypes, ["label", "row_id"], "pid int, row_id long", emit)
 

@@ -238,6 +238,33 @@ def test_covers_in_rounds_equal_covers_in_one_task(spark, monkeypatch):
         assert diag(da) == diag(db)
 
 
+@pytest.mark.parametrize("far", [3, 40])
+@pytest.mark.parametrize("how", [{"k": "auto", "radius": 0.4}, {"k": "auto", "radius": 0.3, "cover_fraction": 0.7}, {"k": {"c0": 60, "c1": 7, "c2": "auto"}, "radius": 0.3}, {"k": "auto", "radius": 0.01, "max_balls": 12}, {"k": 12, "radius": "auto", "cover_fraction": 0.6}])
+def test_covers_bring_many_centres_a_pass(spark, monkeypatch, far, how):
+    """Equal to covers in one task, with few farthest rows a pass, repeated rows (ties) and a class that is all one point."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(70, 2)), rng.normal(size=(40, 2)).round(1), np.ones((10, 2))])
+    rows = [(i, i, v.tolist(), ["c0"] * 70 + ["c1"] * 40 + ["c2"] * 10) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, o, v, y[i]) for i, o, v, y in rows], "row_id long, ord long, features array<double>, label string").repartition(4)
+    key = lambda found: ([(r["pid"], r["class"], [round(v, 9) for v in r["center"]], round(r["radius"], 9)) for r in found[0].orderBy("pid").collect()], sorted((r["class"], r["n_balls"], round(r["covered_fraction"], 9), round(r["mean_nearest_distance"], 9), round(r["max_nearest_distance"], 9), r["stopped_by_max_balls"]) for r in found[1].collect()))
+    want = key(proto.ball_cover(df, metric="euclidean", **how))
+    passes = []
+    real = proto._advanced
+    monkeypatch.setattr(proto, "_advanced", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(proto, "SMALL", 0)
+    monkeypatch.setattr(proto, "FAR_ROWS", far)
+    assert key(proto.ball_cover(df, metric="euclidean", **how)) == want
+    balls = max(n for _, n, *_ in want[1])
+    assert len(passes) < balls if far == 40 and balls > 8 else len(passes) <= balls + 1
+
+
+def test_memberships_in_pieces(spark):
+    df, _ = cloud(spark, 8, 90, d=2)
+    p, *_ = proto.ball_cover(df, 5, 0.7, metric="euclidean")
+    want = sorted(map(tuple, proto.memberships(df, p).collect()))
+    assert sorted(map(tuple, proto.memberships(df, p, 30).collect())) == want and len(want) > 20
+
+
 @pytest.mark.parametrize("how", [{}, {"init": "random", "n_init": 3}, {"n_init": 2, "max_iter": 3}])
 def test_kmeans_in_rounds_equals_kmeans_in_one_task(spark, monkeypatch, how):
     df, _ = cloud(spark, 9, 120, d=2, spread=3.0)
