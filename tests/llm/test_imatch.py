@@ -75,3 +75,57 @@ def test_edits_stay_near_and_others_far(spark, sf):
     assert np.mean([r.near_edited > 0.05 for r in rows]) > 0.9
     assert np.mean([r.near_next < 0.05 for r in rows]) > 0.9
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
+
+
+def plain_results(rows):
+    """The whole result for (doc_id, text) rows, term by term in Python integers."""
+    import hashlib
+    import math
+    import re
+
+    from plain import BITS, C1, mixed, word_hash
+
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    terms = lambda t: {word_hash(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().translate(low))}
+    n, df = len(rows), {}
+    for _, t in rows:
+        for h in terms(t or ""):
+            df[h >> 43] = df.get(h >> 43, 0) + 1
+    known = {b for b, c in df.items() if n > 1 and 0.2 <= math.log(n / c) / math.log(n) <= 0.9}
+
+    def fingerprint(t):
+        every = terms(t)
+        own = {h for h in every if h >> 43 in known} or every
+        out = (f"{mixed(sum(map(mixed, own)) & BITS):016x}" if own else "0" * 16) + f"{min(len(own), 65535):04x}"
+        for level in range(12):
+            for seed in range(8):
+                kept = [u for u in (mixed(h + (seed + 1) * C1 & BITS) for h in own) if u < 1 << (63 - level)]
+                out += f"{mixed(sum(mixed(u + 1 & BITS) for u in kept) & BITS) % 65535 + 1:04x}" if kept else "0000"
+        return out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        size = max(int(a[16:20], 16), int(b[16:20], 16))
+        levels = [k for k in range(12) if 0.4 <= size / 2 ** (k + 1) <= 5.0] or ([0] if size < 2 else [11])
+        slots = [(a[i : i + 4], b[i : i + 4]) for k in levels for s in range(8) for i in [20 + 4 * (8 * k + s)]]
+        some = [(x, y) for x, y in slots if (x, y) != ("0000", "0000")]
+        return sum(x == y for x, y in some) / len(some) if some else 0.0
+
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0], r[1].encode()), reverse=True)
+    out = []
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        a, b, c = fingerprint(t), fingerprint(edited), fingerprint(after)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b), like(a, c)))
+    return sorted(out)
+
+
+def test_whole_result_against_brute_force(spark, sf):
+    texts = awkward(21)
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, imatch.matched(docs_of(spark, texts).repartition(3), group_bytes=4000).collect())) == plain_results(rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, imatch.matched(docs).collect())) == plain_results(given)

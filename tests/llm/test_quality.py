@@ -61,3 +61,110 @@ def test_sample_leaves_the_held_out_side(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], LABELS)
     got = [r.doc_id for r in quality.sample(labels, 50).collect()]
     assert len(got) == 50 and all(zlib.crc32(str(i).encode()) % 5 for i in got)
+
+
+class Plain:
+    """The machine over dictionaries of features, in loops."""
+
+    def __init__(self):
+        m = quality.Machine()
+        self.bias, self.w, self.v = 0.0, {}, {}
+        self.first = m.v
+
+    def row(self, i):
+        return self.v.setdefault(i, self.first[i].tolist())
+
+    def z(self, x):
+        sums = [sum(self.row(i)[f] * a for i, a in x) for f in range(quality.FACTORS)]
+        pairs = sum(s * s - sum((self.row(i)[f] * a) ** 2 for i, a in x) for f, s in enumerate(sums)) / 2
+        return self.bias + sum(self.w.get(i, 0.0) * a for i, a in x) + pairs, sums
+
+    def score(self, x):
+        return 1 / (1 + np.exp(-min(max(self.z(x)[0], -30), 30)))
+
+    def fit(self, rows, y):
+        rng = np.random.default_rng(0)
+        gw, gv, gb = {}, {}, 1e-6
+        share = min(max(sum(y) / len(y), 0.01), 0.99)
+        self.bias = float(np.log(share / (1 - share)))
+        for _ in range(quality.EPOCHS):
+            order = rng.permutation(len(y)).tolist()
+            for a in range(0, len(order), quality.BATCH):
+                part = order[a : a + quality.BATCH]
+                dw, dv, db = {}, {}, 0.0
+                for r in part:
+                    z, sums = self.z(rows[r])
+                    d = (1 / (1 + np.exp(-min(max(z, -30), 30))) - y[r]) / len(part)
+                    db += d
+                    for i, x in rows[r]:
+                        dw[i] = dw.get(i, 0.0) + d * x
+                        old = dv.setdefault(i, [0.0] * quality.FACTORS)
+                        for f, s in enumerate(sums):
+                            old[f] += (s - self.row(i)[f] * x) * d * x
+                for i in dw:
+                    g = dw[i] + 1e-6 * self.w.get(i, 0.0)
+                    gw[i] = gw.get(i, 1e-6) + g * g
+                    for f in range(quality.FACTORS):
+                        h = dv[i][f] + 1e-6 * self.row(i)[f]
+                        gv[i, f] = gv.get((i, f), 1e-6) + h * h
+                        dv[i][f] = h
+                    self.w[i] = self.w.get(i, 0.0) - 0.05 * g / np.sqrt(gw[i])
+                    for f in range(quality.FACTORS):
+                        self.row(i)[f] -= 0.05 * 0.3 * dv[i][f] / np.sqrt(gv[i, f])
+                gb += db * db
+                self.bias -= 0.05 * db / np.sqrt(gb)
+
+
+def plain_features(text):
+    """[(slot, value)] of a text, word by word."""
+    from plain import word_hash
+
+    raw = (text or "").encode()
+    words = [w for w in raw.replace(b"\x0b", b" ").replace(b"\x0c", b" ").split() if w]
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    hashes = [word_hash(w.translate(low)) for w in words]
+    count = {}
+    for h in hashes:
+        count[h >> 49] = count.get(h >> 49, 0) + 1
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    marks, space = b".,;:!?'\"-()", b" \t\n\x0b\x0c\r"
+    n, size, k = max(len(words), 1), max(len(raw), 1), max(len(words), 1)
+    mean = sum(map(len, words)) / k
+    spread = max(sum(len(w) ** 2 for w in words) / k - mean**2, 0) ** 0.5
+    plain_bytes = sum(letter(b) or 48 <= b <= 57 or b in marks or b in space for b in raw)
+    stats = [
+        np.log1p(len(raw)), np.log1p(len(words)), min(mean, 30), sum(map(letter, raw)) / size, len(count) / n, max(count.values(), default=0) / n, sum(65 <= b <= 90 for b in raw) / size,
+        sum(48 <= b <= 57 for b in raw) / size, size - min(plain_bytes, size), sum(not (letter(w[-1]) or w[-1] in marks) for w in words) / n, sum(len(w) == 1 and not letter(w[0]) for w in words) / n,
+        sum(a == b for a, b in itertools.pairwise(hashes)) / n, np.log1p(raw.count(b"\n")), min(spread / max(mean, 1), 1),
+    ]
+    stats[8] /= size
+    out = [(b, 1 / max(len(count), 1) ** 0.5) for b in sorted(count)]
+    for j, ((lo, hi), s) in enumerate(zip(quality.SCALES, stats, strict=True)):
+        at = min(max((s - lo) / (hi - lo), 0), 1) * (quality.STEPS - 1)
+        step = min(int(at), quality.STEPS - 2)
+        slot = (1 << quality.WORD_BITS) + j * quality.STEPS + step
+        out += [(slot, (1 - (at - step)) / len(stats) ** 0.5), (slot + 1, (at - step) / len(stats) ** 0.5)]
+    return out
+
+
+def test_whole_result_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    texts = [t for t in awkward(4) if t is None or len(t) < 2500][:40]
+    marks = [(i, (i * 7) % 3 // 2, 0) for i in range(len(texts)) if i % 6] + [(1, 1, 0), (1, 1, 0)]
+    docs, labels = docs_of(spark, texts).repartition(3), spark.createDataFrame(marks, LABELS)
+    by = {}
+    for i, q, _ in marks:
+        if zlib.crc32(str(i).encode()) % 5:
+            by.setdefault(i, []).append(q)
+    place = {r.i: r.h for r in spark.range(len(texts)).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    ids = sorted(by, key=lambda i: (place[i], i))
+    rows = [[(s, float(np.float32(v))) for s, v in plain_features(texts[i])] for i in ids]
+    m = Plain()
+    m.fit(rows, [int(sum(by[i]) / len(by[i]) >= 0.5) for i in ids])
+    got = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = m.score(plain_features(t))
+        assert abs(got[i].score - want) < 1e-6, (i, got[i].score, want)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and (abs(want - 0.3) < 1e-6 or got[i].predicted == int(want >= 0.3))
