@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scoring import Block, Held, by_batch, class_top2, held
+from .scoring import Block, Held, by_batch, class_top2, held, matrix
 
 COUNTS = "y string, b string, adj long, cardinality long"
 
@@ -78,32 +78,141 @@ def pairwise(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
     return summed(both.groupBy("y", "b").agg(F.count_if(hit).alias("adj"), F.count("*").alias("cardinality")))
 
 
-def multilabel_counts(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
-    """y, b, adj, cardinality over the rows that carry y and not b; samples: row_id, features, labels."""
+#: Scores that are worked on at once.
+AT_ONCE = 1 << 22
 
-    def emit(named, x, block):
-        c = len(block.classes)
-        at = {v: i for i, v in enumerate(block.classes)}
-        has = np.zeros((len(x), c), dtype=bool)
-        for i, row in enumerate(named["labels"].to_pylist()):
-            has[i, [at[v] for v in row if v in at]] = True
-        one, two = best_two(block, block.scores(x))
-        adj, n = np.zeros((c, c)), np.zeros((c, c))
-        for y in range(c):
-            rows = np.flatnonzero(has[:, y])
-            free = ~has[rows]
-            n[y] = free.sum(axis=0)
-            adj[y] = (free & (one[rows] > two[rows, y][:, None])).sum(axis=0)
-        return _pairs(block.classes, adj, n)
 
+def _bounds(block: Block, x: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Second-best score of class own[i] for row row[i]; -inf where the class has no second prototype."""
+    out = np.full(len(row), -np.inf)
+    starts = np.searchsorted(block.of, np.arange(len(block.classes) + 1))
+    for c in np.unique(own).tolist():
+        a, b = starts[c], starts[c + 1]
+        if b - a > 1:
+            mine = np.flatnonzero(own == c)
+            part = Block(block.pid[a:b], [block.classes[c]], block.of[a:b] - c, block.center[a:b], None if block.radius2 is None else block.radius2[a:b])
+            out[mine] = np.partition(part.scores(x[row[mine]]), -2, axis=1)[:, -2]
+    return out
+
+
+def multilabel_overlaps(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
+    """y, b, adj: of the rows with y and without b those in which b's best score exceeds y's second best, for the pairs that have any and for classes y of two prototypes or more. samples: row_id, features, labels.
+
+    A row carries its labels as a list with their bounds. A class is looked at again only where it scores above the
+    least of them, and a row not at all if none of its classes has a bound, so that work and memory follow the labels
+    that rows have, not the classes there are. With several blocks of prototypes the bounds come first, from the
+    blocks that hold the row's classes.
+    """
     prototypes = held(prototypes)
-    if len(prototypes) <= 1:
-        return summed(by_batch(samples, prototypes, ["labels"], COUNTS, emit))
-    top = class_top2(samples, prototypes)
-    own = samples.select("row_id", "labels", F.explode("labels").alias("y")).join(top.select("row_id", F.col("class").alias("y"), "s2"), ["row_id", "y"])
-    both = own.join(top.select("row_id", F.col("class").alias("b"), "s1"), "row_id").where(~F.array_contains("labels", F.col("b")))
-    hit = F.col("s2").isNull() | (F.col("s1") > F.col("s2"))
-    return summed(both.groupBy("y", "b").agg(F.count_if(hit).alias("adj"), F.count("*").alias("cardinality")))
+    spark = samples.sparkSession
+
+    def listed(labels: list, at: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Row and class of every label that the block knows."""
+        pairs = [(i, at[v]) for i, row in enumerate(labels) for v in dict.fromkeys(row) if v in at]
+        return tuple(np.array(c, dtype=np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+
+    def bounds(named, x, block):
+        at = {c: i for i, c in enumerate(block.classes)}
+        row, own = listed(named["labels"].to_pylist(), at)
+        bound = _bounds(block, x, row, own)
+        some = np.isfinite(bound)
+        if not some.any():
+            return None
+        return {"row_id": named["row_id"].to_numpy()[row[some]], "y": np.array(block.classes, dtype=object)[own[some]], "bound": bound[some]}
+
+    def counted(held_block, one: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            block = held_block.value
+            at = {c: i for i, c in enumerate(block.classes)}
+            starts = np.searchsorted(block.of, np.arange(len(block.classes)))
+            total: dict[tuple[str, int], int] = {}
+            for batch in batches:
+                x, labels = matrix(batch.column(0)), batch.column(1).to_pylist()
+                if one:
+                    row, own = listed(labels, at)
+                    bound, names = _bounds(block, x, row, own), [block.classes[i] for i in own.tolist()]
+                else:
+                    lists = batch.column(2).to_pylist()
+                    row = np.array([i for i, r in enumerate(lists) for _ in r], dtype=np.int64)
+                    bound, names = np.array([e["bound"] for r in lists for e in r], dtype=float), [e["y"] for r in lists for e in r]
+                some = np.flatnonzero(np.isfinite(bound))
+                row, bound, names = row[some], bound[some], np.array(names, dtype=object)[some]
+                rows, place = np.unique(row, return_inverse=True)
+                step = max(1, AT_ONCE // len(block.pid))
+                for a in range(0, len(rows), step):
+                    here = rows[a : a + step]
+                    best = np.maximum.reduceat(block.scores(x[here]), starts, axis=1)
+                    for k, i in enumerate(here.tolist()):  # a class that the row carries is no other
+                        best[k, [at[v] for v in labels[i] if v in at]] = -np.inf
+                    mine = np.flatnonzero((place >= a) & (place < a + step))
+                    least = np.full(len(here), np.inf)
+                    np.minimum.at(least, place[mine] - a, bound[mine])
+                    r, b = np.nonzero(best > least[:, None])
+                    # Every class above a row's least bound, against each of the row's bounds.
+                    order = mine[np.argsort(place[mine], kind="stable")]
+                    first = np.searchsorted(place[order], a + np.arange(len(here) + 1))
+                    n = np.diff(first)[r]
+                    e = order[np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    b, score = np.repeat(b, n), np.repeat(best[r, b], n)
+                    over = score > bound[e]
+                    for y, c in zip(names[e[over]].tolist(), b[over].tolist(), strict=True):
+                        total[y, c] = total.get((y, c), 0) + 1
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in keys], pa.string()), pa.array([block.classes[c] for _, c in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["y", "b", "adj"])
+
+        return run
+
+    if not len(prototypes):
+        return spark.createDataFrame([], "y string, b string, adj long")
+    rows, one = samples.select("features", "labels"), len(prototypes) == 1
+    if not one:
+        found = by_batch(samples, prototypes, ["row_id", "labels"], "row_id long, y string, bound double", bounds)
+        lists = found.groupBy("row_id").agg(F.collect_list(F.struct("y", "bound")).alias("bounds"))
+        rows = samples.join(lists, "row_id").select("features", "labels", "bounds")
+    parts = [rows.mapInArrow(counted(b, one), "y string, b string, adj long") for b in prototypes.blocks]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("y", "b").agg(F.sum("adj").alias("adj"))
+
+
+def label_supports(samples: DataFrame, prototypes: DataFrame | Held) -> tuple[DataFrame, DataFrame]:
+    """y, n, few (whether y owns one prototype only) of the classes that own prototypes; and y, b, both: rows that carry two of them. samples: row_id, labels. Pairs are those within rows."""
+    prototypes = held(prototypes)
+    spark = samples.sparkSession
+    size = [(c, bool(n == 1)) for block in prototypes.blocks for c, n in zip(block.value.classes, np.bincount(block.value.of).tolist(), strict=True)]
+    owned = spark.createDataFrame(size, "y string, few boolean")
+    # Sets, as a label counts once.
+    rows = samples.select(F.array_distinct("labels").alias("labels"))
+    support = rows.select(F.explode("labels").alias("y")).groupBy("y").agg(F.count("*").alias("n")).join(owned, "y")
+    pairs = rows.where(F.size("labels") > 1).select("labels", F.explode("labels").alias("y")).select("y", F.explode("labels").alias("b")).where("y <> b")
+    return support, pairs.groupBy("y", "b").agg(F.count("*").alias("both"))
+
+
+def multilabel_counts(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
+    """y, b, adj, cardinality, pairwise_index over the rows that carry y and not b, for all pairs of classes that have such rows; samples: row_id, features, labels. The cardinality is y's support less the rows with both."""
+    prototypes = held(prototypes)
+    support, both = label_supports(samples, prototypes)
+    classes = sorted(c for b in prototypes.blocks for c in b.value.classes)
+    if not classes:
+        return samples.sparkSession.createDataFrame([], f"{COUNTS}, pairwise_index double")
+    pairs = support.select("y", "n", "few", F.explode(F.array(*map(F.lit, classes))).alias("b")).where("y <> b")
+    full = pairs.join(both, ["y", "b"], "left").join(multilabel_overlaps(samples, prototypes), ["y", "b"], "left")
+    n = F.col("n") - F.coalesce("both", F.lit(0))
+    return summed(full.select("y", "b", F.when(F.col("few"), n).otherwise(F.coalesce("adj", F.lit(0))).alias("adj"), n.alias("cardinality")).where("cardinality > 0"))
+
+
+def multilabel_singletons(samples: DataFrame, prototypes: DataFrame | Held) -> DataFrame:
+    """y, support, singleton_index as singleton() gives from all pairs, without the table of all pairs of classes: a pair without overlap has index 1, and the least index is over those with one."""
+    prototypes = held(prototypes)
+    support, both = label_supports(samples, prototypes)
+    over = multilabel_overlaps(samples, prototypes).join(support.select("y", "n"), "y").join(both, ["y", "b"], "left")
+    low = over.groupBy("y").agg(F.min(1 - F.col("adj") / (F.col("n") - F.coalesce("both", F.lit(0)))).alias("m"))
+    # With one prototype all rows overlap with any class that they don't all carry.
+    classes = sum(len(b.value.classes) for b in prototypes.blocks)
+    always = both.join(support, "y").where(F.col("both") == F.col("n")).groupBy("y").agg(F.count("*").alias("same"))
+    out = support.join(low, "y", "left").join(always, "y", "left")
+    value = F.when(F.col("few"), F.when(F.coalesce("same", F.lit(0)) < classes - 1, 0.0).otherwise(1.0)).otherwise(F.coalesce("m", F.lit(1.0)))
+    return out.select("y", F.col("n").alias("support"), value.alias("singleton_index"))
 
 
 def replayed(samples: DataFrame, prototypes: DataFrame | Held, first_seen: dict[int, int]) -> DataFrame:

@@ -362,6 +362,12 @@ def ml_singleton(spark, d):
     return ov.singleton(ov.multilabel_counts(s, p), sup).select("y", "support", r6("singleton_index"))
 
 
+def ml_singleton_sparse(spark, d):
+    """The same indices without the table of all pairs of classes."""
+    s, p = _multi(spark, d)
+    return ov.multilabel_singletons(s, p).select("y", "support", r6("singleton_index"))
+
+
 def ml_summary(spark, d):
     s, p = _multi(spark, d)
     sup = lab.exploded(s).groupBy("label").agg(F.count("*").alias("support"))
@@ -656,6 +662,7 @@ def sql() -> dict[str, str]:
         "ml_pair_rows": f"WITH {DOC_LABELS}, c AS (SELECT DISTINCT label AS b FROM e) SELECT e.label AS y, c.b, count(*) AS n FROM e JOIN c ON NOT list_contains(e.labels, c.b) GROUP BY 1, 2",
         "ml_pairwise": f"{MULTI} {PAIR_OUT}",
         "ml_singleton": f"{MULTI} {SINGLE_OUT}",
+        "ml_singleton_sparse": f"{MULTI} {SINGLE_OUT}",
         "ml_summary": f"{MULTI} {summary_out()}",
         "ml_top_m": TOP_M,
         "visible_replay": f"{m}, {REPLAY} {PAIR_OUT}",

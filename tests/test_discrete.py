@@ -318,3 +318,54 @@ def test_cosine_covers(spark):
             proto.check_cover("auto", 0.2, how.get("cover_fraction", 1), how.get("max_balls"), how.get("selection", "farthest"))
     with pytest.raises(ValueError):
         proto.check_cover("auto", "auto", 1, None, "farthest")
+
+
+def literal_multilabel(rows, prototypes):
+    """adj and cardinality of every pair of classes, row by row."""
+    out, classes = {}, sorted({c for c, _ in prototypes})
+    for x, labels in rows:
+        s = {c: sorted((-((x - p) ** 2).sum() for k, p in prototypes if k == c), reverse=True) for c in classes}
+        for y in set(labels) & set(classes):
+            for b in classes:
+                if b not in labels:
+                    n = out.setdefault((y, b), [0, 0])
+                    n[0] += len(s[y]) < 2 or s[b][0] > s[y][1]
+                    n[1] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 26])
+def test_sparse_multilabel_counts(spark, monkeypatch, block_bytes):
+    rng = np.random.default_rng(4)
+    names = [f"l{i}" for i in range(9)]
+    rows = [(rng.normal(size=2), sorted({names[j] for j in rng.integers(0, 8, rng.integers(0, 4))}) + ["unknown"] * (i % 5 == 0)) for i in range(150)]
+    rows += [(rng.normal(size=2), [names[8], names[0]]), (rng.normal(size=2), [names[8], names[0]])]
+    marks = [(names[j % 9], rng.normal(size=2)) for j in range(9 * 3) if j < 18 or j % 9 > 4]
+    marks = [m for i, m in enumerate(marks) if m[0] != "l3" or i == 3]  # one class with one prototype
+    df = spark.createDataFrame([(i, x.tolist(), y) for i, (x, y) in enumerate(rows)], "row_id long, features array<double>, labels array<string>").repartition(3)
+    marks.sort(key=lambda m: m[0])
+    p = spark.createDataFrame([(i, c, v.tolist(), None, float((v**2).sum())) for i, (c, v) in enumerate(marks)], scoring.PROTOTYPES)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", block_bytes)
+    assert (len(scoring.held(p)) > 1) == (block_bytes == 1)
+    want = literal_multilabel(rows, marks)
+    assert {(r.y, r.b): (r.adj, r.cardinality) for r in ov.multilabel_counts(df, p).collect()} == want
+    support = {y: sum(y in labels for _, labels in rows) for y in names}
+    low = {y: min((1 - a / n for (k, _), (a, n) in want.items() if k == y), default=1.0) for y in names}
+    assert {r.y: (r.support, pytest.approx(r.singleton_index)) for r in ov.multilabel_singletons(df, p).collect()} == {y: (support[y], low[y]) for y in names if support[y]}
+
+
+def test_fifty_thousand_labels(spark):
+    """A row for each label, and a few labels with many rows: what is worked on are these few."""
+    from pyspark.sql import functions as F
+
+    few, rng = 40, np.random.default_rng(5)
+    wide = spark.range(50_000).select(F.col("id").alias("row_id"), F.array(F.rand(1), F.rand(2)).alias("features"), F.array(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("labels"))
+    near = [(100_000 + i, rng.random(2).tolist(), [f"n{i % few}", f"n{(i + 1) % few}"]) for i in range(400)]
+    df = wide.unionByName(spark.createDataFrame(near, wide.schema))
+    single = df.select("row_id", "features", F.explode("labels").alias("label"))
+    p = scoring.held(proto.landmarks(single, 3))
+    got = ov.multilabel_singletons(df, p)
+    assert got.count() == 50_000 + few
+    rows = {r.y: r for r in got.where("y like 'n%' or y = 'k7'").collect()}
+    assert rows["k7"].singleton_index == 0.0 and rows["k7"].support == 1
+    assert rows["n3"].support == 20 and 0 <= rows["n3"].singleton_index <= 1
