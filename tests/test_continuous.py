@@ -123,7 +123,7 @@ def test_degenerate(spark):
     assert co.raw_index(0.0, 0.0) == 1.0 and co.raw_index(1.0, 0.0) == float("-inf")
 
 
-def test_quantiles_by_sorting(spark, monkeypatch):
+def test_quantiles_by_splitters(spark, monkeypatch):
     from isthmus.functions import session
 
     rng = np.random.default_rng(5)
@@ -131,12 +131,34 @@ def test_quantiles_by_sorting(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g int, v double, row_id long").repartition(3)
     probs = [0.0, 0.1, 0.5, 0.731, 1.0]
     monkeypatch.setattr(session, "SORTED_QUANTILES", 0)
+    plain = session.quantiles(df, probs)
+    monkeypatch.setattr(session, "SPLITTERS", 2)
+    monkeypatch.setattr(session, "FETCHED", 3)
     got = session.quantiles(df, probs)
+    assert got == plain
     for g in range(3):
         assert np.allclose(got[g], np.quantile([v for h, v, _ in rows if h == g], probs))
     assert session.quantiles(df.limit(0), probs) == {}
 
 
+def test_selection_with_ties_and_no_shuffle_of_the_table(spark, monkeypatch):
+    """One value that is half of all, long tails, and groups named by strings; rounds count, and nothing of the table is sorted or exchanged."""
+    from pyspark.sql import functions as F
+
+    from isthmus.functions import session
+
+    monkeypatch.setattr(session, "SORTED_QUANTILES", 0)
+    monkeypatch.setattr(session, "FETCHED", 50)
+    df = spark.range(40_000).select(F.concat(F.lit("g"), F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(F.exp(F.randn(4) * 3)).alias("v")).persist()
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9, 0.99999, 1.0]
+    got = session.quantiles(df, probs)
+    for g in ("g0", "g1", "g2"):
+        assert np.allclose(got[g], np.quantile([r.v for r in df.where(F.col("g") == g).collect()], probs), rtol=1e-12)
+    inside = df.select("g", "v").mapInArrow(session._inside({"g0": 0}, {0: ([1.0], [2.0])}), "i int, k int, v double")
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and inside.count() == df.where("g = 'g0' and v > 1 and v < 2").count()
+
+
 def test_distances_by_ranges(spark):
     """Many values over several ranges, in groups and directions."""
     rng = np.random.default_rng(6)
