@@ -127,10 +127,56 @@ def nearest2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return near
 
 
+#: k-means||: rounds of drawing, and how many rows a round draws on average, in multiples of k.
+DRAWS, OVERSAMPLED = 5, 2.0
+
+
+def oversampled(u: np.ndarray, near: np.ndarray, step: int, k: int, total: float) -> np.ndarray:
+    """Which rows a round of k-means|| draws, each by itself, with a chance in proportion to its squared distance; total: the sum of these over the class."""
+    return (near > 0) & (turned(u, step) * total < OVERSAMPLED * k * near)
+
+
+def reduced(x: np.ndarray, u: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Which k of the drawn rows, each weighted by the rows nearest to it, start the clusters: one after another by k-means++. Where there are no more than k all do."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    rows = [int(race(u, weight, DRAWS + 1).argmin())]
+    near = ((x - x[rows[0]]) ** 2).sum(axis=1)
+    for t in range(1, k):
+        rows.append(int(race(u, near * weight, DRAWS + 1 + t).argmin()))
+        near = np.minimum(near, ((x - x[rows[-1]]) ** 2).sum(axis=1))
+    return np.array(rows)
+
+
+def carried(x: np.ndarray, near: np.ndarray, owner: np.ndarray, new: np.ndarray, first: int) -> None:
+    """Brings nearest distances and owners up to date with new centres, numbered from `first` on; of equally near ones the first stays."""
+    for k, v in enumerate(new):
+        d = ((x - v) ** 2).sum(axis=1)
+        closer = d < near
+        near[closer], owner[closer] = d[closer], first + k
+
+
+def scalable_rows(x: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
+    """Rows that start k clusters by k-means||: a few rounds draw some k rows each at once. Too few drawn (of few distinct rows) are filled up by the farthest."""
+    rows = [int(u.argmin())]
+    near, owner = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    carried(x, near, owner, x[rows], 0)
+    for t in range(1, DRAWS + 1):
+        new = np.flatnonzero(oversampled(u, near, t, k, float(near.sum()))).tolist()
+        carried(x, near, owner, x[new], len(rows))
+        rows += new
+    picked = np.array(rows)[reduced(x[rows], u[rows], np.bincount(owner, minlength=len(rows)).astype(float), k)]
+    while len(picked) < k:
+        picked = np.append(picked, nearest2(x, x[picked]).argmax())
+    return picked
+
+
 def start_rows(x: np.ndarray, u: np.ndarray, k: int, init: str) -> np.ndarray:
-    """Rows that start k clusters: those with the least numbers, or one after another by k-means++."""
+    """Rows that start k clusters: those with the least numbers, one after another by k-means++, or by k-means||."""
     if init == "random":
         return np.argsort(u, kind="stable")[:k]
+    if init == "k-means||":
+        return scalable_rows(x, u, k)
     rows = [int(u.argmin())]
     near = ((x - x[rows[0]]) ** 2).sum(axis=1)
     for t in range(1, k):
@@ -248,8 +294,8 @@ def kmeans(samples: DataFrame, k=8, seed: int = 0, n_init: int = 1, max_iter: in
 
 
 def check_init(init: str) -> None:
-    if init not in ("k-means++", "random"):
-        raise ValueError("init must be 'k-means++' or 'random'")
+    if init not in ("k-means++", "k-means||", "random"):
+        raise ValueError("init must be 'k-means++', 'k-means||' or 'random'")
 
 
 def scanned(samples: DataFrame, state: dict, emit: Callable, schema: str) -> DataFrame:
@@ -282,7 +328,9 @@ def least_row(found: DataFrame, *keys: str) -> dict[tuple, np.ndarray]:
 
 
 def starts_in_rounds(samples: DataFrame, ks: dict[str, int], n_init: int, init: str) -> dict[tuple[str, int], list[np.ndarray]]:
-    """The rows start_rows() would take for each class and start, a pass for each further centre."""
+    """The rows start_rows() would take for each class and start: a pass for each further centre, or few for any number of centres by k-means||."""
+    if init == "k-means||":
+        return {key: v for s in range(n_init) for key, v in scalable_starts(samples, ks, s).items()}
     kind = "start int, key double, row_id long, x array<double>"
     if init == "random":
         most = max(ks.values())
@@ -314,6 +362,78 @@ def starts_in_rounds(samples: DataFrame, ks: dict[str, int], n_init: int, init:
     return out
 
 
+def scalable_starts(samples: DataFrame, ks: dict[str, int], start: int) -> dict[tuple[str, int], list[np.ndarray]]:
+    """scalable_rows() of every class, for classes that no single task can take. Rows carry their nearest distance and owner from round to round; the drawn rows, about OVERSAMPLED k a round, come to the driver."""
+    spark, scratch = samples.sparkSession, Scratch(samples.sparkSession)
+    kind = "key double, row_id long, x array<double>"
+
+    def lead(c, _, x, ids, u):
+        i = np.lexsort((ids, u[:, start]))[0]
+        yield {"key": u[i, start], "row_id": ids[i], "x": x[i]}
+
+    w = scanned(samples, ks, lead, kind).groupBy("class").agg(F.min(F.struct("key", "row_id", "x")).alias("b")).collect()
+    drawn_of = {r["class"]: [(r["b"]["row_id"], np.array(r["b"]["x"]), r["b"]["key"])] for r in w}
+    state, known, columns = samples.select("row_id", "label", "features", F.col("u")[start].alias("u")), dict.fromkeys(ks, 0), "row_id long, label string, features array<double>, u double, near double, owner long"
+
+    def advanced(state: DataFrame, fresh: bool) -> DataFrame:
+        held = spark.sparkContext.broadcast({c: (np.array([x for _, x, _ in d[known[c] :]]), known[c]) for c, d in drawn_of.items()})
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                y, x = np.array(b.column(1).to_pylist(), dtype=object), matrix(b.column(2))
+                near, owner = (np.full(len(y), np.inf), np.zeros(len(y), np.int64)) if fresh else (b.column(i).to_numpy().copy() for i in (4, 5))
+                for c in set(y.tolist()):
+                    rows = np.flatnonzero(y == c)
+                    d, o = near[rows], owner[rows]
+                    carried(x[rows], d, o, *held.value[c])
+                    near[rows], owner[rows] = d, o
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near), pa.array(owner)], names=["row_id", "label", "features", "u", "near", "owner"])
+
+        return state.mapInArrow(run, columns)
+
+    def draw(step: int, totals: dict[str, float]):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                y, u, near = np.array(b.column(1).to_pylist(), dtype=object), b.column(3).to_numpy(), b.column(4).to_numpy()
+                some = [rows[oversampled(u[rows], near[rows], step, ks[c], totals[c])] for c in set(y.tolist()) for rows in [np.flatnonzero(y == c)]]
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(np.concatenate(some))) for c in b.columns[:4]] if some else [c.slice(0, 0) for c in b.columns[:4]], names=["row_id", "label", "features", "u"])
+
+        return run
+
+    for t in range(1, DRAWS + 2):
+        old, scratch = scratch, Scratch(spark)
+        state = scratch.written(advanced(state, t == 1), "drawn")
+        old.discard()
+        known = {c: len(d) for c, d in drawn_of.items()}
+        if t > DRAWS:
+            break
+        totals = {r["label"]: r["s"] for r in state.groupBy("label").agg(F.sum("near").alias("s")).collect()}
+        for r in state.mapInArrow(draw(t, totals), "row_id long, label string, features array<double>, u double").orderBy("row_id").collect():
+            drawn_of[r["label"]].append((r["row_id"], np.array(r["features"]), r["u"]))
+    weights = {c: np.zeros(len(d)) for c, d in drawn_of.items()}
+    for r in state.groupBy("label", "owner").count().collect():
+        weights[r["label"]][r["owner"]] = r["count"]
+    scratch.discard()
+    out = {}
+    for c, d in drawn_of.items():
+        x = np.array([v for _, v, _ in d])
+        out[c, start] = [x[i] for i in reduced(x, np.array([u for _, _, u in d]), weights[c], ks[c])]
+
+    def far(c, have, x, ids, u):
+        near = nearest2(x, have)
+        i = np.lexsort((ids, -near))[0]
+        yield {"key": -near[i], "row_id": ids[i], "x": x[i]}
+
+    while few := {c: np.array(out[c, start]) for c, k in ks.items() if len(out[c, start]) < k}:
+        for (c,), v in least_row(scanned(samples, few, far, kind)).items():
+            out[c, start].append(v)
+    return out
+
+
 def kmeans_in_rounds(samples: DataFrame, sizes: dict[str, int], ks: dict[str, int], d: int, n_init: int, max_iter: int, tol: float, init: str) -> DataFrame:
     """kmeans_matrix() for classes that no single task can take: a pass over the table for each step, all classes and starts at once."""
     spark = samples.sparkSession

@@ -259,6 +259,16 @@ def kmeans_plus_plus(spark, d):
     return q.join(s, ["class", "c0", "c1"]).select("pid", "class", "row_id")
 
 
+def kmeans_parallel(spark, d):
+    """The rows that k-means|| starts from, drawn in a few rounds for any number of centres; as a class's rows that no task takes whole."""
+    s = proto.drawn(tables.embeddings(spark, d), 7)
+    ks = dict.fromkeys(proto.class_sizes(s), ROUND_K)
+    rows = [(c, i, v[:2].tolist()) for (c, _), vs in proto.scalable_starts(s, ks, 0).items() for i, v in enumerate(vs)]
+    q = spark.createDataFrame(rows, "class string, place long, c array<double>").select("class", "place", F.round(F.col("c")[0], 6).alias("c0"), F.round(F.col("c")[1], 6).alias("c1"))
+    own = s.select("row_id", F.col("label").alias("class"), F.round(F.col("features")[0], 6).alias("c0"), F.round(F.col("features")[1], 6).alias("c1"))
+    return q.join(own, ["class", "c0", "c1"]).select("class", "place", "row_id")
+
+
 def oi_kmeans_fixed(spark, d):
     s, p = _fixed(spark, d, lambda s: proto.kmeans(s, ROUND_K, seed=7, max_iter=ROUNDS, tol=0.0, init="random"))
     return ov.summary(ov.singleton(ov.pairwise(s, p), ov.support(s))).select(r6("index"), r6("weighted_index"), "n_classes")
@@ -570,6 +580,30 @@ def plus_plus_sql() -> str:
     return ",\n".join(out) + f" SELECT row_number() OVER (ORDER BY label, l) - 1 AS pid, label AS class, row_id FROM ({every})"
 
 
+def parallel_sql() -> str:
+    """Starts of k-means||: rounds that draw every row by itself, then k-means++ among the drawn rows, weighted by the rows nearest to them."""
+    turn = lambda t: f"((u + {t} * {proto.TURN!r}::DOUBLE) % 1.0)"
+    out = [f"WITH {SAMPLES}, {drawn_sql()}", "c0 AS (SELECT label, arg_min(row_id, (u, row_id)) AS row_id, 0 AS t FROM u GROUP BY label)",
+           "n0 AS (SELECT u.label, u.row_id, u.x, u.u, power(list_distance(u.x, q.x), 2) AS near FROM u JOIN c0 ON c0.label = u.label JOIN u q ON q.row_id = c0.row_id)"]
+    for t in range(1, proto.DRAWS + 1):
+        out += [
+            f"c{t} AS MATERIALIZED (SELECT n.label, n.row_id, {t} AS t FROM n{t - 1} n JOIN (SELECT label, sum(near) AS total FROM n{t - 1} GROUP BY label) USING (label) WHERE near > 0 AND {turn(t)} * total < {proto.OVERSAMPLED * ROUND_K} * near)",
+            f"n{t} AS MATERIALIZED (SELECT n.label, n.row_id, any_value(n.x) AS x, any_value(n.u) AS u, least(any_value(near), coalesce(min(power(list_distance(n.x, q.x), 2)), any_value(near))) AS near FROM n{t - 1} n LEFT JOIN (c{t} c JOIN s q ON q.row_id = c.row_id) ON c.label = n.label GROUP BY n.label, n.row_id)",
+        ]
+    cs = " UNION ALL ".join(f"SELECT * FROM c{t}" for t in range(proto.DRAWS + 1))
+    out += [
+        f"ca AS MATERIALIZED (SELECT c.label, c.row_id, c.t, u.x, u.u FROM ({cs}) c JOIN u ON u.row_id = c.row_id)",
+        "ow AS (SELECT u.row_id, arg_min(c.row_id, (power(list_distance(u.x, c.x), 2), c.t, c.row_id)) AS own FROM u JOIN ca c ON c.label = u.label GROUP BY u.row_id)",
+        "m0 AS (SELECT ca.*, w, 1.0::DOUBLE AS near FROM ca JOIN (SELECT own, count(*) AS w FROM ow GROUP BY own) o ON o.own = ca.row_id)",
+    ]
+    for i in range(1, ROUND_K + 1):
+        key = f"(CASE WHEN near > 0 THEN -ln({turn(proto.DRAWS + i)}) / (near * w) ELSE 1e300 * (1 + {turn(proto.DRAWS + i)}) END, t, row_id)"
+        near = "power(list_distance(m.x, q.x), 2)" if i == 1 else "least(near, power(list_distance(m.x, q.x), 2))"
+        out += [f"z{i} AS (SELECT label, arg_min(row_id, {key}) AS row_id FROM m{i - 1} GROUP BY label)", f"m{i} AS (SELECT m.* EXCLUDE near, {near} AS near FROM m{i - 1} m JOIN z{i} z ON z.label = m.label JOIN s q ON q.row_id = z.row_id)"]
+    every = " UNION ALL ".join(f"SELECT label AS class, {i - 1}::BIGINT AS place, row_id FROM z{i}" for i in range(1, ROUND_K + 1))
+    return ",\n".join(out) + f" {every}"
+
+
 CENTER_OUT = "SELECT pid, class, round(c[1], 6) AS c0, round(c[2], 6) AS c1, round(c[64], 6) AS c63 FROM p"
 
 
@@ -644,6 +678,7 @@ def sql() -> dict[str, str]:
         "kmeans_fixed_rounds": f"{rounds_sql()} {CENTER_OUT}",
         "minibatch_fixed_rounds": f"{rounds_sql(True)} {CENTER_OUT}",
         "kmeans_plus_plus": plus_plus_sql(),
+        "kmeans_parallel": parallel_sql(),
         "oi_kmeans_fixed": f"{rounds_sql()}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}",
         "est_fit": est,
         "est_exclude": f"{cover}, {SCORES}, {PAIRS}, {SINGLE}, k AS ({summary_out('y NOT IN ' + repr(tuple(EXCLUDED)))}) SELECT index, weighted_index, (SELECT count(*) FROM si) AS n_classes FROM k",
