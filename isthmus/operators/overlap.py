@@ -7,8 +7,10 @@ Counters are integers and additive; ratios come last.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -282,34 +284,114 @@ def accumulated(pairs: DataFrame, support_of: DataFrame, before: tuple[DataFrame
     return found.drop("here"), support_all, single.select("y", "support", value.alias("singleton_index"))
 
 
-def class_distances(prototypes: DataFrame | Held) -> DataFrame:
-    """a, b, distance: least distance between prototypes of two classes. Prototypes are scored against themselves, block by block; what leaves a batch is a row for each pair of classes."""
-    blocks = held(prototypes)
+#: Prototypes in a leaf of a class's tree.
+LEAF = 16
+
+
+@dataclass
+class Forest:
+    """The prototypes of each class as leaves of neighbours, with a ball around each leaf and each class."""
+
+    classes: list[str]
+    points: np.ndarray  # by class and leaf
+    leaf: np.ndarray  # where each leaf begins, and the end of all
+    first: np.ndarray  # the first leaf of each class, and the end of all
+    center: np.ndarray  # of leaves
+    radius: np.ndarray
+    class_center: np.ndarray
+    class_radius: np.ndarray
+
+    @classmethod
+    def of(cls, blocks: list[Block], leaf: int = LEAF) -> Forest:
+        names, points, starts, first = [], [], [], []
+
+        def split(x: np.ndarray) -> None:
+            """Halves at the median of the widest feature, down to leaves."""
+            if len(x) <= leaf:
+                starts.append(sum(map(len, points)))
+                points.append(x)
+                return
+            order = np.argsort(x[:, np.ptp(x, axis=0).argmax()], kind="stable")
+            split(x[order[: len(x) // 2]])
+            split(x[order[len(x) // 2 :]])
+
+        for b in blocks:
+            for i, c in enumerate(b.classes):
+                names.append(c)
+                first.append(len(starts))
+                split(b.center[b.of == i])
+        x = np.concatenate(points)
+        ends = np.array([*starts, len(x)])
+
+        def balls(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            center = np.add.reduceat(x, cuts[:-1], axis=0) / np.diff(cuts)[:, None]
+            far = np.sqrt(((x - np.repeat(center, np.diff(cuts), axis=0)) ** 2).sum(axis=1))
+            return center, np.maximum.reduceat(far, cuts[:-1])
+
+        first = np.array([*first, len(starts)])
+        return cls(names, x, ends, first, *balls(ends), *balls(ends[first]))
+
+    def nearest(self, a: int, m: int | None = None) -> tuple[list[tuple[str, float]], int]:
+        """Classes with their distance to class a (the least between prototypes): all others, or at least the m nearest and whatever ties with the last of them; and how many distances between prototypes that took.
+
+        Classes are taken by the bound that their balls set, until that exceeds the m-th distance found; within a pair of classes,
+        pairs of leaves by theirs, until that exceeds the least distance found.
+        """
+        bound = self._apart(self.class_center[a], self.class_radius[a], self.class_center, self.class_radius)
+        bound[a] = np.inf
+        found: list[tuple[str, float]] = []
+        best: list[float] = []  # of the m nearest so far, in order
+        taken = 0
+        for b in np.argsort(bound, kind="stable")[: len(self.classes) - 1].tolist():
+            if m is not None and len(best) >= m and bound[b] > best[m - 1]:
+                break
+            d, n = self._between(a, b)
+            taken += n
+            found.append((self.classes[b], d))
+            bisect.insort(best, d)
+        return found, taken
+
+    @staticmethod
+    def _apart(center, radius, centers, radii) -> np.ndarray:
+        """The least distance that points of two balls can have, rounded down."""
+        return np.maximum(np.sqrt(((centers - center) ** 2).sum(axis=-1)) - radius - radii, 0.0) * (1 - 1e-9)
+
+    def _between(self, a: int, b: int) -> tuple[float, int]:
+        mine, other = (np.arange(self.first[c], self.first[c + 1]) for c in (a, b))
+        bound = self._apart(self.center[mine][:, None], self.radius[mine][:, None], self.center[other][None], self.radius[other][None])
+        least, taken = np.inf, 0
+        for at in np.argsort(bound, axis=None, kind="stable").tolist():
+            i, j = divmod(at, len(other))
+            if bound[i, j] > least:
+                break
+            x, y = (self.points[self.leaf[k] : self.leaf[k + 1]] for k in (mine[i], other[j]))
+            d2 = ((x[:, None] - y[None]) ** 2).sum(axis=2)  # differences, so that equal centres are 0 apart
+            least, taken = min(least, math.sqrt(d2.min())), taken + d2.size
+        return least, taken
+
+
+def class_distances(prototypes: DataFrame | Held, nearest: int | None = None) -> DataFrame:
+    """a, b, distance, computed: least distance between prototypes of two classes, of every class to all others or to the `nearest` ones (and ties); computed: distances between prototypes that a's rows took together.
+
+    A task takes some classes, each by itself against the trees of all (Forest). These are of the prototypes' size and
+    go to the tasks as one broadcast; what they save is the distances, which without them are all prototypes against all.
+    """
     spark = SparkSession.active()
-    parts = []
-    for left in blocks.blocks:
+    blocks = [b.value for b in held(prototypes).blocks]
+    if not blocks:
+        return spark.createDataFrame([], "a string, b string, distance double, computed long")
+    forest = spark.sparkContext.broadcast(Forest.of(blocks))
 
-        def run(batches, left=left, right=tuple(blocks.blocks)):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            a = left.value
-            for batch in batches:
-                for i in batch.column(0).to_pylist():
-                    rows = a.center[a.of == i]
-                    own, some = a.classes[i], []
-                    for block in right:
-                        b = block.value
-                        least = np.full(len(b.classes), np.inf)
-                        for start in range(0, len(rows), 256):  # differences, so that equal centres are 0 apart
-                            for j in range(0, len(b.center), 256):
-                                d2 = ((rows[start : start + 256, None, :] - b.center[None, j : j + 256]) ** 2).sum(axis=2).min(axis=0)
-                                np.minimum.at(least, b.of[j : j + 256], d2)
-                        some += [(c, math.sqrt(v)) for c, v in zip(b.classes, least.tolist(), strict=True) if c != own]
-                    if some:
-                        yield pa.RecordBatch.from_arrays([pa.array([own] * len(some)), pa.array([c for c, _ in some]), pa.array([v for _, v in some])], names=["a", "b", "distance"])
-
-        parts.append(spark.range(len(left.value.classes)).mapInArrow(run, "a string, b string, distance double"))
-    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "a string, b string, distance double")
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                some, n = forest.value.nearest(i, nearest)
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([forest.value.classes[i]] * len(some)), pa.array([c for c, _ in some]), pa.array([v for _, v in some]), pa.array([n] * len(some))], names=["a", "b", "distance", "computed"])
+
+    return spark.range(sum(len(b.classes) for b in blocks)).mapInArrow(run, "a string, b string, distance double, computed long")
 
 
 def competitors(prototypes: DataFrame | Held, order: DataFrame, mode: str = "all", top_m: int | None = None) -> DataFrame:
@@ -318,7 +400,7 @@ def competitors(prototypes: DataFrame | Held, order: DataFrame, mode: str = "all
         raise ValueError("multilabel_pair_mode must be 'all' or 'top_m'")
     if mode == "top_m" and (top_m is None or top_m <= 0):
         raise ValueError("top_m must be a positive integer with multilabel_pair_mode='top_m'")
-    d = class_distances(prototypes).join(F.broadcast(order.select(F.col("label").alias("b"), "idx")), "b")
+    d = class_distances(prototypes, top_m if mode == "top_m" else None).join(order.select(F.col("label").alias("b"), "idx"), "b")
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "idx")))
     if mode == "top_m":
         ranked = ranked.where(F.col("rank") <= top_m)

@@ -393,3 +393,31 @@ def test_parallel_starts_take_few_passes_and_fit_as_well(spark, sf, monkeypatch)
     same = df.limit(30).withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))
     monkeypatch.setattr(proto, "SMALL", 0)
     assert proto.kmeans(same, 4, init="k-means||").count() == 4
+
+
+@pytest.mark.parametrize("m", [None, 1, 3])
+def test_nearest_classes_against_all_distances(spark, m):
+    """Clusters of classes, ties, equal prototypes and a class of one; with few asked for, few distances are computed."""
+    rng = np.random.default_rng(6)
+    groups = rng.normal(size=(60, 3)) * 20
+    rows = [(f"c{i:02d}", groups[i] + rng.normal(size=3)) for i in range(60) for _ in range(50 if i else 1)]
+    rows += [("d0", groups[5] * 0 + 1), ("d1", groups[5] * 0 + 1), ("d2", groups[5] * 0 + 2), ("d3", groups[5] * 0)]
+    p = spark.createDataFrame([(i, c, v.tolist(), None, float((v**2).sum())) for i, (c, v) in enumerate(rows)], scoring.PROTOTYPES)
+    found = {}
+    for r in ov.class_distances(p, m).collect():
+        found.setdefault(r.a, ({}, r.computed))[0][r.b] = r.distance
+    names = sorted({c for c, _ in rows})
+    of = {c: np.array([v for k, v in rows if k == c]) for c in names}
+    taken = 0
+    for a in names:
+        want = {b: float(np.sqrt(((of[a][:, None] - of[b][None]) ** 2).sum(axis=2)).min()) for b in names if b != a}
+        near, n = found[a]
+        taken += n
+        assert all(near[b] == pytest.approx(want[b], abs=1e-12) for b in near)
+        if m is None:
+            assert near.keys() == want.keys()
+        else:
+            last = sorted(want.values())[m - 1]
+            assert {b for b, v in want.items() if v < last * (1 - 1e-9) or v == last} <= near.keys()
+    share = taken / (len(rows) ** 2)
+    assert share < (0.5 if m is None else 0.1), share
