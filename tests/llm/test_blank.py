@@ -3,7 +3,7 @@
 import pytest
 from helpers import docs_of
 
-from isthmus.llm import bwt_dedup, decontaminate, imatch, linedup, lm, packing, quality, recompress, rollup, simhash
+from isthmus.llm import align, bwt_dedup, decontaminate, imatch, linedup, lm, packing, quality, recompress, rollup, simhash
 
 CASES = {"blank": [None, "", "  \n"], "null": [None, None], "one": ["a single text"], "same": ["x y z"] * 5}
 
@@ -16,7 +16,7 @@ def test_rows(spark, case):
     items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
     for got in (
         lm.scored(docs), decontaminate.contaminated_spans(docs, items), packing.packed(docs), recompress.removed(docs), bwt_dedup.removed(docs), imatch.matched(docs),
-        simhash.near_duplicates(docs), simhash.similar(docs), linedup.deduplicated(docs), quality.scored(docs, labels),
+        simhash.near_duplicates(docs), simhash.similar(docs), linedup.deduplicated(docs), quality.scored(docs, labels), align.linked(docs),
     ):
         assert got.count() == len(texts)
     assert rollup.counted(docs).count() == 2 * len(texts)

@@ -6,9 +6,9 @@ import pytest
 from helpers import docs_of
 
 import corpus_pipeline as cp
-from isthmus.llm import bwt_dedup, decontaminate, imatch, linedup, lm, packing, quality, recompress, rollup, simhash
+from isthmus.llm import align, bwt_dedup, decontaminate, imatch, linedup, lm, packing, quality, recompress, rollup, simhash
 
-OPERATORS = {"lm": lm.scored, "packing": packing.packed, "imatch": imatch.matched, "simhash": simhash.near_duplicates, "counts": rollup.counted}
+OPERATORS = {"lm": lm.scored, "packing": packing.packed, "imatch": imatch.matched, "simhash": simhash.near_duplicates, "counts": rollup.counted, "align": align.linked}
 
 
 @pytest.fixture(scope="module")
