@@ -264,7 +264,7 @@ def removed(docs: DataFrame, window: int = WINDOW, step: int = STEP, gram: int =
         released()
 
     names = written(docs.select("o", "text", "tag").mapInArrow(name_rows, "name long, o long, tag long, i int"), "grams")
-    elsewhere = several(names, ["name"], F.struct("o", "tag"))
+    elsewhere = several(names, ["name"], F.xxhash64("o", "tag")).select("o", "tag", "i")
     shared = elsewhere.groupBy("o", "tag").agg(F.collect_set("i").alias("shared"))
 
     def segment_rows(batches: Iterator) -> Iterator:
