@@ -1,4 +1,4 @@
-"""The continuous overlap index: do prototypes that overlap in feature space have incompatible target distributions?
+"""The continuous separability index: do prototypes that overlap in feature space have incompatible target distributions?
 
 Targets are scaled and cut into cells; prototypes are fitted by cell; each sample
 votes for the best prototype other than its own; Wasserstein distances between the

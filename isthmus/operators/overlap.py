@@ -1,4 +1,4 @@
-"""The discrete overlap index: how often a class's samples score better for another class than for their own second prototype.
+"""The discrete separability index: how often a class's samples score better for another class than for their own second prototype.
 
 A sample of class y overlaps with class b if b's best score exceeds the second-best score of y's
 prototypes, or y owns one prototype only. Equal scores are no overlap.
