@@ -428,7 +428,9 @@ class ContinuousSeparability(_Params):
         self.prototype_stats_ = co.prototype_stats(self.prototype_targets_)
         self.adjacency_ = self._kept(co.adjacency(s.select("row_id", "features"), scorer, self.own_prototype_))
         support = self.prototype_targets_.groupBy("pid").agg(F.count("*").alias("support"))
-        losses = self._kept(co.local_losses(self.adjacency_, co.wasserstein(co.projected(self.prototype_targets_, directions), self.adjacency_, scratch), support))
+        distances = self._kept(co.wasserstein(co.projected(self.prototype_targets_, directions), self.adjacency_, scratch))
+        co.check_distances(distances)
+        losses = self._kept(co.local_losses(self.adjacency_, distances, support))
         self.actual_loss_ = co.overall_loss(losses).first()["loss"]
         # Targets move as a whole; prototypes are fitted anew for every permutation, all in one go.
         by_cell = backend.by_permutation(self.n_null_permutations)

@@ -299,6 +299,13 @@ def local_losses(adj: DataFrame, distances: DataFrame, support: DataFrame) -> Da
     return support.select("pid", "support").join(sums, "pid", "left").select("pid", "support", F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
 
+def check_distances(distances: DataFrame) -> None:
+    """ValueError if a distance is not finite, as between targets near the ends of what doubles hold."""
+    d = F.col("distance")
+    if distances.where(F.isnan(d) | (F.abs(d) == float("inf"))).limit(1).count():
+        raise ValueError("the distance of two target distributions is not finite")
+
+
 def overall_loss(losses: DataFrame) -> DataFrame:
     """One row: loss weighted by support."""
     return losses.agg(F.coalesce(F.sum(F.col("support") * F.col("loss")) / F.sum("support"), F.lit(0.0)).alias("loss"))

@@ -339,3 +339,9 @@ def test_reset_leaves_no_file(spark):
     assert set(os.listdir(shared_root(spark))) > before
     m.reset()
     assert set(os.listdir(shared_root(spark))) == before
+
+
+def test_distances_that_are_not_finite(spark):
+    x, y = separated()
+    with pytest.raises(ValueError, match="not finite"):
+        fit(spark, x, np.where(y > 0, 1.7e308, -1.7e308), target_scaling="none", kmeans_k=1)
