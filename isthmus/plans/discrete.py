@@ -219,16 +219,19 @@ def lloyd_fixed_iter(spark, d):
     return p.select(F.col("pid").cast("long").alias("pid"), "class", *(F.round(F.col("center")[i], 5).alias(f"c{i}") for i in (0, 1)))
 
 
+DEFAULT_K = 8
+
+
 def oi_kmeans(spark, d):
     s = tables.embeddings(spark, d)
-    pairs = ov.pairwise(s, proto.kmeans(s, 8, seed=0))
-    return ov.summary(ov.singleton(pairs, ov.support(s)))
+    pairs = ov.pairwise(s, proto.kmeans(s, DEFAULT_K, seed=0))
+    return ov.summary(ov.singleton(pairs, ov.support(s))).select(r6("index"), r6("weighted_index"), "n_classes")
 
 
 def oi_minibatch(spark, d):
     s = tables.embeddings(spark, d)
-    pairs = ov.pairwise(s, proto.minibatch_kmeans(s, 8, seed=0))
-    return ov.summary(ov.singleton(pairs, ov.support(s)))
+    pairs = ov.pairwise(s, proto.minibatch_kmeans(s, DEFAULT_K, seed=0))
+    return ov.summary(ov.singleton(pairs, ov.support(s))).select(r6("index"), r6("weighted_index"), "n_classes")
 
 
 ROUNDS, ROUND_K = 2, 3
@@ -566,18 +569,45 @@ def rounds_sql(running: bool = False) -> str:
     return ",\n".join(out)
 
 
-def plus_plus_sql() -> str:
-    """Starts of k-means++: each further one wins a race whose times are exponential with the squared distance as rate."""
-    out = [f"WITH {SAMPLES}, {drawn_sql()}", "z1 AS (SELECT label, arg_min(row_id, (u, row_id)) AS row_id FROM u GROUP BY label)",
-           "n1 AS (SELECT u.label, u.row_id, u.x, u.u, power(list_distance(u.x, q.x), 2) AS near FROM u JOIN z1 ON z1.label = u.label JOIN u q ON q.row_id = z1.row_id)"]
-    for i in range(2, ROUND_K + 1):
+def plus_plus_steps(k: int) -> list[str]:
+    """CTEs z1 .. zk(label, row_id), the starts of k-means++: each further one wins a race whose times are exponential with the squared distance as rate."""
+    out = ["z1 AS (SELECT label, arg_min(row_id, (u, row_id)) AS row_id FROM u GROUP BY label)", "n1 AS (SELECT u.label, u.row_id, u.x, u.u, power(list_distance(u.x, q.x), 2) AS near FROM u JOIN z1 ON z1.label = u.label JOIN u q ON q.row_id = z1.row_id)"]
+    for i in range(2, k + 1):
         turn = f"((u + {i - 1} * {proto.TURN!r}::DOUBLE) % 1.0)"
         out += [
             f"z{i} AS (SELECT label, arg_min(row_id, (CASE WHEN near > 0 THEN -ln({turn}) / near ELSE 1e300 * (1 + {turn}) END, row_id)) AS row_id FROM n{i - 1} GROUP BY label)",
-            f"n{i} AS (SELECT n.label, n.row_id, n.x, n.u, least(near, power(list_distance(n.x, q.x), 2)) AS near FROM n{i - 1} n JOIN z{i} z ON z.label = n.label JOIN s q ON q.row_id = z.row_id)",
+            f"n{i} AS MATERIALIZED (SELECT n.label, n.row_id, n.x, n.u, least(near, power(list_distance(n.x, q.x), 2)) AS near FROM n{i - 1} n JOIN z{i} z ON z.label = n.label JOIN s q ON q.row_id = z.row_id)",
         ]
+    return out
+
+
+def plus_plus_sql() -> str:
     every = " UNION ALL ".join(f"SELECT label, row_id, {i} AS l FROM z{i}" for i in range(1, ROUND_K + 1))
-    return ",\n".join(out) + f" SELECT row_number() OVER (ORDER BY label, l) - 1 AS pid, label AS class, row_id FROM ({every})"
+    return ",\n".join([f"WITH {SAMPLES}, {drawn_sql()}", *plus_plus_steps(ROUND_K)]) + f" SELECT row_number() OVER (ORDER BY label, l) - 1 AS pid, label AS class, row_id FROM ({every})"
+
+
+def converged_sql(running: bool, width: int = 64) -> str:
+    """CTEs up to p: prototypes of the default models, fitted until they stand still. The recursion's state is a class's list of centres; running: mini-batches that hold all rows of a class, as here, and means of all samples ever given; else k-means++ and Lloyd's algorithm."""
+    if running:
+        start = [f"q AS (SELECT label AS class, x AS c, row_number() OVER (PARTITION BY label ORDER BY u, row_id) AS l FROM u QUALIFY l <= {DEFAULT_K})"]
+        go_on = f"moved >= {proto.STILL!r} AND t < 100"
+        new = "{'l': e.l, 'c': list_transform(list_zip(e.c, m.s), lambda z: z[1] + (z[2] - m.n * z[1]) / (e.seen + m.n)), 'seen': e.seen + m.n}"
+    else:
+        every = " UNION ALL ".join(f"SELECT label, row_id, {i} AS l FROM z{i}" for i in range(1, DEFAULT_K + 1))
+        start = [*plus_plus_steps(DEFAULT_K), f"q AS (SELECT e.label AS class, s.x AS c, l FROM ({every}) e JOIN s ON s.row_id = e.row_id JOIN (SELECT label, count(*) AS n FROM s GROUP BY label) n ON n.label = e.label WHERE l <= n)"]
+        go_on = "moved > tol AND t < 300"
+        new = "{'l': e.l, 'c': list_transform(m.s, lambda z: z / m.n), 'seen': 0}"
+    sums = ", ".join(f"sum(x[{i}])" for i in range(1, width + 1))
+    spread = " + ".join(f"var_pop(x[{i}])" for i in range(1, width + 1))
+    return ",\n".join([f"WITH RECURSIVE {SAMPLES}, {drawn_sql(0)}", *start, f"tl AS (SELECT label, 1e-4::DOUBLE * ({spread}) / {width} AS tol FROM s GROUP BY label)",
+        f"""km AS (SELECT class, 0 AS t, list({{'l': l, 'c': c, 'seen': 0::BIGINT}} ORDER BY l) AS cs, 1e300::DOUBLE AS moved FROM q GROUP BY class
+UNION ALL SELECT class, t + 1, cs, list_sum(list_transform(cs, lambda e: power(list_distance(e.c, old[e.l].c), 2))) FROM (
+SELECT class, t, old, list_transform(old, lambda e: coalesce(list_transform(list_filter(ms, lambda m: m.l = e.l), lambda m: {new})[1], e)) AS cs FROM (
+SELECT class, t, any_value(cs) AS old, list({{'l': own, 's': sums, 'n': n}}) AS ms FROM (
+SELECT class, t, own, any_value(cs) AS cs, [{sums}] AS sums, count(*) AS n FROM (
+SELECT class, t, cs, s.x, list_sort(list_transform(cs, lambda e: {{'d': power(list_distance(s.x, e.c), 2), 'l': e.l}}))[1].l AS own FROM km JOIN s ON s.label = km.class JOIN tl ON tl.label = km.class WHERE {go_on}
+) GROUP BY class, t, own) GROUP BY class, t)))""",
+        "p AS (SELECT row_number() OVER (ORDER BY class, e.l) - 1 AS pid, class, e.c AS c, NULL AS first_ord, NULL::DOUBLE AS r2 FROM (SELECT class, unnest(cs) AS e FROM km QUALIFY t = max(t) OVER (PARTITION BY class)))"])
 
 
 def parallel_sql() -> str:
@@ -678,6 +708,8 @@ def sql() -> dict[str, str]:
         "kmeans_fixed_rounds": f"{rounds_sql()} {CENTER_OUT}",
         "minibatch_fixed_rounds": f"{rounds_sql(True)} {CENTER_OUT}",
         "kmeans_plus_plus": plus_plus_sql(),
+        "oi_kmeans": f"{converged_sql(False)}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}",
+        "oi_minibatch": f"{converged_sql(True)}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}",
         "kmeans_parallel": parallel_sql(),
         "oi_kmeans_fixed": f"{rounds_sql()}, {SCORES}, {PAIRS}, {SINGLE} {summary_out()}",
         "est_fit": est,
@@ -708,7 +740,7 @@ def sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    names = [*sql(), "oi_kmeans", "oi_minibatch"]
+    names = [*sql()]
     return {n: globals()[n] for n in names}
 
 
