@@ -44,7 +44,7 @@ def quantile_cells(spark, d):
 
 def kmeans_cells(spark, d):
     s = co.scaled_targets(tables.parts(spark, d, ("p_retailprice", "p_size")))
-    return co.kmeans_cells(s, 6).groupBy("cell").agg(F.count("*").alias("n"))
+    return co.kmeans_cells(s, 6).groupBy(F.col("cell").cast("long").alias("cell")).agg(F.count("*").alias("n"))
 
 
 def _fit(spark, d, target=("p_retailprice",)):
@@ -273,7 +273,11 @@ def sql() -> dict[str, str]:
     step = """a{n} AS (SELECT row_id, y, y2, arg_min(l, (power(y - a, 2) + power(y2 - b, 2), l)) AS l FROM s, q{m} GROUP BY row_id, y, y2),
 q{n} AS (SELECT l, avg(y) AS a, avg(y2) AS b FROM a{n} GROUP BY l)"""
     part = "WITH y AS (SELECT p_partkey AS row_id, p_retailprice AS y FROM part) SELECT row_id, round({}, 6) AS y FROM y"
+    from .discrete import converged_sql
+
+    targets = """s AS (SELECT p_partkey AS row_id, [(p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ()] AS x, 't' AS label FROM part)"""
     return {
+        "kmeans_cells": f"{converged_sql(False, 2, 6, targets)} SELECT cell, count(*) AS n FROM (SELECT arg_min(p.pid, (power(list_distance(s.x, p.c), 2), p.pid)) AS cell FROM s, p GROUP BY s.row_id) GROUP BY cell",
         "target_scale_none": part.format("y"),
         "target_scale_standard": part.format("round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 9)"),
         "target_scale_minmax": part.format("(y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ())"),
@@ -311,4 +315,4 @@ SELECT cell, count(*) AS n, round(min(y), 6) AS lo, round(max(y2), 6) AS hi FROM
 
 def queries() -> dict:
     out = {f"target_scale_{h}": _scaled(h) for h in co.SCALINGS}
-    return out | {n: globals()[n] for n in [*sql(), "kmeans_cells"] if n not in out}
+    return out | {n: globals()[n] for n in sql() if n not in out}

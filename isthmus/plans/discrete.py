@@ -586,20 +586,20 @@ def plus_plus_sql() -> str:
     return ",\n".join([f"WITH {SAMPLES}, {drawn_sql()}", *plus_plus_steps(ROUND_K)]) + f" SELECT row_number() OVER (ORDER BY label, l) - 1 AS pid, label AS class, row_id FROM ({every})"
 
 
-def converged_sql(running: bool, width: int = 64) -> str:
+def converged_sql(running: bool, width: int = 64, k: int = DEFAULT_K, samples: str = SAMPLES) -> str:
     """CTEs up to p: prototypes of the default models, fitted until they stand still. The recursion's state is a class's list of centres; running: mini-batches that hold all rows of a class, as here, and means of all samples ever given; else k-means++ and Lloyd's algorithm."""
     if running:
-        start = [f"q AS (SELECT label AS class, x AS c, row_number() OVER (PARTITION BY label ORDER BY u, row_id) AS l FROM u QUALIFY l <= {DEFAULT_K})"]
+        start = [f"q AS (SELECT label AS class, x AS c, row_number() OVER (PARTITION BY label ORDER BY u, row_id) AS l FROM u QUALIFY l <= {k})"]
         go_on = f"moved >= {proto.STILL!r} AND t < 100"
         new = "{'l': e.l, 'c': list_transform(list_zip(e.c, m.s), lambda z: z[1] + (z[2] - m.n * z[1]) / (e.seen + m.n)), 'seen': e.seen + m.n}"
     else:
-        every = " UNION ALL ".join(f"SELECT label, row_id, {i} AS l FROM z{i}" for i in range(1, DEFAULT_K + 1))
-        start = [*plus_plus_steps(DEFAULT_K), f"q AS (SELECT e.label AS class, s.x AS c, l FROM ({every}) e JOIN s ON s.row_id = e.row_id JOIN (SELECT label, count(*) AS n FROM s GROUP BY label) n ON n.label = e.label WHERE l <= n)"]
+        every = " UNION ALL ".join(f"SELECT label, row_id, {i} AS l FROM z{i}" for i in range(1, k + 1))
+        start = [*plus_plus_steps(k), f"q AS (SELECT e.label AS class, s.x AS c, l FROM ({every}) e JOIN s ON s.row_id = e.row_id JOIN (SELECT label, count(*) AS n FROM s GROUP BY label) n ON n.label = e.label WHERE l <= n)"]
         go_on = "moved > tol AND t < 300"
         new = "{'l': e.l, 'c': list_transform(m.s, lambda z: z / m.n), 'seen': 0}"
     sums = ", ".join(f"sum(x[{i}])" for i in range(1, width + 1))
     spread = " + ".join(f"var_pop(x[{i}])" for i in range(1, width + 1))
-    return ",\n".join([f"WITH RECURSIVE {SAMPLES}, {drawn_sql(0)}", *start, f"tl AS (SELECT label, 1e-4::DOUBLE * ({spread}) / {width} AS tol FROM s GROUP BY label)",
+    return ",\n".join([f"WITH RECURSIVE {samples}, {drawn_sql(0)}", *start, f"tl AS (SELECT label, 1e-4::DOUBLE * ({spread}) / {width} AS tol FROM s GROUP BY label)",
         f"""km AS (SELECT class, 0 AS t, list({{'l': l, 'c': c, 'seen': 0::BIGINT}} ORDER BY l) AS cs, 1e300::DOUBLE AS moved FROM q GROUP BY class
 UNION ALL SELECT class, t + 1, cs, list_sum(list_transform(cs, lambda e: power(list_distance(e.c, old[e.l].c), 2))) FROM (
 SELECT class, t, old, list_transform(old, lambda e: coalesce(list_transform(list_filter(ms, lambda m: m.l = e.l), lambda m: {new})[1], e)) AS cs FROM (
