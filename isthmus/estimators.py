@@ -225,7 +225,8 @@ class DiscreteSeparability(_Params):
         s, many = self._labelled(samples)
         if many:
             raise NotImplementedError("online models take one label for each sample")
-        s = s.select("ord", "row_id", "features", F.col("labels")[0].alias("label")).persist(StorageLevel.DISK_ONLY)
+        s = s.select("ord", "row_id", "features", F.col("labels")[0].alias("label"))
+        s = s.repartition(s.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.DISK_ONLY)
         if s.count():
             return s
         s.unpersist()
@@ -329,16 +330,23 @@ class DiscreteSeparability(_Params):
             return super().predict(samples)
         if not self.learner_.n:
             raise ValueError("the estimator has not been fitted")
-        held = samples.sparkSession.sparkContext.broadcast(self.learner_.dump())
+        context = samples.sparkSession.sparkContext
+        (block,) = replay.blocks_of(self.learner_, None, self.learner_.w.nbytes + 1)
+        held = context.broadcast(block)
 
         def run(batches):
             import pyarrow as pa
 
-            learner = ArtLearner.restore(held.value)
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([learner.predict(x) for x in b.column(1).to_pylist()], pa.int32())], names=["row_id", "pid"])
-
-        return samples.select(F.col("row_id").cast("long"), F.col("features").cast("array<double>")).mapInArrow(run, "row_id long, pid int")
+                x = scoring.matrix(b.column(1))
+                if not len(x):
+                    continue
+                if not ((x >= 0) & (x <= 1)).all():
+                    raise ValueError("features must be finite and lie in the unit interval [0, 1]")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.best(x).astype("int32"))], names=["row_id", "pid"])
+
+        rows = samples.select(F.col("row_id").cast("long"), F.col("features").cast("array<double>"))
+        return rows.repartition(context.defaultParallelism).mapInArrow(run, "row_id long, pid int")
 
     def top2(self, samples: DataFrame) -> DataFrame:
         """row_id, rank, pid, score of the two best prototypes of each sample."""

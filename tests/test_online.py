@@ -266,3 +266,50 @@ def test_restart_from_a_checkpoint(spark, tmp_path, monkeypatch, kind):
             assert (found[s].samples, found[s].categories, found[s]["index"], found[s].warning) == (sum(m.support.values()), m.n, pytest.approx(m.index()), None)
         assert m.n > 8
     assert got[2]["lonely"].warning.startswith("one class only")
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize("rho", [0.3, 0.8, 1.0])
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", 0.5)])
+def test_leaves_give_what_all_categories_give(spark, monkeypatch, kind, r_hat, rho):
+    """Small leaves against a plain loop: learning, counting by batch and by sample, prediction; with repeated samples of other labels."""
+    from isthmus.operators import art, leaves, replay
+
+    monkeypatch.setattr(art, "FEW", 4)
+    monkeypatch.setattr(leaves, "LEAF", 3)
+    monkeypatch.setattr(replay, "LEAF", 3)
+    monkeypatch.setattr(replay, "NEAR", 4)
+    rng = np.random.default_rng(13)
+    x = rng.random((140, 2)).round(2)
+    x[100:] = x[:40]
+    y = [f"c{i}" for i in rng.integers(0, 3, 140)]
+    rows = [(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    fast, slow = ArtLearner(kind, rho, r_hat), Plain(kind, rho, r_hat, 2)
+    assert fast.fit_batch(x[:50], y[:50]) == pytest.approx(slow.fit(rows[:50]))
+    assert fast.add_batch(x[50:90], y[50:90]) == pytest.approx(slow.batch(rows[50:90]))
+    for a, b, (i, _) in zip(x[90:], y[90:], rows[90:], strict=True):
+        assert fast.add_sample(a, b) == pytest.approx(slow.one(i, b))
+    assert fast.adj == slow.adj and np.allclose(fast.w, [c[0] for c in slow.cats])
+    m = DiscreteSeparability(model_type=kind, rho=rho, r_hat=r_hat)
+    m.learner_ = fast
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "row_id long, features array<double>")
+    assert [r.pid for r in m.predict(df).orderBy("row_id").collect()] == [fast.predict(a) for a in x] == [int(fast.scores(a).argmax()) for a in x]
+
+
+def test_a_sample_meets_few_categories(monkeypatch):
+    """Of 4,000 categories a sample is compared with a small part when it is learnt, counted and placed."""
+    from isthmus.operators import replay
+
+    met = [0]
+    judge, score = ArtLearner._choice_match, replay.choices
+    monkeypatch.setattr(ArtLearner, "_choice_match", lambda m, x, some=None: [met.__setitem__(0, met[0] + (m.n if some is None else len(some))), judge(m, x, some)][1])
+    monkeypatch.setattr(replay, "choices", lambda kind, w, radius, alpha, full, x: [met.__setitem__(0, met[0] + len(w) * len(x)), score(kind, w, radius, alpha, full, x)][1])
+    rng = np.random.default_rng(14)
+    x, y = rng.random((4000, 2)), [f"c{i}" for i in rng.integers(0, 4, 4000)]
+    m = ArtLearner("Fuzzy", 1.0)
+    m.fit_batch(x, y)
+    assert m.n == 4000 and met[0] < 0.25 * 4000 * 4000
+    met[0] = 0
+    for u, v in zip(x[:200], y[:200], strict=True):
+        m.add_sample(u, v), m.predict(u)
+    assert met[0] < 0.25 * 3 * 200 * 4000
