@@ -83,9 +83,13 @@ def quantiles(values: DataFrame, probs: list[float], rows: int | None = None) ->
     if rows < SORTED_QUANTILES:
         got = values.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
         return {r["g"]: list(r["q"]) for r in got}
+    # Written once: rounds read plain numbers, instead of working out the values again each time.
+    scratch = Scratch(values.sparkSession)
+    values = scratch.written(values.select("g", F.col("v").cast("double").alias("v")), "values")
     sizes = {r["g"]: r["k"] for r in values.groupBy("g").agg(F.count("*").alias("k")).collect()}
     ends = {g: [(math.floor(p * (k - 1)), math.ceil(p * (k - 1)), p * (k - 1)) for p in probs] for g, k in sizes.items()}
     found = selected(values, {g: {r for lo, hi, _ in e for r in (lo, hi)} for g, e in ends.items()}, sizes)
+    scratch.discard()
     out: dict = {}
     for g, e in ends.items():
         out[g] = []
@@ -125,6 +129,9 @@ def selected(values: DataFrame, ranks: dict, sizes: dict) -> dict:
         cuts: dict[int, list] = {}
         for r in sketch:
             cuts.setdefault(r["i"], []).extend(r["s"])
+        # A bracket's ends cut too: a place behind its last splitter would else fall into all that lies up to the next bracket's first one.
+        for i, bs in brackets.items():
+            cuts[i] += [end for b in bs for end in b[:2] if math.isfinite(end)]
         cuts_of = {i: np.unique(np.array(c)) for i, c in cuts.items()}
         counted = values.select("g", F.col("v").cast("double").alias("v")).mapInArrow(_cells(names, cuts_of), "i int, cell int, n long").groupBy("i", "cell").agg(F.sum("n").alias("n")).collect()
         counts = {i: np.zeros(2 * len(c) + 1, np.int64) for i, c in cuts_of.items()}

@@ -50,7 +50,8 @@ def scaled_targets(samples: DataFrame, how: str = "standard", digits: int | None
             r = samples.agg(*aggs).first()
             center, scale = ([r[f"{n}{j}"] for j in range(d)] for n in "cs")
         scale = [v if abs(v) > EPS else 1.0 for v in scale]
-        samples = samples.withColumn("target", F.array(*((F.col("target")[j] - F.lit(center[j])) / F.lit(scale[j]) for j in range(d))))
+        scaled = [(F.col("target")[j] - F.lit(center[j])) / F.lit(scale[j]) for j in range(d)]
+        return samples.withColumn("target", F.array(*(scaled if digits is None else (F.round(v, digits) for v in scaled))))
     if digits is not None:
         samples = samples.withColumn("target", F.transform("target", lambda v: F.round(v, digits)))
     return samples

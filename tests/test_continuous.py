@@ -345,3 +345,19 @@ def test_distances_that_are_not_finite(spark):
     x, y = separated()
     with pytest.raises(ValueError, match="not finite"):
         fit(spark, x, np.where(y > 0, 1.7e308, -1.7e308), target_scaling="none", kmeans_k=1)
+
+
+def test_quantiles_close_in_at_every_round(spark, monkeypatch):
+    """Places wanted lie beside splitters of the first round; each round cuts their brackets, and none grows beyond its ends."""
+    from isthmus.functions import session
+
+    rng = np.random.default_rng(3)
+    v = rng.random(20_000)
+    df = spark.createDataFrame([(0, float(x)) for x in v], "g int, v double").repartition(4)
+    for n, value in (("SORTED_QUANTILES", 1), ("FETCHED", 400), ("SPLITTERS", 63)):
+        monkeypatch.setattr(session, n, value)
+    rounds, cells = [], session._cells
+    monkeypatch.setattr(session, "_cells", lambda *a: [rounds.append(1), cells(*a)][1])
+    probs = [i / 8 for i in range(1, 8)]
+    assert np.allclose(session.quantiles(df, probs)[0], np.quantile(v, probs), rtol=0, atol=1e-12)
+    assert len(rounds) <= 2
