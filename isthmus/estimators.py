@@ -12,6 +12,7 @@ import math
 import warnings
 from array import array
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,8 +239,21 @@ class DiscreteSeparability(_Params):
 
     @staticmethod
     def _stream(s: DataFrame, *order: str):
-        for r in s.orderBy(*order).toLocalIterator():
-            yield r["features"], r["label"]
+        """Features, as matrices, and labels of the samples in order, an Arrow batch at a time."""
+        import pyarrow as pa
+
+        def packed(batches):
+            for b in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+        for r in s.orderBy(*order).select("features", "label").mapInArrow(packed, "rows binary").toLocalIterator():
+            with pa.ipc.open_stream(r["rows"]) as rows:
+                for b in rows:
+                    if b.num_rows:
+                        yield scoring.matrix(b.column(0)), b.column(1).to_pylist()
 
     def _fit_online(self, samples: DataFrame, reset_state: bool) -> DiscreteSeparability:
         """Trains on the samples, then counts each with every category visible, by the best category of its label."""
@@ -248,7 +262,7 @@ class DiscreteSeparability(_Params):
             self.learner_.reset_counters()
         if s is not None:
             for x, y in self._stream(s, "ord", "row_id"):
-                self.learner_.learn(x, y)
+                self.learner_.learn_rows(x, y)
             self.learner_.counted(replay.counts(s, self.learner_))
             s.unpersist()
         self._from_learner()
@@ -269,10 +283,12 @@ class DiscreteSeparability(_Params):
 
         place = 0
         for x, y in self._stream(placed, "place"):
-            got.append(learner.learn(x, y))
-            first.setdefault(got[-1], place)
-            place += 1
-            if len(got) == self.LEARNT_AT_ONCE:
+            categories = learner.learn_rows(x, y)
+            for j, at in zip(*(a.tolist() for a in np.unique(categories, return_index=True)), strict=True):
+                first.setdefault(j, place + at)
+            got.extend(categories.tolist())
+            place += len(categories)
+            if len(got) >= self.LEARNT_AT_ONCE:
                 flush(place)
         flush(place)
         return first

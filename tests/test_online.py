@@ -313,3 +313,44 @@ def test_a_sample_meets_few_categories(monkeypatch):
     for u, v in zip(x[:200], y[:200], strict=True):
         m.add_sample(u, v), m.predict(u)
     assert met[0] < 0.25 * 3 * 200 * 4000
+
+
+def test_vigilance_1_looks_categories_up(monkeypatch):
+    """Learning 3,000 samples, each twice, compares them with hardly any category."""
+    met = [0]
+    judge = ArtLearner._choice_match
+    monkeypatch.setattr(ArtLearner, "_choice_match", lambda m, x, some=None: [met.__setitem__(0, met[0] + (m.n if some is None else len(some))), judge(m, x, some)][1])
+    rng = np.random.default_rng(15)
+    x, y = rng.random((3000, 2)), [f"c{i}" for i in rng.integers(0, 4, 3000)]
+    for kind in ("Fuzzy", "Hypersphere"):
+        m = ArtLearner(kind, 1.0)
+        first = list(m.learn_all(zip(x, y, strict=True)))
+        assert first == list(range(3000)) and list(m.learn_all(zip(x, y, strict=True))) == first
+    assert met[0] < 3000
+
+
+@pytest.mark.parametrize("rho", [1.0, 1 - 1e-15, 1 - 1e-12, 1 - 1e-7])
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", 0.5), ("Hypersphere", np.inf)])
+def test_looked_up_categories_are_those_of_a_plain_loop(kind, r_hat, rho):
+    """Equal samples of one and of several labels, samples that differ in the last digits, and samples at the edges of cells; in bulk, one by one, and after a restart."""
+    from isthmus.operators import cells
+
+    rng = np.random.default_rng(16)
+    x = rng.random((60, 3)).round(1)
+    edge = (np.floor(x[:20] / cells.SIDE) * cells.SIDE - cells.OFF).clip(0, 1)
+    close = np.concatenate([x[:30], edge]) + rng.choice([0, 1e-16, 2e-15, 1e-13, 1e-12], (50, 3))
+    x = np.concatenate([x, edge, close.clip(0, 1), x[:40], edge, rng.random((20, 3))])
+    y = [f"c{i}" for i in rng.integers(0, 3, len(x))]
+    for i in range(0, len(x), 3):
+        y[i] = "c0"
+    slow = Plain(kind, rho, r_hat, 3)
+    want = [slow.learn(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    bulk, single = ArtLearner(kind, rho, r_hat), ArtLearner(kind, rho, r_hat)
+    assert [single.learn(a, b) for a, b in zip(x, y, strict=True)] == want
+    got = bulk.learn_rows(x[:70], y[:70]).tolist()
+    bulk = ArtLearner.restore(bulk.dump())
+    assert got + bulk.learn_rows(x[70:], y[70:]).tolist() == want
+    for m in (bulk, single):
+        assert m.owner == [c[2] for c in slow.cats] and (m.w == [c[0] for c in slow.cats]).all() and (m.radius == [c[1] for c in slow.cats]).all()
+    with pytest.raises(ValueError, match="unit interval"):
+        bulk.learn_rows(np.array([[0.05, 0.05, 0.05], [2.0, 0, 0]]), ["c0", "c1"])
