@@ -354,3 +354,24 @@ def test_looked_up_categories_are_those_of_a_plain_loop(kind, r_hat, rho):
         assert m.owner == [c[2] for c in slow.cats] and (m.w == [c[0] for c in slow.cats]).all() and (m.radius == [c[1] for c in slow.cats]).all()
     with pytest.raises(ValueError, match="unit interval"):
         bulk.learn_rows(np.array([[0.05, 0.05, 0.05], [2.0, 0, 0]]), ["c0", "c1"])
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_categories_of_stream_state_are_looked_up(monkeypatch):
+    """Batches at vigilance 1 on categories read from state give what one learner gives, and learning them meets hardly any category."""
+    rng = np.random.default_rng(17)
+    x, y = rng.random((900, 2)).round(2), [f"c{i}" for i in rng.integers(0, 3, 900)]
+    whole, parts = ArtLearner("Fuzzy", 1.0), ArtLearner("Fuzzy", 1.0)
+    met = [0]
+    judge = ArtLearner._choice_match
+    for a in range(0, 900, 300):
+        whole.add_batch(x[a : a + 300], y[a : a + 300])
+        kept = ArtLearner("Fuzzy", 1.0)
+        if parts.n:
+            kept.put_categories(parts.w.copy(), parts.radius.copy(), parts.owner)
+            kept.support, kept.adj, kept.pairwise, kept.singleton = parts.support, parts.adj, parts.pairwise, parts.singleton
+        parts = kept
+        monkeypatch.setattr(ArtLearner, "_choice_match", lambda m, x, some=None: [met.__setitem__(0, met[0] + (m.n if some is None else len(some))), judge(m, x, some)][1])
+        parts.add_batch(x[a : a + 300], y[a : a + 300])
+        monkeypatch.setattr(ArtLearner, "_choice_match", judge)
+    assert (parts.adj, parts.support, parts.owner) == (whole.adj, whole.support, whole.owner) and met[0] < 900
