@@ -23,7 +23,7 @@ from isthmus.operators import continuous as co
 from isthmus.operators import labels as lab
 from isthmus.operators import overlap as ov
 from isthmus.operators import replay, scoring, validation
-from isthmus.operators.art import ArtLearner
+from isthmus.operators.art import ArtLearner, states
 
 ONLINE = ("Fuzzy", "Hypersphere")
 
@@ -33,6 +33,12 @@ def models() -> tuple[str, ...]:
     return (*ONLINE, *backends.BACKENDS)
 
 
+def _reached(first: dict[int, int], categories: np.ndarray, place: int) -> None:
+    """Adds categories of samples from a place on to those reached before, with the place of each one's first sample."""
+    for j, at in zip(*(a.tolist() for a in np.unique(categories, return_index=True)), strict=True):
+        first.setdefault(j, place + at)
+
+
 class _Params:
     @classmethod
     def _names(cls) -> list[str]:
@@ -236,6 +242,8 @@ class DiscreteSeparability(_Params):
 
     #: Samples whose categories the driver holds before it writes them down.
     LEARNT_AT_ONCE = 1 << 20
+    #: Weights of categories as they were before they moved that the driver holds before it counts the samples so far.
+    LEFT_AT_ONCE = 1 << 22
 
     @staticmethod
     def _stream(s: DataFrame, *order: str):
@@ -268,29 +276,28 @@ class DiscreteSeparability(_Params):
         self._from_learner()
         return self
 
+    @staticmethod
+    def _noted(spark: SparkSession, got: array, upto: int, path: str) -> None:
+        """Writes down categories (place, category) of samples before a place."""
+        import pyarrow as pa
+
+        rows = pa.table({"place": pa.array(range(upto - len(got), upto), pa.int64()), "category": pa.array(got, pa.int64())})
+        spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(path)
+
     def _learnt(self, placed: DataFrame, path: str) -> dict[int, int]:
         """Trains on samples in the order of their places and writes down their categories (place, category); the categories reached so far, and from which place on (-1: before this batch)."""
         spark, learner = placed.sparkSession, self.learner_
         first = dict.fromkeys(learner.seen, -1)
-        got = array("q")
-
-        def flush(upto: int) -> None:
-            import pyarrow as pa
-
-            rows = pa.table({"place": pa.array(range(upto - len(got), upto), pa.int64()), "category": pa.array(got, pa.int64())})
-            spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(path)
-            del got[:]
-
-        place = 0
+        got, place = array("q"), 0
         for x, y in self._stream(placed, "place"):
             categories = learner.learn_rows(x, y)
-            for j, at in zip(*(a.tolist() for a in np.unique(categories, return_index=True)), strict=True):
-                first.setdefault(j, place + at)
+            _reached(first, categories, place)
             got.extend(categories.tolist())
             place += len(categories)
             if len(got) >= self.LEARNT_AT_ONCE:
-                flush(place)
-        flush(place)
+                self._noted(spark, got, place, path)
+                del got[:]
+        self._noted(spark, got, place, path)
         return first
 
     def partial_fit(self, samples: DataFrame) -> DiscreteSeparability:
@@ -310,6 +317,43 @@ class DiscreteSeparability(_Params):
             self._from_learner()
         return self
 
+    def add_samples(self, samples: DataFrame) -> float:
+        """What add_sample gives for the samples one after another, in order; online models only. The driver learns them, and each LEARNT_AT_ONCE of them (or fewer, if categories move a lot) are counted by a pass over these, against the categories as they stood after each sample."""
+        if not self.is_online:
+            raise NotImplementedError("offline models are fitted on whole batches")
+        s = self._ordered(samples)
+        if s is None:
+            return self.index
+        spark, learner, scratch = s.sparkSession, self.learner_, Scratch(s.sparkSession)
+        placed = numbered(s.select("ord", "row_id", "features", "label"), ["ord", "row_id"], "place", scratch)
+        first, got, left, place = dict.fromkeys(learner.seen, -1), array("q"), [], 0
+
+        def count() -> None:
+            path = scratch.path("categories")
+            self._noted(spark, got, place, path)
+            categories = spark.read.schema("place long, category long").parquet(path)
+            now, earlier = states(first, left)
+            learner.counted(replay.counts(placed.join(categories, "place"), learner, now, earlier=earlier), first)
+            del got[:], left[:]
+
+        for x, y in self._stream(placed, "place"):
+            if not place:
+                learner.warn_of(y[0])
+            moved: list = []
+            categories = learner.learn_rows(x, y, moved)
+            left += [(place + i, *was) for i, *was in moved]
+            _reached(first, categories, place)
+            got.extend(categories.tolist())
+            place += len(categories)
+            if len(got) >= self.LEARNT_AT_ONCE or len(left) * 2 * x.shape[1] >= self.LEFT_AT_ONCE:
+                count()
+        if got:
+            count()
+        scratch.discard()
+        s.unpersist()
+        self._from_learner()
+        return self.index
+
     def add_sample(self, x, y) -> float:
         """Learns one sample; online models only."""
         if not self.is_online:

@@ -375,3 +375,54 @@ def test_categories_of_stream_state_are_looked_up(monkeypatch):
         parts.add_batch(x[a : a + 300], y[a : a + 300])
         monkeypatch.setattr(ArtLearner, "_choice_match", judge)
     assert (parts.adj, parts.support, parts.owner) == (whole.adj, whole.support, whole.owner) and met[0] < 900
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize(("rho", "block_bytes", "at_once"), [(0.5, 1 << 30, 1 << 20), (0.7, 1, 40), (0.9, 1 << 30, 40), (1.0, 1, 1 << 20)])
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", 0.5)])
+def test_samples_counted_in_one_pass(spark, monkeypatch, kind, r_hat, rho, block_bytes, at_once):
+    """add_samples of a table and of a list against a plain loop of single samples, on top of a batch; categories move between the samples, labels come up late."""
+    from isthmus.operators import leaves, replay
+
+    monkeypatch.setattr(replay.counts, "__defaults__", (None, block_bytes))
+    monkeypatch.setattr(replay, "AT_ONCE", 500)
+    monkeypatch.setattr(replay, "LEAF", 3)
+    monkeypatch.setattr(leaves, "LEAF", 3)
+    monkeypatch.setattr(replay, "NEAR", 4)
+    monkeypatch.setattr(DiscreteSeparability, "LEARNT_AT_ONCE", at_once)
+    monkeypatch.setattr(DiscreteSeparability, "_stream", _few_at_a_time(DiscreteSeparability._stream))
+    rng = np.random.default_rng(18)
+    x = np.concatenate([rng.random((60, 2)).round(1), rng.random((60, 2))])
+    x = x[rng.permutation(120)]
+    y = [f"c{i}" for i in rng.integers(0, 3, 100)] + ["c1"] * 10 + ["new"] * 10
+    rows = [(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([(i, i, a.tolist(), b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_id long, ord long, features array<double>, label string").repartition(5)
+    for start in (0, 30):
+        m, local, slow = DiscreteSeparability(model_type=kind, rho=rho, r_hat=r_hat), ArtLearner(kind, rho, r_hat), Plain(kind, rho, r_hat, 2)
+        if start:
+            m.add_batch(df.where(f"ord < {start}")), local.add_batch(x[:start], y[:start]), slow.batch(rows[:start])
+        index = [slow.one(*r) for r in rows[start:]][-1]
+        assert m.add_samples(df.where(f"ord >= {start}")) == pytest.approx(index) and local.add_samples(x[start:], y[start:]) == pytest.approx(index)
+        for got in (m.learner_, local):
+            assert got.adj == slow.adj and got.support == slow.card and got.pairwise == pytest.approx(slow.pair) and got.singleton == pytest.approx(slow.single)
+            assert np.allclose(got.w, [c[0] for c in slow.cats])
+        assert m.add_sample(x[3], y[3]) == pytest.approx(slow.one(*rows[3])) and m.learner_.adj == slow.adj
+
+
+def _few_at_a_time(stream):
+    def run(s, *order):
+        for x, y in stream(s, *order):
+            for i in range(0, len(y), 3):
+                yield x[i : i + 3], y[i : i + 3]
+
+    return staticmethod(run)
+
+
+def test_single_samples_warn_of_one_class():
+    m, (x, y) = ArtLearner("Fuzzy", 0.8), samples(6, 40)
+    with pytest.warns(RuntimeWarning, match="one class"):
+        m.add_samples(x, y)
+    one = DiscreteSeparability(model_type="Fuzzy")
+    with pytest.raises(NotImplementedError):
+        DiscreteSeparability().add_samples(None)
+    assert one.learner_.add_samples([], []) == 1.0
