@@ -426,3 +426,44 @@ def test_single_samples_warn_of_one_class():
     with pytest.raises(NotImplementedError):
         DiscreteSeparability().add_samples(None)
     assert one.learner_.add_samples([], []) == 1.0
+
+
+def test_state_has_no_more_partitions_than_keys(spark, tmp_path):
+    """State partitions are opened in every micro-batch; the session keeps its own number of partitions."""
+    x, y = samples(3, 20)
+    spark.createDataFrame([(f"s{i % 2}", i, u, v) for i, (u, v) in enumerate(zip(x, y, strict=True))], KIND).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(KIND).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = online.run_to_end(online.learn_stream(stream, "batch", kind="Fuzzy", rho=1.0), f"{tmp_path}/out", f"{tmp_path}/checkpoint", keys=2)
+    assert out.count() == 2 and spark.conf.get("spark.sql.shuffle.partitions") == before != "2"
+    assert sorted(p.name for p in (tmp_path / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()) == ["0", "1"]
+
+
+@pytest.mark.parametrize("width", [1, 4, 7, 8, 10])
+def test_choices_by_columns_are_those_of_row_sums(width):
+    """Bit for bit, as ties decide."""
+    from isthmus.operators.art import choices
+
+    rng = np.random.default_rng(width)
+    x, w, radius = rng.random((5, width)), rng.random((9, width)), rng.random(9) / 4
+    both, d = np.minimum(w, x[:, None, :]).sum(axis=-1), np.sqrt(((w - x[:, None, :]) ** 2).sum(axis=-1))
+    assert (choices("Fuzzy", w, radius, 1e-10, 1.0, x) == both / (1e-10 + w.sum(axis=1))).all()
+    assert (choices("Hypersphere", w, radius, 1e-10, 1.0, x) == (1.0 - np.maximum(radius, d)) / (1.0 - radius + 1e-10)).all()
+    assert (choices("Fuzzy", w, radius, 1e-10, 1.0, x[0]) == both[0] / (1e-10 + w.sum(axis=1))).all()
+
+
+def test_best_categories_are_taken_in_the_order_of_score_and_number():
+    """Equal scores go to the lower number, whichever leaf it lies in; categories that aren't visible are none."""
+    from isthmus.operators.replay import _NONE, Categories
+
+    rng = np.random.default_rng(4)
+    n = 400
+    w = rng.integers(0, 3, (n, 2)) / 4 + 0.25
+    w = np.concatenate([w, 1 - w], axis=1)
+    block = Categories("Fuzzy", 1e-10, 1.0, ["a"], rng.permutation(n) * 2, np.zeros(n, np.int64), w, np.zeros(n), rng.integers(0, 50, n), np.full(n, _NONE))
+    x, place = w[rng.integers(0, n, 30)], rng.integers(0, 60, 30)
+    s, names = block._top(x, place, block._reach(x, place), 2)
+    for i in range(30):
+        all_of = block._scores(x[i : i + 1], place[i : i + 1], np.arange(n))[0]
+        order = [j for j in np.lexsort((block.number, -all_of)) if all_of[j] > -np.inf][:2]
+        assert names[i].tolist() == [*block.number[order], _NONE, _NONE][:2] and s[i].tolist() == [*all_of[order], -np.inf, -np.inf][:2]
