@@ -9,10 +9,10 @@ share in every token's probability.
 
 Data flow. Documents are dealt into blocks of about BLOCK_BYTES. Each block reports its distinct words with
 their counts and subword ids; counts are added up by word and go back to the
-blocks that asked, so nothing that grows with the corpus is ever broadcast. Every
-task takes STEPS steps of training for each block's worth of text it reads, on windows from places drawn evenly over
-that text, from a common start; parameters are averaged by the tokens seen, and the
-next round starts from the mean. What is learnt from so grows with the corpus, at any number of tasks. Scoring takes a
+blocks that asked, so nothing that grows with the corpus is ever broadcast. Training
+takes every window of every text to learn from: a round has its share of the blocks, each of its tasks
+goes through its texts from a common start, parameters are averaged by the tokens seen, and the
+next round starts from the mean. Scoring takes a
 block's texts together with the counts of its words: overlapping windows of
 symbols, each token scored once, in batches of masked attention.
 """
@@ -37,10 +37,10 @@ SYMBOLS = WORDS + FIRSTS + 3
 WIDTH, COMPONENTS = 16, 16
 #: Symbols a query sees at most, and tokens scored by one window: the others are context.
 WINDOW, STRIDE = 32, 16
-#: Steps for each block's worth of text in a round, windows in a step, rounds.
-STEPS, STEP_WINDOWS, ROUNDS, RATE = 40, 64, 2, 0.04
-#: Words of a stretch that windows are drawn from, and bytes of text to a stretch: about as much text as the steps of a block use twice over.
-STRETCH, STRETCH_BYTES = 4 * WINDOW, 12 << 10
+#: Steps that a task takes at least, windows in a step at most and (where there are few) at least, rounds.
+STEPS, STEP_WINDOWS, FEW_WINDOWS, ROUNDS, RATE = 40, 1024, 64, 2, 0.04
+#: Windows that a task holds and shuffles, and those whose numbers stay in a core's cache.
+HELD_WINDOWS, IN_CACHE = 64 << 10, 64
 #: Share of the unigram distribution in a token's probability.
 UNIGRAM = 0.1
 #: Subwords told apart in spelling: the most frequent ones, one for any other, and the bound of a word.
@@ -112,64 +112,107 @@ class Attention:
 
     def gradients(self, x_id: np.ndarray, y_id: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the predictions at all places of windows, and its gradients; weight 0 leaves a place out."""
-        p, root = self.p, np.float32(1 / math.sqrt(WIDTH))
-        x = p["e"][x_id]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
+        p, root, t = self.p, np.float32(1 / math.sqrt(WIDTH)), self.table()
+        n = np.float32(max(float(weight.sum()), 1.0))
         d, ahead = self._offsets(WINDOW)
-        s = np.matmul(q, k.transpose(0, 2, 1)) * root + np.where(ahead, np.float32(-1e9), p["r"][d])
-        s += (weight == 0)[:, None, :] * np.float32(-1e9) * (np.eye(WINDOW, dtype=np.float32) == 0)
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        a = s / s.sum(axis=2, keepdims=True)
-        o = np.matmul(a, v)
-        u = np.tanh(o @ p["o"] + x)
-        z = u @ p["z"] + p["zb"]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        mix = z / z.sum(axis=2, keepdims=True)
-        t = self.table()
-        ty = t[y_id]
-        prob = np.maximum((mix * ty).sum(axis=2), 1e-12)
-        n = max(float(weight.sum()), 1.0)
-        loss = float(-(weight * np.log(prob)).sum() / n)
-        dp = -weight / prob / n
-        dmix = dp[..., None] * ty
-        flat, dt = y_id.ravel(), np.zeros_like(t)
-        dty = (dp[..., None] * mix).reshape(-1, COMPONENTS)
-        for c in range(COMPONENTS):
-            dt[:, c] = np.bincount(flat, dty[:, c], minlength=SYMBOLS)
-        g = {"b": t * (dt - (dt * t).sum(axis=0))}
-        dz = mix * (dmix - (mix * dmix).sum(axis=2, keepdims=True))
+        bias = np.where(ahead, np.float32(-1e9), p["r"][d]).astype(np.float32)
+        g = {name: np.zeros(self.SHAPES[name], np.float32) for name in ("q", "k", "v", "o", "z", "zb")}
+        offsets, loss = np.zeros((WINDOW, WINDOW), np.float32), 0.0
+        x_id, y_id = x_id.astype(np.int64), y_id.astype(np.int64)
+        dty, dx = (np.empty((m, *x_id.shape)) for m in (COMPONENTS, WIDTH))
+        ones = np.ones((COMPONENTS, 1), np.float32)
         two = lambda m: m.reshape(-1, m.shape[-1])
-        g["z"], g["zb"] = two(u).T @ two(dz), two(dz).sum(axis=0)
-        pre = (dz @ p["z"].T) * (1 - u**2)
-        g["o"] = two(o).T @ two(pre)
-        do = pre @ p["o"].T
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        g["r"] = np.bincount(d[~ahead], ds.sum(axis=0)[~ahead], minlength=WINDOW)
-        dq, dk = np.matmul(ds, k) * root, np.matmul(ds.transpose(0, 2, 1), q) * root
-        g["q"], g["k"], g["v"] = two(x).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-        dx = two(pre + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-        g["e"] = np.stack([np.bincount(x_id.ravel(), dx[:, c], minlength=SYMBOLS) for c in range(WIDTH)], axis=1)
-        return loss, {n: m.astype(np.float32) for n, m in g.items()}
+        for i in range(0, len(x_id), IN_CACHE):
+            w, x, ty = weight[i : i + IN_CACHE], p["e"][x_id[i : i + IN_CACHE]], t[y_id[i : i + IN_CACHE]]
+            q, k, v = x @ (p["q"] * root), x @ p["k"], x @ p["v"]
+            a = np.matmul(q, k.transpose(0, 2, 1))
+            a += bias
+            if ((w[:, :-1] == 0) & (w[:, 1:] != 0)).any():  # at the end of a window such places lie ahead of all others
+                a += (w == 0)[:, None, :] * np.float32(-1e9) * (np.eye(WINDOW, dtype=np.float32) == 0)
+            a -= a.max(axis=2, keepdims=True)
+            np.exp(a, out=a)
+            a /= a.sum(axis=2, keepdims=True)
+            o = np.matmul(a, v)
+            u = np.tanh(o @ p["o"] + x)
+            mix = u @ p["z"] + p["zb"]
+            mix -= mix.max(axis=2, keepdims=True)
+            np.exp(mix, out=mix)
+            mix /= mix @ ones
+            prob = np.maximum(((mix * ty) @ ones)[..., 0], np.float32(1e-12))
+            loss -= float((w * np.log(prob)).sum())
+            dp = (-w / prob / n)[..., None]
+            dz = dp * mix
+            dty[:, i : i + IN_CACHE] = dz.transpose(2, 0, 1)
+            dz *= ty
+            dz -= mix * (dz @ ones)
+            g["z"] += two(u).T @ two(dz)
+            g["zb"] += two(dz).sum(axis=0)
+            pre = (dz @ p["z"].T) * (1 - u**2)
+            g["o"] += two(o).T @ two(pre)
+            do = pre @ p["o"].T
+            dv = np.matmul(a.transpose(0, 2, 1), do)
+            ds = np.matmul(do, v.transpose(0, 2, 1))
+            ds -= (do * o).sum(axis=2, keepdims=True)  # the sum of a * ds over the keys
+            ds *= a
+            offsets += ds.sum(axis=0)
+            dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+            dq *= root
+            g["q"] += two(x).T @ two(dq)
+            g["k"] += two(x).T @ two(dk)
+            g["v"] += two(x).T @ two(dv)
+            dx[:, i : i + IN_CACHE] = (pre + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T).transpose(2, 0, 1)
+        summed = lambda ids, m: np.stack([np.bincount(ids.ravel(), c.ravel(), minlength=SYMBOLS) for c in m], axis=1)
+        dt = summed(y_id, dty)
+        g["b"], g["e"] = t * (dt - (dt * t).sum(axis=0)), summed(x_id, dx)
+        g["r"] = np.bincount(d[~ahead], offsets[~ahead], minlength=WINDOW)
+        return loss / float(n), {name: m.astype(np.float32) for name, m in g.items()}
 
     def train(self, symbols: np.ndarray, texts: np.ndarray, steps: int = STEPS, seed: int = 0) -> float:
-        """Steps of Adam on random windows of a sequence of symbols; texts: number of the text at each place. Returns the last loss."""
-        rng, loss = np.random.default_rng(seed), 0.0
-        m = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
-        v = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
-        for i in range(1, steps + 1):
-            at = rng.integers(0, len(symbols), STEP_WINDOWS)[:, None] + np.arange(WINDOW)
-            there = at < len(symbols)
-            at = np.minimum(at, len(symbols) - 1)
-            weight = (there & (texts[at] == texts[at[:, :1]])).astype(np.float32)
-            before = at - 1
-            fresh = (before < 0) | (texts[before] != texts[at])
-            loss, g = self.gradients(np.where(fresh, START, symbols[before]), symbols[at], weight)
-            for n in self.SHAPES:
-                m[n] += 0.1 * (g[n] - m[n])
-                v[n] += 0.01 * (g[n] ** 2 - v[n])
-                self.p[n] -= np.float32(RATE) * (m[n] / (1 - 0.9**i)) / (np.sqrt(v[n] / (1 - 0.99**i)) + 1e-8)
+        """At least so many steps on all windows of a sequence of symbols; texts: number of the text at each place. Returns the last loss."""
+        return Learning(self, seed).learn(*windows_of(symbols, texts), steps)
+
+
+def windows_of(symbols: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of WINDOW + 1 symbols, each text cut from its start so that every place is to be predicted in one window, after the symbol before it (START before a text), and how many places a row has."""
+    if not len(symbols):
+        return np.zeros((0, WINDOW + 1), np.uint16), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, texts[1:] != texts[:-1]))
+    lengths = np.diff(np.append(starts, len(symbols)))
+    n = -(-lengths // WINDOW)
+    within = WINDOW * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    at = np.repeat(starts, n) + within
+    rows = symbols[np.clip(at[:, None] + np.arange(-1, WINDOW), 0, len(symbols) - 1)].astype(np.uint16)
+    rows[within == 0, 0] = START
+    return rows, np.minimum(np.repeat(lengths, n) - within, WINDOW)
+
+
+class Learning:
+    """Steps of Adam over windows, each of which is learnt from."""
+
+    def __init__(self, net: Attention, seed: int = 0):
+        self.net, self.rng, self.taken = net, np.random.default_rng(seed), 0
+        self.m, self.v = ({n: np.zeros(s, np.float32) for n, s in net.SHAPES.items()} for _ in range(2))
+
+    def learn(self, rows: np.ndarray, places: np.ndarray, least: int = 0) -> float:
+        """Steps on all windows in a random order, once, and again until at least so many steps are taken in all. Few windows go in smaller steps. Returns the last loss."""
+        loss, size = 0.0, min(STEP_WINDOWS, max(FEW_WINDOWS, len(rows) // STEPS))
+        first = True
+        while len(rows) and (first or self.taken < least):
+            order = self.rng.permutation(len(rows))
+            for part in np.array_split(order, -(-len(rows) // size)):
+                loss = self.step(rows[part], places[part])
+            first = False
+        return loss
+
+    def step(self, rows: np.ndarray, places: np.ndarray) -> float:
+        p, self.taken = self.net.p, self.taken + 1
+        weight = (np.arange(WINDOW) < places[:, None]).astype(np.float32)
+        loss, g = self.net.gradients(rows[:, :-1], rows[:, 1:], weight)
+        one, two = np.float32(1 - 0.9**self.taken), np.float32(1 - 0.99**self.taken)
+        for n, m, v in ((n, self.m[n], self.v[n]) for n in p):
+            m += np.float32(0.1) * (g[n] - m)
+            v += np.float32(0.01) * (g[n] ** 2 - v)
+            p[n] -= np.float32(RATE) * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
         return loss
 
 
@@ -227,9 +270,10 @@ class Vocabulary:
         before = np.concatenate([[BOUND], after[:-1]])
         return before, after, n
 
-    def symbols(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def symbols(self, h: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+        """Symbols of words by hash and first subword; without first subwords, -1 for those that aren't symbols of their own."""
         at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        out = self.first_symbol[first]
+        out = np.full(len(h), -1, dtype=np.int64) if first is None else self.first_symbol[first]
         if len(self.words):
             own = self.words[at] == h
             out[own] = self.word_symbol[at[own]]
@@ -429,7 +473,7 @@ def scored(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLO
     n[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     v.pairs(n.reshape(SPELLING, SPELLING))
     vocabulary = spark.sparkContext.broadcast(v)
-    flat = trained(blocked, vocabulary, tokenizer, Attention(symbol_counts).flat(), block_bytes)
+    flat = trained(blocked, vocabulary, tokenizer, Attention(symbol_counts).flat())
     model = spark.sparkContext.broadcast(flat)
 
     def score_block(left, right):
@@ -517,23 +561,9 @@ def window_probabilities(net: Attention, y: np.ndarray, lengths: np.ndarray, bat
     return out
 
 
-def stretches_of(text: bytes, rng: np.random.Generator) -> list[tuple[bytes, bool]]:
-    """Stretches of a lower-cased text, one for each STRETCH_BYTES on average, however long it is, from places drawn evenly; and whether each reaches the text's end."""
-    ahead = STRETCH_BYTES // 8  # so much of the draw falls before the text: a stretch from its start
-    out = []
-    for a in rng.integers(-ahead, max(len(text), 1), int((len(text) + ahead) / STRETCH_BYTES + rng.random())).tolist():
-        words = text[max(a, 0) : max(a, 0) + 16 * STRETCH].split(None, STRETCH + 1)[a > 0 :]
-        ended = max(a, 0) + 16 * STRETCH >= len(text) and len(words) <= STRETCH
-        if not ended and len(words) <= STRETCH:  # long words: the last one may be cut
-            words = words[:-1]
-        out.append((b" ".join(words[:STRETCH]), ended))
-    return out
-
-
-def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after rounds of training in every task from the mean of the last round; tasks without words to learn from leave them as they are."""
+def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after training on every window of the rows to learn from: each round takes its share of the blocks, in every task from the mean of the last round. Tasks without rows to learn from leave them as they are."""
     spark = blocked.sparkSession
-    learn = blocked.where("not held_out").select("z")
 
     def learner(start, seed):
         def run(batches: Iterator) -> Iterator:
@@ -542,38 +572,41 @@ def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, bl
             from pyspark import TaskContext
 
             v, coder, z = vocabulary.value, WordIds(tokenizer, None, CODED), zstandard.ZstdDecompressor()
-            rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
-            net, total, held, read = None, 0, [], 0
-
-            def block(net, held):
-                """One block's steps; the net and how many symbols the stretches have."""
-                parts = [(words.split(), ended) for words, ended in held]
-                names = list({w for words, _ in parts for w in words})
-                lead = np.zeros(0, np.int64)
-                if names:
-                    buf, offsets = joined(names)
-                    h = hashed(buf, offsets[:-1], offsets[1:] - 1, 3).view(np.int64)
-                    lead = v.symbols(h, np.array([i[0] | i[1] << 8 for i in ids_of(coder, names)], dtype=np.int64))
-                symbol = dict(zip(names, lead.tolist(), strict=True))
-                y = [np.array([symbol[w] for w in words] + [END] * ended, dtype=np.int64) for words, ended in parts]
-                texts = np.repeat(np.arange(len(y)), [len(p) for p in y])
-                if not len(texts):
-                    return net, 0
-                net = net or Attention().load(start.value)
-                net.train(np.concatenate(y), texts, seed=int(rng.integers(1 << 32)))
-                return net, len(texts)
+            net, learning, total, held = None, None, 0, []
+
+            def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                """The symbols of texts, ends included, and the number of the text at each place."""
+                h, h2, first, buf, starts, ends = text_words(texts)
+                n = np.diff(first)
+                known = v.symbols(h, None)
+                rare = np.flatnonzero(known < 0)
+                if len(rare):
+                    at, back = told_apart(h[rare], h2[rare])
+                    text, at = buf.tobytes(), rare[at]
+                    ids = ids_of(coder, [text[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                    known[rare] = v.first_symbol[np.array([i[0] | i[1] << 8 for i in ids], dtype=np.int64)][back]
+                y = np.full(len(h) + len(n), END, dtype=np.int64)
+                y[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = known
+                return y, np.repeat(np.arange(len(n)), n + 1)
+
+            def learn() -> None:
+                nonlocal net, learning
+                if net is None:
+                    net = Attention().load(start.value)
+                    learning = Learning(net, [seed, TaskContext.get().partitionId()])
+                learning.learn(*(np.concatenate(c) for c in zip(*held, strict=True)), STEPS)
+                held.clear()
 
             for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    text = z.decompress(raw).translate(LOWER)
-                    read += len(text) + 1
-                    held += stretches_of(text, rng)
-                    if read >= block_bytes and held:
-                        net, n = block(net, held)
-                        total, held, read = total + n, [], 0
+                if not batch.num_rows:
+                    continue
+                rows, places = windows_of(*symbols_of([z.decompress(raw) for raw in batch.column(0).to_pylist()]))
+                held.append((rows, places))
+                total += int(places.sum())
+                if sum(len(r) for r, _ in held) >= HELD_WINDOWS:
+                    learn()
             if held:
-                net, n = block(net, held)
-                total += n
+                learn()
             coder.trim()
             released()
             if net is None:
@@ -593,7 +626,7 @@ def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, bl
     kinds = "chunk int, n long, data binary"
     for r in range(rounds):
         start = spark.sparkContext.broadcast(flat)
-        got = learn.mapInArrow(learner(start, r), kinds)
+        got = blocked.where(~F.col("held_out") & (F.col("block") % rounds == r)).select("z").mapInArrow(learner(start, r), kinds)
         # Two levels, so that no task takes the parameters of all others.
         got = got.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("chunk", "salt").applyInArrow(mean, kinds).groupBy("chunk").applyInArrow(mean, kinds)
         parts = {x["chunk"]: np.frombuffer(x["data"], "<f4") for x in got.collect()}

@@ -125,3 +125,44 @@ def test_a_new_word_is_not_known(spark):
     held = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = {r.doc_id: r for r in lm.scored(docs_of(spark, ["kdzw and other words"] * 6 + ["wkxoasvf and"], ids=[*ids, held])).collect()}
     assert got[held].n_known == 2 and got[held].n_tokens == 3
+
+
+def test_every_place_is_in_one_window():
+    lengths = [1, 31, 32, 33, 200]
+    y = np.arange(sum(lengths)) + 7
+    rows, places = lm.windows_of(y, np.repeat(np.arange(len(lengths)), lengths))
+    assert np.concatenate([r[1 : 1 + n] for r, n in zip(rows, places, strict=True)]).tolist() == y.tolist()
+    starts = set((np.cumsum(lengths) - lengths + 7).tolist())
+    assert [int(r[0]) for r in rows] == [lm.START if int(r[1]) in starts else int(r[1]) - 1 for r in rows]
+    taken = []
+    learning = lm.Learning(lm.Attention(seed=1))
+    learning.step = lambda r, n: taken.append(r) or 0.0
+    learning.learn(rows, places)
+    assert sorted(np.concatenate(taken)[:, 1].tolist()) == sorted(rows[:, 1].tolist())
+
+
+def test_training_takes_all_of_a_text(spark):
+    """Another word anywhere in a text that training learns from gives another model; in a text held out it doesn't."""
+    import zstandard
+
+    from isthmus.llm.common import SPACED, hashed, joined, words_in
+    from isthmus.llm.packing import default_tokenizer
+
+    buf, offsets = joined([b"north south"])
+    starts, ends, _ = words_in(buf, offsets, SPACED)
+    counts = np.zeros(lm.SYMBOLS)
+    counts[:2] = 4000, 1
+    v = spark.sparkContext.broadcast(lm.Vocabulary(hashed(buf, starts, ends, 3).view(np.int64), np.zeros(0, np.int64), counts, np.zeros(lm.SYMBOLS), np.zeros(1 << 16), 4001.0, 2))
+
+    def model(at: int | None, held: bool) -> np.ndarray:
+        words = [b"north"] * 4000
+        if at is not None:
+            words[at] = b"south"
+        rows = [(0, 0, False, zstandard.compress(b" ".join([b"north"] * 4000 if held else words))), (0, 1, True, zstandard.compress(b" ".join(words)))]
+        blocked = spark.createDataFrame(rows, "block int, doc_id long, held_out boolean, z binary").coalesce(1)
+        return lm.trained(blocked, v, default_tokenizer(), lm.Attention(counts).flat())
+
+    plain = model(None, False)
+    assert (model(2000, True) == plain).all()
+    for at in (0, 700, 2500, 3999):
+        assert (model(at, False) != plain).any()
