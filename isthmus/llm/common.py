@@ -87,6 +87,25 @@ def released() -> None:
         pass
 
 
+def trimmed(spark: SparkSession) -> str:
+    """Has the driver's JVM give back native memory that it has freed, as released() does for Python; what it compiles for each plan else stays with it in pieces. Returns what the JVM says, nothing where it knows no such command."""
+    from py4j.protocol import Py4JError
+
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    name_of = jvm.java.lang.Class.forName
+    types, given = array(jvm.java.lang.Class, len(kinds)), array(jvm.java.lang.Object, len(kinds))
+    try:
+        for i, kind in enumerate(kinds):
+            types[i] = name_of(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By its interface: the server's own class is not open to others.
+        call = name_of("javax.management.MBeanServerConnection").getMethod("invoke", types)
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # an older JVM, or another C library
+        return ""
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing needs any more, and lets Spark drop the shuffle files of what has been computed: disk holds one phase at a time."""
     spark = tables[0].sparkSession if tables else SparkSession.active()
@@ -95,6 +114,7 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     released()
     spark._jvm.System.gc()
+    trimmed(spark)
 
 
 def texts_of(column) -> list[bytes]:

@@ -20,3 +20,13 @@ def test_rows(spark, case):
     ):
         assert got.count() == len(texts)
     assert rollup.counted(docs).count() == 2 * len(texts)
+
+
+def test_the_driver_gives_freed_native_memory_back(spark, tmp_path, monkeypatch):
+    from isthmus.llm import common
+
+    assert common.trimmed(spark).startswith("Trim native heap")
+    said = []
+    monkeypatch.setattr(common, "trimmed", lambda s: said.append(s))
+    common.discard(common.written(spark.range(3), "some"))
+    assert said
