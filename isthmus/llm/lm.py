@@ -19,6 +19,7 @@ symbols, each token scored once, in batches of masked attention.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -39,16 +40,34 @@ WIDTH, COMPONENTS = 16, 16
 WINDOW, STRIDE = 32, 16
 #: Steps that a task takes at least, windows in a step at most and (where there are few) at least, rounds.
 STEPS, STEP_WINDOWS, FEW_WINDOWS, ROUNDS, RATE = 40, 1024, 64, 2, 0.04
-#: Windows that a task holds and shuffles, and those whose numbers stay in a core's cache.
-HELD_WINDOWS, IN_CACHE = 64 << 10, 64
+#: Windows that a task holds and shuffles, those whose numbers stay in a core's cache, and parameters that do.
+HELD_WINDOWS, IN_CACHE, ADAM_SLICE = 64 << 10, 32, 16 << 10
 #: Share of the unigram distribution in a token's probability.
 UNIGRAM = 0.1
 #: Subwords told apart in spelling: the most frequent ones, one for any other, and the bound of a word.
 SPELLING = 1024
 REST, BOUND = SPELLING - 2, SPELLING - 1
 CHUNKS = 32
-#: Words whose ids are remembered while words of a bucket are coded.
-CODED = 150_000
+#: Words whose ids are remembered while words of a bucket are coded, and bits of the slots for first subwords in training (18 bytes a slot).
+CODED, SLOT_BITS = 150_000, 20
+
+
+def softened(m: np.ndarray, most: float, least: float) -> None:
+    """Exponentials of the last axis, in place, as far as only their ratios count. most: the largest value; least: no row's largest value lies below. Near zero no row needs its maximum taken off."""
+    if most > 60 or least < -60:
+        m -= m.max(axis=-1, keepdims=True)
+    np.exp(m, out=m)
+
+
+@functools.cache
+def one_place(n: int) -> np.ndarray:
+    return np.ones((1, n), np.float32)
+
+
+@functools.lru_cache(maxsize=2)
+def room(of: str, windows: int, places: int) -> np.ndarray:
+    """Memory that steps of one size use again: pages new to a process cost more than what is written to them."""
+    return np.empty((COMPONENTS if of == "y" else WIDTH, windows, places))
 
 
 class Attention:
@@ -88,27 +107,34 @@ class Attention:
 
     def prepare(self) -> None:
         p = self.p
-        self.keys, self.values = p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]
-        self.queries = (p["e"] @ p["q"]) / np.float32(math.sqrt(WIDTH))
+        # A row for each symbol: what it is as a key, and as a query.
+        self.seen = np.concatenate([p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]], axis=1)
+        self.asking = np.concatenate([(p["e"] @ p["q"]) / np.float32(math.sqrt(WIDTH)), p["e"]], axis=1)
         self.dist = self.table()
         d, ahead = self._offsets(STRIDE)
         self.bias = np.where(ahead, np.float32(-1e9), p["r"][d]).astype(np.float32)
 
     def probabilities(self, inputs: np.ndarray, absent: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """P(target) for the last STRIDE places of windows of symbols; absent: places before the text."""
-        own = inputs[:, WINDOW - STRIDE :]
-        s = np.matmul(self.queries[own], self.keys[inputs].transpose(0, 2, 1))
+        n = len(inputs)
+        key = self.seen.take(inputs.ravel(), axis=0).reshape(n, WINDOW, 2 * WIDTH)
+        own = self.asking.take(inputs[:, WINDOW - STRIDE :].ravel(), axis=0).reshape(n, STRIDE, 2 * WIDTH)
+        s = np.matmul(own[..., :WIDTH], key[..., :WIDTH].transpose(0, 2, 1))
         s += self.bias
-        s += absent[:, None, :] * np.float32(-1e9)
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        u = np.tanh(np.matmul(s, self.values[inputs]) + self.p["e"][own])
-        z = u @ self.p["z"] + self.p["zb"]
-        z -= z.max(axis=2, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
-        return np.einsum("btc,btc->bt", z, self.dist[targets])
+        if absent.any():
+            s += absent[:, None, :] * np.float32(-1e9)
+        softened(s, s.max(), np.einsum("btt->bt", s[:, :, WINDOW - STRIDE :]).min())
+        u = np.matmul(s, key[..., WIDTH:])
+        u /= s @ np.ones((WINDOW, 1), np.float32)
+        u += own[..., WIDTH:]
+        u = np.tanh(u, out=u).reshape(-1, WIDTH)
+        z = u @ self.p["z"]
+        z += self.p["zb"]
+        softened(z, z.max(), z.min())
+        one = np.ones((COMPONENTS, 1), np.float32)
+        total = z @ one
+        z *= self.dist.take(targets.ravel(), axis=0)
+        return ((z @ one) / total).reshape(n, STRIDE)
 
     def gradients(self, x_id: np.ndarray, y_id: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the predictions at all places of windows, and its gradients; weight 0 leaves a place out."""
@@ -116,51 +142,69 @@ class Attention:
         n = np.float32(max(float(weight.sum()), 1.0))
         d, ahead = self._offsets(WINDOW)
         bias = np.where(ahead, np.float32(-1e9), p["r"][d]).astype(np.float32)
-        g = {name: np.zeros(self.SHAPES[name], np.float32) for name in ("q", "k", "v", "o", "z", "zb")}
-        offsets, loss = np.zeros((WINDOW, WINDOW), np.float32), 0.0
+        qkv = np.concatenate([p["q"] * root, p["k"], p["v"]], axis=1)
+        out, back, mixed = np.ascontiguousarray(p["o"].T), np.ascontiguousarray(qkv.T), np.ascontiguousarray(p["z"].T)
+        g = {name: np.zeros(self.SHAPES[name], np.float32) for name in ("o", "z", "zb")}
+        grown, offsets, loss = np.zeros_like(qkv), np.zeros((WINDOW, WINDOW), np.float32), 0.0
         x_id, y_id = x_id.astype(np.int64), y_id.astype(np.int64)
-        dty, dx = (np.empty((m, *x_id.shape)) for m in (COMPONENTS, WIDTH))
-        ones = np.ones((COMPONENTS, 1), np.float32)
-        two = lambda m: m.reshape(-1, m.shape[-1])
+        dty, dx = (room(m, *x_id.shape) for m in ("y", "x"))
+        one_key, one_component = np.ones((WINDOW, 1), np.float32), np.ones((COMPONENTS, 1), np.float32)
         for i in range(0, len(x_id), IN_CACHE):
-            w, x, ty = weight[i : i + IN_CACHE], p["e"][x_id[i : i + IN_CACHE]], t[y_id[i : i + IN_CACHE]]
-            q, k, v = x @ (p["q"] * root), x @ p["k"], x @ p["v"]
-            a = np.matmul(q, k.transpose(0, 2, 1))
+            # One row for each place, so that products with parameters are single ones; only keys and queries meet window by window.
+            w = weight[i : i + IN_CACHE]
+            k, shape = len(w), (len(w), WINDOW, WIDTH)
+            x, ty = p["e"].take(x_id[i : i + IN_CACHE].ravel(), axis=0), t.take(y_id[i : i + IN_CACHE].ravel(), axis=0)
+            parts = (x @ qkv).reshape(k, WINDOW, 3 * WIDTH)
+            q, key, v = parts[..., :WIDTH], parts[..., WIDTH : 2 * WIDTH], parts[..., 2 * WIDTH :]
+            a = np.matmul(q, key.transpose(0, 2, 1))
             a += bias
             if ((w[:, :-1] == 0) & (w[:, 1:] != 0)).any():  # at the end of a window such places lie ahead of all others
                 a += (w == 0)[:, None, :] * np.float32(-1e9) * (np.eye(WINDOW, dtype=np.float32) == 0)
-            a -= a.max(axis=2, keepdims=True)
-            np.exp(a, out=a)
-            a /= a.sum(axis=2, keepdims=True)
-            o = np.matmul(a, v)
-            u = np.tanh(o @ p["o"] + x)
-            mix = u @ p["z"] + p["zb"]
-            mix -= mix.max(axis=2, keepdims=True)
-            np.exp(mix, out=mix)
-            mix /= mix @ ones
-            prob = np.maximum(((mix * ty) @ ones)[..., 0], np.float32(1e-12))
+            # Every place sees itself.
+            softened(a, a.max(), np.einsum("btt->bt", a).min())
+            a /= a @ one_key
+            o = np.matmul(a, v).reshape(-1, WIDTH)
+            u = o @ p["o"]
+            u += x
+            np.tanh(u, out=u)
+            mix = u @ p["z"]
+            mix += p["zb"]
+            softened(mix, mix.max(), mix.min())
+            mix /= mix @ one_component
+            ty *= mix
+            prob = np.maximum(ty @ one_component, np.float32(1e-12))
+            w = w.reshape(-1, 1)
             loss -= float((w * np.log(prob)).sum())
-            dp = (-w / prob / n)[..., None]
-            dz = dp * mix
-            dty[:, i : i + IN_CACHE] = dz.transpose(2, 0, 1)
-            dz *= ty
-            dz -= mix * (dz @ ones)
-            g["z"] += two(u).T @ two(dz)
-            g["zb"] += two(dz).sum(axis=0)
-            pre = (dz @ p["z"].T) * (1 - u**2)
-            g["o"] += two(o).T @ two(pre)
-            do = pre @ p["o"].T
-            dv = np.matmul(a.transpose(0, 2, 1), do)
-            ds = np.matmul(do, v.transpose(0, 2, 1))
-            ds -= (do * o).sum(axis=2, keepdims=True)  # the sum of a * ds over the keys
+            dp = w / prob
+            dp /= -n
+            ty *= dp  # the gradient by the probability of each component, times it
+            dy = mix * dp
+            dty[:, i : i + IN_CACHE] = dy.T.reshape(COMPONENTS, k, WINDOW)
+            mix *= ty @ one_component
+            ty -= mix
+            g["z"] += u.T @ ty
+            g["zb"] += (one_place(len(ty)) @ ty)[0]
+            pre = ty @ mixed
+            u *= u
+            np.subtract(np.float32(1), u, out=u)
+            pre *= u
+            g["o"] += o.T @ pre
+            do = pre @ out
+            dparts = np.empty_like(parts)
+            do3 = do.reshape(shape)
+            np.matmul(a.transpose(0, 2, 1), do3, out=dparts[..., 2 * WIDTH :])
+            ds = np.matmul(do3, v.transpose(0, 2, 1))
+            do *= o
+            ds -= (do @ one_component).reshape(k, WINDOW, 1)  # the sum of a * ds over the keys
             ds *= a
             offsets += ds.sum(axis=0)
-            dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-            dq *= root
-            g["q"] += two(x).T @ two(dq)
-            g["k"] += two(x).T @ two(dk)
-            g["v"] += two(x).T @ two(dv)
-            dx[:, i : i + IN_CACHE] = (pre + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T).transpose(2, 0, 1)
+            np.matmul(ds, key, out=dparts[..., :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), q, out=dparts[..., WIDTH : 2 * WIDTH])
+            dparts = dparts.reshape(-1, 3 * WIDTH)
+            grown += x.T @ dparts
+            pre += dparts @ back
+            dx[:, i : i + IN_CACHE] = pre.T.reshape(WIDTH, k, WINDOW)
+        g["q"], g["k"], g["v"] = grown[:, :WIDTH] * root, grown[:, WIDTH : 2 * WIDTH], grown[:, 2 * WIDTH :]
         summed = lambda ids, m: np.stack([np.bincount(ids.ravel(), c.ravel(), minlength=SYMBOLS) for c in m], axis=1)
         dt = summed(y_id, dty)
         g["b"], g["e"] = t * (dt - (dt * t).sum(axis=0)), summed(x_id, dx)
@@ -191,7 +235,13 @@ class Learning:
 
     def __init__(self, net: Attention, seed: int = 0):
         self.net, self.rng, self.taken = net, np.random.default_rng(seed), 0
-        self.m, self.v = ({n: np.zeros(s, np.float32) for n, s in net.SHAPES.items()} for _ in range(2))
+        # The net's parameters become views of one vector.
+        self.flat = net.flat().astype(np.float32)
+        self.m, self.v, self.g = (np.zeros_like(self.flat) for _ in range(3))
+        at = 0
+        for n, s in net.SHAPES.items():
+            net.p[n] = self.flat[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
 
     def learn(self, rows: np.ndarray, places: np.ndarray, least: int = 0) -> float:
         """Steps on all windows in a random order, once, and again until at least so many steps are taken in all. Few windows go in smaller steps. Returns the last loss."""
@@ -205,14 +255,25 @@ class Learning:
         return loss
 
     def step(self, rows: np.ndarray, places: np.ndarray) -> float:
-        p, self.taken = self.net.p, self.taken + 1
+        self.taken += 1
         weight = (np.arange(WINDOW) < places[:, None]).astype(np.float32)
         loss, g = self.net.gradients(rows[:, :-1], rows[:, 1:], weight)
-        one, two = np.float32(1 - 0.9**self.taken), np.float32(1 - 0.99**self.taken)
-        for n, m, v in ((n, self.m[n], self.v[n]) for n in p):
-            m += np.float32(0.1) * (g[n] - m)
-            v += np.float32(0.01) * (g[n] ** 2 - v)
-            p[n] -= np.float32(RATE) * (m / one) / (np.sqrt(v / two) + np.float32(1e-8))
+        np.concatenate([g[n].ravel() for n in self.net.SHAPES], out=self.g)
+        one, two = 1 - 0.9**self.taken, 1 - 0.99**self.taken
+        for i in range(0, len(self.flat), ADAM_SLICE):  # stays in a core's cache
+            p, m, v, g = (x[i : i + ADAM_SLICE] for x in (self.flat, self.m, self.v, self.g))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.multiply(v, np.float32(1 / two), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(RATE / one)
+            p -= g
         return loss
 
 
@@ -316,6 +377,35 @@ class Lookup:
         return at
 
 
+class Firsts:
+    """First subword ids of words by their two hashes, kept by a worker process from batch to batch and task to task. A word's slot is where its hash leads; the last one there stays."""
+
+    shared: dict[str, Firsts] = {}
+
+    def __init__(self, tokenizer: str):
+        self.coder = WordIds(tokenizer, None, CODED)
+        self.h, self.h2, self.first = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.uint16)
+
+    @classmethod
+    def of(cls, tokenizer: str) -> Firsts:
+        if tokenizer not in cls.shared:
+            cls.shared[tokenizer] = cls(tokenizer)
+        return cls.shared[tokenizer]
+
+    def __call__(self, h: np.ndarray, h2: np.ndarray, cut) -> np.ndarray:
+        """The ids of words; cut gives the bytes of the words at some places of h."""
+        at = (h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out, new = self.first[at], np.flatnonzero((self.h[at] != h) | (self.h2[at] != h2))
+        if len(new):
+            one, back = told_apart(h[new], h2[new])
+            one = new[one]
+            ids = np.array(self.coder.firsts(cut(one)), dtype=np.uint16)
+            out[new] = ids[back]
+            slot = at[one]
+            self.h[slot], self.h2[slot], self.first[slot] = h[one], h2[one], ids
+        return out
+
+
 def ids_of(tokenizer: WordIds, words: list[bytes]) -> list[bytes]:
     """Little-endian 16-bit subword ids of words; a word without any has id 0."""
     coded = tokenizer.words(words)
@@ -540,7 +630,7 @@ def scored(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLO
     return blocked.groupBy("block").cogroup(counted.select("block", "h", "h2", "c", "ids").groupBy("block")).applyInArrow(score_cogroup, RESULT)
 
 
-def window_probabilities(net: Attention, y: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
+def window_probabilities(net: Attention, y: np.ndarray, lengths: np.ndarray, batch: int = 4 * IN_CACHE) -> np.ndarray:
     """P(symbol | symbols before) at every place of consecutive texts, by overlapping windows that each score STRIDE places once."""
     out = np.zeros(len(y), dtype=np.float64)
     starts = np.cumsum(lengths) - lengths
@@ -571,7 +661,7 @@ def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, ro
             import zstandard
             from pyspark import TaskContext
 
-            v, coder, z = vocabulary.value, WordIds(tokenizer, None, CODED), zstandard.ZstdDecompressor()
+            v, firsts, z = vocabulary.value, Firsts.of(tokenizer), zstandard.ZstdDecompressor()
             net, learning, total, held = None, None, 0, []
 
             def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -581,10 +671,9 @@ def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, ro
                 known = v.symbols(h, None)
                 rare = np.flatnonzero(known < 0)
                 if len(rare):
-                    at, back = told_apart(h[rare], h2[rare])
-                    text, at = buf.tobytes(), rare[at]
-                    ids = ids_of(coder, [text[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-                    known[rare] = v.first_symbol[np.array([i[0] | i[1] << 8 for i in ids], dtype=np.int64)][back]
+                    text = buf.tobytes()
+                    cut = lambda at: [text[i:j] for i, j in zip(starts[rare[at]].tolist(), ends[rare[at]].tolist(), strict=True)]
+                    known[rare] = v.first_symbol[firsts(h[rare], h2[rare], cut)]
                 y = np.full(len(h) + len(n), END, dtype=np.int64)
                 y[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = known
                 return y, np.repeat(np.arange(len(n)), n + 1)
@@ -607,7 +696,7 @@ def trained(blocked: DataFrame, vocabulary, tokenizer: str, flat: np.ndarray, ro
                     learn()
             if held:
                 learn()
-            coder.trim()
+            firsts.coder.trim()
             released()
             if net is None:
                 return

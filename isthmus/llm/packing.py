@@ -146,6 +146,24 @@ class WordIds:
             coded[i] = known[words[i]] = c
         return coded
 
+    def firsts(self, words: list[bytes]) -> list[int]:
+        """The first id of each lower-cased word, 0 if it has none. In Latin-1 a word's first pre-token alone goes to the model."""
+        out, rest, model = [0] * len(words), [], self.model
+        for i, w in enumerate(words):
+            try:
+                if b"<|" in w:
+                    raise ValueError
+                piece = _PRE_TOKEN.search(w if w.isascii() else w.decode().encode("latin-1").translate(_SMALL))
+            except ValueError:  # beyond Latin-1, or a special token perhaps
+                rest.append(i)
+                continue
+            if piece:
+                text = piece.group().decode("latin-1")
+                out[i] = model(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS))[0].id
+        for i, ids in zip(rest, self.words([words[i] for i in rest]), strict=True):
+            out[i] = int.from_bytes(ids[:4], "little")
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         out: list = [None] * len(texts)

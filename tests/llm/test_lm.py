@@ -8,6 +8,7 @@ from helpers import COLUMNS, awkward, docs_of
 from pyspark.sql import functions as F
 
 from isthmus.llm import lm
+from isthmus.llm.packing import default_tokenizer
 
 
 def tokens(text):
@@ -146,7 +147,6 @@ def test_training_takes_all_of_a_text(spark):
     import zstandard
 
     from isthmus.llm.common import SPACED, hashed, joined, words_in
-    from isthmus.llm.packing import default_tokenizer
 
     buf, offsets = joined([b"north south"])
     starts, ends, _ = words_in(buf, offsets, SPACED)
@@ -166,3 +166,48 @@ def test_training_takes_all_of_a_text(spark):
     assert (model(2000, True) == plain).all()
     for at in (0, 700, 2500, 3999):
         assert (model(at, False) != plain).any()
+
+
+def test_first_subwords_are_those_of_whole_words():
+    """In training a word is coded by its first pre-token, once while its slot is its own."""
+    rng = np.random.default_rng(4)
+    letters = ["a", "b", "the", "ing", "'s", "'", ".", "7", "é", "É", "ß", "\xa0", "\x85", "²", "µ", "ж", "中", "<|", "|>", "endoftext", "-", "x" * 30]
+    words = ["".join(rng.choice(letters, rng.integers(1, 6))).encode() for _ in range(4000)] + [b"<|endoftext|>", b"\xc2\xa0", b"e\xcc\x81t"]
+    words = [w.translate(lm.LOWER) for w in words]
+    coder = lm.WordIds(default_tokenizer(), None, lm.CODED)
+    expected = [int.from_bytes(ids[:2], "little") for ids in lm.ids_of(coder, words)]
+    assert coder.firsts(words) == expected
+    firsts, asked = lm.Firsts(default_tokenizer()), []
+    h, h2, *_ = lm.text_words([w.replace(b" ", b"") for w in words])
+    assert len(h) == len(words)
+    h[:] = h >> 12  # most words share slots
+
+    def cut(at):
+        asked.append(len(at))
+        return [words[i] for i in at]
+
+    for _ in range(2):
+        assert firsts(h, h2, cut).tolist() == expected
+    assert asked[0] == len(set(words)) and asked[1] < asked[0]
+
+
+def test_far_scores_do_not_overflow():
+    net = lm.Attention(seed=6)
+    net.p["q"] *= 400
+    net.p["z"] *= 400
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, lm.OTHER, (2, 70, lm.WINDOW))
+    loss, g = net.gradients(x, y, np.ones(x.shape, np.float32))
+    assert np.isfinite(loss) and all(np.isfinite(m).all() for m in g.values())
+    net.prepare()
+    assert np.isfinite(lm.window_probabilities(net, y.ravel(), np.array([y.size]))).all()
+
+
+def test_steps_use_their_memory_again():
+    rng = np.random.default_rng(2)
+    net = lm.Attention(seed=7)
+    learning = lm.Learning(net)
+    rows = rng.integers(0, lm.OTHER, (64, lm.WINDOW + 1)).astype(np.uint16)
+    held = {n: p.ctypes.data for n, p in net.p.items()}
+    learning.step(rows, np.full(64, lm.WINDOW))
+    assert held == {n: p.ctypes.data for n, p in net.p.items()} and (net.flat() == learning.flat).all()
