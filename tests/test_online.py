@@ -467,3 +467,77 @@ def test_best_categories_are_taken_in_the_order_of_score_and_number():
         all_of = block._scores(x[i : i + 1], place[i : i + 1], np.arange(n))[0]
         order = [j for j in np.lexsort((block.number, -all_of)) if all_of[j] > -np.inf][:2]
         assert names[i].tolist() == [*block.number[order], _NONE, _NONE][:2] and s[i].tolist() == [*all_of[order], -np.inf, -np.inf][:2]
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+@pytest.mark.parametrize("rho", [0.3, 0.7, 0.9, 1.0])
+@pytest.mark.parametrize(("kind", "r_hat"), [("Fuzzy", np.inf), ("Hypersphere", np.inf), ("Hypersphere", 0.6)])
+@pytest.mark.parametrize("few", [256, 4])
+def test_samples_that_come_again(monkeypatch, kind, r_hat, rho, few):
+    """Samples in several copies, some with other labels, new ones among them, in short stretches: what a plain loop over all of them gives, by batch and by sample."""
+    from isthmus.operators import again, art, leaves, replay
+
+    monkeypatch.setattr(art, "FEW", few)
+    monkeypatch.setattr(leaves, "LEAF", 3)
+    monkeypatch.setattr(replay, "LEAF", 3)
+    monkeypatch.setattr(replay, "LATE", (4, 16))
+    monkeypatch.setattr(again, "STRETCH", 17)
+    monkeypatch.setattr(again, "MANY", 40)
+    rng = np.random.default_rng(17)
+    pool = rng.random((40, 2)).round(2)
+    which = np.concatenate([np.concatenate([rng.permutation(40), rng.integers(0, 40, 10)]) for _ in range(5)])
+    x = np.where((rng.random(len(which)) < 0.03)[:, None], rng.random((len(which), 2)), pool[which])
+    y = [f"c{(i * 7) % 3 if u < 0.97 else 3}" for i, u in zip(which.tolist(), rng.random(len(which)), strict=True)]
+    rows = [(np.concatenate([a, 1 - a]), b) for a, b in zip(x, y, strict=True)]
+    fast, slow = ArtLearner(kind, rho, r_hat), Plain(kind, rho, r_hat, 2)
+    for a, b in ((0, 180), (180, 250)):
+        assert fast.add_batch(x[a:b], y[a:b]) == pytest.approx(slow.batch(rows[a:b]))
+        assert fast.adj == slow.adj and fast.support == slow.card and np.array_equal(fast.w, [c[0] for c in slow.cats])
+    fast, slow = ArtLearner(kind, rho, r_hat), Plain(kind, rho, r_hat, 2)
+    fast.add_samples(x, y)
+    for r in rows:
+        last = slow.one(*r)
+    assert fast.adj == slow.adj and fast.support == slow.card and fast.index() == pytest.approx(last)
+
+
+@pytest.mark.parametrize("kind", ["Fuzzy", "Hypersphere"])
+def test_samples_that_come_again_are_not_looked_for_anew(monkeypatch, kind):
+    """1,000 samples in 20 copies: from the third copy on few are compared with the map again."""
+    asked = [0]
+    resonant = ArtLearner._resonant
+    monkeypatch.setattr(ArtLearner, "_resonant", lambda m, *a: [asked.__setitem__(0, asked[0] + 1), resonant(m, *a)][1])
+    rng = np.random.default_rng(18)
+    x, y = np.tile(rng.random((1000, 2)), (20, 1)), [f"c{i}" for i in rng.integers(0, 4, 1000)] * 20
+    ArtLearner(kind, 0.7).add_batch(x, y)
+    assert asked[0] < 5000
+
+
+@pytest.mark.parametrize("mode", ["batch", "sample"])
+def test_samples_that_come_again_are_counted_once(monkeypatch, mode):
+    """1,000 samples in 20 copies at vigilance 1: all are counted, few are scored."""
+    from isthmus.operators import replay
+
+    looked = [0]
+    bounds = replay.Categories.bounds
+    monkeypatch.setattr(replay.Categories, "bounds", lambda b, x, *a: [looked.__setitem__(0, looked[0] + len(x)), bounds(b, x, *a)][1])
+    rng = np.random.default_rng(19)
+    x, y = np.tile(rng.random((1000, 2)), (20, 1)), [f"c{i}" for i in rng.integers(0, 4, 1000)] * 20
+    m = ArtLearner("Fuzzy", 1.0)
+    (m.add_batch if mode == "batch" else m.add_samples)(x, y)
+    assert sum(m.support.values()) == 20000 and looked[0] < 6000
+
+
+@pytest.mark.parametrize("query", ["stream_counts", "stream_batch_refit"])
+def test_a_stream_may_take_its_time(spark, sf, monkeypatch, query):
+    """No wait for a stream ends before the stream does."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    from isthmus.plans import online as plans
+
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: wait(q) if timeout is None else False)
+    found = plans.queries()[query](spark, sf)
+    if query == "stream_counts":
+        assert sum(r.n for r in found.groupBy("stream_id").agg({"samples": "max"}).toDF("s", "n").collect()) == tables.read(spark, sf, "events").count()
+    else:
+        assert found.count() == 4
