@@ -541,3 +541,21 @@ def test_a_stream_may_take_its_time(spark, sf, monkeypatch, query):
         assert sum(r.n for r in found.groupBy("stream_id").agg({"samples": "max"}).toDF("s", "n").collect()) == tables.read(spark, sf, "events").count()
     else:
         assert found.count() == 4
+
+
+def test_samples_travel_in_packs():
+    """Two keys in an Arrow batch, of different widths, without key, ord or label: each comes back as it was, in the order of ord."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = [("s", 3, [0.1, 0.2], "a"), (None, 1, [0.5], "b"), ("s", 1, [0.3, 0.4], None), ("s", None, [0.7, 0.8], "b"), ("s", 2, [0.5, 0.6], "b"), (None, 0, [0.25], "b")]
+    kind = pa.schema([("stream_id", pa.string()), ("ord", pa.int64()), ("features", pa.list_(pa.float64())), ("label", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in part], schema=kind) for part in (rows[:3], [], rows[1:])]
+    packs = pd.concat([b.to_pandas() for b in online._packs(iter(batches))])
+    assert len(packs) == 4
+    place, x, y = online._unpacked(iter([packs[packs.stream_id == "s"]]))
+    assert place.tolist()[:-1] == [1, 1, 2, 3] and x.tolist() == [[0.3, 0.4], [0.3, 0.4], [0.5, 0.6], [0.1, 0.2], [0.7, 0.8]] and y == ["None", "None", "b", "a", "b"]
+    place, x, y = online._unpacked(iter([packs[packs.stream_id.isna()]]))
+    assert place.tolist() == [0, 1, 1] and x.tolist() == [[0.25], [0.5], [0.5]] and y == ["b"] * 3
+    with pytest.raises(ValueError, match="equally many"):
+        list(online._packs(iter([pa.RecordBatch.from_pylist([dict(zip(kind.names, ("s", i, [0.5] * i, "a"), strict=True)) for i in (1, 2)], schema=kind)])))
